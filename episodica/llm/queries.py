@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import bpe, pseudonyms, quality_rules, sharding
+
+#: The key of the pseudonyms in these queries; a deployment sets its own.
+KEY = "episodica-demonstration-key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +25,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_path(name: str) -> str:
+    """The place of a public tokenizer's file; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded, as digests."""
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), digests_only=True)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the importance-weight verdict of every document."""
     out = quality_rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("record.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced by pseudonyms of the same format."""
+    out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), KEY)
+    return out.select("doc_id", "text", "n_pseudonyms")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op4_bpe, op5_quality_rules, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
