@@ -95,7 +95,7 @@ class BytePairCoder:
     def _words(self, text: str) -> list[str]:
         """Pre-tokens of normalized text, in byte characters."""
         table = self.bytes_to_chars
-        return [w if w.isascii() else "".join(map(table.__getitem__, w.encode())) for w in self.pattern.findall(text)]
+        return [w if w.isascii() and w.isprintable() else "".join(map(table.__getitem__, w.encode())) for w in self.pattern.findall(text)]
 
     def _chunk(self, chunk: str) -> tuple[int, bytes, str]:
         tokens: list[str] = []
