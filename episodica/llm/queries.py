@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pseudonyms, quality_rules, sharding
+from . import bpe, near_duplicates, pseudonyms, quality_rules, sharding
 
 #: The key of the pseudonyms in these queries; a deployment sets its own.
 KEY = "episodica-demonstration-key"
@@ -43,6 +43,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced by pseudonyms of the same format."""
     out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), KEY)
@@ -50,7 +55,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_bpe, op5_quality_rules, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_sharding, op4_bpe, op5_quality_rules, op7_near_duplicates, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
