@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_duplicates, pseudonyms, quality_rules, sharding
+from . import bpe, decontamination, near_duplicates, pseudonyms, quality_rules, sharding
 
 #: The key of the pseudonyms in these queries; a deployment sets its own.
 KEY = "episodica-demonstration-key"
@@ -25,6 +25,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document: document, item, similarity, place."""
+    out = decontamination.with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = out.select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", F.col("m.item").alias("item_id"), F.round("m.similarity", 6).alias("similarity"), "m.first_word", "m.n_words")
+
+
 def vocabulary_path(name: str) -> str:
     """The place of a public tokenizer's file; it is the same on every machine."""
     import public_tokenizers
@@ -55,7 +62,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_bpe, op5_quality_rules, op7_near_duplicates, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_sharding, op3_decontamination, op4_bpe, op5_quality_rules, op7_near_duplicates, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
