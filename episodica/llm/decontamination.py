@@ -34,7 +34,7 @@ RADIUS = 3
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
 #: Windows in words, from long to short; an item takes the first that its longest shared run admits.
-WINDOWS = (96, 64, 44, 32, 24, 16, 12, 8, 6, 5, 4, 3, 2, 1)
+WINDOWS = (96, 64, 44, 32, 24, 20, 16, 12, 10, 8, 6, 5, 4, 3, 2, 1)
 #: Items whose windows are searched together, and words fingerprinted in one numpy step.
 ITEMS_PER_BLOCK = 4000
 STEP_WORDS = 60_000
@@ -44,17 +44,21 @@ def stride(window: int) -> int:
     return max(1, window // 3) if window > SHINGLE else 1
 
 
-def tolerated(length: int) -> int:
-    """Shingles of an item that may change: of m, with c changed on either side, (m - c) / (m + c) is the similarity."""
+def tolerated(length: int, edits: int = 0) -> int:
+    """Words that a match may lack at an item's ends, beside ``edits`` between them.
+
+    Of the item's m shingles an inserted word changes four and adds five to the passage, and no edit changes less:
+    with x lost at the ends the similarity is at most (m - 4 edits - x) / (m + 5 edits).
+    """
     m = max(1, length - SHINGLE + 1)
-    return int(m * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9)
+    return int(m * (1 - THRESHOLD) - edits * (SHINGLE - 1 + THRESHOLD * SHINGLE) + 1e-9)
 
 
 def shared_run(length: int) -> int:
     """Words of the longest run that an item must share with a passage that it matches."""
-    c = tolerated(length)
-    inner = c // SHINGLE  # an edit away from the ends changes five shingles or more
-    return max(1, min((length - c) // (e + 1) if e else length - c for e in range(inner + 1)))
+    m = max(1, length - SHINGLE + 1)
+    most = int(m * (1 - THRESHOLD) / (SHINGLE - 1 + THRESHOLD * SHINGLE) + 1e-9)
+    return max(1, min((length - tolerated(length, e) - e) // (e + 1) for e in range(most + 1)))
 
 
 def size_class(length: int) -> int:
@@ -158,10 +162,10 @@ class Index:
         value, a = best[0], best[2]
         end = min(a + length, len(words))
         if 0.5 <= value < 1.0:  # inserted or lost words: the passage may be longer or shorter
-            for x in range(a - slack, a + slack + 1):
-                for y in range(a + length - slack, a + length + slack + 1):
-                    if 0 <= x < y <= len(words) and (v := of(x, y)) > value:
-                        value, a, end = v, x, y
+            ends = [(x, y) for x in range(a - slack, a + slack + 1) for y in range(a + length - slack, a + length + slack + 1)]
+            for x, y in ends:
+                if 0 <= x < y <= len(words) and (v := of(x, y)) > value:
+                    value, a, end = v, x, y
         return value, max(a, 0), end - max(a, 0)
 
 
