@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, near_duplicates, pseudonyms, quality_rules, sharding
+from . import bpe, decontamination, html_extraction, near_duplicates, pseudonyms, quality_rules, sharding
 
 #: The key of the pseudonyms in these queries; a deployment sets its own.
 KEY = "episodica-demonstration-key"
@@ -25,6 +25,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in every document: document, item, similarity, place."""
     out = decontamination.with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -62,7 +68,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_decontamination, op4_bpe, op5_quality_rules, op7_near_duplicates, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op7_near_duplicates, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
