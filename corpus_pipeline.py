@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from episodica.llm import quality_rules
+from episodica.llm import bpe, decontamination, near_duplicates, pseudonyms, quality_rules
 from episodica.llm.common import durable
+from episodica.llm.queries import KEY, vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +16,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(docs, labels).where("kept").select("record.*")
 
 
-STAGES = [("quality rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.with_matches(docs, benchmark).where(F.size("matches") == 0).drop("matches")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values replaced by pseudonyms; the character count follows the text."""
+    return pseudonyms.pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).drop("n_pseudonyms")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and digests of ids and decoded text."""
+    out = bpe.encode_and_decode(docs, vocabulary_path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("PII", personal_data),
+    ("BPE encoding and decoding", encode),
+]
 
 #: The stages hash, permute and tokenize as SQL cannot.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
