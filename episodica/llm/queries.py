@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extraction, language_id, near_duplicates, pseudonyms, quality_rules, sharding
+from . import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_rules, sharding
 
 #: The key of the pseudonyms in these queries; a deployment sets its own.
 KEY = "episodica-demonstration-key"
@@ -68,6 +68,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), network).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and network scores of every whole text, learned from the documents that are not held out."""
+    return language_model.score(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced by pseudonyms of the same format."""
     out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), KEY)
@@ -75,7 +80,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op7_near_duplicates, op8_language_id, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op7_near_duplicates, op8_language_id, op9_language_model, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
