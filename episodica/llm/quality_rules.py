@@ -68,9 +68,12 @@ def slot_weights(raw: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts of the documents with a label of good quality.  A plain equi-join: its shuffle can be split where an id is hot."""
+    """Texts of the documents with a label of good quality.
+
+    A merge join at every size, since labels grow with the corpus; its shuffle can be split where an id is hot.
+    """
     good = labels.where("quality = 1 and doc_id is not null").groupBy("doc_id").agg(F.lit(1).alias("one")).select(F.col("doc_id").alias("good_id"))
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good, F.col("id") == F.col("good_id")).select("text")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good.hint("merge"), F.col("id") == F.col("good_id")).select("text")
 
 
 def _bound(value: Column, use) -> Column:
