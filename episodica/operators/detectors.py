@@ -34,7 +34,7 @@ def diagonal_scores(features: DataFrame, statistics: DataFrame, episode: str, ru
     z = (F.col("value") - center) / scale
     z = F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)) if robust else z
     usable = checked_broadcast(statistics.where(scale > 1e-12))
-    return features.join(usable, "feature").groupBy(*runs, episode).agg(F.round(F.sqrt(F.sum(z * z)), 6).alias("score"))
+    return features.join(usable, "feature").groupBy(*runs, episode).agg(F.round(F.sqrt(F.sum(z * z)), 4).alias("score"))
 
 
 def top_variance_features(features: DataFrame, k: int) -> DataFrame:

@@ -77,8 +77,8 @@ st AS (SELECT seed, commissioning_n, feature, avg(value) AS mean, stddev_pop(val
 roles AS (SELECT user_id, partition, CAST(0 AS BIGINT) AS label FROM parts WHERE partition <> 'reservoir' UNION ALL SELECT user_id, 'anomaly', label FROM episodes WHERE label > 0),
 z AS (SELECT seed, commissioning_n, user_id, partition, label, std, mad, (value - mean) / nullif(std, 0) AS zd, greatest(-3.0, least(3.0, (value - center) / nullif(mad * 1.4826, 0))) AS zr
   FROM feats JOIN roles USING (user_id) JOIN st USING (feature)),
-scores AS (SELECT 'Diagonal' AS detector, commissioning_n, seed, user_id, partition, label, round(sqrt(sum(zd * zd)), 6) AS score FROM z WHERE std > 1e-12 GROUP BY ALL
-  UNION ALL SELECT 'RobustDiagonal', commissioning_n, seed, user_id, partition, label, round(sqrt(sum(zr * zr)), 6) FROM z WHERE mad * 1.4826 > 1e-12 GROUP BY ALL)"""
+scores AS (SELECT 'Diagonal' AS detector, commissioning_n, seed, user_id, partition, label, round(sqrt(sum(zd * zd)), 4) AS score FROM z WHERE std > 1e-12 GROUP BY ALL
+  UNION ALL SELECT 'RobustDiagonal', commissioning_n, seed, user_id, partition, label, round(sqrt(sum(zr * zr)), 4) FROM z WHERE mad * 1.4826 > 1e-12 GROUP BY ALL)"""
 )
 RUNS_SQL = (
     SCORES_SQL
