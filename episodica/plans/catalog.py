@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import conformal, detectors, distribution, features, guards, membership, roc, summaries
+from ..operators import conformal, detectors, distribution, features, guards, matrix_detectors, membership, roc, summaries
 from . import study
 from .study import ALPHA, FEATURES_SQL, MEMBERS_SQL, RECALL, RUN, RUNS_SQL, SCORES_SQL, events, table
 
@@ -446,8 +446,6 @@ def u3_support_changes(spark, sf_dir):
 @query("WITH " + SCORES_SQL + """, c AS (SELECT *, row_number() OVER (PARTITION BY detector, commissioning_n, seed ORDER BY score DESC, user_id) AS rn FROM scores WHERE partition = 'calibration'),
 g AS (SELECT detector, user_id, count(*) AS times, array_to_string(list_sort(list(DISTINCT commissioning_n)), ',') AS sizes FROM c WHERE rn = 1 GROUP BY ALL) SELECT *, round(times / sum(times) OVER (PARTITION BY detector), 6) AS share FROM g""")
 def a22_recurrence(spark, sf_dir):
-    from pyspark.sql import Window
-
     top = calibration(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy(*RUN).orderBy(F.desc("score"), "user_id"))).where("rn = 1")
     return summaries.recurrence(top, "detector", "user_id", "commissioning_n")
 
@@ -552,3 +550,52 @@ SELECT vec_id, round(dist, 6) AS score FROM d QUALIFY row_number() OVER (PARTITI
 def m19_knn_scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")).withColumn("run", F.lit(0))
     return detectors.nearest_distances(e.where("vec_id % 50 = 0").select("run", "vec_id", "v"), e.where("label = 0"), "vec_id", "v", ["run"], 10).select("vec_id", "score")
+
+
+# -- detectors over matrices (no SQL: checked against numpy in the tests) ---------------------------------------------
+
+
+def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as episodes: label 0 healthy, odd ids the source; three commissioning sizes of the target."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("episode"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("v"), "label")
+    healthy = e.where("label = 0")
+    order = F.row_number().over(Window.orderBy(C.seeded_order(F.col("episode"), F.lit(1)), "episode"))
+    target = healthy.where("episode % 2 = 0").withColumn("place", order)
+    sizes = F.explode(F.array(F.lit(8), F.lit(12), F.lit(16))).alias("n")
+    source = healthy.where("episode % 2 = 1").select(sizes, F.lit("source").alias("role"), "episode", "v")
+    fit = target.select(sizes, "place", "episode", "v").where("place <= n").select("n", F.lit("target").alias("role"), "episode", "v")
+    queries = e.where("label > 0 and episode % 5 = 0").select(sizes, F.lit("query").alias("role"), "episode", "v")
+    return source.unionByName(fit).unionByName(queries)
+
+
+@query()
+def m_matrix_detectors(spark, sf_dir):
+    return matrix_detectors.run_scores(matrix_rows(spark, sf_dir), ["n"], list(matrix_detectors.SCORERS))
+
+
+@query()
+def m6_leave_one_out(spark, sf_dir):
+    return matrix_detectors.leave_one_out(matrix_rows(spark, sf_dir), ["n"])
+
+
+@query()
+def m17_transfer_metrics(spark, sf_dir):
+    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir), ["n"], "transfer")
+
+
+@query()
+def m16_covariance_distances(spark, sf_dir):
+    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir), ["n"], "covariance")
+
+
+@query()
+def st29_conditioning(spark, sf_dir):
+    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir), ["n"], "conditioning")
+
+
+@query()
+def m21_phase_aligned_neighbours(spark, sf_dir):
+    roles = study.partitions(spark, sf_dir).where("rank <= 12").select("user_id", F.when(F.col("rank") <= 6, "target").otherwise("query").alias("role"))
+    rows = events(spark, sf_dir).join(roles, "user_id").select(F.lit(0).alias("run"), "role", F.col("user_id").alias("episode"), F.struct("ts", "event_id").alias("order"), F.array("value").alias("v"))
+    timed = rows.select("run", "role", "episode", F.col("order.event_id").alias("at"), "v")
+    return matrix_detectors.aligned_phase_scores(timed, ["run"], bins=32, k=3)
