@@ -221,7 +221,8 @@ def vocabulary_classes(size: int, counts: dict[int, int]) -> tuple[np.ndarray, n
     for i, c in counts.items():
         n[i] += c
     classes = OWN_CLASSES + (np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (CLASSES - OWN_CLASSES)
-    classes[np.lexsort((np.arange(size), -n))[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
+    frequent = np.lexsort((np.arange(size), -n))[:OWN_CLASSES]
+    classes[frequent] = np.arange(len(frequent))
     return classes, np.log10(n / np.bincount(classes, n, CLASSES)[classes])
 
 
