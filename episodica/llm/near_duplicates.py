@@ -6,10 +6,11 @@ dart of a coordinate is its MinHash, and two texts agree in a coordinate with th
 Jaccard similarity.  A text throws only some ``K log K`` darts, however many shingles it has.
 
 1. Texts with equal words are one node, named by the MD5 of their words, whatever the number of copies.
-2. Nodes meet in bands of the signature.  A bucket is compared by sketches in chunks of bounded size, each with the
-   bucket's smallest node in it; a chunk gives a maximal spanning forest of its likely links, never all pairs.
-3. Each proposed link is verified by the exact weighted Jaccard similarity of the two texts.
-4. Connected components of the verified links, as rounds of joins with pointer jumping, give the classes.
+2. Nodes meet in bands of the signature.  Each member of a bucket is first compared with the bucket's hub.
+3. Members of a bucket that no verified link joins are compared by sketches in chunks of bounded size; a chunk
+   proposes the links of a forest, likeliest first.
+4. Each proposed link is verified by the exact weighted Jaccard similarity of the two texts, and connected components
+   of the verified links, as rounds of joins with pointer jumping, give the classes.
 
 Defined cases: null counts as empty, and texts without words are one class of equal texts; texts of fewer than five
 words have all their words as the one shingle; null or repeated ids stay single rows, since nodes are named by
@@ -35,10 +36,10 @@ ROWS = 6
 COORDINATES = BANDS * ROWS
 #: Nodes of a bucket that are compared with each other in one place.
 CHUNK = 48
-#: Estimates from which a link is proposed, and from which it counts as sure while a chunk's forest grows:
-#: four standard deviations of the estimate to either side of the threshold.
-LIKELY = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
-SURE = THRESHOLD + 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
+#: Estimates from which a link is proposed, three standard deviations below the threshold, and from which it joins
+#: trees while a chunk's forest grows, two above; other bands chunk anew, so a tree wrongly joined meets others there.
+LIKELY = THRESHOLD - 3 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
+SURE = THRESHOLD + 2 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 #: Words that are hashed in one numpy step.
 STEP_WORDS = 400_000
 
@@ -174,12 +175,12 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Links of one chunk, likeliest first: a sure link joins two trees; a likely one is proposed between two trees."""
+def _forest(sketches: np.ndarray, trees: list[int]) -> list[tuple[int, int]]:
+    """Links of one chunk between different trees, likeliest first; a sure link joins its trees."""
     i, j = np.triu_indices(len(sketches), 1)
     similar = estimates(sketches[i], sketches[j])
     near = np.flatnonzero(similar >= LIKELY)
-    tree = list(range(len(sketches)))
+    tree = list(trees)
 
     def root(x: int) -> int:
         while tree[x] != x:
@@ -198,37 +199,61 @@ def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of (key, sketch) -> proposed links."""
+    """Chunks of (key, component, sketch) -> proposed links between components."""
     for batch in batches:
-        keys, sketches = batch.column(0), batch.column(1)
-        offsets = keys.offsets.to_numpy()
-        flat_keys = keys.flatten().to_pylist()
-        flat = np.frombuffer(b"".join(sketches.flatten().to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        shift = int(offsets[0])
-        sizes = np.diff(offsets)
-        two = offsets[:-1][sizes == 2] - shift
-        two = two[estimates(flat[two], flat[two + 1]) >= LIKELY]
-        pairs = [(int(i), int(i) + 1) for i in two]
-        for k in np.flatnonzero(sizes > 2):
-            at = int(offsets[k]) - shift
-            pairs += [(at + a, at + b) for a, b in _forest(flat[at : at + int(sizes[k])])]
-        names = [sorted((flat_keys[a], flat_keys[b])) for a, b in pairs]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in names], pa.string()), pa.array([x[1] for x in names], pa.string())], names=["a", "b"])
-
-
-def proposed_links(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes ``a`` < ``b`` whose sketches make a link likely, from bands that they share."""
+        left, right = [], []
+        for keys, names, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            flat = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, COORDINATES)
+            first: dict[str, int] = {}
+            for a, b in _forest(flat, [first.setdefault(n, k) for k, n in enumerate(names)]):
+                left.append(min(keys[a], keys[b]))
+                right.append(max(keys[a], keys[b]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and their sketches -> the pairs whose estimate reaches LIKELY."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
+        taken = pa.array(np.flatnonzero(estimates(one, two) >= LIKELY))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken)], names=["a", "b"])
+
+
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """``band``, ``value``, ``key``, ``n`` of the buckets with two nodes or more, and the bucket's ``hub``.
+
+    The hub is the member that meets most others over all bands: an original meets its copies more often than they
+    meet each other.
+    """
     members = nodes.select("key", F.posexplode("bands").alias("band", "value"))
-    buckets = members.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1")
+    sizes = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    shared = durable(members.join(sizes, ["band", "value"]), "shared")
+    met = shared.groupBy("key").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "key").groupBy("band", "value").agg(F.max(F.struct("met", "key")).alias("h")).select("band", "value", F.col("h.key").alias("hub"))
+    return shared.join(hubs, ["band", "value"])
+
+
+def star_links(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Likely pairs ``a`` < ``b`` of a bucket's member and its hub."""
+    pairs = buckets.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    one = pairs.join(nodes.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a")
+    both = one.join(nodes.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_likely, "a string, b string")
+
+
+def chunk_links(nodes: DataFrame, buckets: DataFrame, linked: DataFrame) -> DataFrame:
+    """Likely pairs ``a`` < ``b`` of different components that share a bucket, from chunks of bounded size."""
+    named = buckets.join(linked, "key", "left").select("band", "value", "key", "n", F.coalesce("component", "key").alias("component"))
+    mixed = named.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "value")
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    split = members.join(buckets, ["band", "value"]).select(
-        "band", "value", "key", (F.col("key") == F.col("hub")).alias("is_hub"), parts.alias("parts"), F.pmod(F.xxhash64("key", "band"), parts).cast("int").alias("chunk")
+    placed = named.join(mixed, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("key", "band"), parts).cast("int"))
+    lists = (
+        placed.join(nodes.select("key", "sketch"), "key")
+        .groupBy("band", "value", "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("key", "component", "sketch"))).alias("m"))
+        .where(F.size("m") > 1)
+        .select(F.col("m.key").alias("keys"), F.col("m.component").alias("names"), F.col("m.sketch").alias("sketches"))
     )
-    # The hub stands in every chunk of its bucket, the others in one.
-    placed = split.select("band", "value", "key", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("chunk"))).alias("chunk"))
-    with_sketch = placed.join(nodes.select("key", "sketch"), "key")
-    chunks = with_sketch.groupBy("band", "value", "chunk").agg(F.sort_array(F.collect_list(F.struct("key", "sketch"))).alias("m")).where(F.size("m") > 1)
-    lists = chunks.select(F.col("m.key").alias("keys"), F.col("m.sketch").alias("sketches"))
     return lists.mapInArrow(_proposed, "a string, b string").distinct()
 
 
@@ -246,15 +271,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
 
 
-def verified_links(texts: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
-    """``a``, ``b``, ``similarity`` of the pairs that hold exactly."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+def bodies_of(texts: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """``key`` and word hashes ``h`` of the nodes in ``wanted``."""
     clean = text_or_empty(text)
     keyed = texts.select(content_key(clean).alias("key"), clean.alias("text"))
-    bodies = keyed.join(wanted, "key").groupBy("key").agg(F.min("text").alias("text"))
-    hashed = bodies.select("key", F.transform(words(F.lower(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
-    one = pairs.join(hashed.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a")
-    both = one.join(hashed.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
+    one = keyed.join(wanted.select("key").distinct(), "key").groupBy("key").agg(F.min("text").alias("text"))
+    return one.select("key", F.transform(words(F.lower(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
+
+
+def verified_links(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``similarity`` of the pairs that hold exactly."""
+    one = pairs.join(bodies.select(F.col("key").alias("a"), F.col("h").alias("ha")), "a")
+    both = one.join(bodies.select(F.col("key").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
     return both.mapInArrow(_verified, "a string, b string, similarity double")
 
 
@@ -281,12 +309,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     copies = keyed.groupBy("key").agg(F.min("id").alias("id"))
     signed = signatures(docs, text).groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     nodes = durable(signed, "nodes")
-    pairs = durable(proposed_links(nodes), "pairs")
-    forget(nodes)
-    links = durable(verified_links(docs, pairs, text), "links")
-    forget(pairs)
-    linked = components(links)
-    forget(links)
+    buckets = durable(shared_buckets(nodes), "buckets")
+    bodies = durable(bodies_of(docs, buckets, text), "bodies")
+    stars = durable(verified_links(bodies, star_links(nodes, buckets)).select("a", "b"), "stars")
+    # What the stars join needs no further comparison; the rest of each bucket is compared in chunks.
+    rest = durable(verified_links(bodies, chunk_links(nodes, buckets, components(stars))).select("a", "b"), "rest")
+    for table in (nodes, buckets, bodies):
+        forget(table)
+    linked = components(stars.union(rest))
+    for table in (stars, rest):
+        forget(table)
     named = copies.join(linked, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))).alias("first"))
     return named.join(first, "component").select("key", F.col("first.id").alias("class_id"), F.col("first.key").alias("class_key"))
