@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_rules, sharding
+from . import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding
 
 #: The key of the pseudonyms in these queries; a deployment sets its own.
 KEY = "episodica-demonstration-key"
@@ -56,6 +56,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability of the top grade and selection of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, model).select("doc_id", "expected_grade", "tail", "kept")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
@@ -80,7 +87,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op7_near_duplicates, op8_language_id, op9_language_model, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_near_duplicates, op8_language_id, op9_language_model, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from episodica.llm import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_rules, sharding
+from episodica.llm import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding
 from episodica.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, record string, size int, shard string, score string, matches string, class_id string, n_pseudonyms string"
@@ -293,6 +293,25 @@ def test_languages_are_told_apart(spark):
     assert none is None and {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
 
 
+def test_ordinal_grades(spark):
+    rng = random.Random(5)
+    texts, rows = [], []
+    for i in range(600):
+        quality, toxic = int(rng.random() < 0.7), int(rng.random() < 0.3)
+        texts.append(prose(i, 60) + (" good fine" if quality else " bad%%% junk%%%") + (" nasty, vile" if toxic else ""))
+        rows.append((i, quality, toxic))
+    texts += [None, "", texts[0]]
+    labels = spark.createDataFrame([r for r in rows if r[0] % 3], "doc_id long, quality int, toxic int")
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, quality_classifier.train(docs, labels)).collect()}
+    held = [r for r in rows if r[0] % 3 == 0]
+    assert sum(round(got[i].expected_grade) == q + 1 - t for i, q, t in held) >= 0.97 * len(held)
+    assert sum(got[i].kept == (q == 1 and t == 0) for i, q, t in held) >= 0.97 * len(held)
+    assert not got[600].kept and (got[601].expected_grade, got[601].tail) == (0.0, 0.0) and got[602].tail == got[0].tail
+    none = quality_classifier.train(docs, labels.limit(0))
+    assert none is None and not any(r.kept for r in quality_classifier.classify(docs, none).collect())
+
+
 def test_language_model_scores(spark):
     path = vocabulary_path("word_bpe_49k.json")
     texts = [*HARD, *[prose(i % 7, 60) for i in range(60)]]
