@@ -30,14 +30,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import fresh, text_or_empty
 from .near_duplicates import SHINGLE, THRESHOLD, shingle_hashes, weighted_jaccard
 
-RADIUS = 3
+RADIUS = 2
 BLOCKS = RADIUS + 1
-BLOCK_BITS = 64 // BLOCKS
+#: First bit and number of bits of each block.
+SPANS = tuple((k * 64 // BLOCKS, (k + 1) * 64 // BLOCKS - k * 64 // BLOCKS) for k in range(BLOCKS))
 #: Windows in words, from long to short; an item takes the first that its longest shared run admits.
 WINDOWS = (96, 64, 44, 32, 24, 20, 16, 12, 10, 8, 6, 5, 4, 3, 2, 1)
 #: Items whose windows are searched together, and words fingerprinted in one numpy step.
 ITEMS_PER_BLOCK = 4000
-STEP_WORDS = 60_000
+STEP_WORDS = 30_000
 
 
 def stride(window: int) -> int:
@@ -71,13 +72,27 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def fingerprints(shingles: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+def level_sums(shingles: np.ndarray, most: int) -> dict[int, np.ndarray]:
+    """For each power of two up to ``most``, how often each bit is set in so many shingles from each place.
+
+    A window has fewer than 256 shingles, so bytes hold the counts.
+    """
+    out = {1: np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)}
+    k = 1
+    while 2 * k <= most and len(out[k]) > k:
+        out[2 * k] = out[k][:-k] + out[k][k:]
+        k *= 2
+    return out
+
+
+def fingerprints(levels: dict[int, np.ndarray], starts: np.ndarray, count: int) -> np.ndarray:
     """SimHash of ``count`` shingles from each start: the majority of each bit."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(shingles) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    ones = sums[starts + count] - sums[starts]
-    return np.packbits(2 * ones > count, axis=1).view(np.uint64).ravel()
+    ones, at = None, starts
+    for k in (1 << b for b in reversed(range(count.bit_length())) if count >> b & 1):
+        part = levels[k][at]
+        ones = part if ones is None else ones + part
+        at = at + k
+    return np.packbits(ones > count // 2, axis=1).view(np.uint64).ravel()
 
 
 @dataclass
@@ -86,11 +101,12 @@ class _Class:
     prints: np.ndarray  # of all windows of the class's items
     item: np.ndarray
     offset: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray]]  # of each block: where a value's list starts, the lists
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each block: values that occur, sorted values, their windows
 
 
 def _block(prints: np.ndarray, k: int) -> np.ndarray:
-    return ((prints >> np.uint64(k * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+    first, size = SPANS[k]
+    return ((prints >> np.uint64(first)) & np.uint64((1 << size) - 1)).view(np.int64)
 
 
 class Index:
@@ -107,9 +123,9 @@ class Index:
         for w, members in sorted(rows.items()):
             prints, item, offset = [], [], []
             for x, i in members:
-                shingles = self._features(x, w)
+                count = max(1, w - SHINGLE + 1)
                 starts = np.arange(len(x) - w + 1)
-                prints.append(fingerprints(shingles, starts, max(1, w - SHINGLE + 1)))
+                prints.append(fingerprints(level_sums(self._features(x, w), count), starts, count))
                 item.append(np.full(len(starts), i))
                 offset.append(starts)
             p = np.concatenate(prints)
@@ -117,7 +133,9 @@ class Index:
             for k in range(BLOCKS):
                 value = _block(p, k)
                 order = np.argsort(value, kind="stable")
-                tables.append((np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1)), order))
+                occurs = np.zeros(1 << SPANS[k][1], bool)
+                occurs[value] = True
+                tables.append((occurs, value[order], order))
             self.classes.append(_Class(w, p, np.concatenate(item), np.concatenate(offset), tables))
 
     @staticmethod
@@ -128,24 +146,35 @@ class Index:
     def placements(self, words: np.ndarray, doc_starts: np.ndarray, doc_sizes: np.ndarray) -> np.ndarray:
         """Rows (document, item, first word in the document) that a window within the radius proposes."""
         found = [np.zeros((0, 3), np.int64)]
+        levels: dict[int, dict[int, np.ndarray]] = {}
+        most = max((max(1, c.window - SHINGLE + 1) for c in self.classes), default=1)
         for c in self.classes:
             step, n = stride(c.window), np.maximum(doc_sizes - c.window + 1, 0)
             n = -(-n // step)
-            doc = np.repeat(np.arange(len(n)), n)
-            within = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
-            if not len(doc):
+            if not n.sum():
                 continue
-            prints = fingerprints(self._features(words, c.window), doc_starts[doc] + within, max(1, c.window - SHINGLE + 1))
-            for k, (first, lists) in enumerate(c.tables):
+            # Place of each window: the step, or the jump from the last window of a text to the first of the next.
+            some = np.flatnonzero(n)
+            jump = np.full(n.sum(), step)
+            firsts = np.cumsum(n[some]) - n[some]
+            jump[firsts[1:]] = doc_starts[some[1:]] - doc_starts[some[:-1]] - (n[some[:-1]] - 1) * step
+            jump[0] = doc_starts[some[0]]
+            at = np.cumsum(jump)
+            size, count = min(SHINGLE, c.window), max(1, c.window - SHINGLE + 1)
+            if size not in levels:
+                levels[size] = level_sums(self._features(words, c.window), most if size == SHINGLE else 1)
+            prints = fingerprints(levels[size], at, count)
+            for k, (occurs, values, windows) in enumerate(c.tables):
                 value = _block(prints, k)
-                size = first[value + 1] - first[value]
-                some = np.flatnonzero(size)
-                size = size[some]
-                w = np.repeat(some, size)
-                mine = lists[np.repeat(first[value[some]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+                hit = np.flatnonzero(occurs[value])
+                first, last = (np.searchsorted(values, value[hit], side) for side in ("left", "right"))
+                size_of = last - first
+                w = np.repeat(hit, size_of)
+                mine = windows[np.repeat(first, size_of) + np.arange(size_of.sum()) - np.repeat(np.cumsum(size_of) - size_of, size_of)]
                 near = np.bitwise_count(prints[w] ^ c.prints[mine]) <= RADIUS
                 w, mine = w[near], mine[near]
-                found.append(np.stack([doc[w], c.item[mine], within[w] - c.offset[mine]], axis=1))
+                doc = some[np.searchsorted(firsts, w, "right") - 1]
+                found.append(np.stack([doc, c.item[mine], at[w] - doc_starts[doc] - c.offset[mine]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
     def verified(self, words: np.ndarray, item: int, start: int) -> tuple[float, int, int]:

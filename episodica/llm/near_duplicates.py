@@ -43,6 +43,7 @@ SURE = THRESHOLD + 2 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 #: Words that are hashed in one numpy step.
 STEP_WORDS = 400_000
 
+_PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -59,10 +60,12 @@ def shingle_hashes(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     if not len(h):
         return h
     size = min(size, len(h))
-    out = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        out = _mix(out * _M1 + h[k : len(h) - size + 1 + k] + np.uint64(k + 1))
-    return out
+    # Words are hashes already: a sum with odd factors by place, mixed once.
+    n = len(h) - size + 1
+    out = h[:n] * _PLACES[0]
+    for k in range(1, size):
+        out += h[k : n + k] * _PLACES[k]
+    return _mix(out + np.uint64(size))
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
