@@ -178,11 +178,14 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _forest(sketches: np.ndarray, trees: list[int]) -> list[tuple[int, int]]:
-    """Links of one chunk between different trees, likeliest first; a sure link joins its trees."""
+def _forest(sketches: np.ndarray, trees: list[int], hubs: np.ndarray) -> list[tuple[int, int]]:
+    """Links of one chunk between different trees, likeliest first; a sure link joins its trees.
+
+    The bucket's hub has met every other member already.
+    """
     i, j = np.triu_indices(len(sketches), 1)
     similar = estimates(sketches[i], sketches[j])
-    near = np.flatnonzero(similar >= LIKELY)
+    near = np.flatnonzero((similar >= LIKELY) & ~hubs[i] & ~hubs[j])
     tree = list(trees)
 
     def root(x: int) -> int:
@@ -202,13 +205,13 @@ def _forest(sketches: np.ndarray, trees: list[int]) -> list[tuple[int, int]]:
 
 
 def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of (key, component, sketch) -> proposed links between components."""
+    """Chunks of (key, component, sketch, whether it is the hub) -> proposed links between components."""
     for batch in batches:
         left, right = [], []
-        for keys, names, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for keys, names, parts, hubs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             flat = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, COORDINATES)
             first: dict[str, int] = {}
-            for a, b in _forest(flat, [first.setdefault(n, k) for k, n in enumerate(names)]):
+            for a, b in _forest(flat, [first.setdefault(n, k) for k, n in enumerate(names)], np.array(hubs)):
                 left.append(min(keys[a], keys[b]))
                 right.append(max(keys[a], keys[b]))
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
@@ -246,16 +249,16 @@ def star_links(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
 
 def chunk_links(nodes: DataFrame, buckets: DataFrame, linked: DataFrame) -> DataFrame:
     """Likely pairs ``a`` < ``b`` of different components that share a bucket, from chunks of bounded size."""
-    named = buckets.join(linked, "key", "left").select("band", "value", "key", "n", F.coalesce("component", "key").alias("component"))
+    named = buckets.join(linked, "key", "left").select("band", "value", "key", "n", (F.col("key") == F.col("hub")).alias("is_hub"), F.coalesce("component", "key").alias("component"))
     mixed = named.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "value")
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     placed = named.join(mixed, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("key", "band"), parts).cast("int"))
     lists = (
         placed.join(nodes.select("key", "sketch"), "key")
         .groupBy("band", "value", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "component", "sketch"))).alias("m"))
+        .agg(F.sort_array(F.collect_list(F.struct("key", "component", "sketch", "is_hub"))).alias("m"))
         .where(F.size("m") > 1)
-        .select(F.col("m.key").alias("keys"), F.col("m.component").alias("names"), F.col("m.sketch").alias("sketches"))
+        .select(F.col("m.key").alias("keys"), F.col("m.component").alias("names"), F.col("m.sketch").alias("sketches"), F.col("m.is_hub").alias("hubs"))
     )
     return lists.mapInArrow(_proposed, "a string, b string").distinct()
 
