@@ -48,7 +48,7 @@ register_detector("SourceOnly", lambda s, t, q: _gaussian(s, q))
 register_detector("Pooled", lambda s, t, q: _gaussian(np.vstack([s, t]), q))
 
 #: Which mean and covariance each ablation takes: t(arget), s(ource) or b(lend).
-COMPONENTS = {"RACE": "bb", "MeanTransferOnly": "bt", "CovarianceTransferOnly": "tb", "TargetMeanSourceCovariance": "ts", "SourceMeanTargetCovariance": "st"}
+COMPONENTS = {"Blended": "bb", "MeanTransferOnly": "bt", "CovarianceTransferOnly": "tb", "TargetMeanSourceCovariance": "ts", "SourceMeanTargetCovariance": "st"}
 
 
 def blended(source: np.ndarray, target: np.ndarray, prior: float = 60.0) -> dict[str, tuple[np.ndarray, np.ndarray]]:
