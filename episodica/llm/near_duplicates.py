@@ -7,10 +7,10 @@ Jaccard similarity.  A text throws only some ``K log K`` darts, however many shi
 
 1. Texts with equal words are one node, named by the MD5 of their words, whatever the number of copies.
 2. Nodes meet in bands of the signature.  Each member of a bucket is first compared with the bucket's hub.
-3. Members of a bucket that no verified link joins are compared by sketches in chunks of bounded size; a chunk
-   proposes the links of a forest, likeliest first.
-4. Each proposed link is verified by the exact weighted Jaccard similarity of the two texts, and connected components
-   of the verified links, as rounds of joins with pointer jumping, give the classes.
+3. Members of a bucket that verified links to hubs leave apart are compared by sketches, all with all, in tiles of two
+   blocks of bounded size; a pair is compared in the first band it shares, so in one tile of all.
+4. A tile takes its likely pairs in order and links what is still apart.  Links hold by the exact weighted Jaccard
+   similarity of the two texts, and their connected components, as rounds of joins with pointer jumping, are the classes.
 
 Defined cases: null counts as empty, and texts without words are one class of equal texts; texts of fewer than five
 words have all their words as the one shingle; null or repeated ids stay single rows, since nodes are named by
@@ -34,10 +34,10 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 6
 COORDINATES = BANDS * ROWS
-#: Nodes of a bucket that are compared with each other in one place.
-CHUNK = 48
+#: Nodes of a bucket in one block; a tile compares two blocks, and the tiles of a bucket cover all its pairs.
+BLOCK = 256
 #: Estimates from which a link is proposed, three standard deviations below the threshold, and from which it joins
-#: trees while a chunk's forest grows, two above; other bands chunk anew, so a tree wrongly joined meets others there.
+#: trees while a tile's forest grows, two above.
 LIKELY = THRESHOLD - 3 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 SURE = THRESHOLD + 2 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 #: Words that are hashed in one numpy step.
@@ -72,11 +72,16 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two multisets of shingle hashes; 1 if both are empty."""
     if not len(a) and not len(b):
         return 1.0
-    x, m = np.unique(a, return_counts=True)
-    y, n = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(m[i], n[j]).sum()
-    return float(both / (len(a) + len(b) - both))
+    return counted_jaccard((*np.unique(a, return_counts=True), len(a)), (*np.unique(b, return_counts=True), len(b)))
+
+
+def counted_jaccard(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> float:
+    """The same of two multisets as distinct hashes in order, their counts and the sum of these."""
+    if not a[2] and not b[2]:
+        return 1.0
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = np.minimum(a[1][i], b[1][j]).sum()
+    return float(both / (a[2] + b[2] - both))
 
 
 def _batch_shingles(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,43 +183,119 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def _forest(sketches: np.ndarray, trees: list[int], hubs: np.ndarray) -> list[tuple[int, int]]:
-    """Links of one chunk between different trees, likeliest first; a sure link joins its trees.
+def _root(tree: list[int], x: int) -> int:
+    while tree[x] != x:
+        tree[x] = tree[tree[x]]
+        x = tree[x]
+    return x
+
 
-    The bucket's hub has met every other member already.
+def likely_pairs(sketches: np.ndarray, bands: np.ndarray, trees: np.ndarray, blocks: np.ndarray, hubs: np.ndarray, band: int, one_block: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one tile, likeliest first, and their estimates: of different trees, that meet first in ``band``.
+
+    The bucket's hub has met every other member already, and two members of one block meet in the block's own tile.
     """
-    i, j = np.triu_indices(len(sketches), 1)
-    similar = estimates(sketches[i], sketches[j])
-    near = np.flatnonzero((similar >= LIKELY) & ~hubs[i] & ~hubs[j])
-    tree = list(trees)
-
-    def root(x: int) -> int:
-        while tree[x] != x:
-            tree[x] = tree[tree[x]]
-            x = tree[x]
-        return x
-
-    out = []
-    for k in near[np.argsort(-similar[near], kind="stable")]:
-        a, b = root(int(i[k])), root(int(j[k]))
+    left, right = (np.arange(len(blocks)),) * 2 if one_block else (np.flatnonzero(blocks == blocks[0]), np.flatnonzero(blocks != blocks[0]))
+    rows, columns, values = [], [], []
+    for i in left:
+        j = right[right > i] if one_block else right
+        j = j[(trees[j] != trees[i]) & ~hubs[j]] if not hubs[i] else j[:0]
+        similar = estimates(sketches[i], sketches[j])
+        near = similar >= LIKELY
+        j, similar = j[near], similar[near]
+        first = np.argmax(bands[i] == bands[j], axis=1) == band
+        rows.append(np.full(first.sum(), i))
+        columns.append(j[first])
+        values.append(similar[first])
+    i, j, similar = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, columns, values))
+    order = np.argsort(-similar, kind="stable")
+    return i[order], j[order], similar[order]
+
+
+def tile_links(i: np.ndarray, j: np.ndarray, similar: np.ndarray, trees: list[int], holds) -> list[tuple[int, int]]:
+    """Links between different trees, likeliest first, that ``holds`` confirms; a sure link joins its trees."""
+    tree, out = list(trees), []
+    for x, y, s in zip(i.tolist(), j.tolist(), similar.tolist(), strict=True):
+        a, b = _root(tree, x), _root(tree, y)
         if a != b:
-            out.append((int(i[k]), int(j[k])))
-            if similar[k] >= SURE:
+            if holds(x, y):
+                out.append((x, y))
                 tree[a] = b
     return out
 
 
-def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of (key, component, sketch, whether it is the hub) -> proposed links between components."""
+def _numbered(names: list) -> list[int]:
+    """For each name the first place that has it."""
+    first: dict = {}
+    return [first.setdefault(n, k) for k, n in enumerate(names)]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each tile (named by the first column), which come one after another."""
+    name, rows = None, []
     for batch in batches:
-        left, right = [], []
-        for keys, names, parts, hubs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            flat = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, COORDINATES)
-            first: dict[str, int] = {}
-            for a, b in _forest(flat, [first.setdefault(n, k) for k, n in enumerate(names)], np.array(hubs)):
-                left.append(min(keys[a], keys[b]))
-                right.append(max(keys[a], keys[b]))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+        for row in zip(*(batch.column(k) if pa.types.is_list(batch.schema.types[k]) else batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+            if rows and row[0] != name:
+                yield rows
+                rows = []
+            name = row[0]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tile, band, whether of one block, block, key, component, hub, sketch, bands -> members of a tile's likely pairs.
+
+    The first row of each tile has its pairs, as places among the tile's rows by key.
+    """
+    names = ["tile", "place", "key", "component", "pairs"]
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)], names=names)
+
+    for rows in _tiles(batches):
+        tile, band, one_block, blocks, keys, components_, hubs, sketches, bands = zip(*rows, strict=True)
+        if len(rows) < 2:
+            continue
+        flat = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)
+        values = np.concatenate([b.values.to_numpy() for b in bands]).reshape(-1, BANDS)
+        i, j, similar = likely_pairs(flat, values, np.array(_numbered(components_)), np.array(blocks), np.array(hubs), band[0], one_block[0])
+        if not len(i):
+            continue
+        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+        pairs = np.stack([back[: len(i)], back[len(i) :]]).astype(np.uint16).tobytes() + similar.astype(np.float32).tobytes()
+        out += [(tile[0], n, keys[k], components_[k], pairs if not n else None) for n, k in enumerate(used.tolist())]
+        if len(out) > 4000:
+            yield flush()
+            out.clear()
+    if out:
+        yield flush()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tile, place, key, component, pairs, word hashes -> the links that hold, of one tile after the other."""
+    for rows in _tiles(batches):
+        _, _, keys, names, pairs, bodies = zip(*rows, strict=True)
+        n = len(pairs[0]) // 8
+        i, j = np.frombuffer(pairs[0], np.uint16, 2 * n).reshape(2, n).astype(np.int64)
+        similar = np.frombuffer(pairs[0], np.float32, n, 4 * n)
+        held: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+
+        def counted(k: int) -> tuple[np.ndarray, np.ndarray, int]:
+            if k not in held:
+                s = shingle_hashes(bodies[k].values.to_numpy(zero_copy_only=False))
+                held[k] = (*np.unique(s, return_counts=True), len(s))
+            return held[k]
+
+        def holds(x: int, y: int) -> bool:
+            return counted_jaccard(counted(x), counted(y)) >= THRESHOLD
+
+        links = tile_links(i, j, similar, _numbered(names), holds)
+        if links:
+            both = [(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in links]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*both, strict=True)], names=["a", "b"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,20 +328,36 @@ def star_links(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
     return both.mapInArrow(_likely, "a string, b string")
 
 
-def chunk_links(nodes: DataFrame, buckets: DataFrame, linked: DataFrame) -> DataFrame:
-    """Likely pairs ``a`` < ``b`` of different components that share a bucket, from chunks of bounded size."""
-    named = buckets.join(linked, "key", "left").select("band", "value", "key", "n", (F.col("key") == F.col("hub")).alias("is_hub"), F.coalesce("component", "key").alias("component"))
-    mixed = named.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "value")
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    placed = named.join(mixed, ["band", "value"]).withColumn("chunk", F.pmod(F.xxhash64("key", "band"), parts).cast("int"))
-    lists = (
-        placed.join(nodes.select("key", "sketch"), "key")
-        .groupBy("band", "value", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "component", "sketch", "is_hub"))).alias("m"))
-        .where(F.size("m") > 1)
-        .select(F.col("m.key").alias("keys"), F.col("m.component").alias("names"), F.col("m.sketch").alias("sketches"), F.col("m.is_hub").alias("hubs"))
-    )
-    return lists.mapInArrow(_proposed, "a string, b string").distinct()
+def tile_rows(nodes: DataFrame, buckets: DataFrame, linked: DataFrame) -> DataFrame:
+    """The members of every tile: a bucket's members that stay apart from its hub meet each other and all others.
+
+    ``tile`` names it; a member stands once in each tile that its block is part of.
+    """
+    component = linked.select(F.col("key").alias("hub"), F.col("component").alias("hub_component"))
+    named = buckets.join(linked, "key", "left").join(component, "hub", "left").withColumn("component", F.coalesce("component", "key"))
+    named = named.withColumn("apart", F.col("component") != F.coalesce("hub_component", "hub"))
+    sizes = named.where("apart").groupBy("band", "value").agg(F.count("*").alias("u"))
+    # Blocks 0 to p - 1 hold what is apart, blocks p to p + q - 1 the rest, whose members are linked with each other.
+    p, q = F.ceil(F.col("u") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("u")) / BLOCK).cast("int")
+    placed = named.join(sizes, ["band", "value"]).select("band", "value", "key", "component", (F.col("key") == F.col("hub")).alias("is_hub"), "apart", p.alias("p"), q.alias("q"))
+    draw = F.xxhash64("key", "band")
+    block = F.when(F.col("apart"), F.pmod(draw, F.col("p"))).otherwise(F.col("p") + F.pmod(draw, F.greatest("q", F.lit(1)))).cast("int")
+    met = F.sequence(F.lit(0), F.when(F.col("apart"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1)
+    tiles = placed.withColumn("block", block).withColumn("other", F.explode(met))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    bare = tiles.select(F.concat_ws(":", "band", "value", low, high).alias("tile"), "band", (low == high).alias("one"), "block", "key", "component", "is_hub")
+    return bare.join(nodes, "key").select("tile", "band", "one", "block", "key", "component", "is_hub", "sketch", "bands")
+
+
+def tile_pairs_linked(nodes: DataFrame, bodies: DataFrame, buckets: DataFrame, linked: DataFrame) -> DataFrame:
+    """Verified links ``a`` < ``b`` that join all that a bucket's hub leaves apart and that is similar."""
+    rows = tile_rows(nodes, buckets, linked)
+    # Text, so that a tile's rows stay together whatever their number; sorted, so that a task holds one tile at a time.
+    near = durable(rows.repartition("tile").sortWithinPartitions("tile", "key").mapInArrow(_compared, "tile string, place int, key string, component string, pairs binary"), "near")
+    full = near.join(bodies, "key").select("tile", "place", "key", "component", "pairs", "h")
+    out = durable(full.repartition("tile").sortWithinPartitions("tile", "place").mapInArrow(_linked, "a string, b string").distinct(), "rest")
+    forget(near)
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +415,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     buckets = durable(shared_buckets(nodes), "buckets")
     bodies = durable(bodies_of(docs, buckets, text), "bodies")
     stars = durable(verified_links(bodies, star_links(nodes, buckets)).select("a", "b"), "stars")
-    # What the stars join needs no further comparison; the rest of each bucket is compared in chunks.
-    rest = durable(verified_links(bodies, chunk_links(nodes, buckets, components(stars))).select("a", "b"), "rest")
+    # What the stars join needs no further comparison; the rest of each bucket is compared in tiles.
+    rest = tile_pairs_linked(nodes, bodies, buckets, components(stars))
     for table in (nodes, buckets, bodies):
         forget(table)
     linked = components(stars.union(rest))

@@ -131,6 +131,30 @@ def test_classes_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == group
 
 
+def test_classes_in_a_large_bucket_against_brute_force(spark):
+    # All share a passage that makes them 0.74 alike; every fourth of them has a copy that is 0.81 like it.
+    shared = prose(0, 120)
+    texts = [f"{shared} {prose(10_000 + i, 20)}" for i in range(1200)]
+    texts += [" ".join(t.split()[:126]) + f" {prose(90_000 + i, 14)}" for i, t in enumerate(texts[::4])]
+    nodes = near_duplicates.signatures(table(spark, texts))
+    largest = near_duplicates.shared_buckets(nodes).agg({"n": "max"}).first()[0]
+    assert largest > 1000
+    got = {r.doc_id: r["_class_id"] for r in near_duplicates.classify(table(spark, texts)).collect()}
+    shingles = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    names = {s: k for k, s in enumerate({s for c in shingles for s in c})}
+    assert max(max(c.values()) for c in shingles) == 1
+    has = np.zeros((len(texts), len(names)), np.float32)
+    for i, c in enumerate(shingles):
+        has[i, [names[s] for s in c]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    similar = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-3
+    group = np.arange(len(texts))
+    while (lower := np.where(similar, group[None, :], len(texts)).min(axis=1)).tolist() != group.tolist():
+        group = lower
+    assert len(set(group.tolist())) < len(texts)
+    assert [got[i] for i in range(len(texts))] == group.tolist()
+
+
 def test_keep_one_with_null_and_repeated_ids(spark):
     texts, ids = [prose(1, 50), prose(1, 50), prose(2, 50), prose(2, 50), prose(3, 50)], [None, 7, 4, 4, None]
     kept = near_duplicates.keep_one(table(spark, texts, ids))
