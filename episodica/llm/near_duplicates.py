@@ -36,10 +36,8 @@ ROWS = 6
 COORDINATES = BANDS * ROWS
 #: Nodes of a bucket in one block; a tile compares two blocks, and the tiles of a bucket cover all its pairs.
 BLOCK = 256
-#: Estimates from which a link is proposed, three standard deviations below the threshold, and from which it joins
-#: trees while a tile's forest grows, two above.
+#: Estimates from which a pair is verified, three standard deviations below the threshold.
 LIKELY = THRESHOLD - 3 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
-SURE = THRESHOLD + 2 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 #: Words that are hashed in one numpy step.
 STEP_WORDS = 400_000
 
@@ -213,7 +211,7 @@ def likely_pairs(sketches: np.ndarray, bands: np.ndarray, trees: np.ndarray, blo
 
 
 def tile_links(i: np.ndarray, j: np.ndarray, similar: np.ndarray, trees: list[int], holds) -> list[tuple[int, int]]:
-    """Links between different trees, likeliest first, that ``holds`` confirms; a sure link joins its trees."""
+    """Links between different trees, likeliest first, that ``holds`` confirms; only these join trees."""
     tree, out = list(trees), []
     for x, y, s in zip(i.tolist(), j.tolist(), similar.tolist(), strict=True):
         a, b = _root(tree, x), _root(tree, y)

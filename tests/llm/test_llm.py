@@ -155,6 +155,14 @@ def test_classes_in_a_large_bucket_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == group.tolist()
 
 
+def test_a_link_that_fails_joins_nothing():
+    # A-B is 0.79 but estimated 0.86, A-C 0.86, C-B 0.81: C-B is tried though A-B and A-C came first.
+    exact = {(0, 1): 0.79, (0, 2): 0.86, (1, 2): 0.81}
+    i, j, similar = np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([0.862, 0.861, 0.81])
+    links = near_duplicates.tile_links(i, j, similar, [0, 1, 2], lambda x, y: exact[x, y] >= near_duplicates.THRESHOLD)
+    assert links == [(0, 2), (1, 2)]
+
+
 def test_keep_one_with_null_and_repeated_ids(spark):
     texts, ids = [prose(1, 50), prose(1, 50), prose(2, 50), prose(2, 50), prose(3, 50)], [None, 7, 4, 4, None]
     kept = near_duplicates.keep_one(table(spark, texts, ids))
