@@ -1,8 +1,8 @@
 """Scores of whole texts by a word unigram and by a causal self-attention model over subword ids, trained in numpy.
 
 The corpus gives counts of all training words (a table that grows with it), from them the counts of all subwords, and
-one window of every training text on which each task trains the network from the same start; the tasks' parameters
-are averaged by their windows.  The network attends over the last one to two segments of subwords and predicts the
+the consecutive windows of every whole training text, on all of which each task trains the network from the same start,
+going on from batch to batch; the tasks' parameters are averaged by their windows.  The network attends over the last one to two segments of subwords and predicts the
 class of the next subword; within its class a subword has its share of the corpus counts, so the product is a proper
 distribution over the vocabulary.
 
@@ -44,6 +44,8 @@ RATE = 5e-3
 BLOCK_BYTES = 6 << 20
 HELD_WORDS = 200_000
 REDUCERS = 16
+#: Windows that a training task holds and goes through EPOCHS times before it reads on.
+HELD_WINDOWS = 8192
 #: Segments that are scored in one numpy step.
 STEP = 256
 
@@ -122,6 +124,16 @@ def train(p: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray) -> di
     return p
 
 
+def windows(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows and target classes of one text's consecutive windows of two segments; each subword is a target once."""
+    size = 2 * SEGMENT
+    n = -(-len(ids) // size)
+    rows, targets = np.full(n * size, ROWS, np.int16), np.full(n * size, -1, np.int16)
+    rows[1 : len(ids)] = ids[:-1] % ROWS
+    targets[: len(ids)] = classes[ids]
+    return rows.reshape(n, size), targets.reshape(n, size)
+
+
 class Scorer:
     """log10 probabilities of subword sequences."""
 
@@ -227,29 +239,33 @@ def vocabulary_classes(size: int, counts: dict[int, int]) -> tuple[np.ndarray, n
 
 
 def train_distributed(texts: DataFrame, path: str, classes: np.ndarray, end: int) -> dict[str, np.ndarray]:
-    """The average of the networks that the tasks train, each on one window of every text it has."""
+    """The average by windows of the networks that the tasks train, each on all windows of all texts it has."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
-    size = 2 * SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total, n = _pieces(path), None, 0
+        of, p, n, held, rows, targets = _pieces(path), start_parameters(), 0, 0, [], []
+
+        def learn() -> None:
+            """The network goes on from where the windows before have left it."""
+            train(p, np.concatenate(rows), np.concatenate(targets))
+            rows.clear()
+            targets.clear()
+
         for batch in batches:
-            rows, targets = [], []
             for text in batch.column(0).to_pylist():
-                words = tokens_of(text)
-                at = (len(words) * 40503 + len(text or "")) % max(1, len(words) - size // 2)
-                ids = np.frombuffer(b"".join([of(w) for w in words[at : at + size]]), np.uint32).astype(np.int64)
-                ids = np.append(ids, end)[:size] if at + size >= len(words) else ids[:size]
-                row, target = np.full(size, ROWS), np.full(size, -1)
-                row[1 : len(ids)] = ids[:-1] % ROWS
-                target[: len(ids)] = shared.value[ids]
+                ids = np.append(np.frombuffer(b"".join([of(w) for w in tokens_of(text)]), np.uint32).astype(np.int64), end)
+                row, target = windows(ids, shared.value)
                 rows.append(row)
                 targets.append(target)
-            if rows:
-                part = pack(train(start_parameters(), np.stack(rows), np.stack(targets))) * np.float32(len(rows))
-                total, n = part if total is None else total + part, n + len(rows)
+                held += len(row)
+                if held >= HELD_WINDOWS:
+                    learn()
+                    n, held = n + held, 0
+        if held:
+            learn()
+            n += held
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([(pack(p) * np.float32(n)).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0

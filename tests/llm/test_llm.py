@@ -360,6 +360,24 @@ def test_language_model_scores(spark):
     assert got[6].score == got[7].score and language_model.score(table(spark, []), path).count() == 0
 
 
+def test_training_reads_every_subword(spark):
+    path = vocabulary_path("word_bpe_49k.json")
+    own = bpe.coder(path)
+    end = own.vocabulary["<|endoftext|>"]
+    classes, _ = language_model.vocabulary_classes(max(own.tokens) + 1, {})
+    of, texts = language_model._pieces(path), [prose(1, 3000), None, prose(2, 64), prose(3, 900)]
+    p, rows, targets = language_model.start_parameters(), [], []
+    for text in texts:
+        ids = np.append(np.frombuffer(b"".join(map(of, language_model.tokens_of(text))), np.uint32).astype(np.int64), end)
+        row, target = language_model.windows(ids, classes)
+        assert target[target >= 0].tolist() == classes[ids].tolist() and row[target >= 0].tolist() == [language_model.ROWS, *(ids[:-1] % language_model.ROWS)]
+        rows.append(row)
+        targets.append(target)
+    p = language_model.train(p, np.concatenate(rows), np.concatenate(targets))
+    got = language_model.train_distributed(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), path, classes, end)
+    assert np.allclose(language_model.pack(got), language_model.pack(p), atol=1e-4)
+
+
 def test_attention_scores_each_subword_once_and_sums_to_one():
     rng = np.random.default_rng(0)
     p = language_model.start_parameters()
