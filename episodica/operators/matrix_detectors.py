@@ -213,10 +213,26 @@ def run_metrics(rows: DataFrame, runs: list[str], kind: str) -> DataFrame:
 
 def leave_one_out(rows: DataFrame, runs: list[str], name: str = "TargetOnly") -> DataFrame:
     """Conformity score of each commissioning episode from a fit without it."""
-    targets = rows.where("role = 'target'")
-    held = targets.select(*runs, F.col("episode").alias("held"))
-    split = rows.where("role <> 'query'").join(held, runs).withColumn("role", F.when((F.col("role") == "target") & (F.col("episode") == F.col("held")), "query").otherwise(F.col("role")))
-    return run_scores(split, [*runs, "held"], [name]).drop("held")
+    schema = ", ".join([f"{k} {t}" for k, t in rows.select(*runs).dtypes] + ["detector string", f"episode {dict(rows.dtypes)['episode']}", "score double"])
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        m = _matrices(part)
+        ids = part[part["role"] == "target"].sort_values("episode", kind="stable")["episode"].to_numpy()
+        if not {"source", "target"} <= m.keys() or len(ids) < 2:
+            return pd.DataFrame(columns=[*runs, "detector", "episode", "score"])
+        t = m["target"]
+        scores = [SCORERS[name](m["source"], np.delete(t, i, axis=0), t[i : i + 1])[0] for i in range(len(t))]
+        return pd.DataFrame({**dict(zip(runs, key, strict=True)), "detector": name, "episode": ids, "score": scores})
+
+    return rows.where("role <> 'query'").groupBy(*runs).applyInPandas(fit, schema)
+
+
+def batched(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``batch``: about ``size`` query episodes in each, and the other roles' rows in every one."""
+    queries = rows.where("role = 'query'").select("episode").distinct().count()
+    n = max(1, -(-queries // size))
+    fixed = rows.where("role <> 'query'").withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return fixed.unionByName(rows.where("role = 'query'").withColumn("batch", F.pmod(F.xxhash64("episode"), F.lit(n)).cast("int")))
 
 
 def aligned_phase_scores(telemetry: DataFrame, runs: list[str], bins: int = 128, radius: int = 2, k: int = 10) -> DataFrame:

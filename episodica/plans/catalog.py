@@ -554,23 +554,32 @@ def m19_knn_scores(spark, sf_dir):
 
 # -- detectors over matrices (no SQL: checked against numpy in the tests) ---------------------------------------------
 
+#: The reference's commissioning sizes, and queries that are scored in one group.
+COMMISSIONING = (10, 25, 50, 100)
+QUERIES = 2048
+
 
 def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as episodes: label 0 healthy, odd ids the source; three commissioning sizes of the target."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("episode"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("v"), "label")
+    """Embeddings as episodes: label 0 healthy, odd ids the source; every other label is a query.
+
+    The target's commissioning sizes are those of COMMISSIONING that it has, beside all of it.
+    """
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("episode"), F.col("embedding").cast("array<double>").alias("v"), "label")
     healthy = e.where("label = 0")
     order = F.row_number().over(Window.orderBy(C.seeded_order(F.col("episode"), F.lit(1)), "episode"))
     target = healthy.where("episode % 2 = 0").withColumn("place", order)
-    sizes = F.explode(F.array(F.lit(8), F.lit(12), F.lit(16))).alias("n")
+    whole = target.count()
+    sizes = F.explode(F.array(*[F.lit(n) for n in sorted({whole, *(n for n in COMMISSIONING if n <= whole)})])).alias("n")
     source = healthy.where("episode % 2 = 1").select(sizes, F.lit("source").alias("role"), "episode", "v")
     fit = target.select(sizes, "place", "episode", "v").where("place <= n").select("n", F.lit("target").alias("role"), "episode", "v")
-    queries = e.where("label > 0 and episode % 5 = 0").select(sizes, F.lit("query").alias("role"), "episode", "v")
+    queries = e.where("label > 0").select(sizes, F.lit("query").alias("role"), "episode", "v")
     return source.unionByName(fit).unionByName(queries)
 
 
 @query()
 def m_matrix_detectors(spark, sf_dir):
-    return matrix_detectors.run_scores(matrix_rows(spark, sf_dir), ["n"], list(matrix_detectors.SCORERS))
+    rows = matrix_detectors.batched(matrix_rows(spark, sf_dir), QUERIES)
+    return matrix_detectors.run_scores(rows, ["n", "batch"], list(matrix_detectors.SCORERS)).drop("batch")
 
 
 @query()
@@ -580,17 +589,17 @@ def m6_leave_one_out(spark, sf_dir):
 
 @query()
 def m17_transfer_metrics(spark, sf_dir):
-    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir), ["n"], "transfer")
+    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "transfer")
 
 
 @query()
 def m16_covariance_distances(spark, sf_dir):
-    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir), ["n"], "covariance")
+    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "covariance")
 
 
 @query()
 def st29_conditioning(spark, sf_dir):
-    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir), ["n"], "conditioning")
+    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "conditioning")
 
 
 @query()

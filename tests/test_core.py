@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from episodica.functions import columns as C
 from episodica.functions import linalg as L
 from episodica.operators import conformal, distribution, features, guards, matrix_detectors, membership, roc
+from episodica.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -133,6 +134,34 @@ def test_every_detector_ranks_an_outlier_first(name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_matrix_queries_use_whole_vectors_and_every_query(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(0, 1, 24) + np.arange(24) * (i % 3 > 0) for i in range(90)}
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    vectors = {i: v.astype(np.float32).astype(float) for i, v in vectors.items()}
+    members = {}
+    for r in catalog.matrix_rows(spark, str(tmp_path)).collect():
+        assert np.array_equal(r.v, vectors[r.episode])
+        members.setdefault((r.n, r.role), []).append(r.episode)
+    queries = [i for i in vectors if i % 3]
+    assert {n for n, _ in members} == {10, 15} and all(sorted(members[n, "query"]) == queries and len(members[n, "target"]) == n for n in (10, 15))
+    assert sorted(members[15, "target"]) == [i for i in vectors if i % 6 == 0] and sorted(members[15, "source"]) == [i for i in vectors if i % 6 == 3]
+    of = lambda n, role: np.array([vectors[i] for i in sorted(members[n, role])])
+    got = {(r.n, r.detector, r.episode): r.score for r in catalog.m_matrix_detectors(spark, str(tmp_path)).collect()}
+    for n in (10, 15):
+        for name, scorer in matrix_detectors.SCORERS.items():
+            assert np.allclose([got.pop((n, name, i)) for i in queries], scorer(of(n, "source"), of(n, "target"), of(n, "query")), rtol=1e-6)
+    assert not got
+    left = {(r.n, r.episode): r.score for r in catalog.m6_leave_one_out(spark, str(tmp_path)).collect()}
+    for n in (10, 15):
+        t, ids = of(n, "target"), sorted(members[n, "target"])
+        assert np.allclose([left.pop((n, i)) for i in ids], [matrix_detectors.SCORERS["TargetOnly"](None, np.delete(t, k, axis=0), t[k : k + 1])[0] for k in range(n)], rtol=1e-6)
+    assert not left
+    few = matrix_detectors.batched(catalog.matrix_rows(spark, str(tmp_path)), 7)
+    again = {(r.n, r.episode): r.score for r in matrix_detectors.run_scores(few, ["n", "batch"], ["Pooled"]).collect()}
+    assert np.allclose([again[10, i] for i in queries], matrix_detectors.SCORERS["Pooled"](of(10, "source"), of(10, "target"), of(10, "query")), rtol=1e-6)
+
+
 def test_catalogue_against_duckdb(spark):
     import duckdb
 
