@@ -556,7 +556,7 @@ def m19_knn_scores(spark, sf_dir):
 
 #: The reference's commissioning sizes, and queries that are scored in one group.
 COMMISSIONING = (10, 25, 50, 100)
-QUERIES = 2048
+QUERIES, PHASE_QUERIES = 2048, 256
 
 
 def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -602,9 +602,18 @@ def st29_conditioning(spark, sf_dir):
     return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "conditioning")
 
 
+def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's commissioning members as targets; every calibration, evaluation and anomaly user as query."""
+    run = ["seed", "commissioning_n"]
+    members = study.commissioning(spark, sf_dir).select(*run, "user_id")
+    healthy = study.partitions(spark, sf_dir).where("partition <> 'reservoir'").select("user_id")
+    queries = healthy.unionByName(study.episodes(spark, sf_dir).where("label > 0").select("user_id"))
+    roles = members.withColumn("role", F.lit("target")).unionByName(members.select(*run).distinct().crossJoin(queries).withColumn("role", F.lit("query")))
+    rows = events(spark, sf_dir).join(roles, "user_id")
+    return rows.select(*run, "role", F.col("user_id").alias("episode"), F.col("event_id").alias("at"), F.array("value").alias("v"))
+
+
 @query()
 def m21_phase_aligned_neighbours(spark, sf_dir):
-    roles = study.partitions(spark, sf_dir).where("rank <= 12").select("user_id", F.when(F.col("rank") <= 6, "target").otherwise("query").alias("role"))
-    rows = events(spark, sf_dir).join(roles, "user_id").select(F.lit(0).alias("run"), "role", F.col("user_id").alias("episode"), F.struct("ts", "event_id").alias("order"), F.array("value").alias("v"))
-    timed = rows.select("run", "role", "episode", F.col("order.event_id").alias("at"), "v")
-    return matrix_detectors.aligned_phase_scores(timed, ["run"], bins=32, k=3)
+    rows = matrix_detectors.batched(phase_rows(spark, sf_dir), PHASE_QUERIES)
+    return matrix_detectors.aligned_phase_scores(rows, ["seed", "commissioning_n", "batch"]).drop("batch")

@@ -162,6 +162,26 @@ def test_matrix_queries_use_whole_vectors_and_every_query(spark, tmp_path):
     assert np.allclose([again[10, i] for i in queries], matrix_detectors.SCORERS["Pooled"](of(10, "source"), of(10, "target"), of(10, "query")), rtol=1e-6)
 
 
+def test_phase_neighbours_score_every_query_of_the_study(spark):
+    telemetry = {}
+    for r in catalog.events(spark, DATA).orderBy("event_id").collect():
+        telemetry.setdefault(r.user_id, []).append([r.value])
+    parts = {r.user_id: r.partition for r in catalog.study.partitions(spark, DATA).collect()}
+    queries = {u for u in telemetry if parts.get(u) != "reservoir"}
+    runs = {}
+    for r in catalog.study.commissioning(spark, DATA).collect():
+        runs.setdefault((r.seed, r.commissioning_n), []).append(r.user_id)
+    got = {(r.seed, r.commissioning_n, r.episode): r.score for r in catalog.m21_phase_aligned_neighbours(spark, DATA).collect()}
+    assert len(got) == len(runs) * len(queries) and {u for _, _, u in got} == queries
+    run = min(runs)
+    members, one = sorted(runs[run]), min(queries)
+    every = np.vstack([telemetry[u] for u in members])
+    frame = lambda u: (np.array(telemetry[u], float) - every.mean(axis=0)) / every.std(axis=0)
+    profile = lambda u: (lambda w: np.interp(np.linspace(0, 1, 128), np.linspace(0, 1, len(w)), w[:, 0]))(L.warped(frame(u), frame(members[0]), 2))
+    distances = sorted(np.linalg.norm(profile(u) - profile(one)) for u in members)
+    assert math.isclose(got[*run, one], distances[min(10, len(members)) - 1], rel_tol=1e-9)
+
+
 def test_catalogue_against_duckdb(spark):
     import duckdb
 
