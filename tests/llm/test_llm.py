@@ -344,6 +344,16 @@ def test_ordinal_grades(spark):
     assert none is None and not any(r.kept for r in quality_classifier.classify(docs, none).collect())
 
 
+def test_rare_toxic_words_are_caught(spark):
+    rng = random.Random(6)
+    rows = [(i, 1, int(rng.random() < 0.3)) for i in range(900)]
+    texts = [prose(i, 60) + (f" vile{rng.randrange(20)}" if toxic else "") for i, _, toxic in rows]
+    docs, labels = table(spark, texts), spark.createDataFrame([r for r in rows if r[0] % 3], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality_classifier.classify(docs, quality_classifier.train(docs, labels)).collect()}
+    toxic, clean = ([kept[i] for i, _, t in rows if i % 3 == 0 and t == k] for k in (1, 0))
+    assert sum(toxic) <= 0.2 * len(toxic) and sum(clean) >= 0.9 * len(clean)
+
+
 def test_language_model_scores(spark):
     path = vocabulary_path("word_bpe_49k.json")
     texts = [*HARD, *[prose(i % 7, 60) for i in range(60)]]
