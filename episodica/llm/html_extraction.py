@@ -371,6 +371,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``keep`` of every page with ``main_text``."""
     hosted = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host is not null and html <> ''")
+    # Equal pages of a host have one vote.
+    hosted = hosted.groupBy("host", F.md5("html").alias("h")).agg(F.min("html").alias("html")).select("host", "html")
     best = hosted.groupBy("host").agg(F.min(F.struct(F.md5("html").alias("h"), "html")).alias("r"))
     references = best.select("host", F.col("r.html").alias("reference"))
     counted = hosted.join(references.hint("merge"), "host").mapInArrow(_vote, "host string, node int, equal long, varying long")

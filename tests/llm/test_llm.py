@@ -300,6 +300,15 @@ def test_wrapper_removes_what_a_host_repeats(spark):
     assert (got[6], got[7], got[8], got[9]) == ("T\nOne two three\nfour", "", "", "plain text")
 
 
+def test_copies_of_a_page_vote_once(spark):
+    bodies = [f"<p>{prose(500 + i, 60)}<p>Repeated line of the host.<p>{prose(600 + i, 60)}" for i in range(6)]
+    htmls = [f"<html><body><div><article>{b}</article></div></body></html>" for b in bodies]
+    first = min(htmls, key=lambda h: hashlib.md5(h.encode()).hexdigest())
+    rows = [(i, "http://a.example/x", h) for i, h in enumerate(htmls + [first] * 12)]
+    got = {r.page_id: r.main_text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 18 and not any("Repeated line" in t for t in got.values()) and all(t.split()[0] in WORDS for t in got.values())
+
+
 def test_matching_pairs_the_most_nodes():
     a, b = html_extraction.parse("<div><p>1<p>2<ul><li>x</ul></div>"), html_extraction.parse("<div><ul><li>x</ul><p>1</div>")
     pairs = html_extraction.align(a[0], b[0])
