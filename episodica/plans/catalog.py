@@ -375,6 +375,12 @@ def st1_bootstrap_mean(spark, sf_dir):
     return summaries.bootstrap_mean(runs(spark, sf_dir), ["detector", "commissioning_n"], "recall", 200)
 
 
+@query("WITH " + _BOOT_SQL.replace("range(1, 201)", "range(1, 10001)") + " SELECT detector, CAST(commissioning_n AS BIGINT) AS commissioning_n, CAST(len(v) AS BIGINT) AS n, round(list_sum(v) / len(v), 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM g JOIN boot USING (detector, commissioning_n)")
+def st1_bootstrap_mean_10000(spark, sf_dir):
+    """With the reference's number of replicates."""
+    return summaries.bootstrap_mean(runs(spark, sf_dir), ["detector", "commissioning_n"], "recall", 10_000)
+
+
 @query("WITH " + RUNS_SQL + """, s AS (SELECT detector, commissioning_n, avg(recall) AS r, avg(false_positive_rate) AS f FROM runs GROUP BY ALL)
 SELECT detector, coalesce(CAST(min(CASE WHEN r >= 0.1 AND f <= 0.2 THEN commissioning_n END) AS VARCHAR), concat('Censored (>', max(commissioning_n), ')')) AS n_star FROM s GROUP BY 1""")
 def a14_n_star(spark, sf_dir):

@@ -182,6 +182,16 @@ def test_phase_neighbours_score_every_query_of_the_study(spark):
     assert math.isclose(got[*run, one], distances[min(10, len(members)) - 1], rel_tol=1e-9)
 
 
+def test_bootstrap_has_the_references_replicates(spark):
+    name = "st1_bootstrap_mean_10000"
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    assert "range(1, 10001)" in catalog.oracle_sql()[name]
+    want = con.execute(catalog.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, catalog.queries()[name](spark, DATA).collect())) == sorted(want)
+
+
 def test_catalogue_against_duckdb(spark):
     import duckdb
 
