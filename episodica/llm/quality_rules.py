@@ -48,8 +48,11 @@ def multinomial_counts(texts: DataFrame, text: str) -> DataFrame:
     return counts.where("slot is not null")
 
 
-def slot_weights(raw: DataFrame, target: DataFrame) -> DataFrame:
-    """One row: the log ratio of every slot, in slot order.  It has SLOTS entries whatever the size of the corpus."""
+def slot_weights(raw: DataFrame, target: DataFrame) -> Column:
+    """The log ratio of every slot, in slot order, as a literal: SLOTS numbers whatever the size of the corpus.
+
+    As a column, every row would carry a copy of them.
+    """
     both = (
         raw.sparkSession.range(0, SLOTS, 1, 1)
         .select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("t"))
@@ -59,12 +62,12 @@ def slot_weights(raw: DataFrame, target: DataFrame) -> DataFrame:
         .agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
     )
     table = both.agg(F.array_sort(F.collect_list(F.struct("slot", "r", "t"))).alias("c"), F.sum("r").alias("nr"), F.sum("t").alias("nt"))
-    return table.select(
-        F.transform(
-            "c",
-            lambda c: F.log((c["t"] + SMOOTHING) / (F.col("nt") + SMOOTHING * SLOTS)) - F.log((c["r"] + SMOOTHING) / (F.col("nr") + SMOOTHING * SLOTS)),
-        ).alias("weights")
+    ratios = F.transform(
+        "c",
+        lambda c: F.log((c["t"] + SMOOTHING) / (F.col("nt") + SMOOTHING * SLOTS)) - F.log((c["r"] + SMOOTHING) / (F.col("nr") + SMOOTHING * SLOTS)),
     )
+    # Doubles as text and back are the same doubles; the optimizer folds the split into one array.
+    return F.split(F.lit(table.select(F.array_join(ratios.cast("array<string>"), " ")).first()[0]), " ").cast("array<double>")
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +107,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """``record`` (all columns of ``docs``), the rule counts, ``score``, ``base_failed`` and ``kept``."""
     raw = multinomial_counts(docs, text)
     target = multinomial_counts(trusted_texts(docs, labels, doc_id, text), "text")
-    weights = slot_weights(raw, target).scalar()
+    weights = slot_weights(raw, target)
     clean = text_or_empty(text)
     bare = clean
     for symbol in SYMBOLS:
@@ -129,9 +132,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     pairs = hashed.select(*base, "h", _neighbours(F.col("h"), 1).alias("p"))
     fours = pairs.select(*base, "h", "p", _neighbours(F.col("p"), 2).alias("f"))
     # p: slots of the bigrams, which are the hashes of the pairs; f: hashes of the windows of eight.
-    eights = fours.select(*base, F.transform(F.concat("h", "p"), lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")).alias("s"), _neighbours(F.col("f"), 4).alias("e"), weights.alias("weights"))
+    eights = fours.select(*base, F.transform(F.concat("h", "p"), lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")).alias("s"), _neighbours(F.col("f"), 4).alias("e"))
     repeated = F.when(F.size(F.array_distinct("e")) == F.size("e"), 0).otherwise(covered_words(F.col("e"))).cast("long")
-    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.get(F.col("weights"), x)) / F.nullif(F.size("s"), F.lit(0))
-    scored = eights.select(*base, repeated.alias("n_repeat_words"), mean.alias("score"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.get(weights, x))
+    scored = eights.select(*base, repeated.alias("n_repeat_words"), (total / F.nullif(F.size("s"), F.lit(0))).alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
