@@ -84,6 +84,11 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator: a filter on its columns stays above and copies none of the expressions that make them."""
+    return df.select(F.inline_outer(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def covered_words(windows: Column) -> Column:
     """Words that lie in a window whose hash occurs twice or more in ``windows``, the first occurrence too."""
 
@@ -137,4 +142,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.get(weights, x))
     scored = eights.select(*base, repeated.alias("n_repeat_words"), (total / F.nullif(F.size("s"), F.lit(0))).alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    judged = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    return _held(judged)
