@@ -43,6 +43,11 @@ def robust_z(x: Column, center: Column, mad: Column, floor: float = 1e-12) -> Co
     return F.when(mad > floor, F.lit(MAD_FACTOR) * (x - center) / mad).otherwise(0.0)
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation; null where a side does not vary, which the built-in divides by."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def average_rank(keys: list[str], by: str) -> Column:
     """Mean rank of tied values, as rank correlation and AUROC need it."""
     ordered = Window.partitionBy(*keys).orderBy(by)

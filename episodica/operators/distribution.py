@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, median, robust_z
+from ..functions.columns import correlation, median, robust_z
+from ..functions.lineage import cut
+from .order import average_ranks, cumulated, quantiles
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def quantile_block(scores: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
-    """Count, mean, deviation, quantiles and largest value of each group."""
-    q = scores.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.percentile(value, F.array(*[F.lit(x) for x in QUANTILES])).alias("q"), F.max(value).alias("max"))
-    return q.select(*keys, "n", "mean", "std", *[F.col("q")[i].alias(f"q{round(100 * x):02d}") for i, x in enumerate(QUANTILES)], "max")
+    """Count, mean, deviation, quantiles and largest value of each group, of which there are few and large ones."""
+    moments = scores.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.max(value).alias("max"))
+    q = quantiles(scores, keys, value, {f"q{round(100 * x):02d}": x for x in QUANTILES})
+    return moments.join(q, keys).select(*keys, "n", "mean", "std", *[f"q{round(100 * x):02d}" for x in QUANTILES], "max")
 
 
-def two_sample(rows: DataFrame, keys: list[str], value: str, second: str) -> DataFrame:
+def two_sample(rows: DataFrame, keys: list[str], value: str, second: str, ties: bool = False) -> DataFrame:
     """Kolmogorov-Smirnov distance, Wasserstein distance and Mann-Whitney U of two samples marked by ``second``.
 
+    With ``ties`` also the sum of t^3 - t over the distinct values.
+
     Both distribution functions come from one running count over the pooled, distinct values.
     """
     steps = rows.groupBy(*keys, F.col(value).alias("x")).agg(F.count_if(F.col(second)).alias("b"), F.count_if(~F.col(second)).alias("a"))
@@ -28,12 +35,18 @@ def two_sample(rows: DataFrame, keys: list[str], value: str, second: str) -> Dat
     gap = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
     # U counts the pairs in which the second sample is larger, ties as half.
     u = F.sum(F.col("b") * (F.col("ca") - F.col("a") / 2.0))
-    return run.groupBy(*keys).agg(F.max("na").alias("n_first"), F.max("nb").alias("n_second"), F.max(gap).alias("ks"), F.coalesce(F.sum(gap * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("wasserstein"), u.alias("mann_whitney_u"))
+    size = (F.col("a") + F.col("b")).cast("double")
+    tied = F.sum(size * size * size - size)
+    return run.groupBy(*keys).agg(F.max("na").alias("n_first"), F.max("nb").alias("n_second"), F.max(gap).alias("ks"), F.coalesce(F.sum(gap * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("wasserstein"), u.alias("mann_whitney_u"), *([tied.alias("ties")] if ties else []))
+
 
+def mann_whitney_p(u: Column, n1: Column, n2: Column, ties: Column | float = 0.0) -> Column:
+    """Two-sided p-value by the normal approximation with continuity correction.
 
-def mann_whitney_p(u: Column, n1: Column, n2: Column) -> Column:
-    """Two-sided p-value by the normal approximation with continuity correction, without ties."""
-    z = (F.abs(u - n1 * n2 / 2.0) - 0.5) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)
+    ``ties``: the sum of t^3 - t over the pooled distinct values, each of t rows.
+    """
+    n = (n1 + n2).cast("double")
+    z = (F.abs(u - n1 * n2 / 2.0) - 0.5) / F.sqrt(n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1))))
     return F.least(F.lit(1.0), _erfc(F.greatest(z, F.lit(0.0)) / F.sqrt(F.lit(2.0))))
 
 
@@ -62,10 +75,11 @@ def contingency(rows: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def robust_scores(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows with the robust z of ``value`` in its group: median and MAD by two window aggregates."""
-    group = Window.partitionBy(*keys)
-    centered = rows.withColumn("center", median(value).over(group)).withColumn("deviation", F.abs(F.col(value) - F.col("center")))
-    return centered.withColumn("mad", median("deviation").over(group)).withColumn("robust_z", robust_z(F.col(value), F.col("center"), F.col("mad"))).drop("deviation")
+    """Rows with the robust z of ``value`` in its group; the two medians come from counts of values, not from windows."""
+    center = quantiles(rows, keys, value, {"center": 0.5})
+    centered = rows.join(center, keys).withColumn("deviation", F.abs(F.col(value) - F.col("center")))
+    mad = quantiles(centered, keys, "deviation", {"mad": 0.5})
+    return centered.join(mad, keys).withColumn("robust_z", robust_z(F.col(value), F.col("center"), F.col("mad"))).select(*rows.columns, "center", "mad", "robust_z")
 
 
 def effect_sizes(features: DataFrame, keys: list[str], value: str, anomaly: str) -> DataFrame:
@@ -80,19 +94,74 @@ def effect_sizes(features: DataFrame, keys: list[str], value: str, anomaly: str)
 
 def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman correlation; null under three rows or without variation."""
-    ranked = rows.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), average_rank(keys, x).alias("rx"), average_rank(keys, y).alias("ry"))
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("dx"), F.count_distinct("y").alias("dy"), F.corr("x", "y").alias("p"), F.corr("rx", "ry").alias("s"))
-    known = (F.col("n") >= 3) & (F.col("dx") >= 2) & (F.col("dy") >= 2)
+    both = rows.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
+    ranked = average_ranks(average_ranks(both, keys, "x", "rx"), keys, "y", "ry")
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), correlation("x", "y").alias("p"), correlation("rx", "ry").alias("s"))
+    known = (F.col("n") >= 3) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
     return out.select(*keys, "n", F.when(known, F.col("p")).alias("pearson"), F.when(known, F.col("s")).alias("spearman"))
 
 
-def kendall(rows: DataFrame, keys: list[str], entity: str, x: str, y: str) -> DataFrame:
-    """Kendall's tau-a and the discordant pairs of small groups (one row for each evaluated episode)."""
-    left = rows.select(*keys, F.col(entity).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
-    right = rows.select(*keys, F.col(entity).alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"))
-    sign = F.signum((F.col("xi") - F.col("xj")) * (F.col("yi") - F.col("yj")))
-    pairs = left.join(right, keys).where("i < j").select(*keys, sign.alias("s"))
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), (F.sum("s") / F.count(F.lit(1))).alias("tau"), F.count_if(F.col("s") < 0).alias("discordant"))
+def kendall(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Kendall's tau-a, the number of pairs and the discordant ones.
+
+    Ranges of x and of y (by counts, see :mod:`order`) make a grid.  Pairs in different ranges of both are counted from
+    the grid's cells; the others share a range of x, or else one of y, and are counted inside it by merge sort.
+    """
+    plain = cut(rows.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"))
+    placed = plain
+    for c in ("x", "y"):
+        rank = cumulated(plain, keys, c).select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("value_at").alias("of_x"), F.floor(F.col("rows_below") * GRID / F.col("rows_in_group")).cast("int").alias(f"{c}_range"))
+        placed = placed.join(rank, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys] + [F.col(c) == F.col("of_x")]).drop("of_x", *[f"of_{k}" for k in keys])
+    placed = cut(placed)
+    kinds = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
+
+    def inside(by: str, other: str):
+        def count(key: tuple, part: pa.Table) -> pa.Table:
+            agree, differ = concordance(part.column(by).to_numpy().astype(float), part.column(other).to_numpy().astype(float))
+            return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=False)}, "agree": [agree], "differ": [differ]})
+
+        return count
+
+    schema = f"{kinds}, agree long, differ long"
+    same_x = placed.groupBy(*keys, "x_range").applyInArrow(inside("x", "y"), schema)
+    # By the ranges of x, pairs of one range of x are ties here and not counted again.
+    same_y = placed.groupBy(*keys, "y_range").applyInArrow(inside("x_range", "y"), schema)
+    cells = placed.groupBy(*keys, "x_range", "y_range").agg(F.count(F.lit(1)).alias("n"))
+    right = cells.select(*keys, F.col("x_range").alias("i"), F.col("y_range").alias("j"), F.col("n").alias("m"))
+    apart = cells.join(right, keys).where("x_range < i and y_range <> j").select(*keys, F.when(F.col("y_range") < F.col("j"), F.col("n") * F.col("m")).otherwise(0).alias("agree"), F.when(F.col("y_range") > F.col("j"), F.col("n") * F.col("m")).otherwise(0).alias("differ"))
+    sums = same_x.unionByName(same_y).unionByName(apart).groupBy(*keys).agg(F.sum("agree").alias("agree"), F.sum("differ").alias("differ"))
+    sizes = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", F.expr("n * (n - 1) div 2"))
+    return sizes.join(sums, keys, "left").where("pairs > 0").select(*keys, "pairs", ((F.col("agree") - F.col("differ")) / F.col("pairs")).alias("tau"), F.col("differ").alias("discordant"))
+
+
+#: Ranges of each variable in the grid of :func:`kendall`; a group's cells are at most its square.
+GRID = 16
+
+
+def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Concordant and discordant pairs; ties in either are neither.  Inversions by merging sorted halves in numpy."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+
+    def tied(*columns: np.ndarray) -> int:
+        n = np.unique(np.stack(columns), axis=1, return_counts=True)[1]
+        return int((n * (n - 1) // 2).sum())
+
+    rank = np.unique(y, return_inverse=True)[1]
+    inversions, size, n = 0, 1, len(rank)
+    top = int(rank.max(initial=0)) + 1
+    while size < n:
+        # Pairs of neighbouring sorted runs, all at once: the key puts each pair of runs apart from the next.
+        pair = np.arange(n) // (2 * size)
+        left = (np.arange(n) // size) % 2 == 0
+        keyed = pair * top + rank
+        ends = np.searchsorted(keyed[left], (pair + 1)[~left] * top)
+        inversions += int((ends - np.searchsorted(keyed[left], keyed[~left], "right")).sum())
+        rank = rank[np.argsort(keyed, kind="stable")]
+        size *= 2
+    whole = n * (n - 1) // 2
+    # Sorted by x and then y, pairs tied in x are never inverted.
+    return whole - tied(x) - tied(y) + tied(x, y) - inversions, inversions
 
 
 def linear_agreement(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

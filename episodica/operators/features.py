@@ -97,6 +97,26 @@ def sessions(events: DataFrame, keys: list[str], order: list[str], time: str, la
     return numbered.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"), F.count_distinct(label).alias("labels"))
 
 
+def session_labels(events: DataFrame, keys: list[str], order: list[str], time: str, label: str, labels: list[str]) -> DataFrame:
+    """The segments of :func:`sessions` with the number of rows of each label as columns."""
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    marked = events.withColumn("reset", F.when(F.col(time) < F.lag(time).over(ordered), 1).otherwise(0))
+    numbered = marked.withColumn("segment", F.sum("reset").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*keys, "segment").agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(label) == x).alias(x) for x in labels])
+
+
+def label_lengths(telemetry: DataFrame, episode: str, label: str) -> DataFrame:
+    """Episodes, rows and lengths of each label, a null label being one of its own."""
+    n = telemetry.groupBy(episode, label).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(label).agg(F.count(F.lit(1)).alias("episodes"), F.sum("n").alias("n_rows"), F.min("n").alias("shortest"), F.percentile("n", 0.5).alias("median"), F.avg("n").alias("mean"), F.max("n").alias("longest"))
+
+
+def metadata_audit(table: DataFrame, episode: str, columns: list[str]) -> DataFrame:
+    """One row: rows, different episodes, repeated ones, and missing values of each column."""
+    one = table.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(episode).alias("episodes"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in columns])
+    return one.withColumn("duplicates", F.col("n_rows") - F.col("episodes"))
+
+
 def phase_resampled(telemetry: DataFrame, episode: str, order: list[str], signal: str, bins: int) -> DataFrame:
     """The signal at ``bins`` evenly spaced phases of each episode, linear between rows."""
     by_time = Window.partitionBy(episode).orderBy(*order)

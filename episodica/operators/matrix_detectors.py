@@ -124,13 +124,25 @@ register_detector("Principal95", _principal(0.95))
 register_detector("Principal99", _principal(0.99))
 
 
-@register_detector("BoundedWhitening")
-def _bounded(s: np.ndarray, t: np.ndarray, q: np.ndarray, clip: float = 3.0) -> np.ndarray:
-    center, scale = np.median(t, axis=0), 1.4826 * np.median(np.abs(t - np.median(t, axis=0)), axis=0)
-    use = scale > 1e-12
-    z = lambda x: np.clip((x[:, use] - center[use]) / scale[use], -clip, clip)
-    mean, cov, _ = L.shrunk_covariance(z(t))
-    return np.linalg.norm(np.clip((z(q) - mean) @ L.power(L.floored(cov), lambda w: w**-0.5), -clip, clip), axis=1)
+def _bounded(clip: float, whiten: bool = True) -> Scorer:
+    """Norm of robust z, clipped, whitened by the target's shrunk covariance and clipped again."""
+
+    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
+        center, scale = np.median(t, axis=0), 1.4826 * np.median(np.abs(t - np.median(t, axis=0)), axis=0)
+        use = scale > 1e-12
+        z = lambda x: np.clip((x[:, use] - center[use]) / scale[use], -clip, clip)
+        if not whiten:
+            return np.linalg.norm(z(q), axis=1)
+        mean, cov, _ = L.shrunk_covariance(z(t))
+        return np.linalg.norm(np.clip((z(q) - mean) @ L.power(L.floored(cov), lambda w: w**-0.5), -clip, clip), axis=1)
+
+    return score
+
+
+for _clip in (2.5, 3.0, 4.0):
+    _suffix = "" if _clip == 3.0 else f"{_clip:g}".replace(".", "_")
+    register_detector(f"BoundedWhitening{_suffix}", _bounded(_clip))
+    register_detector(f"BoundedDiagonal{_suffix}", _bounded(_clip, whiten=False))
 
 
 @register_detector("NearestNeighbours")
@@ -140,7 +152,7 @@ def _neighbours(s: np.ndarray, t: np.ndarray, q: np.ndarray, k: int = 10) -> np.
     return np.sort(d, axis=1)[:, min(k, len(t)) - 1]
 
 
-register_detector("IsolationForest", lambda s, t, q: L.isolation_scores(t, q, 100, 42))
+register_detector("IsolationForest", lambda s, t, q: L.isolation_scores(t, q, 500, 42))
 
 
 def _aligned(mode: str, modes: int = 16, strength: float = 0.25, beta: float = 0.5) -> Scorer:
@@ -196,11 +208,12 @@ def run_scores(rows: DataFrame, runs: list[str], names: list[str]) -> DataFrame:
 
 
 def run_metrics(rows: DataFrame, runs: list[str], kind: str) -> DataFrame:
-    """``metric``, ``value`` for each run: ``transfer``, ``covariance`` or ``conditioning`` (of the target)."""
+    """``metric``, ``value`` for each run: ``transfer``, ``covariance``, ``risk`` or ``conditioning`` (of the target)."""
     of = {
         "transfer": lambda m: L.transfer_metrics(m["source"], m["target"]),
         "covariance": lambda m: L.covariance_distances(L.floored(L.shrunk_covariance(m["source"])[1]), L.floored(L.shrunk_covariance(m["target"])[1])),
         "conditioning": lambda m: L.conditioning(m["target"]),
+        "risk": lambda m: L.risk_index(m["source"], m["target"]),
     }[kind]
     schema = ", ".join([f"{k} {t}" for k, t in rows.select(*runs).dtypes] + ["metric string", "value double"])
 
@@ -227,6 +240,55 @@ def leave_one_out(rows: DataFrame, runs: list[str], name: str = "TargetOnly") ->
     return rows.where("role <> 'query'").groupBy(*runs).applyInPandas(fit, schema)
 
 
+def strongest_contributions(rows: DataFrame, runs: list[str], most: int) -> DataFrame:
+    """The ``most`` features with the largest parts of each query's squared distance from the target, and the distance."""
+    schema = ", ".join([f"{k} {t}" for k, t in rows.select(*runs).dtypes] + [f"episode {dict(rows.dtypes)['episode']}", "place int, feature int, contribution double, squared double"])
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        m = _matrices(part)
+        if not {"target", "query"} <= m.keys():
+            return pd.DataFrame(columns=[*runs, "episode", "place", "feature", "contribution", "squared"])
+        ids = part[part["role"] == "query"].sort_values("episode", kind="stable")["episode"].to_numpy()
+        t, q = standardized(m["target"], m["query"])
+        used = np.flatnonzero(m["target"].var(axis=0) > 1e-12)
+        mean, cov, _ = L.shrunk_covariance(t)
+        parts = L.contributions(q, mean, np.linalg.pinv(cov, hermitian=True))
+        top = np.argsort(-parts, axis=1, kind="stable")[:, :most]
+        k = top.shape[1]
+        return pd.DataFrame({
+            **dict(zip(runs, key, strict=True)), "episode": np.repeat(ids, k), "place": np.tile(np.arange(1, k + 1), len(ids)), "feature": used[top].ravel(),
+            "contribution": np.take_along_axis(parts, top, axis=1).ravel(), "squared": np.repeat(parts.sum(axis=1), k),
+        })
+
+    return rows.where("role <> 'source'").groupBy(*runs).applyInPandas(fit, schema)
+
+
+def healthy_contexts(rows: DataFrame, runs: list[str], k: int) -> DataFrame:
+    """``context`` of each target episode: k-means over the run's standardized healthy rows, largest cluster first."""
+    schema = ", ".join([f"{c} {t}" for c, t in rows.select(*runs).dtypes] + [f"episode {dict(rows.dtypes)['episode']}", "context int"])
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("episode", kind="stable")
+        x = np.array(part["v"].tolist(), float)
+        labels, _ = L.clusters(standardized(x)[0], k)
+        return pd.DataFrame({**dict(zip(runs, key, strict=True)), "episode": part["episode"].to_numpy(), "context": labels})
+
+    return rows.where("role = 'target'").groupBy(*runs).applyInPandas(fit, schema)
+
+
+def stable_graph(rows: DataFrame, runs: list[str], penalties: tuple[float, ...]) -> DataFrame:
+    """``a`` < ``b``, ``stability`` and ``penalty`` of the edges that each run's healthy rows hold under resampling."""
+    schema = ", ".join([f"{c} {t}" for c, t in rows.select(*runs).dtypes] + ["a int, b int, stability double, penalty double"])
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = standardized(np.array(part.sort_values("episode", kind="stable")["v"].tolist(), float))[0]
+        penalty, often = L.stable_edges(x, penalties)
+        a, b = np.nonzero(np.triu(often, 1))
+        return pd.DataFrame({**dict(zip(runs, key, strict=True)), "a": a, "b": b, "stability": often[a, b], "penalty": penalty})
+
+    return rows.where("role = 'target'").groupBy(*runs).applyInPandas(fit, schema)
+
+
 def batched(rows: DataFrame, size: int) -> DataFrame:
     """``rows`` with ``batch``: about ``size`` query episodes in each, and the other roles' rows in every one."""
     queries = rows.where("role = 'query'").select("episode").distinct().count()

@@ -10,12 +10,26 @@ from pyspark.sql import functions as F
 from ..functions.columns import seeded_order
 
 
+#: Hexadecimal digits of the order's hash that name a range: 4096 ranges, whatever the number of entities.
+RANGE_DIGITS = 3
+
+
+def seeded_rank(entities: DataFrame, entity: str, seed: int) -> DataFrame:
+    """``entity``, its ``rank`` from 1 in the seed's order, and ``n`` entities.
+
+    The hash is uniform, so its first digits cut the order into even ranges, each a window of its own.
+    """
+    hashed = entities.select(entity, seeded_order(F.col(entity), F.lit(seed)).alias("h")).withColumn("range", F.substring("h", 1, RANGE_DIGITS))
+    counts = hashed.groupBy(F.col("range").alias("of")).agg(F.count(F.lit(1)).alias("c"))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("of", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", entity))
+    return hashed.withColumn("inside", inside).join(F.broadcast(starts), F.col("range") == F.col("of")).select(entity, (F.col("start") + F.col("inside")).alias("rank"), "n")
+
+
 def fixed_partitions(episodes: DataFrame, entity: str, calibration_share: float, evaluation_share: float, seed: int = 42) -> DataFrame:
     """``partition`` calibration, evaluation or reservoir by the rank under the master seed."""
-    # The order needs every id of the stratum once: two columns of the episode table, not of the telemetry.
-    ordered = Window.orderBy(seeded_order(F.col(entity), F.lit(seed)), entity)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = episodes.select(entity, F.row_number().over(ordered).alias("rank"), n.alias("n"))
+    ranked = seeded_rank(episodes, entity, seed)
     first = F.floor(F.col("n") * F.lit(calibration_share))
     second = first + F.floor(F.col("n") * F.lit(evaluation_share))
     return ranked.select(entity, "rank", F.when(F.col("rank") <= first, "calibration").when(F.col("rank") <= second, "evaluation").otherwise("reservoir").alias("partition"))
@@ -25,6 +39,8 @@ def nested_commissioning(reservoir: DataFrame, entity: str, seeds: Sequence[int]
     """``seed``, ``commissioning_n``, ``selection_rank``: for each seed one order, for each size its prefix."""
     seeded = reservoir.select(entity).crossJoin(_column(reservoir, "seed", seeds))
     ranked = seeded.withColumn("selection_rank", F.row_number().over(Window.partitionBy("seed").orderBy(seeded_order(F.col(entity), F.col("seed")), entity)))
+    # Only the largest prefix of each seed's order is needed, which the window cuts before it shuffles.
+    ranked = ranked.where(F.col("selection_rank") <= max(sizes))
     return ranked.withColumn("commissioning_n", F.explode(F.array(*[F.lit(s) for s in sizes]))).where("selection_rank <= commissioning_n").select("seed", "commissioning_n", "selection_rank", entity)
 
 
@@ -42,9 +58,9 @@ def budget_split(pool: DataFrame, entity: str, seeds: Sequence[int], allocations
 
 
 def kfold(df: DataFrame, entity: str, folds: int, seed: int) -> DataFrame:
-    """``fold`` of each row: places in the seeded order, dealt in turn."""
-    place = F.row_number().over(Window.orderBy(seeded_order(F.col(entity), F.lit(seed)), entity)) - 1
-    return df.withColumn("fold", (place % folds).cast("int"))
+    """``fold`` of each row: places in the seeded order of its entities, dealt in turn."""
+    places = seeded_rank(df.select(entity).distinct(), entity, seed).select(F.col(entity).alias("folded"), F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int").alias("fold"))
+    return df.join(places, F.col(entity).eqNullSafe(F.col("folded"))).drop("folded")
 
 
 def remaining_runs(grid: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,3 +72,45 @@ def set_hash(members: DataFrame, keys: list[str], entity: str) -> DataFrame:
     """SHA-256 of each group's ids in ascending order, so equal sets hash alike whatever their row order."""
     ids = F.array_sort(F.collect_list(F.col(entity)))
     return members.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), "\n"), 256).alias("members_sha256"), F.count(F.lit(1)).alias("members"))
+
+
+def _orders(entities: DataFrame, entity: str, seeds: Sequence[int], most: int | None) -> DataFrame:
+    """``seed``, ``entity``, ``rank`` in each seed's order, up to ``most``."""
+    seeded = entities.select(entity).crossJoin(_column(entities, "seed", seeds))
+    ranked = seeded.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(seeded_order(F.col(entity), F.col("seed")), entity)))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
+
+
+def legacy_split(healthy: DataFrame, entity: str, seeds: Sequence[int], size: int, pool: int, calibration: int, evaluation: int) -> DataFrame:
+    """One order of all healthy entities for each seed: commissioning from a pool, then calibration, then evaluation."""
+    if not 0 < size <= pool or calibration <= 0 or evaluation <= 0:
+        raise ValueError("sizes must be positive, and the commissioning size within its pool")
+    ranked = _orders(healthy, entity, seeds, pool + calibration + evaluation)
+    r = F.col("rank")
+    return ranked.select("seed", entity, "rank", F.when(r <= size, "commissioning").when(r <= pool, "pool").when(r <= pool + calibration, "calibration").otherwise("evaluation").alias("partition"))
+
+
+def extended_calibration(healthy: DataFrame, entity: str, seeds: Sequence[int], pool: int, calibration: int, evaluation: int) -> DataFrame:
+    """``place`` of each calibration member: those of the legacy split first, then all that it leaves unused."""
+    used = pool + calibration + evaluation
+    ranked = _orders(healthy, entity, seeds, None).where((F.col("rank") > pool) & ((F.col("rank") <= pool + calibration) | (F.col("rank") > used)))
+    return ranked.select("seed", entity, (F.when(F.col("rank") > used, F.col("rank") - evaluation).otherwise(F.col("rank")) - pool).alias("place"))
+
+
+def frozen_split(healthy: DataFrame, entity: str, seeds: Sequence[int], most: int, calibration: int, evaluation: int, evaluation_seed: int = 42) -> DataFrame:
+    """Calibration and evaluation fixed by one seed (``seed`` null); each seed orders what remains for commissioning."""
+    if min(most, calibration, evaluation) <= 0:
+        raise ValueError("sizes must be positive")
+    ranked = seeded_rank(healthy, entity, evaluation_seed)
+    fixed = ranked.where(F.col("rank") <= calibration + evaluation)
+    named = fixed.select(F.lit(None).cast("int").alias("seed"), entity, "rank", F.when(F.col("rank") <= calibration, "calibration").otherwise("evaluation").alias("partition"))
+    rest = _orders(ranked.where(F.col("rank") > calibration + evaluation), entity, seeds, most)
+    return named.unionByName(rest.select("seed", entity, "rank", F.lit("commissioning").alias("partition")))
+
+
+def stratified_limit(entities: DataFrame, stratum: str, entity: str, most: int) -> DataFrame:
+    """The first ``most`` entities of each stratum by id."""
+    if most <= 0:
+        raise ValueError("limits must be positive")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(entity))
+    return entities.select(stratum, entity).withColumn("place", place).where(F.col("place") <= most).drop("place")

@@ -2,24 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import wilson
+from ..functions.columns import average_rank, correlation, wilson
 
 
-def bootstrap_mean(runs: DataFrame, keys: list[str], value: str, replicates: int, confidence: float = 0.95) -> DataFrame:
-    """Mean with a percentile bootstrap interval, drawn by hash: replicate b takes for its i-th draw the row that
-    MD5 names.  Groups are runs (some twenty rows), gathered into one array each before they are resampled."""
-    rows = runs.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v"))
+def _draws(size: Column, replicate: Column, use) -> Column:
+    """``use(place)`` of each of ``size`` draws with replacement; MD5 of replicate and draw names the place."""
+    hashed = lambda i: F.conv(F.substring(F.md5(F.concat(replicate.cast("string"), F.lit(":"), i.cast("string"))), 1, 8), 16, 10)
+    return F.transform(F.sequence(F.lit(1), size), lambda i: use(F.pmod(hashed(i).cast("long"), size).cast("int")))
+
+
+def _resampled(runs: DataFrame, keys: list[str], metrics: list[str], replicates: int, statistic, confidence: float) -> DataFrame:
+    """``v_`` (all values in order), ``low_`` and ``high_`` of each metric.
+
+    Groups are runs of a study (some twenty rows), gathered into one array each before they are resampled.
+    """
+    rows = runs.groupBy(*keys).agg(*[F.array_sort(F.collect_list(m)).alias(f"v_{m}") for m in metrics])
     drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    pick = lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("long"), F.size("v")).cast("int")
-    total = F.aggregate(F.sequence(F.lit(1), F.size("v")), F.lit(0.0), lambda a, i: a + F.get(F.col("v"), pick(i)))
-    means = drawn.select(*keys, "v", (total / F.size("v")).alias("m"))
+    sampled = drawn.select(*keys, *[F.when(F.size(f"v_{m}") > 0, statistic(_draws(F.size(f"v_{m}"), F.col("b"), lambda k, m=m: F.get(F.col(f"v_{m}"), k)))).alias(f"s_{m}") for m in metrics])
     low = (1 - confidence) / 2
-    return means.groupBy(*keys).agg(F.first("v").alias("v"), F.percentile("m", F.array(F.lit(low), F.lit(1 - low))).alias("q")).select(
-        *keys, F.size("v").alias("n"), (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("mean"), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high")
-    )
+    bounds = sampled.groupBy(*keys).agg(*[F.percentile(f"s_{m}", F.array(F.lit(low), F.lit(1 - low))).alias(f"q_{m}") for m in metrics])
+    return rows.join(bounds, keys).select(*keys, *[f"v_{m}" for m in metrics], *[c for m in metrics for c in (F.col(f"q_{m}")[0].alias(f"low_{m}"), F.col(f"q_{m}")[1].alias(f"high_{m}"))])
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
+def _median(values: Column) -> Column:
+    def middle(v: Column) -> Column:
+        at = (F.size(v) - 1) / 2.0
+        low = F.get(v, F.floor(at).cast("int"))
+        return low + (F.get(v, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+    return F.get(F.transform(F.array(F.array_sort(values)), middle), F.lit(0))
+
+
+def bootstrap_mean(runs: DataFrame, keys: list[str], value: str, replicates: int, confidence: float = 0.95) -> DataFrame:
+    """Mean with a percentile bootstrap interval."""
+    out = _resampled(runs.where(F.col(value).isNotNull()), keys, [value], replicates, _mean, confidence)
+    return out.select(*keys, F.size(f"v_{value}").alias("n"), _mean(F.col(f"v_{value}")).alias("mean"), F.col(f"low_{value}").alias("ci_low"), F.col(f"high_{value}").alias("ci_high"))
+
+
+def bootstrap_median(runs: DataFrame, keys: list[str], value: str, replicates: int, confidence: float = 0.95) -> DataFrame:
+    """Median with a percentile bootstrap interval."""
+    out = _resampled(runs.where(F.col(value).isNotNull()), keys, [value], replicates, _median, confidence)
+    return out.select(*keys, F.size(f"v_{value}").alias("n"), _median(F.col(f"v_{value}")).alias("median"), F.col(f"low_{value}").alias("ci_low"), F.col(f"high_{value}").alias("ci_high"))
+
+
+def commissioning_summary(runs: DataFrame, keys: list[str], metrics: list[str], replicates: int, confidence: float = 0.95) -> DataFrame:
+    """Seeds, success rate, and of each metric the mean with its bootstrap interval, for each detector and size."""
+    intervals = _resampled(runs, keys, metrics, replicates, _mean, confidence)
+    means = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("seeds"), F.avg(F.col("success").cast("double")).alias("success_rate"))
+    columns = [c for m in metrics for c in (_mean(F.col(f"v_{m}")).alias(f"{m}_mean"), F.col(f"low_{m}").alias(f"{m}_ci_low"), F.col(f"high_{m}").alias(f"{m}_ci_high"))]
+    return means.join(intervals, keys).select(*keys, "seeds", "success_rate", *columns)
+
+
+def cluster_bootstrap_spearman(runs: DataFrame, keys: list[str], cluster: str, x: str, y: str, replicates: int, confidence: float = 0.95) -> DataFrame:
+    """Interval of the rank correlation of ``x`` and ``y`` when whole clusters are drawn with replacement."""
+    clusters = runs.groupBy(*keys).agg(F.array_sort(F.collect_set(cluster)).alias("v"))
+    drawn = clusters.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    picked = drawn.select(*keys, "b", F.explode(_draws(F.size("v"), F.col("b"), lambda k: F.get("v", k))).alias(cluster))
+    rows = picked.join(runs.select(*keys, cluster, F.col(x).alias("x"), F.col(y).alias("y")), [*keys, cluster])
+    one = [*keys, "b"]
+    ranked = rows.select(*one, average_rank(one, "x").alias("rx"), average_rank(one, "y").alias("ry"))
+    varied = ranked.groupBy(*one).agg(correlation("rx", "ry").alias("c")).where("c is not null")
+    low = (1 - confidence) / 2
+    found = varied.groupBy(*keys).agg(F.count(F.lit(1)).alias("replicates"), F.percentile("c", F.array(F.lit(low), F.lit(1 - low))).alias("q"))
+    return found.select(*keys, "replicates", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+
+
+def transfer_gate(deltas: DataFrame, keys: list[str], delta: str) -> DataFrame:
+    """An ordered ladder over paired improvements: harm first, then acceptance, then lack of gain."""
+    d = F.col(delta)
+    s = deltas.groupBy(*keys).agg(F.avg(d).alias("mean_delta"), F.avg((d > 0).cast("double")).alias("better"), F.avg((d < 0).cast("double")).alias("worse"))
+    gate = F.when(F.col("worse") > 0.5, "reject_harmful").when((F.col("mean_delta") > 0) & (F.col("better") >= 0.5), "accept").when(F.col("mean_delta") >= 0, "inconclusive").otherwise("reject_no_gain")
+    return s.withColumn("gate", gate)
 
 
 def rollup_summary(runs: DataFrame, keys: list[str], level: str, metrics: list[str], total: str = "all") -> DataFrame:
@@ -90,6 +150,6 @@ def elevation_flags(runs: DataFrame, keys: list[str], value: str, recall: str, f
     return runs.withColumn("cell_median", middle).withColumn("ratio", F.when(F.col("cell_median") != 0, F.col(value) / F.col("cell_median"))).withColumn("elevated", F.col("ratio") > factor).withColumn("collapsed", F.col(recall) < 0.1)
 
 
-def replace_member(members: DataFrame, entity: str, removed: int, replacement: int) -> DataFrame:
+def replace_member(members: DataFrame, entity: str, removed: int | Column, replacement: int) -> DataFrame:
     """A same-size intervention: one member's place goes to another."""
     return members.withColumn(entity, F.when(F.col(entity) == removed, F.lit(replacement)).otherwise(F.col(entity)))

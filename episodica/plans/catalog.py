@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import conformal, detectors, distribution, features, guards, matrix_detectors, membership, roc, summaries
+from ..operators import conformal, detectors, distribution, features, guards, matrix_detectors, membership, roc, summaries, transfer_detectors  # noqa: F401  (registers its scorers)
 from . import study
 from .study import ALPHA, FEATURES_SQL, MEMBERS_SQL, RECALL, RUN, RUNS_SQL, SCORES_SQL, events, table
 
@@ -219,9 +219,9 @@ def x3_nested_commissioning(spark, sf_dir):
 
 
 @query("WITH " + MEMBERS_SQL + """, g AS (SELECT * FROM (VALUES (10, 20), (15, 15), (20, 10)) t(fit, cal)) SELECT CAST(seed AS BIGINT) AS seed, CAST(fit AS BIGINT) AS fit, CAST(cal AS BIGINT) AS cal, selection_rank, user_id, CASE WHEN selection_rank <= fit THEN 'fit' ELSE 'calibration' END AS role
-FROM com0, g WHERE selection_rank <= fit + cal AND seed < 3""")
+FROM com0, g WHERE selection_rank <= fit + cal""")
 def x5_budget_split(spark, sf_dir):
-    return membership.budget_split(study.partitions(spark, sf_dir).where("partition = 'reservoir'"), "user_id", (0, 1, 2), ((10, 20), (15, 15), (20, 10)))
+    return membership.budget_split(study.partitions(spark, sf_dir).where("partition = 'reservoir'"), "user_id", study.SEEDS, ((10, 20), (15, 15), (20, 10)))
 
 
 @query("WITH " + MEMBERS_SQL + " SELECT user_id, CAST((row_number() OVER (ORDER BY md5(concat(user_id, ':9')), user_id) - 1) % 5 AS BIGINT) AS fold FROM parts WHERE partition = 'reservoir'")
@@ -251,7 +251,7 @@ def a8_protocol_summary(spark, sf_dir):
 @query("WITH " + MEMBERS_SQL + " SELECT selection_rank, CASE WHEN user_id = (SELECT min(user_id) FROM com0 WHERE seed = 0 AND selection_rank <= 10) THEN -1 ELSE user_id END AS user_id FROM com0 WHERE seed = 0 AND selection_rank <= 10")
 def u5_replace_member(spark, sf_dir):
     members = study.commissioning(spark, sf_dir).where("seed = 0 and commissioning_n = 10").select("selection_rank", "user_id")
-    return members.join(F.broadcast(members.agg(F.min("user_id").alias("removed"))), F.col("user_id") >= F.col("removed")).select("selection_rank", F.when(F.col("user_id") == F.col("removed"), F.lit(-1).cast("long")).otherwise(F.col("user_id")).alias("user_id"))
+    return summaries.replace_member(members, "user_id", members.agg(F.min("user_id")).scalar(), -1)
 
 
 # -- scores, thresholds, ranking metrics -----------------------------------------------------------------------------
@@ -381,20 +381,6 @@ def st1_bootstrap_mean_10000(spark, sf_dir):
     return summaries.bootstrap_mean(runs(spark, sf_dir), ["detector", "commissioning_n"], "recall", 10_000)
 
 
-@query("WITH " + RUNS_SQL + """, s AS (SELECT detector, commissioning_n, avg(recall) AS r, avg(false_positive_rate) AS f FROM runs GROUP BY ALL)
-SELECT detector, coalesce(CAST(min(CASE WHEN r >= 0.1 AND f <= 0.2 THEN commissioning_n END) AS VARCHAR), concat('Censored (>', max(commissioning_n), ')')) AS n_star FROM s GROUP BY 1""")
-def a14_n_star(spark, sf_dir):
-    s = runs(spark, sf_dir).groupBy("detector", "commissioning_n").agg(F.avg("recall").alias("r"), F.avg("false_positive_rate").alias("f"))
-    return conformal.star(s, ["detector"], "commissioning_n", "r", "f", 0.1, 0.2)
-
-
-@query("WITH " + RUNS_SQL + """, s AS (SELECT detector, commissioning_n, avg(recall) AS r, avg(false_positive_rate) AS f FROM runs GROUP BY ALL)
-SELECT detector, coalesce(CAST(min(CASE WHEN r >= 0.9 - 1e-12 AND f <= 0.1 + 1e-12 THEN commissioning_n END) AS VARCHAR), concat('Censored (>', max(commissioning_n), ')')) AS n_star FROM s GROUP BY 1""")
-def a15_boundary_star(spark, sf_dir):
-    s = runs(spark, sf_dir).groupBy("detector", "commissioning_n").agg(F.avg("recall").alias("r"), F.avg("false_positive_rate").alias("f"))
-    return conformal.star(s, ["detector"], "commissioning_n", "r", "f", 0.9, 0.1, boundary_safe=True)
-
-
 @query("WITH " + RUNS_SQL + " SELECT CAST(x.commissioning_n AS BIGINT) AS commissioning_n, CAST(x.seed AS BIGINT) AS seed, round(y.recall - x.recall, 6) AS delta_recall, round(y.false_positive_rate - x.false_positive_rate, 6) AS delta_false_positive_rate FROM runs x JOIN runs y USING (commissioning_n, seed) WHERE x.detector = 'Diagonal' AND y.detector = 'RobustDiagonal'")
 def j5_paired_delta(spark, sf_dir):
     return summaries.paired_delta(runs(spark, sf_dir), ["commissioning_n", "seed"], "detector", "Diagonal", "RobustDiagonal", ["recall", "false_positive_rate"])
@@ -415,7 +401,7 @@ _PRED_SQL = RUNS_SQL + ", pr AS (SELECT s.*, s.score > r.threshold AS prediction
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = study.scores(spark, sf_dir)
     t = conformal.conformal_thresholds(s.where("partition = 'calibration'"), RUN, ALPHA).select(*RUN, "threshold")
-    return s.join(detectors.checked_broadcast(t), RUN).withColumn("prediction", F.col("score") > F.col("threshold"))
+    return s.join(detectors.bounded(t, 2 * len(study.SEEDS) * len(study.SIZES)), RUN).withColumn("prediction", F.col("score") > F.col("threshold"))
 
 
 @query("WITH " + _PRED_SQL + """, g AS (SELECT detector, commissioning_n, label, count(*) AS n, count(*) FILTER (prediction) AS detected FROM pr WHERE partition = 'anomaly' GROUP BY ALL)
@@ -479,12 +465,6 @@ def st18_two_sample(spark, sf_dir):
     return _shifted(spark, sf_dir)
 
 
-@query()
-def st20_p_values(spark, sf_dir):
-    d = _shifted(spark, sf_dir)
-    return d.select(*RUN, distribution.ks_p(F.col("ks"), F.col("n_first"), F.col("n_second")).alias("ks_p"), distribution.mann_whitney_p(F.col("mann_whitney_u"), F.col("n_first"), F.col("n_second")).alias("mann_whitney_p"))
-
-
 @query("""WITH c AS (SELECT l_returnflag AS r, l_linestatus AS c, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT *, sum(n) OVER (PARTITION BY r) AS nr, sum(n) OVER (PARTITION BY c) AS nc FROM c)
 SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n) * (sum(n * n / (nr * nc)) - 1), 6) AS chi_square, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS BIGINT) AS degrees FROM x""")
 def st21_contingency(spark, sf_dir):
@@ -525,7 +505,7 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _BOTH_SQL + " SELECT CAST(commissioning_n AS BIGINT) AS commissioning_n, CAST(seed AS BIGINT) AS seed, count(*) AS pairs, round(sum(sign((x.d - y.d) * (x.r - y.r))) / count(*), 6) AS tau, count(*) FILTER ((x.d - y.d) * (x.r - y.r) < 0) AS discordant FROM w x JOIN w y USING (commissioning_n, seed) WHERE x.user_id < y.user_id GROUP BY ALL")
 def st6_kendall(spark, sf_dir):
-    return distribution.kendall(_both(spark, sf_dir), ["commissioning_n", "seed"], "user_id", "d", "r")
+    return distribution.kendall(_both(spark, sf_dir), ["commissioning_n", "seed"], "d", "r")
 
 
 @query("WITH " + _BOTH_SQL + " SELECT CAST(commissioning_n AS BIGINT) AS commissioning_n, CAST(seed AS BIGINT) AS seed, round(regr_slope(r, d), 6) AS slope, round(regr_intercept(r, d), 6) AS intercept, round(regr_r2(r, d), 6) AS r2, round(quantile_cont(CASE WHEN d <> 0 THEN r / d END, 0.5), 6) AS median_ratio FROM w GROUP BY ALL")
@@ -547,15 +527,15 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY abs(rz) DESC, f
 def m26_forensics(spark, sf_dir):
     long = study.long_features(spark, sf_dir)
     reference = long.join(study.partitions(spark, sf_dir).where("partition = 'reservoir'").select("user_id"), "user_id")
-    return detectors.robust_forensics(long, reference, "user_id", 2)
+    return detectors.robust_forensics(long, reference, "user_id", 2, len(features.STATISTICS))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding, label FROM embeddings), q AS (SELECT vec_id, embedding FROM e WHERE vec_id % 50 = 0), r AS (SELECT vec_id AS rid, embedding AS re FROM e WHERE label = 0),
 d AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, re), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))) AS dist FROM q, r)
 SELECT vec_id, round(dist, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist) = least(10, count(*) OVER (PARTITION BY vec_id))""")
 def m19_knn_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")).withColumn("run", F.lit(0))
-    return detectors.nearest_distances(e.where("vec_id % 50 = 0").select("run", "vec_id", "v"), e.where("label = 0"), "vec_id", "v", ["run"], 10).select("vec_id", "score")
+    e = table(spark, sf_dir, "embeddings")
+    return detectors.nearest_distances(e.where("vec_id % 50 = 0"), e.where("label = 0"), "vec_id", "embedding", 10)
 
 
 # -- detectors over matrices (no SQL: checked against numpy in the tests) ---------------------------------------------

@@ -49,9 +49,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = detectors.run_statistics(long, commissioning(spark, sf_dir), "user_id", ["seed", "commissioning_n"])
     scored = partitions(spark, sf_dir).where("partition <> 'reservoir'").select("user_id", "partition", F.lit(0).cast("long").alias("label"))
     roles = scored.unionByName(episodes(spark, sf_dir).where("label > 0").select("user_id", F.lit("anomaly").alias("partition"), "label"))
-    evaluated = long.join(roles.select("user_id"), "user_id")
-    both = [detectors.diagonal_scores(evaluated, statistics, "user_id", ["seed", "commissioning_n"], robust).withColumn("detector", F.lit(name)) for name, robust in (("Diagonal", False), ("RobustDiagonal", True))]
-    return both[0].unionByName(both[1]).join(roles, "user_id").select(*RUN, "user_id", "partition", "label", "score")
+    cells = len(SEEDS) * len(SIZES) * len(features.STATISTICS)
+    both = detectors.diagonal_scores(long.join(roles.select("user_id"), "user_id"), statistics, "user_id", ["seed", "commissioning_n"], cells)
+    return both.join(roles, "user_id").select(*RUN, "user_id", "partition", "label", "score")
 
 
 FEATURES_SQL = """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from episodica.functions import columns as C
 from episodica.functions import linalg as L
 from episodica.operators import conformal, distribution, features, guards, matrix_detectors, membership, roc
-from episodica.plans import catalog
+from episodica.plans import audits, catalog  # noqa: F401  (importing a module registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -195,7 +195,7 @@ def test_bootstrap_has_the_references_replicates(spark):
 def test_catalogue_against_duckdb(spark):
     import duckdb
 
-    from episodica.plans import catalog
+    from episodica.plans import audits, catalog  # noqa: F401
 
     con = duckdb.connect()
     for t in TABLES:
