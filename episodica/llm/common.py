@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ OTHER_SPACES = "\t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a fresh local one only where ``spark.checkpoint.dir`` is unset (tests)."""
+    """The shared folder of the cluster; a fresh local one only on a local master without ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="episodica-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -6,9 +6,13 @@ JVM's inside-out Fisher-Yates) and writes it to the shared folder.  The buckets'
 its place in one global random order, and dealing that order out in turn makes shards whose counts differ by
 at most one.
 
-Defined cases: null text counts as empty; null ids, repeated rows and ties are salted by the row's place in its
-input partition, so equal rows scatter like any others; an empty table gives an empty result; extra columns are
-carried whole inside one struct, so their names cannot clash.
+A record's place follows from its content alone, so a retried task, other file splits or another order of the input
+give the same shards.  Rows that are equal in all columns fall into one bucket, where their order tells nothing; of
+more than ``REPEATS`` such rows, counted by their hashes beforehand, each is salted by its place in the input.
+
+Defined cases: null text counts as empty; null ids and ties are like any others; an empty table gives an empty result;
+extra columns (but no maps, which have no hash) are carried whole inside one struct, so their names cannot clash.  The
+buckets' table stays in the shared folder for as long as the result is read; ``common.forget`` deletes it.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from .common import durable, text_or_empty, utf8_size
 
 #: Bytes of text that one bucket holds on average; a task holds one bucket at a time.
 BUCKET_BYTES = 16 << 20
+#: Equal rows that one bucket may get.
+REPEATS = 1000
+#: Buckets whose lengths are summed in one task.
+RANGE = 4096
 #: Bytes that a row counts beside its text, so that tables of empty texts get several buckets too.
 ROW_BYTES = 64
 
@@ -32,18 +40,27 @@ def external_shuffle(df: DataFrame, n_shards: int, text: str = "text", seed: int
     """``record`` (all columns of ``df``), ``size``, ``text_crc32``, ``bucket``, ``place``, ``shard`` and gapless ``slot``."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        # A task that reads a shuffle again may get its rows in another order; one that reads a file does not.
+        df = durable(df, "input")
     size = utf8_size(text_or_empty(text)) + 1
     total = df.agg(F.sum(size + ROW_BYTES)).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
-    columns = [df[c] for c in df.columns]
+    content = F.xxhash64(F.lit(seed), *[df[c] for c in df.columns]) if df.columns else F.lit(0).cast("long")
+    hashes = df.select(content.alias("content")).groupBy(F.col("content").alias("repeated")).agg(F.count("*").alias("n"))
+    # At most one row for REPEATS rows, joined by broadcast only while its file is small.
+    repeated = durable(hashes.where(F.col("n") > REPEATS).select("repeated"), "repeated")
+    placed = df.select(
+        F.struct(*[df[c] for c in df.columns]).alias("record"),
+        size.alias("size"),
+        F.crc32(F.encode(text_or_empty(text), "utf-8")).alias("text_crc32"),
+        content.alias("content"),
+        F.monotonically_increasing_id().alias("place_in_input"),
+    )
+    salt = F.when(F.col("repeated").isNotNull(), F.col("place_in_input")).otherwise(0)
     scattered = (
-        df.select(
-            F.struct(*columns).alias("record"),
-            size.alias("size"),
-            F.crc32(F.encode(text_or_empty(text), "utf-8")).alias("text_crc32"),
-            F.monotonically_increasing_id().alias("salt"),
-        )
-        .withColumn("key", F.xxhash64(F.lit(seed), F.col("salt"), F.col("text_crc32"), F.col("size")))
+        placed.join(repeated, F.col("content") == F.col("repeated"), "left")
+        .select("record", "size", "text_crc32", salt.alias("salt"), F.xxhash64("content", salt).alias("key"))
         .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(n_buckets)).cast("int"))
     )
     # Each bucket is a partition of its own; the list is sorted first, so that a retried task shuffles the same list.
@@ -56,9 +73,12 @@ def external_shuffle(df: DataFrame, n_shards: int, text: str = "text", seed: int
         .select("bucket", "length", F.col("place").cast("long"), "row.size", "row.text_crc32", "row.record")
     )
     written = durable(shuffled, "shuffled")
-    # One row for each bucket: at 100 TB and 16 MB a bucket that is 6.6 million rows of 20 bytes.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written.where("place = 0").select("bucket", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("start"))
+    # Lengths are summed within ranges of buckets, then over the ranges: at 100 TB and 16 MB a bucket, 1600 rows.
+    lengths = written.where("place = 0").select("bucket", "length", F.floor(F.col("bucket") / RANGE).alias("range"))
+    inside = Window.partitionBy("range").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lengths.groupBy("range").agg(F.sum("length").alias("all")).select("range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("first"))
+    starts = lengths.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(ranges, "range").select("bucket", (F.col("first") + F.col("inside")).alias("start"))
     order = F.col("start") + F.col("place")
     return (
         written.join(starts, "bucket")
