@@ -23,6 +23,8 @@ from .common import fresh
 ROUNDS = 10
 #: Days from 1900-01-01 to 2099-12-31, as the product of the two halves' sizes.
 DAY_HALVES = (17, 4297)
+#: Steps in which a permuted day and month become a date; one in fifty does not at each.
+WALKS = 24
 
 #: Patterns by kind, tried in this order.  Possessive and anchored by lookbehind, so that no text is quadratic.
 PATTERNS = {
@@ -85,18 +87,19 @@ def permute_characters(value: Column, key: str, kind: str, letters: int = 26, in
     return _bound(value, of)
 
 
-def permute_number(value: Column, sizes: tuple[int, int], key: str, kind: str, inverse: bool = False) -> Column:
+def permute_number(value: Column, sizes: tuple[int | Column, int | Column], key: str, kind: str, inverse: bool = False) -> Column:
     """Feistel network over 0 to ``sizes[0] * sizes[1] - 1``."""
     sign = -1 if inverse else 1
+    one, two = (s if isinstance(s, Column) else F.lit(s) for s in sizes)
     many = lambda d: F.conv(F.substring(d, 1, 14), 16, 10).cast("long")
 
     def step(a: Column, r: Column) -> Column:
-        left = F.when(r % 2 == 0, F.pmod(a["l"] + sign * many(_digest(key, kind, r, a["r"])), F.lit(sizes[0]))).otherwise(a["l"])
-        right = F.when(r % 2 == 1, F.pmod(a["r"] + sign * many(_digest(key, kind, r, a["l"])), F.lit(sizes[1]))).otherwise(a["r"])
+        left = F.when(r % 2 == 0, F.pmod(a["l"] + sign * many(_digest(key, kind, r, a["r"])), one)).otherwise(a["l"])
+        right = F.when(r % 2 == 1, F.pmod(a["r"] + sign * many(_digest(key, kind, r, a["l"])), two)).otherwise(a["r"])
         return F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
-    start = F.struct(F.floor(value / sizes[1]).cast("long").alias("l"), F.pmod(value, F.lit(sizes[1])).cast("long").alias("r"))
-    return F.aggregate(_steps(inverse), start, step, lambda a: a["l"] * sizes[1] + a["r"])
+    start = F.struct(F.floor(value / two).cast("long").alias("l"), F.pmod(value, two).cast("long").alias("r"))
+    return F.aggregate(_steps(inverse), start, step, lambda a: a["l"] * two + a["r"])
 
 
 def _digits(value: Column) -> Column:
@@ -142,8 +145,17 @@ def _phone(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
+    """Area 1 to 899 but 666, group 1 to 99, serial 1 to 9999: the numbers that are given out, and no others."""
+    area, group, serial = (F.substring(m, k, n).cast("long") for k, n in ((1, 3), (5, 2), (8, 4)))
     valid = ~m.rlike("^(000|666|9)|-00-|-0000$")
-    return F.when(valid, _refill(m, permute_characters(_digits(m), key, "ssn", 26, inverse), "[0-9]")).otherwise(m)
+    number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
+
+    def written(n: Column) -> Column:
+        place = F.floor(n / (99 * 9999))
+        parts = (place + F.when(place >= 665, 2).otherwise(1), F.pmod(F.floor(n / 9999), F.lit(99)) + 1, F.pmod(n, F.lit(9999)) + 1)
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), k, "0") for x, k in zip(parts, (3, 2, 4), strict=True)])
+
+    return F.when(valid, _bound(permute_number(number, (898 * 99, 9999), key, "ssn", inverse), written)).otherwise(m)
 
 
 def _ip(m: Column, key: str, inverse: bool) -> Column:
@@ -156,24 +168,44 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
+    """ISO dates are permuted by their day since 1900; others by :func:`_written_date`."""
     first = F.to_date(F.lit("1900-01-01"))
-    iso = m.rlike("^[0-9]{4}-")
-    mark = F.when(iso, F.lit("-")).when(F.contains(m, F.lit("/")), F.lit("/")).otherwise(F.lit("."))
-    part = lambda k: F.lpad(F.split_part(m, mark, F.lit(k)), 2, "0")
-    day_first = F.try_to_date(F.concat_ws("-", F.split_part(m, mark, F.lit(3)), part(2), part(1)))
-    month_first = F.try_to_date(F.concat_ws("-", F.split_part(m, mark, F.lit(3)), part(1), part(2)))
-    value = F.when(iso, F.try_to_date(m)).otherwise(F.coalesce(day_first, month_first))
-    padded = iso | m.rlike(r"^0|[/.]0")
-    number = lambda d, p: F.when(padded, F.date_format(d, p * 2)).otherwise(F.date_format(d, p))
-
-    joined = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(
-        F.concat(
-            F.when(day_first.isNotNull(), number(d, "d")).otherwise(number(d, "M")), mark,
-            F.when(day_first.isNotNull(), number(d, "M")).otherwise(number(d, "d")), mark, F.date_format(d, "yyyy"),
-        )
-    )
-    moved = _bound(F.date_add(first, permute_number(F.datediff(value, first), DAY_HALVES, key, "date", inverse).cast("int")), joined)
-    return F.when(value.between(first, F.to_date(F.lit("2099-12-31"))), moved).otherwise(m)
+    value = F.try_to_date(m)
+    moved = F.date_format(F.date_add(first, permute_number(F.datediff(value, first), DAY_HALVES, key, "date", inverse).cast("int")), "yyyy-MM-dd")
+    iso = F.when(value.between(first, F.to_date(F.lit("2099-12-31"))), moved).otherwise(m)
+    return F.when(m.rlike("^[0-9]{4}-"), iso).otherwise(_written_date(m, key, inverse))
+
+
+def _written_date(m: Column, key: str, inverse: bool) -> Column:
+    """Two fields and a year: the mark, the length of each field and their order stay.
+
+    A value that is a date with the day first is so; else one with the month first, whose day is then 13 or more.  The
+    format is thus told from the value and from its pseudonym alike.  Days and months of the fields' lengths are
+    permuted together with the year, again and again until they are a date (one in fifty is not).
+    """
+    mark = F.when(F.contains(m, F.lit("/")), F.lit("/")).otherwise(F.lit("."))
+    field = lambda k: F.split_part(m, mark, F.lit(k))
+    year = field(3).cast("long")
+    is_date = lambda d, mo, y: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(mo.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))).isNotNull()
+    one, two = field(1).cast("long"), field(2).cast("long")
+
+    def of(day_first: bool) -> Column:
+        day, month = (one, two) if day_first else (two, one)
+        day_size, month_size = (F.length(field(1)), F.length(field(2))) if day_first else (F.length(field(2)), F.length(field(1)))
+        least = 1 if day_first else 13
+        days, months = F.when(day_size == 1, 9).otherwise(32 - least).cast("long"), F.when(month_size == 1, 9).otherwise(12).cast("long")
+        day_of = lambda n: F.floor(n / (months * 200)) + least
+        month_of = lambda n: F.pmod(F.floor(n / 200), months) + 1
+        year_of = lambda n: F.pmod(n, F.lit(200)) + 1900
+        moved = lambda n: permute_number(n, (days * months, 200), key, f"date{least}", inverse)
+        holds = lambda n: is_date(day_of(n), month_of(n), year_of(n))
+        number = ((day - least) * months + month - 1) * 200 + year - 1900
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), moved(number), lambda n, _: F.when(holds(n), n).otherwise(moved(n)))
+        parts = lambda n: (F.lpad(day_of(n).cast("string"), day_size, "0"), F.lpad(month_of(n).cast("string"), month_size, "0"))[:: 1 if day_first else -1]
+        return _bound(walked, lambda n: F.concat(parts(n)[0], mark, parts(n)[1], mark, year_of(n).cast("string")))
+
+    known = year.between(1900, 2099)
+    return F.when(known & is_date(one, two, year), of(True)).when(known & is_date(two, one, year), of(False)).otherwise(m)
 
 
 def _iban(m: Column, key: str, inverse: bool) -> Column:
@@ -187,7 +219,8 @@ def _iban(m: Column, key: str, inverse: bool) -> Column:
 
     def of(v: Column) -> Column:
         country, account = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.length(v))
-        valid = F.length(v).between(15, 34) & (rest(F.concat(account, F.substring(v, 1, 4))) == 1)
+        # Check digits are 02 to 98: others leave the same remainder, and two values would have one pseudonym.
+        valid = F.length(v).between(15, 34) & F.substring(v, 3, 2).between("02", "98") & (rest(F.concat(account, F.substring(v, 1, 4))) == 1)
         moved = _bound(
             permute_characters(account, key, "iban", 26, inverse),
             lambda b: F.concat(country, F.lpad((98 - rest(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,17 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding
 
-#: The key of the pseudonyms in these queries; a deployment sets its own.
-KEY = "episodica-demonstration-key"
+#: The session's setting that holds the key of the pseudonyms, and the key of sessions without it, which is no secret.
+KEY_SETTING = "spark.episodica.pseudonymKey"
+DEMONSTRATION_KEY = "episodica-demonstration-key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The configured key; without one, pseudonyms only demonstrate the operator, as anybody can invert them."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms use the demonstration key", stacklevel=2)
+    return key or DEMONSTRATION_KEY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +92,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced by pseudonyms of the same format."""
-    out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), KEY)
+    out = pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), pseudonym_key(spark))
     return out.select("doc_id", "text", "n_pseudonyms")
 
 
