@@ -6,34 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm import bpe, decontamination, near_duplicates, pseudonyms, quality_rules
-from episodica.llm.common import durable
-from episodica.llm.queries import KEY, vocabulary_path
+from episodica.llm.common import durable, forget
+from episodica.llm.queries import pseudonym_key, vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    A null or empty text goes; null ids are judged like others; repeated rows all stay or all go; further columns stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.score_documents(docs, labels).where("kept").select("record.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the row of its smallest id, ties by column order.
+
+    Null ids come last; texts without words are one class; further columns stay.
+    """
     return near_duplicates.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item; null and empty texts have none and stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.with_matches(docs, benchmark).where(F.size("matches") == 0).drop("matches")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced by pseudonyms; the character count follows the text."""
-    return pseudonyms.pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).drop("n_pseudonyms")
+    """Personal values replaced by pseudonyms; the character count follows the text and is null for a null text."""
+    return pseudonyms.pseudonymize(docs, pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long")).drop("n_pseudonyms")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and digests of ids and decoded text."""
+    """Token ids of each text, and digests of ids and decoded text; a null text counts as empty."""
     out = bpe.encode_and_decode(docs, vocabulary_path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
@@ -51,10 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read by the next; an empty table stays empty.
+
+    A stage's table goes as soon as the next one's is written; the last stage reads the only one that is left.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = durable(docs, f"stage{k}")
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
