@@ -1,9 +1,9 @@
 """Byte-pair encoding and decoding of whole texts with a public vocabulary.
 
 A text is cut into pre-tokens as the vocabulary file says; equal chunks between white space are encoded once for each
-worker.  A pre-token longer than ``LEAF`` characters is encoded by tree concatenation: its halves are encoded apart
-(the leaves of the tree in one parallel batch), and at each join a window of the tokens on both sides is encoded
-again, growing until its first and last tokens equal those of the two sides.  Since an encoding is right exactly if
+worker, a text's new ones in one batch.  A pre-token longer than ``LEAF`` characters is encoded by tree concatenation:
+its leaves are encoded apart (those of all long pre-tokens in one batch), and at each join a window of the tokens on
+both sides is encoded again, growing until its first and last tokens equal those of the two sides.  Since an encoding is right exactly if
 each pair of neighbouring tokens is, the joined encoding then equals that of the whole.
 
 Defined cases: a null text counts as empty (no tokens, decoded as the empty string); texts of any length are encoded
@@ -27,15 +27,19 @@ from pyspark.sql import types as T
 
 from .common import fresh
 
-#: Characters of a pre-token up to which it is encoded at once.
-LEAF = 256
-#: Chunks that a worker remembers; beyond that it starts anew.
+#: Characters of a leaf of the tree; a pre-token of at most as many is encoded at once.
+LEAF = 16
+#: Chunks that a worker remembers before it sets them aside, and forgets those set aside before.
 CACHE = 150_000
+#: Of a chunk: number of ids, ids, tokens as text, joins.
+Piece = tuple[int, bytes, str, int]
 #: Characters that ``str.split`` takes for white space and the vocabulary's pattern does not.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Unicode's white space as a character class; the regex module's own has the four separators too.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = regex.compile(f"[{_SPACE}]+")
+#: Packers of so many ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 class BytePairCoder:
@@ -49,6 +53,7 @@ class BytePairCoder:
         model = spec["model"]
         self.vocabulary: dict[str, int] = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocabulary.items()}
+        self.names = {i: " " + t for i, t in self.tokens.items()}
         self.suffix = model.get("end_of_word_suffix") or ""
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"\s", _SPACE))
@@ -58,51 +63,91 @@ class BytePairCoder:
         self.ending = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix, cache_capacity=0))
         self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
         self.bytes_to_chars = _byte_characters()
-        self.cache: dict[str, tuple[int, bytes, str]] = {}
-
-    # -- one pre-token ------------------------------------------------------------------------------------------
-
-    def _parts(self, parts: list[str], last: bool) -> list[list[str]]:
-        """Tokens of each part; the last part ends the word if ``last``."""
-        out = [e.tokens for e in self.inner.encode_batch(parts[:-1], add_special_tokens=False)] if len(parts) > 1 else []
-        out.append((self.ending if last else self.inner).encode(parts[-1], add_special_tokens=False).tokens)
+        self.cache: dict[str, Piece] = {}
+        self.before: dict[str, Piece] = {}
+
+    # -- pre-tokens ---------------------------------------------------------------------------------------------
+
+    def _parts(self, parts: list[tuple[str, bool]]) -> list[list[str]]:
+        """Tokens of each part, in one batch for those that end their word and one for the others."""
+        out: list[list[str]] = [[]] * len(parts)
+        for model, ends in ((self.inner, False), (self.ending, True)):
+            at = [k for k, p in enumerate(parts) if p[1] == ends]
+            for k, e in zip(at, model.encode_batch([parts[k][0] for k in at], add_special_tokens=False) if at else (), strict=True):
+                out[k] = e.tokens
         return out
 
     def _text(self, tokens: list[str], last: bool) -> str:
         text = "".join(tokens)
         return text[: -len(self.suffix)] if last and self.suffix else text
 
-    def _join(self, left: list[str], right: list[str], last: bool) -> list[str]:
-        """The encoding of two neighbouring parts from theirs, by windows that grow from the join."""
-        size = 1
-        while True:
-            a, b = min(size, len(left)), min(size, len(right))
-            ends = last and b == len(right)
-            window = self._parts([self._text(left[-a:] + right[:b], ends)], ends)[0]
-            # A side agrees if its outermost token stands as it was, or if the window holds the whole side.
-            if (a == len(left) or window[0] == left[-a]) and (b == len(right) or window[-1] == right[b - 1]):
-                return left[: len(left) - a] + window + right[b:]
-            size *= 2
-
-    def encode_long(self, word: str, leaf: int = LEAF) -> list[str]:
-        """Tree concatenation of one pre-token, given in byte characters."""
-        level = self._parts([word[i : i + leaf] for i in range(0, len(word), leaf)], True)
-        while len(level) > 1:
-            last = len(level) - 1
-            level = [self._join(level[i], level[i + 1], i + 1 == last) if i < last else level[i] for i in range(0, len(level), 2)]
-        return level[0]
+    def _joined(self, joins: list[tuple[list[str], list[str], bool]]) -> list[list[str]]:
+        """The encodings of neighbouring parts from theirs, by windows that grow from each join; all joins in one batch."""
+        out: list[list[str]] = [[]] * len(joins)
+        size, pending = 1, list(range(len(joins)))
+        while pending:
+            windows = []
+            for k in pending:
+                left, right, last = joins[k]
+                ends = last and size >= len(right)
+                windows.append((self._text(left[-size:] + right[:size], ends), ends))
+            apart = []
+            for k, window in zip(pending, self._parts(windows), strict=True):
+                left, right, _ = joins[k]
+                a, b = min(size, len(left)), min(size, len(right))
+                # A side agrees if its outermost token stands as it was, or if the window holds the whole side.
+                if (a == len(left) or window[0] == left[-a]) and (b == len(right) or window[-1] == right[b - 1]):
+                    out[k] = left[: len(left) - a] + window + right[b:]
+                else:
+                    apart.append(k)
+            size, pending = 2 * size, apart
+        return out
+
+    def encode_long(self, words: list[str], leaf: int = LEAF) -> list[tuple[list[str], int]]:
+        """Tree concatenation of pre-tokens, given in byte characters: tokens, and how many joins they took."""
+        pieces = [(w[i : i + leaf], i + leaf >= len(w)) for w in words for i in range(0, len(w), leaf)]
+        encoded = iter(self._parts(pieces))
+        levels = [[next(encoded) for _ in range(0, len(w), leaf)] for w in words]
+        joins = [len(level) - 1 for level in levels]
+        while any(len(level) > 1 for level in levels):
+            at = [(k, i) for k, level in enumerate(levels) for i in range(0, len(level) - 1, 2)]
+            done = self._joined([(levels[k][i], levels[k][i + 1], i + 2 == len(levels[k])) for k, i in at])
+            new = [[] for _ in levels]
+            for (k, _), tokens in zip(at, done, strict=True):
+                new[k].append(tokens)
+            levels = [n + level[-1:] if len(level) % 2 else n for n, level in zip(new, levels, strict=True)]
+        return [(level[0], n) for level, n in zip(levels, joins, strict=True)]
 
     def _words(self, text: str) -> list[str]:
         """Pre-tokens of normalized text, in byte characters."""
+        if text.isalpha() and text.isascii():
+            return [text]
         table = self.bytes_to_chars
         return [w if w.isascii() and w.isprintable() else "".join(map(table.__getitem__, w.encode())) for w in self.pattern.findall(text)]
 
-    def _chunk(self, chunk: str) -> tuple[int, bytes, str]:
-        tokens: list[str] = []
-        for word in self._words(chunk):
-            tokens += self.encode_long(word) if len(word) > LEAF else self.ending.encode(word, add_special_tokens=False).tokens
-        ids = [self.vocabulary[t] for t in tokens]
-        return len(ids), struct.pack(f"<{len(ids)}I", *ids), "".join(" " + t for t in tokens)
+    def _chunks(self, chunks: list[str]) -> None:
+        """Remembers the encodings of chunks that are not known, in one batch."""
+        words = [self._words(c) for c in chunks]
+        short, long = [], []
+        for ws in words:
+            for w in ws:
+                (short if len(w) <= LEAF else long).append(w)
+        ids = [e.ids for e in self.ending.encode_batch(short, add_special_tokens=False)]
+        trees = [([self.vocabulary[t] for t in tokens], n) for tokens, n in self.encode_long(long)] if long else []
+        next_short, next_tree, name, cache = iter(ids).__next__, iter(trees).__next__, self.names.__getitem__, self.cache
+        for chunk, ws in zip(chunks, words, strict=True):
+            if len(ws) == 1 and len(ws[0]) <= LEAF:
+                got, n = next_short(), 0
+            else:
+                got, n = [], 0
+                for w in ws:
+                    if len(w) <= LEAF:
+                        got += next_short()
+                    else:
+                        part, k = next_tree()
+                        got += part
+                        n += k
+            cache[chunk] = (len(got), _PACK[len(got)](*got) if len(got) < len(_PACK) else struct.pack(f"<{len(got)}I", *got), "".join(map(name, got)), n)
 
     # -- whole texts --------------------------------------------------------------------------------------------
 
@@ -111,24 +156,40 @@ class BytePairCoder:
         """NFC and lower case, each character by itself: the final sigma is not special."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def _plain(self, text: str) -> list[tuple[int, bytes, str]]:
+    def _plain(self, text: str) -> list[Piece]:
         text = self.normalized(text)
         chunks = _SPACES.split(text) if _SEPARATORS.search(text) else text.split()
+        if len(self.cache) > CACHE:
+            # What was used since the last time this happened is still at hand; frequent chunks are never encoded again.
+            self.cache, self.before = {}, self.cache
         cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
         try:
             return [*map(cache.__getitem__, chunks)]
         except KeyError:
-            cache.update((c, self._chunk(c)) for c in {*chunks} if c not in cache)
+            new = []
+            for c in {*chunks}:
+                if c not in cache:
+                    known = self.before.get(c)
+                    if known is None:
+                        new.append(c)
+                    else:
+                        cache[c] = known
+            if new:
+                self._chunks(new)
             return [*map(cache.__getitem__, chunks)]
 
-    def pieces(self, text: str) -> list[tuple[int, bytes, str]]:
-        """Number, ids as little-endian 32-bit integers and tokens as text, of each chunk in order."""
+    def ids_of(self, chunk: str) -> bytes:
+        """Ids of one chunk of normalized text without white space, as little-endian 32-bit integers."""
+        if chunk not in self.cache:
+            self._chunks([chunk])
+        return self.cache[chunk][1]
+
+    def pieces(self, text: str) -> list[Piece]:
+        """Number, ids as little-endian 32-bit integers, tokens as text and joins, of each chunk in order."""
         out, at = [], 0
         for m in self.special.finditer(text):
             out += self._plain(text[at : m.start()])
-            out.append((1, struct.pack("<I", self.vocabulary[m[0]]), " " + m[0]))
+            out.append((1, struct.pack("<I", self.vocabulary[m[0]]), " " + m[0], 0))
             at = m.end()
         return out + self._plain(text[at:] if at else text)
 
@@ -160,10 +221,10 @@ def coder(path: str) -> BytePairCoder:
 
 
 def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False) -> DataFrame:
-    """Columns ``keep`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, unless ``digests_only``, ``ids`` and ``decoded``."""
+    """Columns ``keep`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``n_joins`` and, unless ``digests_only``, ``ids`` and ``decoded``."""
     (source,) = fresh(docs.select(*keep), "source_text")
     given = docs.select(*keep, F.col(text).alias(source))
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_joins", T.LongType())]
     if not digests_only:
         added += [T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())]
     schema = T.StructType([*given.schema.fields[:-1], *added])
@@ -172,7 +233,7 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep: tupl
         own = coder(path)
         for batch in batches:
             at = batch.schema.get_field_index(source)
-            counts, ids, decoded, one, two = [], [], [], [], []
+            counts, ids, decoded, one, two, joins = [], [], [], [], [], []
             for value in batch.column(at).to_pylist():
                 got = own.pieces(value or "")
                 packed = b"".join([x[1] for x in got])
@@ -180,10 +241,11 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep: tupl
                 counts.append(sum([x[0] for x in got]))
                 one.append(hashlib.sha256(packed).hexdigest())
                 two.append(hashlib.sha256(back.encode()).hexdigest())
+                joins.append(sum([x[3] for x in got]))
                 if not digests_only:
                     ids.append(struct.unpack(f"<{len(packed) // 4}I", packed))
                     decoded.append(back)
-            columns = [c for k, c in enumerate(batch.columns) if k != at] + [pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+            columns = [c for k, c in enumerate(batch.columns) if k != at] + [pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), pa.array(joins, pa.int64())]
             if not digests_only:
                 columns += [pa.array(ids, pa.list_(pa.int64())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
