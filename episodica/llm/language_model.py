@@ -1,18 +1,22 @@
 """Scores of whole texts by a word unigram and by a causal self-attention model over subword ids, trained in numpy.
 
 The corpus gives counts of all training words (a table that grows with it), from them the counts of all subwords, and
-the consecutive windows of every whole training text, on all of which each task trains the network from the same start,
-going on from batch to batch; the tasks' parameters are averaged by their windows.  The network attends over the last one to two segments of subwords and predicts the
-class of the next subword; within its class a subword has its share of the corpus counts, so the product is a proper
-distribution over the vocabulary.
+the consecutive windows of every whole training text.  The network attends over the last one to two segments of
+subwords and predicts the class of the next subword; within its class a subword has its share of the corpus counts, so
+the product is a proper distribution over the vocabulary.
 
-Texts are scored in blocks of bounded size.  A block's distinct words meet the word counts in a join; its texts and
-that small table then come together in one task.  Windows of two segments advance by one: each subword is scored
-once, with the segment before it as context, by batched masked attention.
+Texts are dealt into blocks of bounded size by their content.  Each block trains the network from the same start on all
+windows of its training texts, in the order of their hashes, and the blocks' parameters are averaged by their windows:
+the model is a function of the corpus, however its files are split.  Only of a text with more than ``REPEATS`` copies
+are the copies spread over the blocks, by their places in the input.
+
+For scoring, a block's distinct words meet the word counts in a join; its texts and that small table then come together
+in one task.  Windows of two segments advance by one: each subword is scored once, with the segment before it as
+context, by batched masked attention.
 
 Defined cases: a null text counts as empty and has the end token alone; null ids count by the empty text; repeated
-rows count and score as often as they occur; with no training text every count is zero and the network is untrained;
-texts of any length are scored whole; only the named columns are read, so clashing names cannot occur.
+rows count, teach and score as often as they occur; with no training text every count is zero and the network is
+untrained; texts of any length are scored whole; only the named columns are read, so clashing names cannot occur.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coder
-from .common import text_or_empty, utf8_size
+from .common import durable, text_or_empty, utf8_size
 from .language_id import remainder
 
 SEGMENT = 32
@@ -37,14 +41,16 @@ ROWS = 8192
 #: Classes: the most frequent subwords have one each, the rest share the others by a hash of the id.
 OWN_CLASSES = 96
 CLASSES = 128
-EPOCHS = 2
-BATCH = 32
+EPOCHS = 1
+BATCH = 64
 RATE = 5e-3
-#: Text bytes of a scoring block, distinct words that a counting task holds, reducers of the parameters' average.
+#: Text bytes of a block, copies of a text that one block may get, distinct words that a counting task holds, reducers
+#: of the parameters' average.
 BLOCK_BYTES = 6 << 20
+REPEATS = 1000
 HELD_WORDS = 200_000
 REDUCERS = 16
-#: Windows that a training task holds and goes through EPOCHS times before it reads on.
+#: Windows that a block holds and goes through EPOCHS times before it reads on.
 HELD_WINDOWS = 8192
 #: Segments that are scored in one numpy step.
 STEP = 256
@@ -185,10 +191,7 @@ def _pieces(path: str):
     def of(word: bytes) -> bytes:
         if len(own.cache) > HELD_WORDS:
             own.cache.clear()
-        text = word.decode("utf-8", "replace")
-        if text not in own.cache:
-            own.cache[text] = own._chunk(own.normalized(text))
-        return own.cache[text][1]
+        return own.ids_of(own.normalized(word.decode("utf-8", "replace")))
 
     return of
 
@@ -238,21 +241,32 @@ def vocabulary_classes(size: int, counts: dict[int, int]) -> tuple[np.ndarray, n
     return classes, np.log10(n / np.bincount(classes, n, CLASSES)[classes])
 
 
-def train_distributed(texts: DataFrame, path: str, classes: np.ndarray, end: int) -> dict[str, np.ndarray]:
-    """The average by windows of the networks that the tasks train, each on all windows of all texts it has."""
-    shared = texts.sparkSession.sparkContext.broadcast(classes)
+def train_distributed(blocked: DataFrame, path: str, classes: np.ndarray, end: int) -> dict[str, np.ndarray]:
+    """The average by windows of the networks of the blocks: ``block`` and ``text`` of training rows, block by block."""
+    shared = blocked.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, p, n, held, rows, targets = _pieces(path), start_parameters(), 0, 0, [], []
+        of, name, p, n, held, rows, targets = _pieces(path), None, start_parameters(), 0, 0, [], []
 
         def learn() -> None:
-            """The network goes on from where the windows before have left it."""
-            train(p, np.concatenate(rows), np.concatenate(targets))
-            rows.clear()
-            targets.clear()
+            """The network goes on from where the block's windows before have left it."""
+            nonlocal n, held
+            if held:
+                train(p, np.concatenate(rows), np.concatenate(targets))
+                rows.clear()
+                targets.clear()
+                n, held = n + held, 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(pack(p) * np.float32(n)).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != name and name is not None:
+                    learn()
+                    yield done()
+                    p, n = start_parameters(), 0
+                name = block
                 ids = np.append(np.frombuffer(b"".join([of(w) for w in tokens_of(text)]), np.uint32).astype(np.int64), end)
                 row, target = windows(ids, shared.value)
                 rows.append(row)
@@ -260,12 +274,9 @@ def train_distributed(texts: DataFrame, path: str, classes: np.ndarray, end: int
                 held += len(row)
                 if held >= HELD_WINDOWS:
                     learn()
-                    n, held = n + held, 0
-        if held:
+        if name is not None:
             learn()
-            n += held
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([(pack(p) * np.float32(n)).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "n"])
+            yield done()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -276,12 +287,22 @@ def train_distributed(texts: DataFrame, path: str, classes: np.ndarray, end: int
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "n"])
 
-    sums = texts.mapInArrow(run, "p binary, n long").repartition(REDUCERS).mapInArrow(add, "p binary, n long").collect()
+    sums = blocked.mapInArrow(run, "p binary, n long").repartition(REDUCERS).mapInArrow(add, "p binary, n long").collect()
     if not sums:
         return start_parameters()
     return unpack(sum(np.frombuffer(r["p"], np.float32) for r in sums) / np.float32(sum(r["n"] for r in sums)))
 
 
+def dealt(named: DataFrame, n_blocks: int) -> DataFrame:
+    """``named`` with ``block``, by the text's hash ``h``, which stays."""
+    hashed = named.withColumn("h", F.xxhash64("text"))
+    counts = hashed.groupBy(F.col("h").alias("repeated")).agg(F.count("*").alias("n")).where(F.col("n") > REPEATS)
+    # At most one row for REPEATS rows, joined by broadcast only while its file is small.
+    salted = hashed.withColumn("place", F.monotonically_increasing_id()).join(durable(counts.select("repeated"), "repeated"), F.col("h") == F.col("repeated"), "left")
+    salt = F.when(F.col("repeated").isNotNull(), F.col("place")).otherwise(0)
+    return salted.withColumn("block", F.pmod(F.xxhash64("h", salt), F.lit(n_blocks)).cast("int")).drop("repeated", "place")
+
+
 def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", by: int = 5, held: int = 1) -> DataFrame:
     """``doc_id``, ``held_out``, token counts, ``base_score`` and the network's ``score`` of every row."""
     spark = docs.sparkSession
@@ -296,11 +317,11 @@ def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     end = own.vocabulary["<|endoftext|>"]
     subwords = {r["id"]: r["n"] for r in subword_counts(counts, path).collect()} | ({end: ends} if ends else {})
     classes, log_share = vocabulary_classes(max(own.tokens) + 1, subwords)
-    parameters = train_distributed(training, path, classes, end)
+    placed = dealt(named, n_blocks)
+    training_blocks = placed.where("not held_out").select("block", "text", "h").repartition(n_blocks, "block").sortWithinPartitions("block", "h", "text").select("block", "text")
+    parameters = train_distributed(training_blocks, path, classes, end)
     shared = spark.sparkContext.broadcast((parameters, classes, log_share))
-
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    blocked = named.withColumn("block", block).select("block", "doc_id", "held_out", "text").repartition(n_blocks, "block")
+    blocked = placed.select("block", "doc_id", "held_out", "text").repartition(n_blocks, "block")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
