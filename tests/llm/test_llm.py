@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from episodica.llm import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding
+from episodica.llm import bpe, decontamination, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding
 from episodica.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, record string, size int, shard string, score string, matches string, class_id string, n_pseudonyms string"
@@ -203,6 +203,45 @@ def test_benchmark_passages_and_edits(spark):
     assert {len(r["_matches"]) for r in decontamination.with_matches(table(spark, texts[:3]), benchmark.limit(0)).collect()} == {0}
 
 
+def spans_found(words, items, similar=0.8):
+    """Items with a span of the document at the similarity or above, by trying every span."""
+    of = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter({tuple(w): 1})
+    found = set()
+    for i, item in enumerate(items):
+        b, n = of(item), len(item)
+        spans = ((x, y) for x in range(len(words)) for y in range(x + 1, min(len(words), x + n + n // 3 + 2) + 1) if y - x >= 0.7 * n)
+        if any((a & b).total() >= similar * (a | b).total() for a in (of(words[x:y]) for x, y in spans)):
+            found.add(i)
+    return found
+
+
+def test_benchmark_passages_against_brute_force(spark):
+    rng = random.Random(12)
+    items = [[f"i{rng.randrange(60)}" for _ in range(n)] for n in (4, 9, 30, 55, 70, 70)]
+    texts = []
+    for k in range(60):
+        passage = list(items[k % len(items)])
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(passage))
+            passage[at : at + rng.randrange(2)] = ["new"] * rng.randrange(2)
+        cut = rng.randrange(4)
+        texts.append(["w1"] * rng.randrange(3) + [f"w{rng.randrange(9)}" for _ in range(rng.randrange(12))] + passage[cut:] + ["z"] * rng.randrange(3))
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = decontamination.with_matches(table(spark, [" ".join(t) for t in texts]), benchmark).collect()
+    got = {r.doc_id: {m.item for m in r["_matches"]} for r in rows}
+    want = {k: spans_found(t, items) for k, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_an_item_of_thousands_of_words(spark):
+    item = [f"i{k}" for k in range(3000)]
+    edited = [w for k, w in enumerate(item) if k % 60]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    texts = [prose(1, 500) + " " + " ".join(edited) + " " + prose(2, 500), " ".join(item[:1500])]
+    got = {r.doc_id: r["_matches"] for r in decontamination.with_matches(table(spark, texts), benchmark).collect()}
+    assert [m.item for m in got[0]] == [7] and 0.8 <= got[0][0].similarity < 1 and got[0][0].first_word == 500 and not got[1]
+
+
 def test_shared_run_is_a_bound():
     rng = random.Random(1)
     for _ in range(300):
@@ -234,6 +273,7 @@ def test_encoding_equals_the_library(spark):
         back = library.decode(want, skip_special_tokens=False)
         r = rows[i]
         assert (r.n_tokens, r.ids, r.decoded, r.score) == (len(want), want, back, "v")
+        assert (r.n_joins > 0) == any(len(w.encode()) > bpe.LEAF for w in re.findall(r"[a-zx漢é]+|!+", (t or "").lower())), t
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
     assert bpe.encode_and_decode(table(spark, []), path).count() == 0
@@ -242,10 +282,10 @@ def test_encoding_equals_the_library(spark):
 @pytest.mark.parametrize("leaf", [1, 3, 17])
 def test_tree_concatenation_with_small_leaves(leaf):
     own, rng = bpe.coder(vocabulary_path("word_bpe_49k.json")), random.Random(leaf)
-    for n in (1, 2, 5, 40, 333):
-        for letters in ("thandering", "ab", "abcdefghijklmnopqrstuvwxyz"):
-            word = "".join(rng.choices(letters, k=n))
-            assert own.encode_long(word, leaf) == own.ending.encode(word, add_special_tokens=False).tokens
+    words = ["".join(rng.choices(letters, k=n)) for n in (1, 2, 5, 40, 333) for letters in ("thandering", "ab", "abcdefghijklmnopqrstuvwxyz")]
+    for word, (tokens, joins) in zip(words, own.encode_long(words, leaf), strict=True):
+        assert tokens == own.ending.encode(word, add_special_tokens=False).tokens
+        assert joins == -(-len(word) // leaf) - 1
 
 
 # -- personal data ---------------------------------------------------------------------------------------------------
@@ -274,6 +314,33 @@ def test_pseudonyms_keep_format_link_and_invert(spark):
     assert pseudonyms.pseudonymize(table(spark, []), "k").count() == 0
 
 
+def test_dates_and_numbers_keep_length_stay_valid_and_come_back(spark):
+    rng = random.Random(8)
+    values = {f"{d}/{m}/{y}" for d in range(1, 32) for m in (1, 2, 9, 11, 12) for y in (1900, 2024)} | {f"{m:02}/{d:02}/{y}" for d in range(1, 32) for m in (1, 2, 9, 10, 12) for y in (1950, 2099)}
+    values |= {f"{d:02}.{m}.{y}" for d in range(1, 32) for m in (3, 12) for y in (2001,)} | {f"2{rng.randrange(100):03}-{m:02}-{d:02}" for m in range(1, 13) for d in (1, 28, 31)}
+    values |= {f"{rng.randrange(1000):03}-{rng.randrange(100):02}-{rng.randrange(10_000):04}" for _ in range(900)}
+    values = sorted(values)
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").repartition(4)
+    moved = pseudonyms.pseudonymize(docs, "k").cache()
+    got = {r.doc_id: r for r in moved.collect()}
+    assert all(len(got[i].text) == len(v) and re.sub("[0-9]", "9", got[i].text) == re.sub("[0-9]", "9", v) for i, v in enumerate(values))
+    changed = [i for i in range(len(values)) if got[i].n_pseudonyms]
+    assert len(changed) > 1200 and len({got[i].text for i in changed}) == len(changed)
+    assert not any(re.search("^(000|666|9)..-|-00-|-0000$", got[i].text) for i in changed if values[i].count("-") == 2 and len(values[i]) == 11)
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymize(moved.drop("n_pseudonyms"), "k", inverse=True).collect()}
+    assert [back[i] for i in range(len(values))] == values
+
+
+def test_a_written_date_is_permuted_within_its_format(spark):
+    """All dates of a format have different pseudonyms, which are all dates of the format."""
+    rows = [(f"{m:02}/{d:02}/{y}",) for y in range(1900, 1940) for m in range(1, 13) for d in range(1, 29)]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame(rows, "v string").repartition(4).select("v", pseudonyms._written_date(F.col("v"), "k", False).alias("p")).collect()
+    assert len({r.p for r in got}) == len(rows)
+    assert all((int(r.v[:2]) > 12 or int(r.v[3:5]) <= 12) == (int(r.p[3:5]) <= 12) for r in got)
+
+
 def test_number_permutation_is_a_bijection(spark):
     from pyspark.sql import functions as F
 
@@ -283,38 +350,6 @@ def test_number_permutation_is_a_bijection(spark):
     assert (moved.d, moved.low, moved.high) == (n, 0, n - 1)
 
 
-# -- pages -----------------------------------------------------------------------------------------------------------
-
-
-def page(title, paragraphs, extra=""):
-    body = "".join(f"<p>{x}" for x in paragraphs)
-    return f"<!doctype html><html><head><title>{title}</title><script>var a='</p>';</script></head><body><div><ul><li>Home<li>About us</ul></div><div class=box>{extra}<h1>{title}</h1>{body}<p>Always the same line</div><div>All rights reserved</div><footer>f</footer></body></html>"
-
-
-def test_wrapper_removes_what_a_host_repeats(spark):
-    rows = [(i, "http://a.example/x", page(f"Title {i}", [f"{prose(i, 20)} &eacute;&amp;", prose(50 + i, 30).replace(" ", "\n ")])) for i in range(6)]
-    rows += [(6, None, "<article><h1>T</h1><p>One<br>two <b>three</b><nav>menu</nav><p>four<div class='comments'>c</div></article>"), (7, "http://a.example/y", None), (8, "no host", ""), (9, "http://b.example", "plain text")]
-    got = {r.page_id: r["_main_text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'m' AS main_text"), keep=("page_id", "main_text")).collect()}
-    for i in range(6):
-        assert got[i] == "\n".join([f"Title {i}", prose(i, 20) + " é&", prose(50 + i, 30)])
-    assert (got[6], got[7], got[8], got[9]) == ("T\nOne two three\nfour", "", "", "plain text")
-
-
-def test_copies_of_a_page_vote_once(spark):
-    bodies = [f"<p>{prose(500 + i, 60)}<p>Repeated line of the host.<p>{prose(600 + i, 60)}" for i in range(6)]
-    htmls = [f"<html><body><div><article>{b}</article></div></body></html>" for b in bodies]
-    first = min(htmls, key=lambda h: hashlib.md5(h.encode()).hexdigest())
-    rows = [(i, "http://a.example/x", h) for i, h in enumerate(htmls + [first] * 12)]
-    got = {r.page_id: r.main_text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(got) == 18 and not any("Repeated line" in t for t in got.values()) and all(t.split()[0] in WORDS for t in got.values())
-
-
-def test_matching_pairs_the_most_nodes():
-    a, b = html_extraction.parse("<div><p>1<p>2<ul><li>x</ul></div>"), html_extraction.parse("<div><ul><li>x</ul><p>1</div>")
-    pairs = html_extraction.align(a[0], b[0])
-    assert len(pairs) == 5 and all(a[i].tag == b[j].tag for i, j in pairs.items())
-
-
 # -- models ----------------------------------------------------------------------------------------------------------
 
 
@@ -393,10 +428,41 @@ def test_training_reads_every_subword(spark):
         rows.append(row)
         targets.append(target)
     p = language_model.train(p, np.concatenate(rows), np.concatenate(targets))
-    got = language_model.train_distributed(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), path, classes, end)
+    got = language_model.train_distributed(spark.createDataFrame([(0, t) for t in texts], "block int, text string").coalesce(1), path, classes, end)
     assert np.allclose(language_model.pack(got), language_model.pack(p), atol=1e-4)
 
 
+def test_the_model_is_a_function_of_the_corpus(spark, monkeypatch):
+    """Other partitions and another order give the same scores; a hot text is spread over blocks; rows stay whole."""
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 20_000)
+    path = vocabulary_path("word_bpe_49k.json")
+    rows = [(i, prose(i, 120)) for i in range(90)] + [(7, prose(7, 120))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted((r.doc_id, r.score) for r in language_model.score(docs.repartition(5), path).collect())
+    two = sorted((r.doc_id, r.score) for r in language_model.score(docs.orderBy("text").coalesce(2), path).collect())
+    assert len(one) == len(rows) and np.allclose([s for _, s in one], [s for _, s in two], rtol=1e-4)
+    monkeypatch.setattr(language_model, "REPEATS", 10)
+    hot = spark.createDataFrame([(1, "same words again")] * 600, "doc_id long, text string")
+    assert language_model.dealt(hot, 8).select("block").distinct().count() == 8
+    assert {r.score for r in language_model.score(hot, path).collect()}.__len__() == 1
+
+
+def test_the_network_beats_the_unigram_on_unseen_text(spark):
+    """Where the next word follows from the one before, held-out text is likelier than under the word counts."""
+    path, rng = vocabulary_path("word_bpe_49k.json"), random.Random(3)
+
+    def chained(n):
+        at, out = rng.randrange(30), []
+        for _ in range(n):
+            out.append(("the", "of", "and", "to", "in", "is", "was", "for", "on", "with", "as", "by", "at", "from", "it", "an", "be", "this", "that", "are", "or", "his", "her", "not", "but", "have", "had", "they", "you", "which")[at])
+            at = (at * 7 + 3 + (rng.random() < 0.15)) % 30
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, chained(400)) for i in range(400)], "doc_id long, text string").repartition(2)
+    held = [r for r in language_model.score(docs, path).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.93 * sum(r.base_score for r in held)
+
+
 def test_attention_scores_each_subword_once_and_sums_to_one():
     rng = np.random.default_rng(0)
     p = language_model.start_parameters()
@@ -423,6 +489,6 @@ def test_training_gradients_lower_the_loss():
 
     p = language_model.start_parameters()
     before = loss(p)
-    for _ in range(10):
+    for _ in range(60):
         p = language_model.train(p, rows, targets)
     assert loss(p) < 0.7 * before
