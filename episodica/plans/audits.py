@@ -440,8 +440,8 @@ def m18_source_regimes(spark, sf_dir):
 
 @query("WITH " + FEATURES_SQL + "," + MEMBERS_SQL + """, f AS (SELECT user_id, value AS c FROM feats WHERE feature = 'mean'), q AS (SELECT f.* FROM f JOIN episodes USING (user_id) WHERE label > 0),
 k AS (SELECT user_id, f.c, s.value AS s FROM f JOIN feats s USING (user_id) JOIN parts USING (user_id) WHERE partition = 'calibration' AND s.feature = 'total_variation'),
-n AS (SELECT q.user_id, s, row_number() OVER (PARTITION BY q.user_id ORDER BY abs(k.c - q.c), k.user_id) AS near FROM q, k), r AS (SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s) AS place FROM n WHERE near <= 10)
-SELECT user_id, round(s, 6) AS threshold FROM r WHERE place = 10""")
+n AS (SELECT q.user_id, s, row_number() OVER (PARTITION BY q.user_id ORDER BY abs(k.c - q.c), k.user_id) AS near FROM q, k), r AS (SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s) AS place, count(*) OVER (PARTITION BY user_id) AS k FROM n WHERE near <= 10)
+SELECT user_id, round(s, 6) AS threshold FROM r WHERE place = least(10, k)""")
 def st17_context_conditional(spark, sf_dir):
     """The threshold of each anomalous user from the ten calibration users of the nearest mean; the score is the total variation."""
     wide = study.wide_features(spark, sf_dir).select("user_id", F.col("value__mean").alias("context"), F.col("value__total_variation").alias("score"))

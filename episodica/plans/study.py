@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import detectors, features, membership
 
 SEEDS = (0, 1, 2, 3, 4)
@@ -29,26 +30,44 @@ def long_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.long_features(wide_features(spark, sf_dir), "user_id").select("user_id", F.col("statistic").alias("feature"), "value")
 
 
-def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user with its label: a fifth of them are anomalous, of three kinds."""
-    users = events(spark, sf_dir).select("user_id").distinct()
+def labelled(users: DataFrame) -> DataFrame:
+    """Users with their labels: a fifth of them are anomalous, of three kinds."""
     return users.withColumn("label", F.when(F.col("user_id") % 5 == 0, 1 + F.expr("user_id div 5") % 3).otherwise(0).cast("long"))
 
 
+def dealt(labels: DataFrame) -> DataFrame:
+    return membership.fixed_partitions(labels.where("label = 0"), "user_id", 0.3, 0.25)
+
+
+def drawn(parts: DataFrame) -> DataFrame:
+    return membership.nested_commissioning(parts.where("partition = 'reservoir'"), "user_id", SEEDS, SIZES)
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user of the telemetry with its label."""
+    return labelled(events(spark, sf_dir).select("user_id").distinct())
+
+
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership.fixed_partitions(episodes(spark, sf_dir).where("label = 0"), "user_id", 0.3, 0.25)
+    return dealt(episodes(spark, sf_dir))
 
 
 def commissioning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership.nested_commissioning(partitions(spark, sf_dir).where("partition = 'reservoir'"), "user_id", SEEDS, SIZES)
+    return drawn(partitions(spark, sf_dir))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """detector, commissioning_n, seed, user_id, partition, label, score."""
-    long = long_features(spark, sf_dir)
-    statistics = detectors.run_statistics(long, commissioning(spark, sf_dir), "user_id", ["seed", "commissioning_n"])
-    scored = partitions(spark, sf_dir).where("partition <> 'reservoir'").select("user_id", "partition", F.lit(0).cast("long").alias("label"))
-    roles = scored.unionByName(episodes(spark, sf_dir).where("label > 0").select("user_id", F.lit("anomaly").alias("partition"), "label"))
+    """detector, commissioning_n, seed, user_id, partition, label, score.
+
+    The telemetry is read once, for its features; partitions and statistics follow from the feature table.
+    """
+    wide = cut(wide_features(spark, sf_dir))
+    long = features.long_features(wide, "user_id").select("user_id", F.col("statistic").alias("feature"), "value")
+    labels = labelled(wide.select("user_id"))
+    parts = cut(dealt(labels))
+    statistics = detectors.run_statistics(long, drawn(parts), "user_id", ["seed", "commissioning_n"])
+    scored = parts.where("partition <> 'reservoir'").select("user_id", "partition", F.lit(0).cast("long").alias("label"))
+    roles = scored.unionByName(labels.where("label > 0").select("user_id", F.lit("anomaly").alias("partition"), "label"))
     cells = len(SEEDS) * len(SIZES) * len(features.STATISTICS)
     both = detectors.diagonal_scores(long.join(roles.select("user_id"), "user_id"), statistics, "user_id", ["seed", "commissioning_n"], cells)
     return both.join(roles, "user_id").select(*RUN, "user_id", "partition", "label", "score")
