@@ -30,12 +30,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item; null and empty texts have none and stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.with_matches(docs, benchmark).where(F.size("matches") == 0).drop("matches")
+    found = decontamination.with_matches(docs, benchmark)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced by pseudonyms; the character count follows the text and is null for a null text."""
-    return pseudonyms.pseudonymize(docs, pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long")).drop("n_pseudonyms")
+    return pseudonyms.pseudonymize(docs, pseudonym_key(spark)).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
