@@ -101,7 +101,7 @@ class _Class:
     prints: np.ndarray  # of all windows of the class's items
     item: np.ndarray
     offset: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each block: values that occur, sorted values, their windows
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each block: a bit for each value that occurs, sorted values, their windows
 
 
 def _block(prints: np.ndarray, k: int) -> np.ndarray:
@@ -115,6 +115,7 @@ class Index:
     def __init__(self, items: list[np.ndarray]):
         self.items = items
         self.shingles = [shingle_hashes(x) for x in items]
+        self.counted = [np.unique(x, return_counts=True) for x in self.shingles]
         rows: dict[int, list[tuple[np.ndarray, int]]] = {}
         for i, x in enumerate(items):
             if len(x):
@@ -135,7 +136,7 @@ class Index:
                 order = np.argsort(value, kind="stable")
                 occurs = np.zeros(1 << SPANS[k][1], bool)
                 occurs[value] = True
-                tables.append((occurs, value[order], order))
+                tables.append((np.packbits(occurs, bitorder="little"), value[order], order))
             self.classes.append(_Class(w, p, np.concatenate(item), np.concatenate(offset), tables))
 
     @staticmethod
@@ -166,7 +167,7 @@ class Index:
             prints = fingerprints(levels[size], at, count)
             for k, (occurs, values, windows) in enumerate(c.tables):
                 value = _block(prints, k)
-                hit = np.flatnonzero(occurs[value])
+                hit = np.flatnonzero(occurs[value >> 3] >> (value & 7) & 1)
                 first, last = (np.searchsorted(values, value[hit], side) for side in ("left", "right"))
                 size_of = last - first
                 w = np.repeat(hit, size_of)
@@ -178,24 +179,53 @@ class Index:
         return np.unique(np.concatenate(found), axis=0)
 
     def verified(self, words: np.ndarray, item: int, start: int) -> tuple[float, int, int]:
-        """Best similarity near ``start`` in one document's words, with its first word and number of words."""
+        """Best similarity near ``start`` in one document's words, with its first word and number of words.
+
+        Of the spans whose ends lie at most the tolerated words off, ties go to the least shift, then to the item's length.
+        """
         length, slack = len(self.items[item]), max(1, tolerated(len(self.items[item])))
-        of = lambda a, b: weighted_jaccard(shingle_hashes(words[max(a, 0) : b]), self.shingles[item])
-        best = (-1.0, 0, 0)
-        for shift in sorted(range(-slack, slack + 1), key=abs):
-            a, b = start + shift, start + shift + length
-            if b > 0 and a < len(words):
-                best = max(best, (of(a, b), -abs(shift), a))
+        firsts = sorted((a for a in range(max(start - slack, 0), start + slack + 1) if a < len(words)), key=lambda a: (abs(a - start), a))
+        best = (0.0, 0, 0)
+        if length < SHINGLE:
+            for a in firsts:
+                value = weighted_jaccard(shingle_hashes(words[a : a + length]), self.shingles[item])
+                best = max(best, (value, a, len(words[a : a + length])), key=lambda x: x[0])
+            return best
+        low, high = max(start - slack, 0), min(start + length + slack, len(words))
+        if high - low < SHINGLE:
+            return best
+        shingles, wanted, most, whole = shingle_hashes(words[low:high]), *self.counted[item], len(self.shingles[item])
+        kind = np.searchsorted(wanted, shingles)
+        kind[kind == len(wanted)] = 0
+        known = np.flatnonzero(wanted[kind] == shingles)
+        if not len(known):
+            return best
+        kind = kind[known]
+        # The how-manieth of its kind each known shingle is, from the region's first on.
+        order = np.argsort(kind, kind="stable")
+        new = np.r_[True, kind[order][1:] != kind[order][:-1]]
+        nth = np.empty(len(kind), np.int64)
+        nth[order] = np.arange(len(kind)) - np.maximum.accumulate(np.where(new, np.arange(len(kind)), 0))
+        ends = np.arange(SHINGLE, high - low + 1)
+        for a in firsts:
+            skipped = np.searchsorted(known, a - low)
+            before = np.bincount(kind[:skipped], minlength=len(wanted))
+            # Each counts as long as the span has no more of its kind than the item.
+            counts = (nth[skipped:] - before[kind[skipped:]]) < most[kind[skipped:]]
+            both = np.zeros(len(shingles) + 1, np.int64)
+            both[known[skipped:] + 1] = counts
+            both = np.cumsum(both)[1:]
+            b = ends[(ends - (a - low) >= SHINGLE) & (np.abs(ends + low - start - length) <= slack)]
+            if not len(b):
+                continue
+            shared = both[b - SHINGLE]
+            value = shared / (b - (a - low) - SHINGLE + 1 + whole - shared)
+            k = np.lexsort((np.abs(b - (a - low) - length), -value))[0]
+            if value[k] > best[0]:
+                best = (float(value[k]), a, int(b[k]) - (a - low))
             if best[0] == 1.0:
                 break
-        value, a = best[0], best[2]
-        end = min(a + length, len(words))
-        if 0.5 <= value < 1.0:  # inserted or lost words: the passage may be longer or shorter
-            ends = [(x, y) for x in range(a - slack, a + slack + 1) for y in range(a + length - slack, a + length + slack + 1)]
-            for x, y in ends:
-                if 0 <= x < y <= len(words) and (v := of(x, y)) > value:
-                    value, a, end = v, x, y
-        return value, max(a, 0), end - max(a, 0)
+        return best
 
 
 def _search(index: Index, column: pa.ListArray) -> list[list[tuple[int, float, int, int]]]:
