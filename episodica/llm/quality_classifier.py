@@ -104,7 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rated = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("rated_id")).agg(F.min(F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(LABELLED)
     joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("rated_id")).select("grade", "text")
-    drawn = _features(joined.orderBy(F.xxhash64("text"), "grade").limit(2 * LABELLED), "text", "slots").select("grade", "slots").toArrow().combine_chunks()
+    # A text's features are bounded by SLOTS, the text is not.
+    features = _features(joined, "text", "slots").select("grade", "slots", F.xxhash64("text").alias("luck"))
+    drawn = features.orderBy("luck", "grade").limit(2 * LABELLED).select("grade", "slots").toArrow().combine_chunks()
     if not drawn.num_rows:
         return None
     column = pa.concat_arrays(drawn.column("slots").chunks)
