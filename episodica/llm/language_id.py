@@ -28,6 +28,7 @@ WIDTHS = (2, 3, 4, 5)
 FILTERS = 16
 #: Bound of the training sample: texts of each language (about) and windows of each text.
 DOCS_PER_LANGUAGE = 400
+MOST_LANGUAGES = 500
 WINDOWS_PER_DOC = 4
 EPOCHS = 6
 BATCH = 64
@@ -144,15 +145,20 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> ByteNetwork | None:
     """A network fitted on a bounded sample of ``labelled``; None if there is nothing to learn from."""
     known = labelled.select(F.col(text).alias("text"), F.col(language).cast("string").alias("lang")).where("lang is not null and text is not null and length(text) > 0")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # one row for each language
-    luck = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    span = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda k: F.substring("text", (1 + F.floor(span * k / (WINDOWS_PER_DOC - 1))).cast("int"), F.lit(WINDOW)))
-    drawn = known.join(F.broadcast(counts), "lang").where(luck < F.lit(float(DOCS_PER_LANGUAGE)) / F.col("n"))
-    languages = sorted(r["lang"] for r in counts.collect())
+    named = known.withColumn("h", F.xxhash64("text"))
+    # Copies of a text count once, so that no hot text crowds out others.
+    counts = [r for r in named.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()]
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(r["lang"] for r in counts)
     if not languages:
         return None
-    rows = drawn.select("lang", luck.alias("luck"), F.array_distinct(pieces).alias("pieces")).sort("luck", "lang", "pieces").limit(2 * DOCS_PER_LANGUAGE * len(languages)).collect()
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], DOCS_PER_LANGUAGE / max(r["n"], 1))])
+    luck = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    span = F.greatest(F.length("text") - WINDOW, F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda k: F.substring("text", (1 + F.floor(span * k / (WINDOWS_PER_DOC - 1))).cast("int"), F.lit(WINDOW)))
+    drawn = named.where(luck < share[F.col("lang")]).groupBy("lang", "h").agg(F.min(F.array_distinct(pieces)).alias("pieces"))
+    rows = drawn.sort(F.pmod("h", F.lit(1 << 40)), "lang").limit(2 * DOCS_PER_LANGUAGE * len(languages)).collect()
     x = [(p.encode()[:WINDOW].ljust(WINDOW, b"\0"), languages.index(r["lang"])) for r in rows for p in r["pieces"] if p]
     if not x:
         return None
