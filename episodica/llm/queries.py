@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding
@@ -96,9 +96,52 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_pseudonyms")
 
 
+# -- the parts of the results that SQL can express -------------------------------------------------------------------
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1: rows and last slot of each shard, and the bytes of all."""
+    out = op1_sharding(spark, sf_dir)
+    per_shard = out.groupBy("shard").agg(F.count("*").alias("n_rows"), F.count_distinct("slot").alias("n_slots"), F.max("slot").alias("last_slot"), F.sum("size").alias("size"))
+    return per_shard.select(F.col("shard").cast("long").alias("shard"), "n_rows", "n_slots", "last_slot", F.sum("size").over(Window.partitionBy()).alias("all_bytes"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5: the counts of every document and the base verdict."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def unigram_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9: the counts of every document and its score under the word counts."""
+    return op9_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+_SHARDS_SQL = """WITH t AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS b FROM documents), s AS (SELECT unnest(range(0, 8)) AS shard)
+SELECT shard, (n + 7 - shard) // 8 AS n_rows, (n + 7 - shard) // 8 AS n_slots, (n + 7 - shard) // 8 - 1 AS last_slot, b AS all_bytes FROM s, t WHERE (n + 7 - shard) // 8 > 0"""
+
+_WORD_SQL = r"[^\x20\x09-\x0D]"
+
+_COUNTS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD_SQL}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD_SQL}')) AS l FROM d),
+i AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8), k AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 7], ' ')) AS n FROM i),
+p AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM k, (SELECT unnest(range(0, 8)) AS o) WHERE n > 1 GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN p USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c"""
+
+#: The check sum of the id's text, a byte and then a bit at a time.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+_UNIGRAM_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC_SQL} % 5 = 1 AS held_out, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+k AS (SELECT r, held_out, unnest(list_append(regexp_extract_all(t, '{_WORD_SQL}+'), '<end of text>')) AS w FROM d), c AS (SELECT w, count(*) AS c FROM k WHERE NOT held_out GROUP BY w),
+s AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c), x AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, fsum(log10(coalesce(c, 0) + 0.5) - log10(n + 0.5 * (v + 1))) AS b FROM k LEFT JOIN c USING (w), s GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(b, 6) AS base_score FROM d JOIN x USING (r), s"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_near_duplicates, op8_language_id, op9_language_model, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_near_duplicates, op8_language_id, op9_language_model, op10_pseudonyms, shard_counts, quality_base_counts, unigram_base_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"shard_counts": _SHARDS_SQL, "quality_base_counts": _COUNTS_SQL, "unigram_base_scores": _UNIGRAM_SQL}
