@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import correlation, median, robust_z
+from ..functions.linalg import fisher_exact, ks_exact
 from ..functions.lineage import cut
 from .order import average_ranks, cumulated, quantiles
 
@@ -167,3 +171,39 @@ def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
 def linear_agreement(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept and R2 of y on x, and the median ratio y / x."""
     return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), median(F.when(F.col(x) != 0, F.col(y) / F.col(x))).alias("median_ratio"))
+
+
+def score_equivalence(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """``r2``, ``spearman``, ``discordant`` pairs, and whether all three say that the scores are equivalent."""
+    fit = rows.groupBy(*keys).agg(F.regr_r2(y, x).alias("r2"))
+    ranks = correlations(rows, keys, x, y).select(*keys, "spearman")
+    pairs = kendall(rows, keys, x, y).select(*keys, "pairs", "discordant")
+    few = F.col("discordant") <= F.greatest(F.lit(1.0), 0.001 * F.col("pairs"))
+    return fit.join(ranks, keys).join(pairs, keys).select(*keys, "r2", "spearman", "discordant", ((F.col("r2") >= 0.9999) & (F.col("spearman") >= 0.999) & few).alias("equivalent"))
+
+
+def with_exact_ks(distances: DataFrame) -> DataFrame:
+    """Rows with ``n_first``, ``n_second`` and ``ks``, and their exact ``ks_p``; a row's cost is the product of its sizes."""
+    added = T.StructType([*distances.schema.fields, T.StructField("ks_p", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, d = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_first", "n_second", "ks"))
+            p = [None if x is None or not a or not b else ks_exact(a, b, x) for a, b, x in zip(n, m, d, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "ks_p"])
+
+    return distances.mapInArrow(run, added)
+
+
+def fisher(rows: DataFrame, keys: list[str], first: Column, second: Column) -> DataFrame:
+    """``keys``, the four counts of two conditions and Fisher's exact two-sided ``p``."""
+    of = lambda a, b: F.count_if((first if a else ~first) & (second if b else ~second))
+    counts = rows.groupBy(*keys).agg(of(True, True).alias("both"), of(True, False).alias("first_only"), of(False, True).alias("second_only"), of(False, False).alias("neither"))
+    added = T.StructType([*counts.schema.fields, T.StructField("p", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = zip(*(c.to_pylist() for c in batch.columns[-4:]), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fisher_exact(*c) for c in cells], pa.float64())], names=[*batch.schema.names, "p"])
+
+    return counts.mapInArrow(run, added)

@@ -473,6 +473,44 @@ def st13_count_grid(spark, sf_dir):
     return best.select(*RUN, "allowed", "target", "max_recall", (F.col("max_recall") >= F.col("target") - 1e-12).alias("feasible"))
 
 
+_PAIRED_SQL = MARKED_SQL + ", w AS (SELECT commissioning_n, seed, user_id, max(CASE WHEN detector = 'Diagonal' THEN score END) AS d, max(CASE WHEN detector = 'RobustDiagonal' THEN score END) AS r FROM m GROUP BY ALL)"
+
+
+@query("WITH " + _PAIRED_SQL + """, k AS (SELECT commissioning_n, seed, count(*) AS pairs, count(*) FILTER ((x.d - y.d) * (x.r - y.r) < 0) AS discordant FROM w x JOIN w y USING (commissioning_n, seed) WHERE x.user_id < y.user_id GROUP BY ALL),
+q AS (SELECT *, rank() OVER (PARTITION BY commissioning_n, seed ORDER BY d) + (count(*) OVER (PARTITION BY commissioning_n, seed, d) - 1) / 2.0 AS rd, rank() OVER (PARTITION BY commissioning_n, seed ORDER BY r) + (count(*) OVER (PARTITION BY commissioning_n, seed, r) - 1) / 2.0 AS rr FROM w),
+e AS (SELECT commissioning_n, seed, regr_r2(r, d) AS r2, corr(rd, rr) AS spearman FROM q GROUP BY ALL)
+SELECT CAST(commissioning_n AS BIGINT) AS commissioning_n, CAST(seed AS BIGINT) AS seed, round(r2, 6) AS r2, round(spearman, 6) AS spearman, discordant, r2 >= 0.9999 AND spearman >= 0.999 AND discordant <= greatest(1, 0.001 * pairs) AS equivalent FROM e JOIN k USING (commissioning_n, seed)""")
+def st7_score_equivalence(spark, sf_dir):
+    """Whether two detectors order and scale the same: fit, rank correlation and discordant pairs together."""
+    of = lambda d: F.max(F.when(F.col("detector") == d, F.col("score")))
+    both = cut(marked(spark, sf_dir).groupBy("commissioning_n", "seed", "user_id").agg(of("Diagonal").alias("d"), of("RobustDiagonal").alias("r")))
+    return distribution.score_equivalence(both, ["commissioning_n", "seed"], "d", "r")
+
+
+@query("WITH " + FEATURES_SQL + "," + MEMBERS_SQL + """, f AS (SELECT feature, value, label > 0 AS a FROM feats JOIN episodes USING (user_id) WHERE value IS NOT NULL),
+p AS (SELECT x.feature, avg(CASE WHEN x.value > y.value THEN 1.0 WHEN x.value = y.value THEN 0.5 ELSE 0 END) AS p FROM f x JOIN f y USING (feature) WHERE x.a AND NOT y.a GROUP BY 1)
+SELECT feature, round(p, 6) AS auroc, round(greatest(p, 1 - p), 6) AS oriented_auroc FROM p""")
+def st22_oriented_auroc(spark, sf_dir):
+    """How well each feature alone separates anomalous users, in its better direction."""
+    rows = study.long_features(spark, sf_dir).join(study.episodes(spark, sf_dir), "user_id").where("value is not null")
+    found = audits.superiority(rows.select("feature", F.col("value").alias("score"), (F.col("label") > 0).alias("anomalous")), ["feature"], F.col("anomalous"))
+    return found.select("feature", F.col("superiority").alias("auroc"), F.greatest("superiority", 1 - F.col("superiority")).alias("oriented_auroc"))
+
+
+@query()
+def st18_exact_ks(spark, sf_dir):
+    """The exact p-value beside the distance, as the reference's small samples have it."""
+    pooled = study.scores(spark, sf_dir).where("partition in ('calibration', 'evaluation')").withColumn("second", F.col("partition") == "evaluation")
+    return distribution.with_exact_ks(distribution.two_sample(pooled, RUN, "score", "second").select(*RUN, "n_first", "n_second", "ks"))
+
+
+@query()
+def st21_fisher(spark, sf_dir):
+    """Exact p-values of return flag R against a quantity above 25, by the supplier's nation."""
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return distribution.fisher(joined, ["s_nationkey"], F.col("l_returnflag") == "R", F.col("l_quantity") > 25)
+
+
 # -- further detectors over matrices (no SQL: checked against numpy in the tests) -------------------------------------
 
 

@@ -147,22 +147,22 @@ def a1_episode_features(spark, sf_dir):
     return study.long_features(spark, sf_dir)
 
 
-@query("""SELECT l_partkey, count(*) AS length, max(greatest(abs(l_quantity), abs(l_tax))) AS abs_max, round((avg(l_quantity) + avg(l_tax)) / 2, 6) AS global_mean,
+@query("""WITH steps AS (SELECT l_partkey, abs(l_quantity - lag(l_quantity) OVER w) AS q, abs(l_tax - lag(l_tax) OVER w) AS t FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_tax)),
+v AS (SELECT l_partkey, coalesce(sum(q), 0) + coalesce(sum(t), 0) AS tv FROM steps GROUP BY 1) SELECT lineitem.l_partkey, round(any_value(tv), 6) AS tv_sum, round(any_value(tv) / 2, 6) AS tv_mean, count(*) AS length, max(greatest(abs(l_quantity), abs(l_tax))) AS abs_max, round((avg(l_quantity) + avg(l_tax)) / 2, 6) AS global_mean,
 round(sqrt(greatest((var_pop(l_quantity) + avg(l_quantity) * avg(l_quantity) + var_pop(l_tax) + avg(l_tax) * avg(l_tax)) / 2 - ((avg(l_quantity) + avg(l_tax)) / 2) * ((avg(l_quantity) + avg(l_tax)) / 2), 0)), 6) AS global_std,
-round((stddev_pop(l_quantity) + stddev_pop(l_tax)) / 2, 6) AS channel_std_mean, round(greatest(stddev_pop(l_quantity), stddev_pop(l_tax)), 6) AS channel_std_max FROM lineitem GROUP BY 1""")
+round((stddev_pop(l_quantity) + stddev_pop(l_tax)) / 2, 6) AS channel_std_mean, round(greatest(stddev_pop(l_quantity), stddev_pop(l_tax)), 6) AS channel_std_max FROM lineitem JOIN v ON v.l_partkey = lineitem.l_partkey GROUP BY 1""")
 def a2_cycle_scalars(spark, sf_dir):
-    out = features.cycle_scalars(table(spark, sf_dir, "lineitem"), "l_partkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"], ["l_quantity", "l_tax"])
-    return out.drop("tv_sum", "tv_mean")
+    return features.cycle_scalars(table(spark, sf_dir, "lineitem"), "l_partkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_tax"], ["l_quantity", "l_tax"])
 
 
 @query("""WITH r AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_type, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS step, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END AS new_segment
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) AS row_count, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, count(*) FILTER (step < 0) AS steps_back, count(*) FILTER (step = 0) AS steps_zero, count(*) FILTER (step > 0) AS steps_forward,
-round(avg(step) FILTER (step > 0), 3) AS mean_step, round(min(step) FILTER (step > 0), 3) AS min_step, round(max(step) FILTER (step > 0), 3) AS max_step, CAST(sum(new_segment) AS BIGINT) AS label_segments, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS labels FROM r GROUP BY user_id""")
+round(avg(step) FILTER (step > 0), 3) AS mean_step, round(stddev_pop(step) FILTER (step > 0), 3) AS std_step, round(min(step) FILTER (step > 0), 3) AS min_step, round(max(step) FILTER (step > 0), 3) AS max_step, CAST(sum(new_segment) AS BIGINT) AS label_segments, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS labels FROM r GROUP BY user_id""")
 def a3_episode_inventory(spark, sf_dir):
     timed = events(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    out = features.episode_inventory(timed, "user_id", "t", ["ts", "event_id"], "event_type").drop("std_step")
-    return out.withColumns({c: F.round(c, 3) for c in ("mean_step", "min_step", "max_step")})
+    out = features.episode_inventory(timed, "user_id", "t", ["ts", "event_id"], "event_type")
+    return out.withColumns({c: F.round(c, 3) for c in ("mean_step", "std_step", "min_step", "max_step")})
 
 
 def _profile_sql(c: str) -> str:

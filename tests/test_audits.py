@@ -78,6 +78,15 @@ def test_exact_ks_against_all_arrangements():
         assert np.isclose(L.ks_exact(n, m, d), np.mean(np.array(distances) >= d - 1e-12))
 
 
+def test_fisher_against_all_tables():
+    from math import comb
+
+    for a, b, c, d in ((3, 1, 1, 3), (8, 2, 1, 5), (0, 4, 5, 2), (0, 0, 3, 4)):
+        row, column, n = a + b, a + c, a + b + c + d
+        chance = {k: comb(row, k) * comb(n - row, column - k) / comb(n, column) for k in range(max(0, row + column - n), min(row, column) + 1)}
+        assert np.isclose(L.fisher_exact(a, b, c, d), sum(p for p in chance.values() if p <= chance[a] * (1 + 1e-7)))
+
+
 def test_precisions():
     rng = np.random.default_rng(3)
     s = np.cov(rng.normal(size=(400, 6)), rowvar=False)
