@@ -276,6 +276,21 @@ def healthy_contexts(rows: DataFrame, runs: list[str], k: int) -> DataFrame:
     return rows.where("role = 'target'").groupBy(*runs).applyInPandas(fit, schema)
 
 
+def precision_supports(rows: DataFrame, runs: list[str], penalty: float) -> DataFrame:
+    """``metric``, ``value`` for each run: edges of the graphical lasso and of CLIME over its healthy rows, and their overlap."""
+    schema = ", ".join([f"{c} {t}" for c, t in rows.select(*runs).dtypes] + ["metric string, value double"])
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = standardized(np.array(part.sort_values("episode", kind="stable")["v"].tolist(), float))[0]
+        cov = L.shrunk_covariance(x)[1]
+        lasso, clime = L.sparse_precision(cov, penalty), L.constrained_precision(cov, penalty)
+        shared = L.support_metrics(clime, np.where(np.abs(lasso) > 1e-3, lasso, 0))
+        found = {"lasso_edges": L.support_metrics(lasso, lasso)["edges"], "clime_edges": shared["edges"], "shared_f1": shared["edge_f1"], "lasso_risk": L.gaussian_risk(x, lasso)}
+        return pd.DataFrame({**dict(zip(runs, key, strict=True)), "metric": list(found), "value": list(found.values())})
+
+    return rows.where("role = 'target'").groupBy(*runs).applyInPandas(fit, schema)
+
+
 def stable_graph(rows: DataFrame, runs: list[str], penalties: tuple[float, ...]) -> DataFrame:
     """``a`` < ``b``, ``stability`` and ``penalty`` of the edges that each run's healthy rows hold under resampling."""
     schema = ", ".join([f"{c} {t}" for c, t in rows.select(*runs).dtypes] + ["a int, b int, stability double, penalty double"])

@@ -153,3 +153,10 @@ def elevation_flags(runs: DataFrame, keys: list[str], value: str, recall: str, f
 def replace_member(members: DataFrame, entity: str, removed: int | Column, replacement: int) -> DataFrame:
     """A same-size intervention: one member's place goes to another."""
     return members.withColumn(entity, F.when(F.col(entity) == removed, F.lit(replacement)).otherwise(F.col(entity)))
+
+
+def against_reference(runs: DataFrame, keys: list[str], size: str, reference_size: int, value: str, factor: float = 10.0) -> DataFrame:
+    """Each run's value beside its key's median at the reference size: ratio, and whether it exceeds the factor."""
+    of = runs.where(F.col(size) == reference_size).groupBy(*keys).agg(F.percentile(value, 0.5).alias("reference"))
+    ratio = F.when(F.col("reference") != 0, F.col(value) / F.col("reference"))
+    return runs.join(of, keys).withColumn("ratio", ratio).withColumn("elevated", F.col("ratio") > factor).select(*runs.columns, "reference", "ratio", "elevated")

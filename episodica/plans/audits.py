@@ -549,3 +549,16 @@ def m24_healthy_contexts(spark, sf_dir):
 @query()
 def m14_stable_graph(spark, sf_dir):
     return matrix_detectors.stable_graph(member_rows(spark, sf_dir), ["seed"], (0.02, 0.05, 0.1, 0.2, 0.4, 0.8))
+
+
+@query()
+def m13_precision_supports(spark, sf_dir):
+    return matrix_detectors.precision_supports(member_rows(spark, sf_dir), ["seed"], 0.1)
+
+
+@query("WITH " + RUNS_SQL + f""", k AS (SELECT detector, quantile_cont(threshold, 0.5) AS reference FROM runs WHERE commissioning_n = 50 GROUP BY 1)
+SELECT {_RUN_SQL}, round(threshold, 6) AS threshold, round(reference, 6) AS reference, round(threshold / nullif(reference, 0), 6) AS ratio, threshold / nullif(reference, 0) > 1.1 AS elevated FROM runs JOIN k USING (detector)""")
+def st27_reference_ratio(spark, sf_dir):
+    """Each run's threshold against the median threshold of its detector's largest commissioning size."""
+    r = cut(runs(spark, sf_dir).select(*RUN, "threshold"))
+    return summaries.against_reference(r, ["detector"], "commissioning_n", max(study.SIZES), "threshold", 1.1)

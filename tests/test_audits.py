@@ -101,6 +101,19 @@ def test_precisions():
     assert {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(often, 1)))} == {(i, i + 1) for i in range(4)}
 
 
+@pytest.mark.parametrize("kind", ["chain", "hub", "blocks", "random"])
+def test_synthetic_graphs_are_found_again(kind):
+    truth = L.synthetic_precision(kind, 8, 0.35, seed=1)
+    assert np.linalg.eigvalsh(truth).min() > 0.09
+    x = L.synthetic_rows(truth, 4000, seed=2)
+    cov = np.cov(x, rowvar=False)
+    for found in (L.sparse_precision(cov, 0.03), L.constrained_precision(cov, 0.05)):
+        assert L.support_metrics(found, truth, 0.06)["edge_recall"] > 0.9
+    assert np.abs(np.linalg.inv(cov) - truth).max() < 0.4
+    heavy = L.synthetic_rows(truth, 4000, seed=2, degrees=3)
+    assert np.abs(heavy).max() > 2 * np.abs(x).max()
+
+
 def test_clusters_contributions_and_risk():
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(size=(30, 2)), rng.normal(size=(20, 2)) + 12, rng.normal(size=(10, 2)) - 12])
