@@ -305,7 +305,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """``band``, ``value``, ``key``, ``n`` of the buckets with two nodes or more, and the bucket's ``hub``.
+    """A written table of ``band``, ``value``, ``key``, ``n`` of the buckets with two nodes or more, and the ``hub`` of each.
 
     The hub is the member that meets most others over all bands: an original meets its copies more often than they
     meet each other.
@@ -315,7 +315,9 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     shared = durable(members.join(sizes, ["band", "value"]), "shared")
     met = shared.groupBy("key").agg(F.sum("n").alias("met"))
     hubs = shared.join(met, "key").groupBy("band", "value").agg(F.max(F.struct("met", "key")).alias("h")).select("band", "value", F.col("h.key").alias("hub"))
-    return shared.join(hubs, ["band", "value"])
+    buckets = durable(shared.join(hubs, ["band", "value"]), "buckets")
+    forget(shared)
+    return buckets
 
 
 def star_links(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -410,12 +412,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     copies = keyed.groupBy("key").agg(F.min("id").alias("id"))
     signed = signatures(docs, text).groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     nodes = durable(signed, "nodes")
-    buckets = durable(shared_buckets(nodes), "buckets")
+    buckets = shared_buckets(nodes)
     bodies = durable(bodies_of(docs, buckets, text), "bodies")
     stars = durable(verified_links(bodies, star_links(nodes, buckets)).select("a", "b"), "stars")
     # What the stars join needs no further comparison; the rest of each bucket is compared in tiles.
-    rest = tile_pairs_linked(nodes, bodies, buckets, components(stars))
-    for table in (nodes, buckets, bodies):
+    hubs = components(stars)
+    rest = tile_pairs_linked(nodes, bodies, buckets, hubs)
+    for table in (nodes, buckets, bodies, hubs):
         forget(table)
     linked = components(stars.union(rest))
     for table in (stars, rest):
