@@ -41,7 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of ids and decoded text; a null text counts as empty."""
-    out = bpe.encode_and_decode(docs, vocabulary_path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
+    out = bpe.encode_and_decode(docs, vocabulary_path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), with_decoded=False)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -19,7 +19,9 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from .common import fresh
 LEAF = 16
 #: Chunks that a worker remembers before it sets them aside, and forgets those set aside before.
 CACHE = 150_000
+#: Bytes of text whose outputs a worker holds at once; one text may be longer.
+HELD_BYTES = 1 << 20
 #: Of a chunk: number of ids, ids, tokens as text, joins.
 Piece = tuple[int, bytes, str, int]
 #: Characters that ``str.split`` takes for white space and the vocabulary's pattern does not.
@@ -220,34 +224,54 @@ def coder(path: str) -> BytePairCoder:
     return _CODERS[path]
 
 
-def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False) -> DataFrame:
-    """Columns ``keep`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``n_joins`` and, unless ``digests_only``, ``ids`` and ``decoded``."""
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of ``batch`` with at most ``size`` bytes in the string ``column``, or one row that has more."""
+    ends = np.cumsum([x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests_only: bool = False, with_decoded: bool = True) -> DataFrame:
+    """Columns ``keep`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``n_joins`` and, unless ``digests_only``, ``ids`` and (``with_decoded``) ``decoded``."""
     (source,) = fresh(docs.select(*keep), "source_text")
     given = docs.select(*keep, F.col(text).alias(source))
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_joins", T.LongType())]
     if not digests_only:
-        added += [T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())]
+        added += [T.StructField("ids", T.ArrayType(T.LongType()))] + [T.StructField("decoded", T.StringType())] * with_decoded
     schema = T.StructType([*given.schema.fields[:-1], *added])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(source)
-            counts, ids, decoded, one, two, joins = [], [], [], [], [], []
-            for value in batch.column(at).to_pylist():
-                got = own.pieces(value or "")
-                packed = b"".join([x[1] for x in got])
-                back = "".join([x[2] for x in got])[1:]
-                counts.append(sum([x[0] for x in got]))
-                one.append(hashlib.sha256(packed).hexdigest())
-                two.append(hashlib.sha256(back.encode()).hexdigest())
-                joins.append(sum([x[3] for x in got]))
-                if not digests_only:
-                    ids.append(struct.unpack(f"<{len(packed) // 4}I", packed))
-                    decoded.append(back)
-            columns = [c for k, c in enumerate(batch.columns) if k != at] + [pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), pa.array(joins, pa.int64())]
+        for whole in batches:
+            at = whole.schema.get_field_index(source)
+            for batch in portions(whole, at, HELD_BYTES):
+                yield pa.RecordBatch.from_arrays(outputs(own, batch, at), names=names)
+
+    def outputs(own: BytePairCoder, batch: pa.RecordBatch, at: int) -> list[pa.Array]:
+        counts, ids, decoded, one, two, joins = [], [], [], [], [], []
+        for value in batch.column(at).to_pylist():
+            got = own.pieces(value or "")
+            packed = b"".join([x[1] for x in got])
+            back = "".join([x[2] for x in got])[1:]
+            counts.append(sum([x[0] for x in got]))
+            one.append(hashlib.sha256(packed).hexdigest())
+            two.append(hashlib.sha256(back.encode()).hexdigest())
+            joins.append(sum([x[3] for x in got]))
             if not digests_only:
-                columns += [pa.array(ids, pa.list_(pa.int64())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+                # Packed ids take 4 bytes each until they are a column; as Python's integers they would take 40.
+                ids.append(packed)
+                if with_decoded:
+                    decoded.append(back)
+        columns = [c for k, c in enumerate(batch.columns) if k != at] + [pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), pa.array(joins, pa.int64())]
+        if not digests_only:
+            starts = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            columns.append(pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))))
+            if with_decoded:
+                columns.append(pa.array(decoded, pa.string()))
+        return columns
 
     return given.mapInArrow(run, schema)

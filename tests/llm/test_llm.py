@@ -288,6 +288,34 @@ def test_tree_concatenation_with_small_leaves(leaf):
         assert joins == -(-len(word) // leaf) - 1
 
 
+def test_bpe_holds_a_portion_of_a_batch_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    path, rng = vocabulary_path("word_bpe_49k.json"), random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    texts = [None if i % 500 == 3 else " ".join(rng.choices(words, k=300)) for i in range(4000)] + [" ".join(rng.choices(words, k=300_000)), "", None]
+    docs = table(spark, [""])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = bpe.encode_and_decode(docs, path)
+    own = bpe.coder(path)
+    own.pieces(" ".join(words))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "source_text"])
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch.slice(0, 4000)])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20  # 6 MB of text, whose ids as Python's integers take over 100
+    finally:
+        tracemalloc.stop()
+    rows = [r for out in run(iter([batch.slice(0, 0), batch.slice(3990), batch.slice(7, 5)])) for r in out.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(3990, 4003), *range(7, 12)]
+    for r in rows:
+        n, packed = own.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids"], r["decoded"]) == (n, np.frombuffer(packed, "<u4").tolist(), own.decode(packed))
+
+
 # -- personal data ---------------------------------------------------------------------------------------------------
 
 
