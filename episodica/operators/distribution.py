@@ -183,7 +183,7 @@ def score_equivalence(rows: DataFrame, keys: list[str], x: str, y: str) -> DataF
 
 
 def with_exact_ks(distances: DataFrame) -> DataFrame:
-    """Rows with ``n_first``, ``n_second`` and ``ks``, and their exact ``ks_p``; a row's cost is the product of its sizes."""
+    """Rows with ``n_first``, ``n_second`` and ``ks``, and their exact ``ks_p``; a row costs the product of its sizes and ``ks`` at most, in the memory of one sample."""
     added = T.StructType([*distances.schema.fields, T.StructField("ks_p", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

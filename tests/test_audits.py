@@ -78,6 +78,21 @@ def test_exact_ks_against_all_arrangements():
         assert np.isclose(L.ks_exact(n, m, d), np.mean(np.array(distances) >= d - 1e-12))
 
 
+def test_exact_ks_of_large_samples_holds_one_diagonal():
+    import tracemalloc
+
+    n, m, d = 3000, 2500, 0.03
+    tracemalloc.start()
+    try:
+        p = L.ks_exact(n, m, d)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20  # the grid of all points would take 60 MB
+    finally:
+        tracemalloc.stop()
+    z = 2 * n * m / (n + m) * d * d
+    assert np.isclose(p, 2 * sum((-1) ** (k - 1) * np.exp(-k * k * z) for k in range(1, 20)), atol=0.01) and np.isclose(p, L.ks_exact(m, n, d), rtol=1e-9)
+    assert L.ks_exact(n, m, 1.0) == 0.0 and L.ks_exact(n, m, 0.0) == 1.0 and L.ks_exact(1, 1, 1.0) == 1.0
+
+
 def test_fisher_against_all_tables():
     from math import comb
 
