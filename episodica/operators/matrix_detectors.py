@@ -1,51 +1,78 @@
 """Detectors that need a run's whole matrix: each run is one group of an Arrow-backed pandas function.
 
-A run's rows have ``role`` source, target (commissioning) or query, an ``episode`` and a vector ``v``; a run holds at
-most a few thousand episodes by design of the study, so a group is a few megabytes whatever the telemetry's size.
-Every scorer takes (source, target, query) matrices and returns the queries' scores; larger is more anomalous.
+A run's rows have ``role`` source, target (commissioning) or query, an ``episode`` and a vector ``v``; a run's source and
+target hold at most a few thousand episodes by design of the study, so a group is a few megabytes whatever the telemetry's
+size.  Every detector is fitted on (source, target) matrices once for each run; what it returns scores any number of
+queries, each by itself; larger is more anomalous.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
 
 Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Fitted = Callable[[np.ndarray], np.ndarray]
+Fit = Callable[[np.ndarray, np.ndarray], Fitted]
 SCORERS: dict[str, Scorer] = {}
+FITS: dict[str, Fit] = {}
 
 
 def register_detector(name: str, scorer: Scorer | None = None):
-    """Add a scorer to the registry; usable as a decorator."""
+    """Add a scorer of (source, target, query) to the registry; usable as a decorator.  It is fitted anew for each use."""
     if scorer is None:
         return lambda f: register_detector(name, f)
-    SCORERS[name] = scorer
+    SCORERS[name], FITS[name] = scorer, lambda s, t: lambda q: scorer(s, t, q)
     return scorer
 
 
-def standardized(training: np.ndarray, *others: np.ndarray, threshold: float = 1e-12) -> list[np.ndarray]:
-    """Columns that vary in training, standardized by its population moments."""
+def register_fit(name: str, fit: Fit | None = None):
+    """Add a detector that is fitted once on (source, target) and returns the function of its queries' scores."""
+    if fit is None:
+        return lambda f: register_fit(name, f)
+    SCORERS[name], FITS[name] = lambda s, t, q: fit(s, t)(q), fit
+    return fit
+
+
+def standardizer(training: np.ndarray, threshold: float = 1e-12) -> Fitted:
+    """Takes the columns that vary in training and standardizes them by its population moments."""
     use = training.var(axis=0) > threshold
     if not use.any():
         raise ValueError("no feature varies in the training rows")
     mean, std = training[:, use].mean(axis=0), training[:, use].std(axis=0)
-    return [(x[:, use] - mean) / std for x in (training, *others)]
+    return lambda x: (x[:, use] - mean) / std
+
+
+def standardized(training: np.ndarray, *others: np.ndarray, threshold: float = 1e-12) -> list[np.ndarray]:
+    """Columns that vary in training, standardized by its population moments."""
+    z = standardizer(training, threshold)
+    return [z(x) for x in (training, *others)]
+
 
+def _distance(z: Fitted, mean: np.ndarray, cov: np.ndarray) -> Fitted:
+    """Mahalanobis distance of standardized queries."""
+    inverse = np.linalg.pinv(cov, hermitian=True)
+    return lambda q: L.mahalanobis(z(q), mean, inverse)
 
-def _gaussian(training: np.ndarray, query: np.ndarray) -> np.ndarray:
-    t, q = standardized(training, query)
-    mean, cov, _ = L.shrunk_covariance(t)
-    return L.mahalanobis(q, mean, np.linalg.pinv(cov, hermitian=True))
 
+def _gaussian(training: np.ndarray) -> Fitted:
+    z = standardizer(training)
+    mean, cov, _ = L.shrunk_covariance(z(training))
+    return _distance(z, mean, cov)
 
-register_detector("TargetOnly", lambda s, t, q: _gaussian(t, q))
-register_detector("SourceOnly", lambda s, t, q: _gaussian(s, q))
-register_detector("Pooled", lambda s, t, q: _gaussian(np.vstack([s, t]), q))
+
+register_fit("TargetOnly", lambda s, t: _gaussian(t))
+register_fit("SourceOnly", lambda s, t: _gaussian(s))
+register_fit("Pooled", lambda s, t: _gaussian(np.vstack([s, t])))
 
 #: Which mean and covariance each ablation takes: t(arget), s(ource) or b(lend).
 COMPONENTS = {"Blended": "bb", "MeanTransferOnly": "bt", "CovarianceTransferOnly": "tb", "TargetMeanSourceCovariance": "ts", "SourceMeanTargetCovariance": "st"}
@@ -58,34 +85,34 @@ def blended(source: np.ndarray, target: np.ndarray, prior: float = 60.0) -> dict
     return {"s": (ms, cs), "t": (mt, ct), "b": ((1 - w) * ms + w * mt, (1 - w) * cs + w * ct)}
 
 
-def _component(choice: str) -> Scorer:
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-        _, s, t, q = standardized(np.vstack([s, t]), s, t, q)
-        parts = blended(s, t)
-        return L.mahalanobis(q, parts[choice[0]][0], np.linalg.pinv(L.floored(parts[choice[1]][1]), hermitian=True))
+def _component(choice: str) -> Fit:
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
+        z = standardizer(np.vstack([s, t]))
+        parts = blended(z(s), z(t))
+        return _distance(z, parts[choice[0]][0], L.floored(parts[choice[1]][1]))
 
-    return score
+    return fit
 
 
 for _name, _choice in COMPONENTS.items():
-    register_detector(_name, _component(_choice))
+    register_fit(_name, _component(_choice))
 
 
-def _swapped(values: str) -> Scorer:
+def _swapped(values: str) -> Fit:
     """Target mean with one domain's eigenvalues and the other's eigenvectors."""
 
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-        _, s, t, q = standardized(np.vstack([s, t]), s, t, q)
-        parts = blended(s, t)
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
+        z = standardizer(np.vstack([s, t]))
+        parts = blended(z(s), z(t))
         eigen = {k: np.linalg.eigh(parts[k][1]) for k in "st"}
         vectors = eigen["t" if values == "s" else "s"][1]
-        return L.mahalanobis(q, parts["t"][0], np.linalg.pinv(L.floored((vectors * eigen[values][0]) @ vectors.T), hermitian=True))
+        return _distance(z, parts["t"][0], L.floored((vectors * eigen[values][0]) @ vectors.T))
 
-    return score
+    return fit
 
 
-register_detector("EigenvectorsOnly", _swapped("t"))
-register_detector("EigenvaluesOnly", _swapped("s"))
+register_fit("EigenvectorsOnly", _swapped("t"))
+register_fit("EigenvaluesOnly", _swapped("s"))
 
 
 def safe_transfer_weight(source: np.ndarray, target: np.ndarray, priors: tuple[float, ...] = (0, 5, 10, 20, 60), folds: int = 5, seed: int = 42) -> float:
@@ -101,68 +128,92 @@ def safe_transfer_weight(source: np.ndarray, target: np.ndarray, priors: tuple[f
     return float(priors[best])
 
 
-@register_detector("SafeTransfer")
-def _safe(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-    t0, s0, q0 = standardized(t, s, q)
-    mean, cov = blended(s0, t0, safe_transfer_weight(s0, t0))["b"]
-    return L.mahalanobis(q0, t0.mean(axis=0), np.linalg.pinv(L.floored(cov), hermitian=True))
+@register_fit("SafeTransfer")
+def _safe(s: np.ndarray, t: np.ndarray) -> Fitted:
+    z = standardizer(t)
+    t0, s0 = z(t), z(s)
+    return _distance(z, t0.mean(axis=0), L.floored(blended(s0, t0, safe_transfer_weight(s0, t0))["b"][1]))
 
 
-def _principal(share: float) -> Scorer:
+def _principal(share: float) -> Fit:
     """Mahalanobis distance within the components that explain ``share`` of the target's variance."""
 
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-        t, q = standardized(t, q)
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
+        z = standardizer(t)
+        t = z(t)
         _, w, v = np.linalg.svd(t - t.mean(axis=0), full_matrices=False)
-        k = int(np.searchsorted(np.cumsum(w**2) / (w**2).sum(), share) + 1)
-        return _gaussian(t @ v[:k].T, q @ v[:k].T)
+        basis = v[: int(np.searchsorted(np.cumsum(w**2) / (w**2).sum(), share) + 1)].T.copy()
+        inner = _gaussian(t @ basis)
+        return lambda q: inner(z(q) @ basis)
 
-    return score
+    return fit
 
 
-register_detector("Principal95", _principal(0.95))
-register_detector("Principal99", _principal(0.99))
+register_fit("Principal95", _principal(0.95))
+register_fit("Principal99", _principal(0.99))
 
 
-def _bounded(clip: float, whiten: bool = True) -> Scorer:
+def _bounded(clip: float, whiten: bool = True) -> Fit:
     """Norm of robust z, clipped, whitened by the target's shrunk covariance and clipped again."""
 
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
         center, scale = np.median(t, axis=0), 1.4826 * np.median(np.abs(t - np.median(t, axis=0)), axis=0)
         use = scale > 1e-12
         z = lambda x: np.clip((x[:, use] - center[use]) / scale[use], -clip, clip)
         if not whiten:
-            return np.linalg.norm(z(q), axis=1)
+            return lambda q: np.linalg.norm(z(q), axis=1)
         mean, cov, _ = L.shrunk_covariance(z(t))
-        return np.linalg.norm(np.clip((z(q) - mean) @ L.power(L.floored(cov), lambda w: w**-0.5), -clip, clip), axis=1)
+        whitener = L.power(L.floored(cov), lambda w: w**-0.5)
+        return lambda q: np.linalg.norm(np.clip((z(q) - mean) @ whitener, -clip, clip), axis=1)
 
-    return score
+    return fit
 
 
 for _clip in (2.5, 3.0, 4.0):
     _suffix = "" if _clip == 3.0 else f"{_clip:g}".replace(".", "_")
-    register_detector(f"BoundedWhitening{_suffix}", _bounded(_clip))
-    register_detector(f"BoundedDiagonal{_suffix}", _bounded(_clip, whiten=False))
+    register_fit(f"BoundedWhitening{_suffix}", _bounded(_clip))
+    register_fit(f"BoundedDiagonal{_suffix}", _bounded(_clip, whiten=False))
+
+#: Distances that the nearest neighbours hold at once.
+HELD_DISTANCES = 1 << 21
+
+
+def _neighbours(k: int) -> Fit:
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
+        z = standardizer(t)
+        t = z(t)
+        squares, place, step = (t**2).sum(1)[None, :], min(k, len(t)) - 1, max(1, HELD_DISTANCES // len(t))
+
+        def score(q: np.ndarray) -> np.ndarray:
+            out = np.empty(len(q))
+            for at in range(0, len(q), step):
+                x = z(q[at : at + step])
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + squares - 2 * x @ t.T, 0.0))
+                out[at : at + step] = np.partition(d, place, axis=1)[:, place]
+            return out
 
+        return score
 
-@register_detector("NearestNeighbours")
-def _neighbours(s: np.ndarray, t: np.ndarray, q: np.ndarray, k: int = 10) -> np.ndarray:
-    t, q = standardized(t, q)
-    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (t**2).sum(1)[None, :] - 2 * q @ t.T, 0.0))
-    return np.sort(d, axis=1)[:, min(k, len(t)) - 1]
+    return fit
 
 
-register_detector("IsolationForest", lambda s, t, q: L.isolation_scores(t, q, 500, 42))
+register_fit("NearestNeighbours", _neighbours(10))
 
 
-def _aligned(mode: str, modes: int = 16, strength: float = 0.25, beta: float = 0.5) -> Scorer:
+@register_fit("IsolationForest")
+def _isolation(s: np.ndarray, t: np.ndarray) -> Fitted:
+    forest = L.isolation_forest(t, 500, 42)
+    return lambda q: L.forest_scores(forest, q)
+
+
+def _aligned(mode: str, modes: int = 16, strength: float = 0.25, beta: float = 0.5) -> Fit:
     """Energy along principal vectors that both domains share, weighted by cos2 / (cos2 + strength), beside the
     energy of the target's own modes and of what is orthogonal to them."""
 
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
         center, scale = L.robust_frame(t)
         of = lambda x, c: np.clip((x - c) / scale, -8, 8)
-        y, z, x = of(t, center), of(s, np.median(s, axis=0)), of(q, center)
+        y, z = of(t, center), of(s, np.median(s, axis=0))
         k = max(1, min(modes, len(t) - 2, t.shape[1], len(s) - 1))
         basis = L.principal_basis(y, k)
         if mode == "aligned":
@@ -173,20 +224,24 @@ def _aligned(mode: str, modes: int = 16, strength: float = 0.25, beta: float = 0
             basis = L.principal_basis(z, k) if mode == "source" else basis
             weight = np.ones(k) if mode != "target_only" else np.zeros(k)
         frame = lambda v: (np.median(v, axis=0), np.maximum((1.4826 * np.median(np.abs(v - np.median(v, axis=0)), axis=0)) ** 2, 1e-8))
-        inner, outer = y @ basis, y - y @ basis @ basis.T
-        (mi, vi), (mo, vo) = frame(inner), frame(outer)
-        energy, rest = (x @ basis - mi) ** 2 / vi, ((x - x @ basis @ basis.T - mo) ** 2 / vo).mean(axis=1)
-        shared = energy @ weight / (weight.sum() + 1e-8)
-        own = energy @ (1 - weight) / ((1 - weight).sum() + 1e-8)
-        if mode == "target_only":
-            return 0.5 * energy.mean(axis=1) + 0.5 * rest
-        return beta * shared + (1 - beta) * (0.5 * own + 0.5 * rest)
+        (mi, vi), (mo, vo) = frame(y @ basis), frame(y - y @ basis @ basis.T)
+
+        def score(q: np.ndarray) -> np.ndarray:
+            x = of(q, center)
+            energy, rest = (x @ basis - mi) ** 2 / vi, ((x - x @ basis @ basis.T - mo) ** 2 / vo).mean(axis=1)
+            shared = energy @ weight / (weight.sum() + 1e-8)
+            own = energy @ (1 - weight) / ((1 - weight).sum() + 1e-8)
+            if mode == "target_only":
+                return 0.5 * energy.mean(axis=1) + 0.5 * rest
+            return beta * shared + (1 - beta) * (0.5 * own + 0.5 * rest)
+
+        return score
 
-    return score
+    return fit
 
 
 for _mode, _name in (("aligned", "AlignedSubspace"), ("target_only", "AlignedTargetOnly"), ("target", "TargetSubspace"), ("source", "SourceSubspace")):
-    register_detector(_name, _aligned(_mode))
+    register_fit(_name, _aligned(_mode))
 
 
 def _matrices(rows: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -207,6 +262,58 @@ def run_scores(rows: DataFrame, runs: list[str], names: list[str]) -> DataFrame:
     return rows.groupBy(*runs).applyInPandas(fit, schema)
 
 
+#: Parts into which a run's detectors are dealt for fitting, and the tasks that fit.
+FIT_PARTS, FIT_TASKS = 8, 64
+
+
+def score_queries(rows: DataFrame, runs: list[str], names: list[str], size: int) -> DataFrame:
+    """As :func:`run_scores`, but each run is fitted once and some ``size`` query episodes are scored in one task.
+
+    What was fitted comes to the driver, a few megabytes for each run, and goes to every executor once.
+    """
+    fits = {n: FITS[n] for n in names}
+    queries = rows.where("role = 'query'")
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        m = _matrices(part)
+        mine = names[key[-1] :: FIT_PARTS] if {"source", "target"} <= m.keys() else []
+        models = [cloudpickle.dumps({n: fits[n](m["source"], m["target"]) for n in mine})] if mine else []
+        return pd.DataFrame({**{k: [v] * len(models) for k, v in zip(runs, key, strict=False)}, "models": models})
+
+    kinds = ", ".join(f"{k} {t}" for k, t in rows.select(*runs).dtypes)
+    asked = rows.where("role <> 'query'").join(queries.select(*runs).distinct(), runs, "left_semi")
+    # Detectors that leave out each row in turn take as long as all others: every part of a run is a task of its own.
+    parts = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(min(FIT_PARTS, len(names)) - 1))).alias("fit_part")).repartition(FIT_TASKS, *runs, "fit_part")
+    models: dict[tuple, list[bytes]] = {}
+    for r in parts.groupBy(*runs, "fit_part").applyInPandas(fit, f"{kinds}, models binary").collect():
+        models.setdefault(tuple(r[k] for k in runs), []).append(bytes(r["models"]))
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = {}
+        for batch in batches:
+            keys = np.empty(batch.num_rows, object)
+            keys[:] = list(zip(*(batch.column(k).to_pylist() for k in range(len(runs))), strict=True))
+            sizes = set(batch.column(len(runs) + 1).value_lengths().to_pylist())
+            if len(sizes) > 1 or None in sizes:
+                raise ValueError("a query's vector is null or not as long as others")
+            vectors = batch.column(len(runs) + 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+            for key in dict.fromkeys(keys):
+                if key not in shared.value:
+                    continue
+                if key not in fitted:
+                    fitted[key] = {n: f for part in shared.value[key] for n, f in pickle.loads(part).items()}
+                mine = np.flatnonzero([k == key for k in keys])
+                of_run = batch.take(pa.array(mine))
+                for name, scorer in fitted[key].items():
+                    found = scorer(vectors[mine])
+                    yield pa.RecordBatch.from_arrays([*of_run.columns[: len(runs)], pa.array([name] * len(mine)), of_run.column(len(runs)), pa.array(found, pa.float64())], names=[*runs, "detector", "episode", "score"])
+
+    n = max(1, -(-queries.select("episode").distinct().count() // size))
+    schema = f"{kinds}, detector string, episode {dict(rows.dtypes)['episode']}, score double"
+    return queries.select(*runs, "episode", "v").repartition(n, "episode").mapInArrow(score, schema)
+
+
 def run_metrics(rows: DataFrame, runs: list[str], kind: str) -> DataFrame:
     """``metric``, ``value`` for each run: ``transfer``, ``covariance``, ``risk`` or ``conditioning`` (of the target)."""
     of = {

@@ -1,17 +1,16 @@
 """Detectors that lend healthy structure from a source domain only as far as the target's own healthy rows bear it out.
 
-They register themselves beside the scorers of :mod:`matrix_detectors` and take the same (source, target, query).
+They register themselves beside those of :mod:`matrix_detectors` and are fitted on the same (source, target).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
 from ..functions import linalg as L
-from .matrix_detectors import register_detector, standardized
+from .matrix_detectors import Fit, Fitted, _gaussian, register_fit, standardizer
 
 #: Fixed values of the published methods.
 PRIOR, LOG_TAU, SHIFT_TAU, TRUST_FLOOR, GATE_SLACK, LEAST_EIGEN, KEPT_VARIANCE = 20.0, 1.0, 2.0, 0.05, 0.01, 1e-8, 0.95
@@ -62,14 +61,24 @@ def _usable_rank(values: np.ndarray, n: int) -> int:
     return max(1, min((n - 1) // 2, int(np.searchsorted(np.cumsum(values) / values.sum(), KEPT_VARIANCE)) + 1, len(values)))
 
 
-def lending(source: np.ndarray, target: np.ndarray, permuted: bool = False) -> Lending:
-    """Trust is the product of shared subspace, agreeing variance and agreeing median, each between 0 and 1."""
-    (mean, cov_t, _), (mean_s, cov_s, _) = L.shrunk_covariance(target), L.shrunk_covariance(source)
-    (own, vectors), (values_s, vectors_s) = _descending(cov_t), _descending(cov_s)
+def lender(source: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What lending takes from the source alone: centered rows, covariance, its eigenvalues and eigenvectors."""
+    mean, cov, _ = L.shrunk_covariance(source)
+    return source - mean, cov, *_descending(cov)
+
+
+def lending(source: np.ndarray, target: np.ndarray, permuted: bool = False, known: tuple[np.ndarray, ...] | None = None) -> Lending:
+    """Trust is the product of shared subspace, agreeing variance and agreeing median, each between 0 and 1.
+
+    ``known``: the :func:`lender` of ``source``, if it is at hand.
+    """
+    mean, cov_t, _ = L.shrunk_covariance(target)
+    own, vectors = _descending(cov_t)
+    centered, cov_s, values_s, vectors_s = known or lender(source)
     rank = min(_usable_rank(own, len(target)), _usable_rank(values_s, len(source)))
     lent = np.maximum(np.einsum("ij,ik,kj->j", vectors, cov_s, vectors), LEAST_EIGEN)
     structure = np.where(np.arange(len(own)) < rank, np.square(vectors.T @ vectors_s[:, :rank]).sum(axis=1), 0.0)
-    gap = np.abs(np.median((source - mean_s) @ vectors, axis=0) - np.median((target - mean) @ vectors, axis=0)) / np.sqrt(own)
+    gap = np.abs(np.median(centered @ vectors, axis=0) - np.median((target - mean) @ vectors, axis=0)) / np.sqrt(own)
     trust = np.clip(structure, 0, 1) * np.exp(-np.abs(np.log(lent / own)) / LOG_TAU - gap / SHIFT_TAU)
     trust = np.where(trust >= TRUST_FLOOR, trust, 0.0)
     return Lending(mean, vectors, own, lent, trust[shuffled(len(trust), 73)] if permuted else trust, len(target))
@@ -77,49 +86,53 @@ def lending(source: np.ndarray, target: np.ndarray, permuted: bool = False) -> L
 
 def gate_margin(source: np.ndarray, target: np.ndarray, permuted: bool = False) -> float:
     """Mean gain in the log density of each target row left out, of lending over not lending."""
-    gains = []
+    gains, known = [], lender(source)
     for i in range(len(target)):
-        model = lending(source, np.delete(target, i, axis=0), permuted)
+        model = lending(source, np.delete(target, i, axis=0), permuted, known)
         gains.append(model.log_density(target[i : i + 1], True)[0] - model.log_density(target[i : i + 1], False)[0])
     return float(np.mean(gains))
 
 
-def _selective(mode: str) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-        t, s, q = standardized(t, s, q)
+def _selective(mode: str) -> Fit:
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
+        z = standardizer(t)
+        t, s = z(t), z(s)
         if mode == "source_permuted":
             s = s[:, shuffled(s.shape[1], 59)]
         permuted = mode == "trust_permuted"
         model = lending(s, t, permuted)
         # The gate opens unless lending predicts the target's own healthy rows worse.
         trusting = mode != "target_only" and len(t) >= 4 and bool(model.trust.any()) and gate_margin(s, t, permuted) >= -GATE_SLACK
-        return np.sqrt(model.squared(q, trusting))
+        return lambda q: np.sqrt(model.squared(z(q), trusting))
 
-    return score
+    return fit
 
 
 for _name, _mode in (("SelectiveTransfer", "selective"), ("SelectiveTargetOnly", "target_only"), ("SelectiveSourcePermuted", "source_permuted"), ("SelectiveTrustPermuted", "trust_permuted")):
-    register_detector(_name, _selective(_mode))
+    register_fit(_name, _selective(_mode))
 
 
 # -- shared subspaces in the target's robust frame -------------------------------------------------------------------
 
 
-def _framed(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _framed(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, Fitted]:
+    """Source and target in the target's robust frame, the source by its own median, and the frame for queries."""
     center, scale = L.robust_frame(t)
-    return tuple(np.clip((x - c) / scale, -8, 8) for x, c in ((s, np.median(s, axis=0)), (t, center), (q, center)))
+    of = lambda x, c: np.clip((x - c) / scale, -8, 8)
+    return of(s, np.median(s, axis=0)), of(t, center), lambda q: of(q, center)
 
 
 def _modes(s: np.ndarray, t: np.ndarray) -> int:
     return max(1, min(MOST_MODES, len(t) - 2, len(s) - 1, t.shape[1]))
 
 
-def _energy(values: np.ndarray, healthy: np.ndarray) -> np.ndarray:
+def _energy(healthy: np.ndarray) -> Fitted:
     """Squared distance from the healthy median in units of the healthy variance, entry by entry."""
     variance = healthy.var(axis=0, ddof=1)
     usable = variance[variance > LEAST_EIGEN]
     variance = np.where(variance > LEAST_EIGEN, variance, max(float(np.median(usable)) if usable.size else 1.0, LEAST_EIGEN))
-    return np.square(values - np.median(healthy, axis=0)) / variance
+    center = np.median(healthy, axis=0)
+    return lambda values: np.square(values - center) / variance
 
 
 def _blended_basis(own: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
@@ -141,13 +154,19 @@ def blend_share(s: np.ndarray, t: np.ndarray, k: int) -> float:
     return min(share for share, r in risks.items() if r <= min(risks.values()) + 1e-12)
 
 
-@register_detector("SharedProjector")
-def _shared_projector(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-    s, t, q = _framed(s, t, q)
+@register_fit("SharedProjector")
+def _shared_projector(s: np.ndarray, t: np.ndarray) -> Fitted:
+    s, t, frame = _framed(s, t)
     k = _modes(s, t)
     basis = _blended_basis(L.principal_basis(t, k), L.principal_basis(s, k), blend_share(s, t, k))
     out = lambda x: x - x @ basis @ basis.T
-    return 0.5 * _energy(q @ basis, t @ basis).mean(axis=1) + 0.5 * _energy(out(q), out(t)).mean(axis=1)
+    inner, outer = _energy(t @ basis), _energy(out(t))
+
+    def score(q: np.ndarray) -> np.ndarray:
+        x = frame(q)
+        return 0.5 * inner(x @ basis).mean(axis=1) + 0.5 * outer(out(x)).mean(axis=1)
+
+    return score
 
 
 def variance_trust(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -165,11 +184,11 @@ def bootstrap_trust(t: np.ndarray, vectors: np.ndarray, seed: int = 42) -> np.nd
     return np.median([np.square(L.principal_basis(x, k).T @ vectors).max(axis=0) for x in samples], axis=0).clip(0, 1)
 
 
-def _paired(mode: str) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def _paired(mode: str) -> Fit:
     """Energy along principal vectors of both domains by trust, beside the target's own and what is orthogonal."""
 
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-        s, t, q = _framed(s, t, q)
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
+        s, t, frame = _framed(s, t)
         if mode == "feature_permuted":
             s = s[:, shuffled(s.shape[1], 59)]
         k = _modes(s, t)
@@ -187,53 +206,60 @@ def _paired(mode: str) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndar
             elif mode == "stability":
                 weight = weight * bootstrap_trust(t, vectors)
         out = lambda x: x - x @ vectors @ vectors.T
-        energy, rest = _energy(q @ vectors, t @ vectors), _energy(out(q), out(t)).mean(axis=1)
-        mean = lambda w: energy @ w / (w.sum() + 1e-8)
-        return 0.5 * mean(weight) + 0.25 * mean(1 - weight) + 0.25 * rest
+        inner, outer = _energy(t @ vectors), _energy(out(t))
 
-    return score
+        def score(q: np.ndarray) -> np.ndarray:
+            x = frame(q)
+            energy, rest = inner(x @ vectors), outer(out(x)).mean(axis=1)
+            mean = lambda w: energy @ w / (w.sum() + 1e-8)
+            return 0.5 * mean(weight) + 0.25 * mean(1 - weight) + 0.25 * rest
+
+        return score
+
+    return fit
 
 
 for _name, _mode in (
     ("AlignedFeaturePermuted", "feature_permuted"), ("AlignedRandomSubspace", "random"), ("AlignedWeightPermuted", "weight_permuted"), ("AlignedVarianceAware", "variance"), ("AlignedStabilityAware", "stability"),
 ):
-    register_detector(_name, _paired(_mode))
+    register_fit(_name, _paired(_mode))
 
 
 # -- variants of regularization --------------------------------------------------------------------------------------
 
 
-def _leading(k: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def _leading(k: int) -> Fit:
     """Mahalanobis distance within the k leading components of the target."""
 
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-        t, q = standardized(t, q)
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
+        z = standardizer(t)
+        t = z(t)
         basis = L.principal_basis(t, min(k, len(t) - 1, t.shape[1]))
         mean, cov, _ = L.shrunk_covariance(t @ basis)
-        return L.mahalanobis(q @ basis, mean, np.linalg.pinv(cov, hermitian=True))
+        inverse = np.linalg.pinv(cov, hermitian=True)
+        return lambda q: L.mahalanobis(z(q) @ basis, mean, inverse)
 
-    return score
+    return fit
 
 
-def _most_varying(k: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def _most_varying(k: int) -> Fit:
     """Mahalanobis distance over the k features of largest variance in the target."""
 
-    def score(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def fit(s: np.ndarray, t: np.ndarray) -> Fitted:
         use = np.sort(np.argsort(-t.var(axis=0), kind="stable")[:k])
-        t, q = standardized(t[:, use], q[:, use])
-        mean, cov, _ = L.shrunk_covariance(t)
-        return L.mahalanobis(q, mean, np.linalg.pinv(cov, hermitian=True))
+        inner = _gaussian(t[:, use])
+        return lambda q: inner(q[:, use])
 
-    return score
+    return fit
 
 
-@register_detector("Diagonal")
-def _diagonal(s: np.ndarray, t: np.ndarray, q: np.ndarray) -> np.ndarray:
-    _, q = standardized(t, q)
-    return np.linalg.norm(q, axis=1)
+@register_fit("Diagonal")
+def _diagonal(s: np.ndarray, t: np.ndarray) -> Fitted:
+    z = standardizer(t)
+    return lambda q: np.linalg.norm(z(q), axis=1)
 
 
 for _k in (10, 25, 50):
-    register_detector(f"PrincipalModes{_k}", _leading(_k))
+    register_fit(f"PrincipalModes{_k}", _leading(_k))
 for _k in (50, 100, 250):
-    register_detector(f"TopVariance{_k}", _most_varying(_k))
+    register_fit(f"TopVariance{_k}", _most_varying(_k))

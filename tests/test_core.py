@@ -162,6 +162,32 @@ def test_matrix_queries_use_whole_vectors_and_every_query(spark, tmp_path):
     assert np.allclose([again[10, i] for i in queries], matrix_detectors.SCORERS["Pooled"](of(10, "source"), of(10, "target"), of(10, "query")), rtol=1e-6)
 
 
+def test_matrix_queries_fit_each_detector_once_a_run(spark, tmp_path, monkeypatch):
+    """However many tasks score the queries: a fit leaves a file for each time that it ran."""
+    rng, fits = np.random.default_rng(6), tmp_path / "fits"
+    fits.mkdir()
+    rows = [(i, rng.normal(size=5).tolist(), int(i % 3 > 0)) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def counted(s, t):
+        import uuid
+
+        (fits / f"{len(t)}-{uuid.uuid4().hex}").touch()
+        return lambda q: q[:, 0] - t[0, 0]
+
+    for registry in ("SCORERS", "FITS"):
+        monkeypatch.setattr(matrix_detectors, registry, dict(getattr(matrix_detectors, registry)))
+    matrix_detectors.register_fit("Counted", counted)
+    monkeypatch.setattr(catalog, "QUERIES", 7)
+    got = catalog.m_matrix_detectors(spark, str(tmp_path)).where("detector = 'Counted'").collect()
+    assert {(r.n, r.episode) for r in got} == {(n, i) for n in (10, 20) for i, _, label in rows if label} and len(got) == 160
+    assert sorted(f.name.split("-")[0] for f in fits.iterdir()) == ["10", "20"]
+    few = catalog.matrix_rows(spark, str(tmp_path)).where("n = 10 or role <> 'query'")
+    assert {r.n for r in matrix_detectors.score_queries(few, ["n"], ["Pooled"], 9).collect()} == {10}
+    assert matrix_detectors.score_queries(few.where("role <> 'source'"), ["n"], ["Pooled"], 9).count() == 0
+    assert matrix_detectors.score_queries(few.where("role <> 'query'"), ["n"], ["Pooled"], 9).count() == 0
+
+
 def test_phase_neighbours_score_every_query_of_the_study(spark):
     telemetry = {}
     for r in catalog.events(spark, DATA).orderBy("event_id").collect():
