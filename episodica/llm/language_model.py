@@ -82,7 +82,9 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
+    """In the place of ``z``."""
+    z -= z.max(axis=-1, keepdims=True)
+    np.exp(z, out=z)
     z /= z.sum(axis=-1, keepdims=True)
     return z
 
@@ -102,25 +104,36 @@ def train(p: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray) -> di
             r, y = rows[order[at : at + BATCH]], targets[order[at : at + BATCH]]
             x = p["e"][r]
             q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-            a = _softmax(q @ k.transpose(0, 2, 1) * scale + p["near"][back] + mask)
+            q *= scale
+            s = q @ k.transpose(0, 2, 1)
+            s += p["near"][back] + mask
+            a = _softmax(s)
             o = a @ v
             h = x + o @ p["o"]
-            dz = _softmax(h @ p["u"] + p["c"])
-            known = y >= 0
-            dz[known, y[known]] -= 1
-            dz[~known] = 0
-            dz /= max(1, known.sum())
             flat = lambda m: m.reshape(-1, m.shape[-1])
-            dh = dz @ p["u"].T
+            dz = flat(h) @ p["u"]
+            dz += p["c"]
+            _softmax(dz)
+            y = y.ravel()
+            known = np.flatnonzero(y >= 0)
+            dz[known, y[known]] -= 1
+            if len(known) < len(y):
+                dz[y < 0] = 0
+            # The mean over the batch's targets is taken here, where there are WIDTH values and not CLASSES.
+            per = np.float32(1 / max(1, len(known)))
+            dh = (dz @ (p["u"].T * per)).reshape(h.shape)
             do = dh @ p["o"].T
-            da = do @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-            dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ do
+            ds = do @ v.transpose(0, 2, 1)
+            # The sum of a row of a times its gradient is that of the output times its own.
+            ds -= np.einsum("bij,bij->bi", do, o)[..., None]
+            ds *= a
+            dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
+            dq *= scale
             dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
             de = np.zeros_like(p["e"])
             np.add.at(de, r.ravel(), flat(dx))
             near = np.bincount(back.ravel(), np.where(distance < 0, 0, ds.sum(axis=0)).ravel(), size).astype(np.float32)
-            grads = {"e": de, "q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "o": flat(o).T @ flat(dh), "near": near, "u": flat(h).T @ flat(dz), "c": flat(dz).sum(axis=0)}
+            grads = {"e": de, "q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "o": flat(o).T @ flat(dh), "near": near, "u": flat(h).T @ dz * per, "c": dz.sum(axis=0) * per}
             step += 1
             for n, g in grads.items():
                 m, s = moments[n]
@@ -150,7 +163,6 @@ class Scorer:
         self.q, self.k, self.v = p["e"] @ p["q"] * np.float32(1 / math.sqrt(WIDTH)), p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"]
         i, j = np.arange(SEGMENT)[:, None] + SEGMENT, np.arange(2 * SEGMENT)[None, :]
         self.bias = np.where(j > i, np.float32(-1e9), p["near"][np.clip(i - j, 0, 2 * SEGMENT - 1)])
-        self.first = np.where(j < SEGMENT, np.float32(-1e9), self.bias)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each sequence of ids."""
@@ -174,12 +186,15 @@ class Scorer:
             now = rows[at:to]
             both = np.concatenate([rows[np.maximum(np.arange(at, to) - 1, 0)], now], axis=1)
             s = self.q[now] @ self.k[both].transpose(0, 2, 1)
-            s += np.where(begins[at:to, None, None], self.first, self.bias)
+            s += self.bias
+            s[begins[at:to], :, :SEGMENT] = -1e9
             h = p["e"][now] + _softmax(s) @ self.v[both]
-            z = h.reshape(-1, WIDTH) @ p["u"] + p["c"]
+            z = h.reshape(-1, WIDTH) @ p["u"]
+            z += p["c"]
             z -= z.max(axis=1, keepdims=True)
             y = target[at:to].ravel()
-            got = z[np.arange(len(z)), self.classes[y]] - np.log(np.exp(z).sum(axis=1))
+            got = z[np.arange(len(z)), self.classes[y]]
+            got -= np.log(np.exp(z, out=z).sum(axis=1))
             logs[at:to] = (got / math.log(10) + self.log_share[y]).reshape(-1, SEGMENT)
         return np.bincount(np.repeat(np.arange(len(texts)), sizes), logs.ravel()[place], len(texts))
 

@@ -504,6 +504,20 @@ def test_attention_scores_each_subword_once_and_sums_to_one():
     assert len(np.unique(classes)) == language_model.CLASSES and abs((10**next_one).sum() - 1) < 1e-3
 
 
+def test_scoring_makes_few_copies_of_attention_and_logits():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    scorer = language_model.Scorer(language_model.start_parameters(), rng.integers(0, 128, 300), np.zeros(300))
+    text = rng.integers(0, 300, language_model.STEP * language_model.SEGMENT)
+    tracemalloc.start()
+    try:
+        scorer.score([text])
+        assert tracemalloc.get_traced_memory()[1] < 9 << 20  # 4 MB of logits; with copies of them it was 11 MB
+    finally:
+        tracemalloc.stop()
+
+
 def test_training_gradients_lower_the_loss():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 20, (64, 64))
