@@ -1,7 +1,7 @@
 """Scores of whole texts by a word unigram and by a causal self-attention model over subword ids, trained in numpy.
 
-The corpus gives counts of all training words (a table that grows with it), from them the counts of all subwords, and
-the consecutive windows of every whole training text.  The network attends over the last one to two segments of
+The corpus gives counts of all training words, from them the counts of all subwords, and the consecutive windows of every
+whole training text.  The network attends over the last one to two segments of
 subwords and predicts the class of the next subword; within its class a subword has its share of the corpus counts, so
 the product is a proper distribution over the vocabulary.
 
@@ -10,9 +10,10 @@ windows of its training texts, in the order of their hashes, and the blocks' par
 the model is a function of the corpus, however its files are split.  Only of a text with more than ``REPEATS`` copies
 are the copies spread over the blocks, by their places in the input.
 
-For scoring, a block's distinct words meet the word counts in a join; its texts and that small table then come together
-in one task.  Windows of two segments advance by one: each subword is scored once, with the segment before it as
-context, by batched masked attention.
+A block numbers its distinct words, and its texts become these numbers.  The words go by their hash to buckets, where each
+word of the corpus is counted and encoded once; with counts and subwords they come back to their blocks, where the texts'
+ids are put together, trained on and written.  Scoring reads these ids.  Windows of two segments advance by one: each
+subword is scored once, with the segment before it as context, by batched masked attention.
 
 Defined cases: a null text counts as empty and has the end token alone; null ids count by the empty text; repeated
 rows count, teach and score as often as they occur; with no training text every count is zero and the network is
@@ -22,16 +23,18 @@ untrained; texts of any length are scored whole; only the named columns are read
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import coder
-from .common import durable, text_or_empty, utf8_size
+from .common import durable, forget, text_or_empty, utf8_size
 from .language_id import remainder
 
 SEGMENT = 32
@@ -44,16 +47,20 @@ CLASSES = 128
 EPOCHS = 1
 BATCH = 64
 RATE = 5e-3
-#: Text bytes of a block, copies of a text that one block may get, distinct words that a counting task holds, reducers
+#: Text bytes of a block, copies of a text that one block may get, distinct words that a worker remembers, reducers
 #: of the parameters' average.
 BLOCK_BYTES = 6 << 20
 REPEATS = 1000
 HELD_WORDS = 200_000
 REDUCERS = 16
-#: Windows that a block holds and goes through EPOCHS times before it reads on.
+#: Windows that a block holds and goes through EPOCHS times before it reads on; subwords that are scored together, or one text.
 HELD_WINDOWS = 8192
-#: Segments that are scored in one numpy step.
-STEP = 256
+HELD_SUBWORDS = 100_000
+#: Segments that are scored in one numpy step, windows of a batch whose arrays stay in a core's cache together.
+STEP = 32
+PART = 32
+#: Exponents up to this size need no shift.
+LIMIT = 40.0
 
 _SHAPES = {"e": (ROWS + 1, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "near": (2 * SEGMENT,), "u": (WIDTH, CLASSES), "c": (CLASSES,)}
 
@@ -77,8 +84,34 @@ def pack(parameters: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    return {n: part.copy() for n, part in _views(flat).items()}
+
+
+def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters as parts of ``flat``."""
     ends = np.cumsum([math.prod(s) for s in _SHAPES.values()])[:-1]
-    return {n: part.reshape(s).copy() for (n, s), part in zip(_SHAPES.items(), np.split(flat, ends), strict=True)}
+    return {n: part.reshape(s) for (n, s), part in zip(_SHAPES.items(), np.split(flat, ends), strict=True)}
+
+
+def _small(z: np.ndarray) -> bool:
+    """Whether sums and products of the exponentials of ``z`` are safe in single precision."""
+    return bool(z.max() <= LIMIT and z.min() >= -LIMIT)
+
+
+def _largest(values: np.ndarray) -> float:
+    return float(max(values.max(), -values.min()))
+
+
+def _longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
+
+
+def _logits(h: np.ndarray, u: np.ndarray, z: np.ndarray, safe: bool) -> np.ndarray:
+    """``h @ u`` in ``z``, shifted row by row unless its exponentials are known or seen to be safe."""
+    np.matmul(h, u, out=z)
+    if not safe and not _small(z):
+        z -= z.max(axis=-1, keepdims=True)
+    return z
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -90,56 +123,105 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(p: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-    """Adam on windows of two segments: input rows and target classes, -1 where there is none."""
-    size = 2 * SEGMENT
+    """Adam on windows of two segments: input rows and target classes, -1 where there is none.
+
+    Queries meet keys, and values the output, in one matrix each (``q k'`` and ``v o``).  What a softmax divides by is
+    taken where there are WIDTH values; exponents beyond ``LIMIT`` are shifted first.
+    """
+    size, w = 2 * SEGMENT, WIDTH
     distance = np.arange(size)[:, None] - np.arange(size)[None, :]
-    mask = np.where(distance < 0, np.float32(-1e9), np.float32(0))
-    back = np.clip(distance, 0, size - 1)
-    moments = {n: (np.zeros_like(x), np.zeros_like(x)) for n, x in p.items()}
-    scale, step = np.float32(1 / math.sqrt(WIDTH)), 0
+    past, back = distance >= 0, np.where(distance < 0, size, distance).ravel()
+    flat = pack(p)
+    p, mean, square, spare = _views(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    means, squares, diagonals = _views(mean), _views(square), np.zeros(size + size * size, np.float32)
+    # Working space of a part of a batch; h and d have a further column and xt a further row of ones.
+    all_h, all_d, all_xt = np.ones((PART, size, w + 1), np.float32), np.empty((PART, size, w + 1), np.float32), np.ones((PART, w + 1, size), np.float32)
+    all_a, all_ds, all_z = (np.empty((PART, size, n), np.float32) for n in (size, size, CLASSES))
+    all_dx, starts = np.empty((BATCH * size, w), np.float32), np.arange(PART * size) * CLASSES
+    ones, scale, step = np.ones(max(size, CLASSES), np.float32), np.float32(1 / math.sqrt(w)), 0
     rng = np.random.default_rng(5)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
-            r, y = rows[order[at : at + BATCH]], targets[order[at : at + BATCH]]
-            x = p["e"][r]
-            q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-            q *= scale
-            s = q @ k.transpose(0, 2, 1)
-            s += p["near"][back] + mask
-            a = _softmax(s)
-            o = a @ v
-            h = x + o @ p["o"]
-            flat = lambda m: m.reshape(-1, m.shape[-1])
-            dz = flat(h) @ p["u"]
-            dz += p["c"]
-            _softmax(dz)
-            y = y.ravel()
-            known = np.flatnonzero(y >= 0)
-            dz[known, y[known]] -= 1
-            if len(known) < len(y):
-                dz[y < 0] = 0
-            # The mean over the batch's targets is taken here, where there are WIDTH values and not CLASSES.
-            per = np.float32(1 / max(1, len(known)))
-            dh = (dz @ (p["u"].T * per)).reshape(h.shape)
-            do = dh @ p["o"].T
-            ds = do @ v.transpose(0, 2, 1)
-            # The sum of a row of a times its gradient is that of the output times its own.
-            ds -= np.einsum("bij,bij->bi", do, o)[..., None]
-            ds *= a
-            dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-            dq *= scale
-            dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-            de = np.zeros_like(p["e"])
-            np.add.at(de, r.ravel(), flat(dx))
-            near = np.bincount(back.ravel(), np.where(distance < 0, 0, ds.sum(axis=0)).ravel(), size).astype(np.float32)
-            grads = {"e": de, "q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "o": flat(o).T @ flat(dh), "near": near, "u": flat(h).T @ dz * per, "c": dz.sum(axis=0) * per}
+            take = order[at : at + BATCH]
+            batch_r, batch_y = rows.take(take, axis=0), targets.take(take, axis=0).ravel()
+            # The mean over the batch's targets.
+            live = (batch_y >= 0).astype(np.float32)
+            live /= max(1.0, float(live.sum()))
+            batch_y = np.maximum(batch_y, 0)
+            qk, vo, u = p["q"] @ p["k"].T * scale, p["v"] @ p["o"], np.concatenate([p["u"], p["c"][None]])
+            qkt, vot, ut = (np.ascontiguousarray(m.T) for m in (qk, vo, p["u"]))
+            weight, long = np.append(np.exp(p["near"] - p["near"].max()), np.float32(0)).take(back), float(np.abs(u).sum(axis=0).max())
+            du, dvo, dqk, dnear = np.zeros_like(u), np.zeros_like(vo), np.zeros_like(qk), np.zeros(size * size, np.float32)
+            for lo in range(0, len(take), PART):
+                r = batch_r[lo : lo + PART]
+                b, k = len(r), len(r) * size
+                here = slice(lo * size, lo * size + k)
+                h, d, xt, a, ds, z, dx = all_h[:b], all_d[:b], all_xt[:b], all_a[:b], all_ds[:b], all_z[:b], all_dx[here]
+                flat_h, flat_d, flat_z = h.reshape(k, -1), d.reshape(k, -1), z.reshape(-1)
+                x = p["e"].take(r.ravel(), axis=0)
+                cube = x.reshape(b, size, w)
+                xt[:, :w] = cube.transpose(0, 2, 1)
+                xq = x @ qk
+                np.matmul(xq.reshape(b, size, w), xt[:, :w], out=a)
+                if w * _largest(xq) * _largest(x) > LIMIT and not _small(a):
+                    a -= np.where(past, a, -np.inf).max(axis=2, keepdims=True)
+                    np.minimum(a, 0, out=a)
+                np.exp(a, out=a)
+                np.multiply(a.reshape(b, -1), weight, out=a.reshape(b, -1))
+                over = 1 / (a.reshape(k, size) @ ones[:size])[:, None]
+                o = (a @ cube).reshape(k, w)
+                o *= over
+                np.add(x, o @ vo, out=flat_h[:, :w])
+                flat_h[:, w] = 1
+                _logits(h, u, z, _largest(h) * long <= LIMIT)
+                np.exp(z, out=z)
+                total = z.reshape(k, -1) @ ones[:CLASSES]
+                chosen = starts[:k] + batch_y[here]
+                flat_z[chosen] = flat_z.take(chosen) - total
+                share = (live[here] / total)[:, None]
+                dh = (z @ ut).reshape(k, w)
+                dh *= share
+                flat_h *= share
+                du += (h.transpose(0, 2, 1) @ z).sum(axis=0)
+                do = dh @ vot
+                # The sum of a row of a times its gradient is that of the output times its own.
+                do *= over
+                flat_d[:, :w] = do
+                np.negative(np.einsum("ij,ij->i", do, o), out=flat_d[:, w])
+                np.matmul(d, xt, out=ds)
+                ds *= a
+                dxq = (ds @ cube).reshape(k, w)
+                dvo += o.T @ dh
+                dqk += x.T @ dxq
+                np.add(dh, dxq @ qkt, out=dx)
+                dx += (ds.transpose(0, 2, 1) @ xq.reshape(b, size, w)).reshape(k, w)
+                dx += (a.transpose(0, 2, 1) @ do.reshape(b, size, w)).reshape(k, w)
+                dnear += ones[:b] @ ds.reshape(b, -1)
+            # Row i and column i - d have distance d; where that column is before the first, there are zeros.
+            diagonals[size:] = dnear
+            near = np.ndarray((size, size), np.float32, diagonals, 4 * size, (4 * (size + 1), -4)).sum(axis=0)
+            r = batch_r.ravel()
+            by_row = np.argsort(r, kind="stable")
+            r = r.take(by_row)
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            r, de = r.take(first), np.add.reduceat(all_dx.take(by_row, axis=0), first, axis=0)
+            dqk *= scale
             step += 1
-            for n, g in grads.items():
-                m, s = moments[n]
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                p[n] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+            root = math.sqrt(1 - 0.99**step)
+            # Ten times the mean of slopes and a hundred times that of their squares, which are zero for rows not met.
+            mean *= np.float32(0.9)
+            square *= np.float32(0.99)
+            means["e"][r] += de
+            squares["e"][r] += de * de
+            for name, g in {"q": dqk @ p["k"], "k": dqk.T @ p["q"], "v": dvo @ p["o"].T, "o": p["v"].T @ dvo, "near": near, "u": du[:w], "c": du[w]}.items():
+                means[name] += g
+                squares[name] += g * g
+            np.sqrt(square, out=spare)
+            spare += np.float32(1e-7 * root)
+            np.divide(mean, spare, out=spare)
+            spare *= np.float32(RATE * root / (1 - 0.9**step))
+            flat -= spare
     return p
 
 
@@ -158,11 +240,17 @@ class Scorer:
 
     def __init__(self, parameters: dict[str, np.ndarray], classes: np.ndarray, log_share: np.ndarray):
         p = self.p = parameters
-        self.classes, self.log_share = classes, log_share
-        # One layer deep, queries, keys and values depend on the input row alone.
-        self.q, self.k, self.v = p["e"] @ p["q"] * np.float32(1 / math.sqrt(WIDTH)), p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"]
-        i, j = np.arange(SEGMENT)[:, None] + SEGMENT, np.arange(2 * SEGMENT)[None, :]
-        self.bias = np.where(j > i, np.float32(-1e9), p["near"][np.clip(i - j, 0, 2 * SEGMENT - 1)])
+        self.classes, self.log_share = classes.astype(np.intp), log_share
+        # One layer deep, queries and values depend on the input row alone.
+        self.query, value = p["e"] @ (p["q"] @ p["k"].T * np.float32(1 / math.sqrt(WIDTH))), p["e"] @ (p["v"] @ p["o"])
+        self.value = value
+        self.u = np.concatenate([p["u"], p["c"][None]])
+        # No product exceeds that of the lengths, and a mean of values is no longer than the longest.
+        self.safe = _longest(self.query) * _longest(p["e"]) <= LIMIT, (_longest(p["e"]) + _longest(value) + 1) * _longest(self.u.T) <= LIMIT
+        # Keys by queries.
+        i, j = np.arange(SEGMENT)[None, :] + SEGMENT, np.arange(2 * SEGMENT)[:, None]
+        self.past = j <= i
+        self.near = np.where(self.past, np.exp(p["near"][np.clip(i - j, 0, 2 * SEGMENT - 1)] - p["near"].max()), np.float32(0)).ravel()
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each sequence of ids."""
@@ -171,32 +259,44 @@ class Scorer:
         start = (np.cumsum(segments) - segments) * SEGMENT
         place = np.arange(sizes.sum()) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
         total = int(segments.sum()) * SEGMENT
-        ids = np.concatenate(texts).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        target, rows = np.zeros(total, np.int64), np.full(total + 1, ROWS, np.int64)
+        ids = np.concatenate(texts) if len(texts) else np.zeros(0, np.int64)
+        # The rows have one segment before the first.
+        target, rows = np.zeros(total, ids.dtype), np.full(SEGMENT + total + 1, ROWS, np.int16)
         target[place] = ids
-        rows[place + 1] = ids % ROWS
-        rows[start] = ROWS
-        rows, target = rows[:total].reshape(-1, SEGMENT), target.reshape(-1, SEGMENT)
-        begins = np.zeros(len(rows), bool)
+        rows[SEGMENT + 1 + place] = ids % ROWS
+        rows[SEGMENT + start] = ROWS
+        begins = np.zeros(total // SEGMENT, bool)
         begins[start[segments > 0] // SEGMENT] = True
-        logs = np.empty((len(rows), SEGMENT))
-        p = self.p
-        for at in range(0, len(rows), STEP):
-            to = min(at + STEP, len(rows))
-            now = rows[at:to]
-            both = np.concatenate([rows[np.maximum(np.arange(at, to) - 1, 0)], now], axis=1)
-            s = self.q[now] @ self.k[both].transpose(0, 2, 1)
-            s += self.bias
-            s[begins[at:to], :, :SEGMENT] = -1e9
-            h = p["e"][now] + _softmax(s) @ self.v[both]
-            z = h.reshape(-1, WIDTH) @ p["u"]
-            z += p["c"]
-            z -= z.max(axis=1, keepdims=True)
-            y = target[at:to].ravel()
-            got = z[np.arange(len(z)), self.classes[y]]
-            got -= np.log(np.exp(z, out=z).sum(axis=1))
-            logs[at:to] = (got / math.log(10) + self.log_share[y]).reshape(-1, SEGMENT)
-        return np.bincount(np.repeat(np.arange(len(texts)), sizes), logs.ravel()[place], len(texts))
+        logs, p = np.empty(total), self.p
+        n = min(STEP, len(begins))
+        all_a, logits, all_h, ones = (np.ones(s, np.float32) for s in ((n, 2 * SEGMENT, SEGMENT), (n, SEGMENT, CLASSES), (n * SEGMENT, WIDTH + 1), CLASSES))
+        starts = np.arange(n * SEGMENT) * CLASSES
+        for at in range(0, len(begins), STEP):
+            to = min(at + STEP, len(begins))
+            b, now, a, h = to - at, slice(at * SEGMENT, to * SEGMENT), all_a[: to - at], all_h[: (to - at) * SEGMENT]
+            r = rows[now.start : now.stop + SEGMENT]
+            x, values = p["e"].take(r, axis=0), self.value.take(r, axis=0)
+            # Of each segment, the keys and values of the segment before and its own.
+            keys, values = (np.ndarray((b, 2 * SEGMENT, m.shape[1]), m.dtype, m, 0, (SEGMENT * m.strides[0], *m.strides)) for m in (x, values))
+            np.matmul(keys, self.query.take(r[SEGMENT:], axis=0).reshape(b, SEGMENT, WIDTH).transpose(0, 2, 1).copy(), out=a)
+            if not self.safe[0] and not _small(a):
+                seen = np.where(self.past, a, -np.inf)
+                seen[begins[at:to], :SEGMENT] = -np.inf
+                a -= seen.max(axis=1, keepdims=True)
+                np.minimum(a, 0, out=a)
+            np.exp(a, out=a)
+            np.multiply(a.reshape(b, -1), self.near, out=a.reshape(b, -1))
+            a[begins[at:to], :SEGMENT] = 0
+            o = (a.transpose(0, 2, 1) @ values).reshape(-1, WIDTH)
+            o /= (ones[: 2 * SEGMENT] @ a).reshape(-1, 1)
+            np.add(o, x[SEGMENT:], out=h[:, :WIDTH])
+            z = _logits(h.reshape(b, SEGMENT, -1), self.u, logits[:b], self.safe[1]).reshape(-1, CLASSES)
+            y = target[now]
+            got = z.reshape(-1).take(starts[: len(z)] + self.classes.take(y))
+            got -= np.log(np.exp(z, out=z) @ ones)
+            got *= np.float32(1 / math.log(10))
+            np.add(got, self.log_share.take(y), out=logs[now])
+        return np.bincount(np.repeat(np.arange(len(texts)), sizes), logs[place], len(texts))
 
 
 def _pieces(path: str):
@@ -211,38 +311,170 @@ def _pieces(path: str):
     return of
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word`` (bytes), ``n`` over all words of a one-column table of whole texts."""
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _packed(values: np.ndarray | bytes) -> bytes:
+    """Compressed, behind the number of bytes: what is dealt out and written shrinks to a half or less."""
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(held: bytes) -> bytes:
+    return _ZSTD.decompress(memoryview(held)[8:], int.from_bytes(held[:8], "little"), asbytes=True)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What :func:`tokens_of` gives of each text, one text after the other, and how many words each has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, lengths = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    # There are empty strings beside white space at the ends.
+    full = pc.not_equal(pc.binary_length(words), 0)
+    kept = full.to_numpy(zero_copy_only=False)
+    if not kept.all():
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
+        words = words.filter(full)
+    return words.dictionary_encode(), lengths
+
+
+def strings(values: pa.Array) -> list[str]:
+    """Many times faster than ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Index(dict):
+    """The place of each word, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+def indexed(blocked: DataFrame, n_buckets: int) -> DataFrame:
+    """Texts as numbers of words, and each block's words by ``bucket``: ``block``, ``doc_id``, ``held_out``, ``text``, block by block.
+
+    A text's row has its ``place`` in the block and ``own``, the numbers of its words there.  The other rows have a
+    ``bucket`` of the block's distinct words, their numbers and how often each occurs in training texts.
+    """
+    kind = dict(blocked.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        name, index, place, counts = None, None, 0, np.zeros(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def batch_of(block: list, **columns: pa.Array) -> pa.RecordBatch:
+            kinds = {"block": pa.int32(), "place": pa.int32(), "bucket": pa.int32(), "doc_id": doc_type, "held_out": pa.bool_(), "own": pa.binary(), "words": pa.binary(), "n": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *[columns.get(c, pa.nulls(len(block), k)) for c, k in kinds.items() if c != "block"]], names=list(kinds))
+
+        def vocabulary() -> Iterator[pa.RecordBatch]:
+            words = list(index)
+            # A word meets its forms with other marks at the end, which share their encoding's start.
+            buckets = np.fromiter([zlib.crc32(w.rstrip(".,;:!?").encode()) for w in words], np.int64, len(words)) % n_buckets
+            order = np.argsort(buckets, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1) if words else ():
+                columns = {"own": _packed(at.astype(np.uint32)), "words": _packed(" ".join([words[i] for i in at.tolist()]).encode()), "n": _packed(counts[at])}
+                yield batch_of([name], bucket=pa.array([buckets[at[0]]], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens_of(text))
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held.clear()
-        yield out()
+            doc_type, blocks = batch.column(1).type, batch.column(0).to_numpy()
+            for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]):
+                if lo == hi:
+                    continue
+                if blocks[lo] != name:
+                    if name is not None:
+                        yield from vocabulary()
+                    name, index, place, counts = int(blocks[lo]), None, 0, np.zeros(0, np.int64)
+                part = batch.slice(lo, hi - lo)
+                texts, n = part.column(3), hi - lo
+                # Copies of a text follow each other and are split once.
+                new = np.append(True, pc.not_equal(texts.slice(1), texts.slice(0, n - 1)).to_numpy(zero_copy_only=False))
+                words, lengths = words_of(texts.filter(pa.array(new)))
+                numbers, known = words.indices.to_numpy().astype(np.uint32), strings(words.dictionary)
+                if index is None:  # a block's first texts, and mostly all: their words are in the order of their numbers
+                    index = known
+                else:
+                    index = index if isinstance(index, _Index) else _Index(zip(index, range(len(index)), strict=True))
+                    numbers = np.fromiter(map(index.__getitem__, known), np.uint32, len(known))[numbers]
+                which = np.cumsum(new) - 1
+                times = np.bincount(which[~part.column(2).to_numpy(zero_copy_only=False)], minlength=len(lengths))
+                more = np.bincount(numbers, np.repeat(times, lengths), len(index)).astype(np.int64)
+                more[: len(counts)] += counts
+                counts = more
+                packed = [_packed(numbers[i:j]) for i, j in pairwise([0, *np.cumsum(lengths).tolist()])]
+                places = pa.array(np.arange(place, place + n, dtype=np.int32))
+                place += n
+                out = batch_of([name] * n, place=places, doc_id=part.column(1), held_out=part.column(2), own=pa.array([packed[i] for i in which.tolist()], pa.binary()))
+                del words, known, numbers, packed
+                pa.default_memory_pool().release_unused()  # what splitting took is many times the texts' size
+                yield out
+        if name is not None:
+            yield from vocabulary()
+
+    return blocked.mapInArrow(run, f"block int, place int, bucket int, doc_id {kind}, held_out boolean, own binary, words binary, n binary")
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def unified(vocabulary: DataFrame, path: str) -> DataFrame:
+    """What all blocks together know of each block's words, bucket by bucket: ``bucket``, ``block``, ``own``, ``words``, ``n``.
 
-def subword_counts(counts: DataFrame, path: str) -> DataFrame:
-    """``id``, ``n`` over all subwords of all counted words; at most the vocabulary's size of rows."""
+    Each word of the corpus is counted and encoded once.  A block's row has the counts of its words, the lengths of
+    their encodings and these.  A row without block has a bucket's distinct training words, and its subwords' counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held = _pieces(path), Counter()
+        own, name, held = coder(path), None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            words, sizes = words_of(pa.array([_unpacked(words) for _, _, words, _ in held], pa.binary()).cast(pa.string()))
+            at = np.split(words.indices.to_numpy(), np.cumsum(sizes)[:-1])
+            words = strings(words.dictionary)
+            totals = np.zeros(len(words), np.int64)
+            for numbers, (_, _, _, n) in zip(at, held, strict=True):
+                totals[numbers] += np.frombuffer(_unpacked(n), np.int64)
+            pieces = []
+            for i in range(0, len(words), 1 << 16):
+                pieces += own.ids_of_all([own.normalized(w) for w in words[i : i + (1 << 16)]])
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+            ids, start = np.frombuffer(b"".join(pieces), np.uint32), np.cumsum(lengths) - lengths
+            for numbers, (block, local, _, _) in zip(at, held, strict=True):
+                yield row(block, local, totals[numbers], lengths[numbers], _runs(ids, start[numbers], lengths[numbers]))
+            counts = np.bincount(ids, np.repeat(totals, lengths)).astype(np.int64)
+            different = np.flatnonzero(counts).astype(np.uint32)
+            yield row(None, None, counts[different], None, different, int(totals.sum()), int(np.count_nonzero(totals)))
+
+        def row(block: int | None, local: bytes | None, n: np.ndarray, lengths: np.ndarray | None, ids: np.ndarray, all_n: int | None = None, v: int | None = None) -> pa.RecordBatch:
+            parts = [local, _packed(n), None if lengths is None else _packed(lengths.astype(np.uint32)), _packed(ids)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([x], pa.binary()) for x in parts], pa.array([all_n], pa.int64()), pa.array([v], pa.int64())], names=["block", "own", "n", "lengths", "ids", "all_n", "v"])
+
+        for batch in batches:
+            for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != name and held:
+                    yield from done()
+                    held.clear()
+                name = bucket
+                held.append(rest)
+        if held:
+            yield from done()
+
+    return vocabulary.mapInArrow(run, "block int, own binary, n binary, lengths binary, ids binary, all_n long, v long")
+
+
+def _runs(values: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[s : s + n]`` for each start and length, one after the other."""
+    return values[np.arange(lengths.sum()) + np.repeat(start - (np.cumsum(lengths) - lengths), lengths)]
+
+
+def subword_counts(statistics: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
+    """Of the rows without block of :func:`unified`: each subword's count, all words' count and how many different ones there are."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, words, different = np.zeros(size, np.int64), 0, 0
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in np.frombuffer(of(word), np.uint32).tolist():
-                    held[i] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["id", "n"])
+            for ids, n, all_n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[np.frombuffer(_unpacked(ids), np.uint32)] += np.frombuffer(_unpacked(n), np.int64)
+                words, different = words + all_n, different + v
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary()), pa.array([words], pa.int64()), pa.array([different], pa.int64())], names=["n", "all_n", "v"])
 
-    return counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    parts = statistics.select("ids", "n", "all_n", "v").repartition(REDUCERS).mapInArrow(add, "n binary, all_n long, v long").collect()
+    return sum((np.frombuffer(_unpacked(r["n"]), np.int64) for r in parts), np.zeros(size, np.int64)), sum(r["all_n"] for r in parts), sum(r["v"] for r in parts)
 
 
 def vocabulary_classes(size: int, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,42 +488,41 @@ def vocabulary_classes(size: int, counts: dict[int, int]) -> tuple[np.ndarray, n
     return classes, np.log10(n / np.bincount(classes, n, CLASSES)[classes])
 
 
-def train_distributed(blocked: DataFrame, path: str, classes: np.ndarray, end: int) -> dict[str, np.ndarray]:
-    """The average by windows of the networks of the blocks: ``block`` and ``text`` of training rows, block by block."""
-    shared = blocked.sparkSession.sparkContext.broadcast(classes)
+class _Learner:
+    """Trains one block's network after the other and sums what they learned by their windows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, name, p, n, held, rows, targets = _pieces(path), None, start_parameters(), 0, 0, [], []
+    def __init__(self, classes: np.ndarray):
+        self.classes, self.block, self.sum, self.all = classes, None, None, 0
+        self.p, self.n, self.held, self.rows, self.targets = start_parameters(), 0, 0, [], []
 
-        def learn() -> None:
-            """The network goes on from where the block's windows before have left it."""
-            nonlocal n, held
-            if held:
-                train(p, np.concatenate(rows), np.concatenate(targets))
-                rows.clear()
-                targets.clear()
-                n, held = n + held, 0
+    def read(self, block: int, ids: np.ndarray) -> None:
+        """The next text of a block; the network goes on from where the block's windows before have left it."""
+        if block != self.block:
+            self.end_block()
+            self.block = block
+        row, target = windows(ids, self.classes)
+        self.rows.append(row)
+        self.targets.append(target)
+        self.held += len(row)
+        if self.held >= HELD_WINDOWS:
+            self._learn()
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(pack(p) * np.float32(n)).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "n"])
+    def _learn(self) -> None:
+        if self.held:
+            self.p = train(self.p, np.concatenate(self.rows), np.concatenate(self.targets))
+            self.n, self.held, self.rows, self.targets = self.n + self.held, 0, [], []
+
+    def end_block(self) -> None:
+        self._learn()
+        if self.n:
+            part = pack(self.p) * np.float32(self.n)
+            self.sum = part if self.sum is None else self.sum + part
+            self.all += self.n
+            self.p, self.n = start_parameters(), 0
 
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if block != name and name is not None:
-                    learn()
-                    yield done()
-                    p, n = start_parameters(), 0
-                name = block
-                ids = np.append(np.frombuffer(b"".join([of(w) for w in tokens_of(text)]), np.uint32).astype(np.int64), end)
-                row, target = windows(ids, shared.value)
-                rows.append(row)
-                targets.append(target)
-                held += len(row)
-                if held >= HELD_WINDOWS:
-                    learn()
-        if name is not None:
-            learn()
-            yield done()
+
+def _average(parts: DataFrame) -> dict[str, np.ndarray]:
+    """Of ``p``, sums of networks by their windows, and ``windows``, how many these are."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -300,18 +531,98 @@ def train_distributed(blocked: DataFrame, path: str, classes: np.ndarray, end: i
                 part = np.frombuffer(p, np.float32)
                 total, n = part if total is None else total + part, n + k
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["p", "windows"])
 
-    sums = blocked.mapInArrow(run, "p binary, n long").repartition(REDUCERS).mapInArrow(add, "p binary, n long").collect()
+    sums = parts.select("p", "windows").repartition(REDUCERS).mapInArrow(add, "p binary, windows long").collect()
     if not sums:
         return start_parameters()
-    return unpack(sum(np.frombuffer(r["p"], np.float32) for r in sums) / np.float32(sum(r["n"] for r in sums)))
+    return unpack(sum(np.frombuffer(r["p"], np.float32) for r in sums) / np.float32(sum(r["windows"] for r in sums)))
 
 
-def dealt(named: DataFrame, n_blocks: int) -> DataFrame:
-    """``named`` with ``block``, by the text's hash ``h``, which stays."""
+def train_distributed(blocked: DataFrame, path: str, classes: np.ndarray, end: int) -> dict[str, np.ndarray]:
+    """The average by windows of the networks of the blocks: ``block`` and ``text`` of training rows, block by block."""
+    shared = blocked.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, learner = _pieces(path), _Learner(shared.value)
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                learner.read(block, np.append(np.frombuffer(b"".join([of(w) for w in tokens_of(text)]), np.uint32), np.uint32(end)))
+        learner.end_block()
+        if learner.all:
+            yield pa.RecordBatch.from_arrays([pa.array([learner.sum.tobytes()], pa.binary()), pa.array([learner.all], pa.int64())], names=["p", "windows"])
+
+    return _average(blocked.mapInArrow(run, "p binary, windows long"))
+
+
+def encoded(blocked: DataFrame, classes: np.ndarray, end: int) -> DataFrame:
+    """Every text's ids and word counts, and the networks trained on the way: the rows of each block's words, then its texts by place.
+
+    A text's row has ``n_words``, ``n_known``, ``logs`` (the sum of log10 of its words' counts and a half) and ``ids``;
+    a row without these has the sum of a task's networks by their windows.
+    """
+    shared = blocked.sparkSession.sparkContext.broadcast(classes)
+    kind = dict(blocked.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, name, words, before, small = _Learner(shared.value), None, [], None, np.uint16 if len(shared.value) <= 1 << 16 else np.uint32
+
+        def joined() -> tuple[np.ndarray, ...]:
+            """By number of a word: its count, log10 of that and a half, where its ids start and how many they are; all ids."""
+            own, n, lengths, ids = (np.concatenate([np.zeros(0, t), *[np.frombuffer(_unpacked(w[k]), t) for w in words]]) for k, t in enumerate((np.uint32, np.int64, np.uint32, np.uint32)))
+            back = np.empty(len(own), np.int64)
+            back[own] = np.arange(len(own))
+            lengths = lengths.astype(np.int64)
+            start = np.cumsum(lengths) - lengths
+            return n[back] > 0, np.array([math.log10(c + 0.5) for c in n.tolist()], float)[back], start[back], lengths[back], ids
+
+        for batch in batches:
+            blocks, places, docs, held, *parts = (c.to_pylist() if k != 2 else c for k, c in enumerate(batch.columns))
+            at, out = [], {"n_words": [], "n_known": [], "logs": [], "ids": []}
+            for i, (block, place, held_out, own, *rest) in enumerate(zip(blocks, places, held, *parts, strict=True)):
+                if block != name:
+                    name, words, known, before = block, [], None, None
+                if place < 0:
+                    words.append((own, *rest))
+                    continue
+                if known is None:
+                    known, logs, start, lengths, pieces = joined()
+                    words = []
+                if own != before:
+                    before, numbers = own, np.frombuffer(_unpacked(own), np.uint32)
+                    ids = np.append(_runs(pieces, start[numbers], lengths[numbers]), np.uint32(end))
+                    row = len(numbers), int(np.count_nonzero(known[numbers])), float(logs[numbers].sum(dtype=np.longdouble)), _packed(ids.astype(small))
+                if not held_out:
+                    learner.read(block, ids)
+                at.append(i)
+                for c, x in zip(out.values(), row, strict=True):
+                    c.append(x)
+            n = len(at)
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                docs.take(taken), batch.column(3).take(taken), pa.array(out["n_words"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["logs"], pa.float64()),
+                pa.array(out["ids"], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()),
+            ], names=names)
+            doc_type = docs.type
+        learner.end_block()
+        if learner.all:
+            empty = [pa.nulls(1, t) for t in (doc_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([learner.sum.tobytes()], pa.binary()), pa.array([learner.all], pa.int64())], names=names)
+
+    names = ["doc_id", "held_out", "n_words", "n_known", "logs", "ids", "p", "windows"]
+    return blocked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, ids binary, p binary, windows long")
+
+
+def groups(named: DataFrame) -> DataFrame:
+    """Of each text's hash ``repeated``: its rows ``n``, further columns as sums of ``bytes`` and ``ends``."""
+    sums = [F.sum(c).alias(c) for c in ("bytes", "ends") if c in named.columns]
+    return named.groupBy(F.xxhash64("text").alias("repeated")).agg(F.count("*").alias("n"), *sums)
+
+
+def dealt(named: DataFrame, n_blocks: int, counted: DataFrame | None = None) -> DataFrame:
+    """``named`` with ``block``, by the text's hash ``h``, which stays; ``counted`` has its :func:`groups`."""
     hashed = named.withColumn("h", F.xxhash64("text"))
-    counts = hashed.groupBy(F.col("h").alias("repeated")).agg(F.count("*").alias("n")).where(F.col("n") > REPEATS)
+    counts = (groups(named) if counted is None else counted).where(F.col("n") > REPEATS)
     # At most one row for REPEATS rows, joined by broadcast only while its file is small.
     salted = hashed.withColumn("place", F.monotonically_increasing_id()).join(durable(counts.select("repeated"), "repeated"), F.col("h") == F.col("repeated"), "left")
     salt = F.when(F.col("repeated").isNotNull(), F.col("place")).otherwise(0)
@@ -320,65 +631,52 @@ def dealt(named: DataFrame, n_blocks: int) -> DataFrame:
 
 def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", by: int = 5, held: int = 1) -> DataFrame:
     """``doc_id``, ``held_out``, token counts, ``base_score`` and the network's ``score`` of every row."""
-    spark = docs.sparkSession
     named = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("held_out", remainder("doc_id", by) == held)
-    training = named.where("not held_out").select("text")
-    sizes = named.agg(F.sum(utf8_size(F.col("text")) + 64).alias("bytes"), F.sum((~F.col("held_out")).cast("long")).alias("ends")).first()
+    counted = durable(groups(named.select("text", (utf8_size(F.col("text")) + 64).alias("bytes"), (~F.col("held_out")).cast("long").alias("ends"))), "groups")
+    sizes = counted.agg(F.sum("bytes").alias("bytes"), F.sum("ends").alias("ends")).first()
     ends, n_blocks = sizes["ends"] or 0, max(1, -(-(sizes["bytes"] or 0) // BLOCK_BYTES))
-    counts = word_counts(training)
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     own = coder(path)
-    end = own.vocabulary["<|endoftext|>"]
-    subwords = {r["id"]: r["n"] for r in subword_counts(counts, path).collect()} | ({end: ends} if ends else {})
-    classes, log_share = vocabulary_classes(max(own.tokens) + 1, subwords)
-    placed = dealt(named, n_blocks)
-    training_blocks = placed.where("not held_out").select("block", "text", "h").repartition(n_blocks, "block").sortWithinPartitions("block", "h", "text").select("block", "text")
-    parameters = train_distributed(training_blocks, path, classes, end)
-    shared = spark.sparkContext.broadcast((parameters, classes, log_share))
-    blocked = placed.select("block", "doc_id", "held_out", "text").repartition(n_blocks, "block")
-
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held_words: dict[int, set[bytes]] = {}
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                held_words.setdefault(b, set()).update(tokens_of(t))
-            for b, words in held_words.items():
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(words), pa.int32()), pa.array(list(words), pa.binary())], names=["block", "word"])
-
-    known = blocked.mapInArrow(distinct_words, "block int, word binary").join(counts, "word").select("block", "word", "n")
-    floor = math.log10(0.5) - math.log10(n + 0.5 * (v + 1))
+    end, size = own.vocabulary["<|endoftext|>"], max(own.tokens) + 1
+
+    blocks = dealt(named, n_blocks, counted).repartition(n_blocks, "block").sortWithinPartitions("block", "h", "text")
+    read = durable(indexed(blocks.select("block", "doc_id", "held_out", "text"), n_blocks), "indexed")
+    buckets = read.where("bucket is not null").select("bucket", "block", "own", "words", "n")
+    known = durable(unified(buckets.repartition(n_blocks, "bucket").sortWithinPartitions("bucket"), path), "words")
+    subwords, n, v = subword_counts(known.where("block is null"), size)
+    subwords[end] += ends
+    n, v = n + ends, v + (ends > 0)
+    classes, log_share = vocabulary_classes(size, dict(enumerate(subwords.tolist())))
+    binary = [F.lit(None).cast("binary").alias(c) for c in ("n", "lengths", "ids")]
+    texts = read.where("bucket is null").select("block", "place", "doc_id", "held_out", "own", *binary)
+    words = known.where("block is not null").select("block", F.lit(-1).alias("place"), F.lit(None).cast(texts.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "own", "n", "lengths", "ids")
+    done = durable(encoded(texts.unionAll(words).repartition(n_blocks, "block").sortWithinPartitions("block", "place"), classes, end), "encoded")
+    for table in (counted, read, known):
+        forget(table)
+    parameters = _average(done.where("p is not null"))
+    shared = docs.sparkSession.sparkContext.broadcast((parameters, classes, log_share))
     base = math.log10(n + 0.5 * (v + 1))
+    last = math.log10(ends + 0.5)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = _pieces(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        log = {w: math.log10(c + 0.5) - base for w, c in zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True)}
-        last = math.log10(ends + 0.5) - base if ends else floor
-        ids: dict[bytes, bytes] = {}
-        n_tokens, n_known, base_score, sequences, scores = [], [], [], [], []
-        tail = np.uint32(end).tobytes()
-        for t in left.column("text").to_pylist():
-            words = tokens_of(t)
-            values = [log.get(w, floor) for w in words]
-            n_tokens.append(len(words) + 1)
-            n_known.append(len(words) - values.count(floor) + (ends > 0))
-            base_score.append(math.fsum(values) + last)
-            for w in {*words}:
-                if w not in ids:
-                    ids[w] = of(w)
-            sequences.append(np.frombuffer(b"".join([ids[w] for w in words]) + tail, np.uint32))
-            if sum(map(len, sequences[-64:])) > 400_000 or len(sequences) >= 512:
-                scores.append(scorer.score(sequences))
-                sequences = []
-        if sequences:
+        small = np.uint16 if size <= 1 << 16 else np.uint32
+        for batch in batches:
+            # Copies of a text that meet here are scored once.
+            places, scores, sequences, size_of_all = _Index(), [], [], 0
+            which = [*map(places.__getitem__, batch.column("ids").to_pylist())]
+            for ids in places:
+                sequences.append(np.frombuffer(_unpacked(ids), small))
+                size_of_all += len(sequences[-1])
+                if size_of_all > HELD_SUBWORDS:
+                    scores.append(scorer.score(sequences))
+                    sequences, size_of_all = [], 0
             scores.append(scorer.score(sequences))
-        return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([n] * len(n_tokens), pa.int64()), "base_score": pa.array(base_score, pa.float64()),
-            "score": pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64()),
-        })
+            n_tokens = batch.column("n_words").to_numpy() + 1
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens), pa.array(batch.column("n_known").to_numpy() + (ends > 0)), pa.array(np.full(len(which), n, np.int64)),
+                pa.array(batch.column("logs").to_numpy() + last - n_tokens * base), pa.array(np.concatenate(scores)[which]),
+            ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
+    kind = dict(done.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+    return done.where("p is null").select("doc_id", "held_out", "n_words", "n_known", "logs", "ids").mapInArrow(run, schema)

@@ -491,6 +491,70 @@ def test_the_network_beats_the_unigram_on_unseen_text(spark):
     assert sum(r.score for r in held) > 0.93 * sum(r.base_score for r in held)
 
 
+def test_words_are_counted_and_encoded_once_for_all_blocks(spark):
+    path, own = vocabulary_path("word_bpe_49k.json"), bpe.BytePairCoder(vocabulary_path("word_bpe_49k.json"))
+    texts = [(t or "").lower() for t in HARD] + [" odd, ends. ", "Don't stop-here: 3.5 ... x!? é, ﬁ. '"] + [prose(i, 40) for i in range(30)]
+    rows = sorted((i % 3, i, i % 4 == 0, t) for i, t in enumerate(texts * 2))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # a block's texts come in several batches
+    try:
+        read = language_model.indexed(spark.createDataFrame(rows, "block int, doc_id long, held_out boolean, text string").coalesce(1), 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    names = {}
+    for r in read:
+        if r.bucket is not None:
+            names[r.block] = names.get(r.block, {}) | dict(zip(np.frombuffer(language_model._unpacked(r.own), np.uint32).tolist(), language_model._unpacked(r.words).split(b" "), strict=True))
+    for r in read:
+        if r.bucket is None:
+            assert [names[r.block][i] for i in np.frombuffer(language_model._unpacked(r.own), np.uint32).tolist()] == language_model.tokens_of((texts * 2)[r.doc_id])
+    buckets = spark.createDataFrame([(r.bucket, r.block, r.own, r.words, r.n) for r in read if r.bucket is not None], "bucket int, block int, own binary, words binary, n binary")
+    got = language_model.unified(buckets.coalesce(1).sortWithinPartitions("bucket"), path).collect()
+    want = Counter(w for _, _, held, t in rows if not held for w in language_model.tokens_of(t))
+    assert sum(r.v for r in got if r.block is None) == len(want) and sum(r.all_n for r in got if r.block is None) == want.total()
+    of = language_model._pieces(path)
+    for r in got:
+        if r.block is not None:
+            words = [names[r.block][i] for i in np.frombuffer(language_model._unpacked(r.own), np.uint32).tolist()]
+            assert np.frombuffer(language_model._unpacked(r.n), np.int64).tolist() == [want[w] for w in words]
+            assert language_model._unpacked(r.ids) == b"".join(map(of, words))
+    calls, batch = [], own.ending.encode_batch_fast
+    own.ending = type("Counting", (), {"encode_batch_fast": lambda self, x, **options: (calls.append(1), batch(x, **options))[1]})()
+    many = [w + mark for w in WORDS for mark in ("", ",", ".")]
+    assert own.ids_of_all(many) == [*map(bpe.coder(path).ids_of, many)] and len(calls) == 1
+
+
+def test_training_and_scores_equal_plain_attention():
+    """Against softmax and Adam as they are written, in double precision; large parameters too."""
+    rng, w, size = np.random.default_rng(4), language_model.WIDTH, 2 * language_model.SEGMENT
+    rows, targets = rng.integers(0, 90, (70, size)).astype(np.int16), rng.integers(-1, 128, (70, size)).astype(np.int16)
+    gap = np.arange(size)[:, None] - np.arange(size)[None, :]
+
+    def forward(p, r):
+        x = p["e"][r]
+        s = (x @ p["q"]) @ (x @ p["k"]).transpose(0, 2, 1) / math.sqrt(w) + np.where(gap < 0, -1e9, p["near"][np.maximum(gap, 0)])
+        a = language_model._softmax(s)
+        o = a @ (x @ p["v"])
+        h = x + o @ p["o"]
+        return x, a, o, h, language_model._softmax(h @ p["u"] + p["c"])
+
+    for factor in (1, 6):
+        start = {n: (v * factor).astype(np.float32) for n, v in language_model.start_parameters().items()}
+        p = {n: v.astype(float) for n, v in start.items()}
+        order = np.random.default_rng(5).permutation(len(rows))[: language_model.BATCH]
+        r, y = rows[order], targets[order]
+        _, _, _, h, z = forward(p, r)
+        z = (z - (np.arange(128) == y[..., None])) * (y >= 0)[..., None] / (y >= 0).sum()
+        slope = np.einsum("bih,bic->hc", h, z)
+        got = language_model.train({n: v.copy() for n, v in start.items()}, rows[order], targets[order])
+        one = np.random.default_rng(5).permutation(len(order))
+        assert sorted(one) == list(range(len(order))) and np.allclose(got["u"], p["u"] - language_model.RATE * slope / (abs(slope) + 1e-8), atol=2e-4)
+        text = rng.integers(0, 90, language_model.SEGMENT)
+        classes = np.arange(90) % 128
+        *_, z = forward(p, np.concatenate([[language_model.ROWS], text[:-1], np.zeros(size - len(text), int)])[None])
+        want = np.log10(z[0, np.arange(len(text)), classes[text]]).sum()
+        assert math.isclose(language_model.Scorer(start, classes, np.zeros(90)).score([text])[0], want, rel_tol=1e-4)
+
+
 def test_attention_scores_each_subword_once_and_sums_to_one():
     rng = np.random.default_rng(0)
     p = language_model.start_parameters()
