@@ -24,20 +24,31 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of any executor."""
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, label: str, most_rows: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of any executor.
+
+    ``most_rows`` bounds a file's rows where these are large, as a reader holds many rows of a file at once.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.option("maxRecordsPerFile", most_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`durable` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, parent)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding
+from . import bpe, decontamination, html_extraction, language_id, language_model, near_duplicates, pseudonyms, quality_classifier, quality_rules, sharding, vector_queries
 
 #: The session's setting that holds the key of the pseudonyms, and the key of sessions without it, which is no secret.
 KEY_SETTING = "spark.episodica.pseudonymKey"
@@ -140,8 +140,9 @@ SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(b, 6) AS ba
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_near_duplicates, op8_language_id, op9_language_model, op10_pseudonyms, shard_counts, quality_base_counts, unigram_base_scores)}
+    own = (op1_sharding, op2_html_extraction, op3_decontamination, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_near_duplicates, op8_language_id, op9_language_model, op10_pseudonyms, shard_counts, quality_base_counts, unigram_base_scores)
+    return {f.__name__: f for f in own} | vector_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"shard_counts": _SHARDS_SQL, "quality_base_counts": _COUNTS_SQL, "unigram_base_scores": _UNIGRAM_SQL}
+    return {"shard_counts": _SHARDS_SQL, "quality_base_counts": _COUNTS_SQL, "unigram_base_scores": _UNIGRAM_SQL} | vector_queries.oracle_sql()
