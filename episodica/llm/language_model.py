@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import coder
+from .bpe import coder, portions
 from .common import durable, forget, text_or_empty, utf8_size
 from .language_id import remainder
 
@@ -53,6 +53,8 @@ BLOCK_BYTES = 6 << 20
 REPEATS = 1000
 HELD_WORDS = 200_000
 REDUCERS = 16
+#: Text bytes of rows that are split into words together, or one row.
+SPLIT_BYTES = 2 << 20
 #: Windows that a block holds and goes through EPOCHS times before it reads on; subwords that are scored together, or one text.
 HELD_WINDOWS = 8192
 HELD_SUBWORDS = 100_000
@@ -374,7 +376,8 @@ def indexed(blocked: DataFrame, n_buckets: int) -> DataFrame:
                 columns = {"own": _packed(at.astype(np.uint32)), "words": _packed(" ".join([words[i] for i in at.tolist()]).encode()), "n": _packed(counts[at])}
                 yield batch_of([name], bucket=pa.array([buckets[at[0]]], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()})
 
-        for batch in batches:
+        # Splitting holds several times a batch's texts: it gets a few megabytes at a time.
+        for batch in (part for whole in batches for part in portions(whole, 3, SPLIT_BYTES)):
             doc_type, blocks = batch.column(1).type, batch.column(0).to_numpy()
             for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]):
                 if lo == hi:
@@ -638,10 +641,10 @@ def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     own = coder(path)
     end, size = own.vocabulary["<|endoftext|>"], max(own.tokens) + 1
 
-    blocks = dealt(named, n_blocks, counted).repartition(n_blocks, "block").sortWithinPartitions("block", "h", "text")
+    blocks = dealt(named, n_blocks, counted).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "h", "text")
     read = durable(indexed(blocks.select("block", "doc_id", "held_out", "text"), n_blocks), "indexed")
     buckets = read.where("bucket is not null").select("bucket", "block", "own", "words", "n")
-    known = durable(unified(buckets.repartition(n_blocks, "bucket").sortWithinPartitions("bucket"), path), "words")
+    known = durable(unified(buckets.repartitionById(n_blocks, F.col("bucket")).sortWithinPartitions("bucket"), path), "words")
     subwords, n, v = subword_counts(known.where("block is null"), size)
     subwords[end] += ends
     n, v = n + ends, v + (ends > 0)
@@ -649,7 +652,7 @@ def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     binary = [F.lit(None).cast("binary").alias(c) for c in ("n", "lengths", "ids")]
     texts = read.where("bucket is null").select("block", "place", "doc_id", "held_out", "own", *binary)
     words = known.where("block is not null").select("block", F.lit(-1).alias("place"), F.lit(None).cast(texts.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "own", "n", "lengths", "ids")
-    done = durable(encoded(texts.unionAll(words).repartition(n_blocks, "block").sortWithinPartitions("block", "place"), classes, end), "encoded")
+    done = durable(encoded(texts.unionAll(words).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "place"), classes, end), "encoded")
     for table in (counted, read, known):
         forget(table)
     parameters = _average(done.where("p is not null"))
