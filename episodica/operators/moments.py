@@ -190,10 +190,10 @@ def moments(rows: DataFrame, keys: list[str], vector: str = "v", replicates: int
     return once.select(*out_keys, F.lit(0).alias("salt"), "moments").repartition(*out_keys).mapInArrow(merge, schema)
 
 
-#: Chance that a row counts at most 0, 1, ... times in a resample: the Poisson distribution with mean 1.
-POISSON = tuple(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]).tolist())
-#: Prime modulus of the counters' hash, and its additive constants.
+#: Prime modulus of the counters' hash, its factors and additive constants.
 PRIME, ROW_STEP, REPLICATE_STEP, MIX = 2_147_483_647, 48_271, 69_621, (12_345, 67_891)
+#: A row counts once for each of these that its hash reaches: a Poisson number with mean 1.
+POISSON = tuple(math.ceil(PRIME * c) for c in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]).tolist())
 
 
 def resample_hash(row: np.ndarray, replicate: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def resample_hash(row: np.ndarray, replicate: np.ndarray) -> np.ndarray:
 def resample_counts(entities: np.ndarray, replicates: int, seed: int = 0) -> np.ndarray:
     """How often each entity counts in each resample: Poisson with mean 1, the same wherever the row is read."""
     h = resample_hash(entities.astype(np.int64)[:, None], np.arange(1, replicates + 1)[None, :] + seed * 1009)
-    return np.searchsorted(np.array(POISSON) * PRIME, h, side="right").astype(float)
+    return np.searchsorted(np.array(POISSON), h, side="right").astype(float)
 
 
 def collected(found: DataFrame, keys: list[str]) -> dict[tuple, Moments]:
