@@ -314,39 +314,6 @@ def score_queries(rows: DataFrame, runs: list[str], names: list[str], size: int)
     return queries.select(*runs, "episode", "v").repartition(n, "episode").mapInArrow(score, schema)
 
 
-def run_metrics(rows: DataFrame, runs: list[str], kind: str) -> DataFrame:
-    """``metric``, ``value`` for each run: ``transfer``, ``covariance``, ``risk`` or ``conditioning`` (of the target)."""
-    of = {
-        "transfer": lambda m: L.transfer_metrics(m["source"], m["target"]),
-        "covariance": lambda m: L.covariance_distances(L.floored(L.shrunk_covariance(m["source"])[1]), L.floored(L.shrunk_covariance(m["target"])[1])),
-        "conditioning": lambda m: L.conditioning(m["target"]),
-        "risk": lambda m: L.risk_index(m["source"], m["target"]),
-    }[kind]
-    schema = ", ".join([f"{k} {t}" for k, t in rows.select(*runs).dtypes] + ["metric string", "value double"])
-
-    def measure(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = of(_matrices(part))
-        return pd.DataFrame({**dict(zip(runs, key, strict=True)), "metric": list(found), "value": list(found.values())})
-
-    return rows.groupBy(*runs).applyInPandas(measure, schema)
-
-
-def leave_one_out(rows: DataFrame, runs: list[str], name: str = "TargetOnly") -> DataFrame:
-    """Conformity score of each commissioning episode from a fit without it."""
-    schema = ", ".join([f"{k} {t}" for k, t in rows.select(*runs).dtypes] + ["detector string", f"episode {dict(rows.dtypes)['episode']}", "score double"])
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        m = _matrices(part)
-        ids = part[part["role"] == "target"].sort_values("episode", kind="stable")["episode"].to_numpy()
-        if not {"source", "target"} <= m.keys() or len(ids) < 2:
-            return pd.DataFrame(columns=[*runs, "detector", "episode", "score"])
-        t = m["target"]
-        scores = [SCORERS[name](m["source"], np.delete(t, i, axis=0), t[i : i + 1])[0] for i in range(len(t))]
-        return pd.DataFrame({**dict(zip(runs, key, strict=True)), "detector": name, "episode": ids, "score": scores})
-
-    return rows.where("role <> 'query'").groupBy(*runs).applyInPandas(fit, schema)
-
-
 def strongest_contributions(rows: DataFrame, runs: list[str], most: int) -> DataFrame:
     """The ``most`` features with the largest parts of each query's squared distance from the target, and the distance."""
     schema = ", ".join([f"{k} {t}" for k, t in rows.select(*runs).dtypes] + [f"episode {dict(rows.dtypes)['episode']}", "place int, feature int, contribution double, squared double"])

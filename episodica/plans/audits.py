@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import audits, conformal, detectors, distribution, features, guards, matrix_detectors, membership, policies, roc, summaries
+from ..operators import audits, conformal, detectors, distribution, features, guards, matrix_detectors, membership, moments, policies, roc, summaries
 from . import study
 from .catalog import _RUN_SQL, _STEPS_SQL, _TWO_SQL, MARKED_SQL, QUERIES, marked, matrix_rows, predictions, query, runs, table
 from .study import ALPHA, FEATURES_SQL, MEMBERS_SQL, RECALL, RUN, RUNS_SQL, SCORES_SQL
@@ -516,7 +516,7 @@ def st21_fisher(spark, sf_dir):
 
 @query()
 def m16_transfer_risk(spark, sf_dir):
-    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "risk")
+    return moments.risk_index(matrix_rows(spark, sf_dir), ["n"])
 
 
 @query()
@@ -528,7 +528,7 @@ def m25_contributions(spark, sf_dir):
 @query()
 def m26_leave_one_out_outliers(spark, sf_dir):
     """Commissioning episodes whose score without them lies three robust deviations above their run's median."""
-    scores = cut(matrix_detectors.leave_one_out(matrix_rows(spark, sf_dir), ["n"]))
+    scores = cut(moments.leave_one_out(matrix_rows(spark, sf_dir), ["n"], ["TargetOnly"]))
     marked_scores = distribution.robust_scores(scores, ["n"], "score")
     return marked_scores.select("n", "episode", "score", "robust_z", (F.col("robust_z") > 3).alias("outlier"))
 

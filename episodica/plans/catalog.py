@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import conformal, detectors, distribution, features, guards, matrix_detectors, membership, roc, summaries, transfer_detectors  # noqa: F401  (registers its scorers)
+from ..operators import conformal, detectors, distribution, features, guards, kernels, matrix_detectors, membership, moments, roc, summaries, transfer_detectors  # noqa: F401  (registers its scorers)
 from . import study
 from .study import ALPHA, FEATURES_SQL, MEMBERS_SQL, RECALL, RUN, RUNS_SQL, SCORES_SQL, events, table
 
@@ -552,9 +552,9 @@ def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("episode"), F.col("embedding").cast("array<double>").alias("v"), "label")
     healthy = e.where("label = 0")
-    order = F.row_number().over(Window.orderBy(C.seeded_order(F.col("episode"), F.lit(1)), "episode"))
-    target = healthy.where("episode % 2 = 0").withColumn("place", order)
-    whole = target.count()
+    even = healthy.where("episode % 2 = 0")
+    whole = even.count()
+    target = even.join(membership.seeded_rank(even.select("episode"), "episode", 1).select("episode", F.col("rank").alias("place")), "episode")
     sizes = F.explode(F.array(*[F.lit(n) for n in sorted({whole, *(n for n in COMMISSIONING if n <= whole)})])).alias("n")
     source = healthy.where("episode % 2 = 1").select(sizes, F.lit("source").alias("role"), "episode", "v")
     fit = target.select(sizes, "place", "episode", "v").where("place <= n").select("n", F.lit("target").alias("role"), "episode", "v")
@@ -569,22 +569,22 @@ def m_matrix_detectors(spark, sf_dir):
 
 @query()
 def m6_leave_one_out(spark, sf_dir):
-    return matrix_detectors.leave_one_out(matrix_rows(spark, sf_dir), ["n"])
+    return moments.leave_one_out(matrix_rows(spark, sf_dir), ["n"], ["TargetOnly"])
 
 
 @query()
 def m17_transfer_metrics(spark, sf_dir):
-    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "transfer")
+    return kernels.transfer_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"])
 
 
 @query()
 def m16_covariance_distances(spark, sf_dir):
-    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "covariance")
+    return moments.covariance_distances(matrix_rows(spark, sf_dir), ["n"])
 
 
 @query()
 def st29_conditioning(spark, sf_dir):
-    return matrix_detectors.run_metrics(matrix_rows(spark, sf_dir).where("role <> 'query'"), ["n"], "conditioning")
+    return moments.conditioning(matrix_rows(spark, sf_dir), ["n"])
 
 
 def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
