@@ -142,11 +142,11 @@ def _by_key(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.ndar
         yield key, np.array(rows)
 
 
-def moments(rows: DataFrame, keys: list[str], vector: str = "v", replicates: int = 0, entity: str | None = None, seed: int = 42) -> DataFrame:
+def moments(rows: DataFrame, keys: list[str], vector: str = "v", replicates: int = 0, entity: str | None = None, seed: int = 42, counts: Callable | None = None) -> DataFrame:
     """``keys`` and ``moments`` (packed) of each group of ``rows``.
 
     With ``replicates``, each group also has as many resamples, numbered from 1 in ``replicate`` (0: the group itself),
-    in which a row counts as often as :func:`resample_counts` of its ``entity`` says.
+    in which a row counts as often as :func:`resample_counts` of its ``entity`` says, or another function of that kind.
     """
     kinds = dict(rows.dtypes)
     more = ["replicate"] if replicates else []
@@ -169,8 +169,8 @@ def moments(rows: DataFrame, keys: list[str], vector: str = "v", replicates: int
                 part = x[at]
                 found = [(key + (0,) * len(more), Moments.of(part))]
                 if replicates:
-                    counts = resample_counts(batch.column("entity").to_numpy(zero_copy_only=False)[at], replicates, seed)
-                    found += [((*key, r + 1), Moments.of(part, counts[:, r], part.mean(axis=0))) for r in range(replicates)]
+                    often = (counts or resample_counts)(batch.column("entity").to_numpy(zero_copy_only=False)[at], replicates, seed)
+                    found += [((*key, r + 1), Moments.of(part, often[:, r], part.mean(axis=0))) for r in range(replicates)]
                 for k, m in found:
                     held[k] = held[k] + m if k in held else m
         yield from emit(held)
