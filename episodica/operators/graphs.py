@@ -225,22 +225,30 @@ def constrained_columns(sigma: np.ndarray, right: np.ndarray, bound: float, roun
     return w
 
 
-def _scaled_columns(cov: np.ndarray, right: np.ndarray, columns: np.ndarray, bound: float) -> tuple[np.ndarray, float]:
-    """Constrained columns in correlation scale, each rescaled so that its own equation holds; the largest violation."""
+#: Above this violation of its constraint a column has no solution.
+SOLVED = 1e-4
+
+
+def _scaled_columns(cov: np.ndarray, right: np.ndarray, columns: np.ndarray, bound: float) -> tuple[np.ndarray, float, int]:
+    """Constrained columns in correlation scale, each rescaled so that its own equation holds.
+
+    Columns without a solution are 0; also the largest violation of the others, and how many have none.
+    """
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     corr = cov / np.outer(sd, sd)
     x = constrained_columns(corr, right[:, columns], bound)
-    violation = float(max(0.0, np.abs(corr @ x - right[:, columns]).max() - bound))
-    x = x / np.outer(sd, sd[columns])
+    violation = np.maximum(np.abs(corr @ x - right[:, columns]).max(axis=0) - bound, 0.0)
+    solved = violation <= SOLVED
+    x = np.where(solved, x / np.outer(sd, sd[columns]), 0.0)
     for k, j in enumerate(columns):
         reached, wanted = float(cov[j] @ x[:, k]), float(right[j, j])
         if abs(reached) > 1e-12 and abs(wanted) > 1e-12:
             x[:, k] *= wanted / reached
-    return x, violation
+    return x, float(violation[solved].max(initial=0.0)), int((~solved).sum())
 
 
-def _solved(spark, problems: dict[tuple, tuple[np.ndarray, np.ndarray, float]], columns_at_once: int) -> tuple[dict[tuple, np.ndarray], dict[tuple, float]]:
-    """All columns of all problems (covariance, right side, bound), some columns to a task."""
+def _solved(spark, problems: dict[tuple, tuple[np.ndarray, np.ndarray, float]], columns_at_once: int) -> tuple[dict[tuple, np.ndarray], dict[tuple, tuple[float, int]]]:
+    """All columns of all problems (covariance, right side, bound), some columns to a task; violations and unsolved columns."""
     shared = spark.sparkContext.broadcast(list(problems.values()))
     keys = list(problems)
     todo = [(i, c) for i, (cov, _, _) in enumerate(problems.values()) for c in range(0, len(cov), columns_at_once)]
@@ -250,15 +258,16 @@ def _solved(spark, problems: dict[tuple, tuple[np.ndarray, np.ndarray, float]],
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cov, right, bound = shared.value[i]
                 columns = np.arange(c, min(c + columns_at_once, len(cov)))
-                x, violation = _scaled_columns(cov, right, columns, bound)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c], pa.int32()), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), pa.array([violation])], names=["problem", "first", "x", "violation"])
+                x, violation, unsolved = _scaled_columns(cov, right, columns, bound)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c], pa.int32()), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), pa.array([violation]), pa.array([unsolved], pa.int32())], names=["problem", "first", "x", "violation", "unsolved"])
 
-    found = spark.createDataFrame(todo, "problem int, first int").repartition(max(1, min(len(todo), 4096)), "problem", "first").mapInArrow(solve, "problem int, first int, x binary, violation double")
-    out, worst = {k: np.zeros_like(problems[k][0]) for k in keys}, dict.fromkeys(keys, 0.0)
+    found = spark.createDataFrame(todo, "problem int, first int").repartition(max(1, min(len(todo), 4096)), "problem", "first").mapInArrow(solve, "problem int, first int, x binary, violation double, unsolved int")
+    out, worst = {k: np.zeros_like(problems[k][0]) for k in keys}, dict.fromkeys(keys, (0.0, 0))
     for r in found.collect():  # a run's matrices, whose moments the driver has already
         x = np.frombuffer(bytes(r["x"])).reshape(len(out[keys[r["problem"]]]), -1)
         out[keys[r["problem"]]][:, r["first"] : r["first"] + x.shape[1]] = x
-        worst[keys[r["problem"]]] = max(worst[keys[r["problem"]]], r["violation"])
+        violation, unsolved = worst[keys[r["problem"]]]
+        worst[keys[r["problem"]]] = max(violation, r["violation"]), unsolved + r["unsolved"]
     return out, worst
 
 
@@ -271,7 +280,7 @@ def lent_precisions(rows: DataFrame, runs: list[str], bound: float, lending: flo
     averaged, made symmetric and projected to eigenvalues of at least ``floor``.
 
     A run's result has ``precision``, ``raw``, ``lent`` (the share of columns through the source), ``violation`` (of a
-    column's constraint), ``least_eigenvalue`` before the projection and ``change`` by it.
+    solved column's constraint), ``unsolved`` (columns without a solution, which count as 0), ``least_eigenvalue`` before the projection and ``change`` by it.
     """
     spark = rows.sparkSession
     source = collected(moments(rows.where("role = 'source'"), runs), runs)
@@ -301,14 +310,14 @@ def lent_precisions(rows: DataFrame, runs: list[str], bound: float, lending: flo
         cov = held.covariance() * held.n / (held.n - 1)
         risk = [np.einsum("ij,ik,kj->j", x, cov, x) - 2 * np.diag(x) for x in (base[k], transferred[k])]
         through = risk[1] < risk[0]
-        chosen.setdefault(k[:-1], []).append((np.where(through, transferred[k], base[k]), through.mean(), max(worst[k], worse[k])))
+        chosen.setdefault(k[:-1], []).append((np.where(through, transferred[k], base[k]), through.mean(), max(worst[k][0], worse[k][0]), worst[k][1] + worse[k][1]))
     out = {}
     for k, found in chosen.items():
-        raw = np.mean([x for x, _, _ in found], axis=0)
+        raw = np.mean([x for x, *_ in found], axis=0)
         symmetric = (raw + raw.T) / 2
         projected = L.floored(symmetric, floor)
         out[k] = {
-            "precision": projected, "raw": raw, "lent": float(np.mean([share for _, share, _ in found])), "violation": max(v for _, _, v in found),
+            "precision": projected, "raw": raw, "lent": float(np.mean([share for _, share, *_ in found])), "violation": max(v for _, _, v, _ in found), "unsolved": sum(n for *_, n in found),
             "least_eigenvalue": float(np.linalg.eigvalsh(symmetric).min()), "change": float(np.linalg.norm(projected - symmetric) / max(np.linalg.norm(symmetric), 1e-12)),
         }
     return out
@@ -319,5 +328,5 @@ def lent_edges(rows: DataFrame, runs: list[str], bound: float, **options) -> Dat
     found = {}
     for k, r in lent_precisions(rows, runs, bound, **options).items():
         p, d = r["precision"], np.sqrt(np.diag(r["precision"]))
-        found[k] = [(i, j, float(-p[i, j] / (d[i] * d[j])), bool(abs(p[i, j]) > EDGE), r["lent"], r["violation"], r["change"]) for i in range(len(p)) for j in range(i + 1, len(p))]
-    return _frame(rows.sparkSession, runs, rows, found, "a int, b int, partial double, edge boolean, lent double, violation double, change double")
+        found[k] = [(i, j, float(-p[i, j] / (d[i] * d[j])), bool(abs(p[i, j]) > EDGE), r["lent"], r["violation"], r["unsolved"], r["change"]) for i in range(len(p)) for j in range(i + 1, len(p))]
+    return _frame(rows.sparkSession, runs, rows, found, "a int, b int, partial double, edge boolean, lent double, violation double, unsolved int, change double")

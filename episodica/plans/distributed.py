@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import kernels, moments, resampling, spans
+from ..operators import graphs, kernels, moments, resampling, spans
 from . import study
+from .audits import member_rows
 from .catalog import matrix_rows, query, table
 from .study import RUN, SCORES_SQL
 
@@ -170,3 +171,85 @@ def st18_detectable_shift(spark, sf_dir):
     """The smallest shift that each detector and size finds with the target power, on average over its seeds."""
     curve = resampling.power_curve(_tests(spark, sf_dir, SHIFTS, POWER_REPLICATES), RUN, POWER_ALPHA)
     return resampling.detectable_shifts(curve, ["detector", "commissioning_n"], TARGET_POWER)
+
+
+# -- graphs ----------------------------------------------------------------------------------------------------------------
+
+#: Features of the correlation graphs, the correlation that makes an edge, replicates of the nulls; penalties of the lasso.
+GRAPH_FEATURES, GRAPH_EDGE, NULLS, PENALTIES, EDGE_NULLS, LENT_FEATURES, LENT_BOUND = 8, 0.15, 199, (0.05, 0.1, 0.2, 0.4), 99, 16, 0.2
+
+_GRAPH_SQL = f"""v AS (SELECT label, a, b, CAST(embedding[a + 1] AS DOUBLE) AS x, CAST(embedding[b + 1] AS DOUBLE) AS y FROM embeddings, (SELECT unnest(range({GRAPH_FEATURES})) AS a), (SELECT unnest(range({GRAPH_FEATURES})) AS b) WHERE a < b),
+g AS MATERIALIZED (SELECT label, a, b, corr(x, y) AS r, abs(corr(x, y)) >= {GRAPH_EDGE} AS e FROM v GROUP BY ALL), pr AS MATERIALIZED (SELECT s.label AS run, s.a, s.b, s.r AS rs, t.r AS rt, s.e AS es, t.e AS et FROM g s JOIN g t USING (a, b) WHERE s.label > 0 AND t.label = 0)"""
+
+
+def correlation_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Graphs of correlated components: each label above 0 as a source, label 0 as the target of all."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("run"), "embedding")
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(GRAPH_FEATURES) for b in range(a + 1, GRAPH_FEATURES)])
+    long = e.withColumn("pair", F.explode(pairs)).select("run", "pair.a", "pair.b", F.col("embedding")[F.col("pair.a")].cast("double").alias("x"), F.col("embedding")[F.col("pair.b")].cast("double").alias("y"))
+    graph = long.groupBy("run", "a", "b").agg(F.corr("x", "y").alias("partial"))
+    graph = cut(graph.select("run", "a", "b", F.abs("partial").alias("probability"), "partial", (F.abs("partial") >= GRAPH_EDGE).alias("stable")))
+    runs = graph.where("run > 0").select("run").distinct()
+    # As many rows as there are labels and pairs of components.
+    return graph.where("run > 0"), graph.where("run = 0").drop("run").join(F.broadcast(runs))
+
+
+@query("WITH " + _GRAPH_SQL + f" SELECT run, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CASE WHEN es <> et THEN 'support' ELSE 'weight' END AS kind, round(rs, 6) AS source_partial, round(rt, 6) AS target_partial FROM (SELECT CAST(run AS BIGINT) AS run, * EXCLUDE (run) FROM pr) WHERE es <> et OR (es AND et AND abs(rt - rs) >= {graphs.CHANGED})")
+def m14_differential_edges(spark, sf_dir):
+    found = graphs.differential_edges(*correlation_graphs(spark, sf_dir), ["run"])
+    return found.select("run", "a", "b", "kind", "source_partial", "target_partial")
+
+
+_OBSERVED_SQL = "CASE WHEN count(*) FILTER (es OR et) > 0 THEN count(*) FILTER (es AND et) / count(*) FILTER (es OR et) ELSE 1 END"
+_DIFFERENT_SQL = f"count(*) FILTER (es <> et OR (es AND et AND abs(rt - rs) >= {graphs.CHANGED}))"
+
+
+@query("WITH " + _GRAPH_SQL + f""" SELECT CAST(run AS BIGINT) AS run, count(*) FILTER (es) AS source_edges, count(*) FILTER (et) AS target_edges, count(*) FILTER (es AND et) AS shared_edges, {_DIFFERENT_SQL} AS differential_edges, round({_OBSERVED_SQL}, 6) AS jaccard,
+round(CASE WHEN count(*) FILTER (es OR et) > 0 THEN {_DIFFERENT_SQL} / count(*) FILTER (es OR et) ELSE 0 END, 6) AS differential_ratio, round(sum(least(abs(rs), abs(rt))) / (sum(greatest(abs(rs), abs(rt))) + 1e-12), 6) AS weighted_overlap,
+round(avg(CAST(sign(rs) = sign(rt) AS DOUBLE)) FILTER (es AND et), 6) AS sign_agreement, round(quantile_cont(abs(rt - rs), 0.5) FILTER (es AND et), 6) AS median_partial_gap FROM pr GROUP BY run""")
+def m14_graph_overlap(spark, sf_dir):
+    return graphs.overlap(*correlation_graphs(spark, sf_dir), ["run"])
+
+
+_SUMMARY_SQL = """SELECT CAST(run AS BIGINT) AS run, round(o, 6) AS observed, round(avg(j), 6) AS null_mean, round(stddev_samp(j), 6) AS null_std, round(quantile_cont(j, 0.95), 6) AS null_q95, round((1 + count(*) FILTER (j >= o)) / (count(*) + 1), 6) AS empirical_p,
+round((o - avg(j)) / (stddev_samp(j) + 1e-12), 4) AS effect_size FROM jn JOIN ob USING (run) GROUP BY run, o"""
+
+
+def _summary(spark: SparkSession, sf_dir: str, null) -> DataFrame:
+    source, target = correlation_graphs(spark, sf_dir)
+    found = graphs.null_summary(graphs.overlap(source, target, ["run"]), null(source, target, ["run"], NULLS), ["run"])
+    return found.withColumn("effect_size", F.round("effect_size", 4))
+
+
+@query("WITH " + _GRAPH_SQL + f""", ob AS (SELECT run, {_OBSERVED_SQL} AS o FROM pr GROUP BY run), k AS (SELECT *, count(*) FILTER (es) OVER (PARTITION BY run) AS ns, count(*) FILTER (et) OVER (PARTITION BY run) AS nt FROM pr), l AS (SELECT *, unnest(range(1, {NULLS} + 1)) AS rep FROM k),
+d AS (SELECT run, rep, row_number() OVER (PARTITION BY run, rep ORDER BY md5(concat_ws(':', a, b, rep, 's'))) <= ns AS es, row_number() OVER (PARTITION BY run, rep ORDER BY md5(concat_ws(':', a, b, rep, 't'))) <= nt AS et FROM l), jn AS (SELECT run, rep, {_OBSERVED_SQL} AS j FROM d GROUP BY ALL) """ + _SUMMARY_SQL)
+def m14_density_null(spark, sf_dir):
+    """The graphs' overlap against random graphs with as many edges."""
+    return _summary(spark, sf_dir, graphs.density_null)
+
+
+@query("WITH " + _GRAPH_SQL + f""", ob AS (SELECT run, {_OBSERVED_SQL} AS o FROM pr GROUP BY run), fr AS (SELECT f, rep, row_number() OVER (PARTITION BY rep ORDER BY f) AS n, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws(':', f, rep, 'f'))) AS m FROM (SELECT unnest(range({GRAPH_FEATURES})) AS f), (SELECT unnest(range(1, {NULLS} + 1)) AS rep)),
+nm AS MATERIALIZED (SELECT x.rep, x.f AS old, y.f AS new FROM fr x JOIN fr y ON x.rep = y.rep AND x.n = y.m), mv AS (SELECT run, p.rep, least(p.new, q.new) AS a, greatest(p.new, q.new) AS b, true AS moved FROM pr JOIN nm p ON p.old = a JOIN nm q ON q.old = b AND q.rep = p.rep WHERE et),
+d AS (SELECT l.run, l.rep, es, coalesce(moved, false) AS et FROM (SELECT * EXCLUDE (et), unnest(range(1, {NULLS} + 1)) AS rep FROM pr) l LEFT JOIN mv USING (run, rep, a, b)), jn AS (SELECT run, rep, {_OBSERVED_SQL} AS j FROM d GROUP BY ALL) """ + _SUMMARY_SQL)
+def m14_identity_null(spark, sf_dir):
+    """The graphs' overlap against the target's graph under random names of its components."""
+    return _summary(spark, sf_dir, graphs.identity_null)
+
+
+@query()
+def m14_penalty_profile(spark, sf_dir):
+    """How stable the lasso's edges are at each penalty for the study's members, and which penalty is taken."""
+    return graphs.penalty_profile(graphs.edge_stability(member_rows(spark, sf_dir), ["seed"], PENALTIES), ["seed"])
+
+
+@query()
+def m14_edge_p_values(spark, sf_dir):
+    """Each pair of the study's features against graphs of permuted columns."""
+    return graphs.edge_p_values(cut(member_rows(spark, sf_dir)), ["seed"], 0.1, EDGE_NULLS)
+
+
+@query()
+def m13_lent_precision(spark, sf_dir):
+    """Edges of the cross-fitted precision of the target, its columns from itself or through the source."""
+    rows = matrix_rows(spark, sf_dir).where("role <> 'query'").withColumn("v", F.slice("v", 1, LENT_FEATURES))
+    return graphs.lent_edges(rows, ["n"], LENT_BOUND)

@@ -90,13 +90,19 @@ def test_a_close_source_lends_and_a_far_one_does_no_harm(spark):
     alone = error(L.floored((alone + alone.T) / 2, 1e-6))
     found = {name: G.lent_precisions(frame(spark, {"source": s, "target": target}), ["n"], 0.25)[1,] for name, s in (("near", near), ("far", far))}
     for r in found.values():
-        assert r["violation"] < 1e-6 and np.linalg.eigvalsh(r["precision"]).min() >= 1e-6 * 0.999
+        assert r["violation"] < 1e-6 and r["unsolved"] == 0 and np.linalg.eigvalsh(r["precision"]).min() >= 1e-6 * 0.999
     assert error(found["near"]["precision"]) <= alone and found["near"]["lent"] > found["far"]["lent"]
     assert error(found["near"]["precision"]) < error(found["far"]["precision"])
     edges = G.lent_edges(frame(spark, {"source": near, "target": target}), ["n"], 0.25).collect()
     assert len(edges) == 28 and {(r["a"], r["b"]) for r in edges if r["edge"]} >= {(i, i + 1) for i in range(7)}
 
 
+def test_columns_without_a_solution_are_counted(spark):
+    few = np.random.default_rng(1).standard_normal((7, 9))
+    found = G.lent_precisions(frame(spark, {"source": np.random.default_rng(2).standard_normal((90, 9)), "target": few}), ["n"], 0.05)[1,]
+    assert found["unsolved"] > 0 and found["violation"] <= G.SOLVED and np.isfinite(found["precision"]).all()
+
+
 def test_too_few_rows_have_no_graph(spark):
     rows = frame(spark, {"target": np.eye(2), "source": np.eye(2)})
     assert G.edge_stability(rows.where("role = 'target'"), ["n"], (0.1,)).count() == 0
