@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..functions.lineage import cut
 
 Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Fitted = Callable[[np.ndarray], np.ndarray]
@@ -314,29 +315,6 @@ def score_queries(rows: DataFrame, runs: list[str], names: list[str], size: int)
     return queries.select(*runs, "episode", "v").repartition(n, "episode").mapInArrow(score, schema)
 
 
-def strongest_contributions(rows: DataFrame, runs: list[str], most: int) -> DataFrame:
-    """The ``most`` features with the largest parts of each query's squared distance from the target, and the distance."""
-    schema = ", ".join([f"{k} {t}" for k, t in rows.select(*runs).dtypes] + [f"episode {dict(rows.dtypes)['episode']}", "place int, feature int, contribution double, squared double"])
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        m = _matrices(part)
-        if not {"target", "query"} <= m.keys():
-            return pd.DataFrame(columns=[*runs, "episode", "place", "feature", "contribution", "squared"])
-        ids = part[part["role"] == "query"].sort_values("episode", kind="stable")["episode"].to_numpy()
-        t, q = standardized(m["target"], m["query"])
-        used = np.flatnonzero(m["target"].var(axis=0) > 1e-12)
-        mean, cov, _ = L.shrunk_covariance(t)
-        parts = L.contributions(q, mean, np.linalg.pinv(cov, hermitian=True))
-        top = np.argsort(-parts, axis=1, kind="stable")[:, :most]
-        k = top.shape[1]
-        return pd.DataFrame({
-            **dict(zip(runs, key, strict=True)), "episode": np.repeat(ids, k), "place": np.tile(np.arange(1, k + 1), len(ids)), "feature": used[top].ravel(),
-            "contribution": np.take_along_axis(parts, top, axis=1).ravel(), "squared": np.repeat(parts.sum(axis=1), k),
-        })
-
-    return rows.where("role <> 'source'").groupBy(*runs).applyInPandas(fit, schema)
-
-
 def healthy_contexts(rows: DataFrame, runs: list[str], k: int) -> DataFrame:
     """``context`` of each target episode: k-means over the run's standardized healthy rows, largest cluster first."""
     schema = ", ".join([f"{c} {t}" for c, t in rows.select(*runs).dtypes] + [f"episode {dict(rows.dtypes)['episode']}", "context int"])
@@ -386,29 +364,58 @@ def batched(rows: DataFrame, size: int) -> DataFrame:
     return fixed.unionByName(rows.where("role = 'query'").withColumn("batch", F.pmod(F.xxhash64("episode"), F.lit(n)).cast("int")))
 
 
+#: Bytes of the runs' first episodes, and of their targets' profiles, that go to every executor.
+MOST_SHARED = 128 << 20
+
+
+def _shared_rows(df: DataFrame, runs: list[str], value: str) -> dict[tuple, list]:
+    """``value`` (an array of doubles) of every row by run; an error if they are too large to be shared."""
+    size = df.agg(F.sum(F.size(value))).first()[0] or 0
+    if 8 * size > MOST_SHARED:
+        raise ValueError(f"{8 * size} bytes to share with every executor, more than {MOST_SHARED}")
+    out: dict[tuple, list] = {}
+    for r in df.sort(*runs).collect():
+        out.setdefault(tuple(r[k] for k in runs), []).append(np.array(r[value], float))
+    return out
+
+
 def aligned_phase_scores(telemetry: DataFrame, runs: list[str], bins: int = 128, radius: int = 2, k: int = 10) -> DataFrame:
     """k-NN on phase profiles: each episode is warped onto the run's first commissioning episode and resampled.
 
-    ``telemetry`` has run keys, ``role``, ``episode``, ``at`` (order) and a vector ``v`` for each row.
+    ``telemetry`` has run keys, ``role``, ``episode``, ``at`` (order) and a vector ``v`` for each row.  An episode is a group
+    of its own and is warped once.  The run's frame comes from sums, its first episode and its targets' profiles, which its
+    commissioning size bounds, are shared after a check of their size.
     """
-    schema = ", ".join([f"{c} {t}" for c, t in telemetry.select(*runs, "episode").dtypes] + ["score double"])
+    kinds = ", ".join(f"{c} {t}" for c, t in telemetry.select(*runs).dtypes)
+    episode = f"episode {dict(telemetry.dtypes)['episode']}"
+    channels = telemetry.where("role = 'target'").select(*runs, F.posexplode("v").alias("place", "x")).groupBy(*runs, "place").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    frames: dict[tuple, list] = {}
+    for r in channels.sort("place").collect():
+        frames.setdefault(tuple(r[c] for c in runs), []).append((r["mean"], r["std"] if r["std"] > 1e-12 else 1.0))
+    first = telemetry.where("role = 'target'").groupBy(*runs).agg(F.min("episode").alias("episode"))
+    rows = telemetry.where("role = 'target'").join(F.broadcast(first), [*runs, "episode"]).groupBy(*runs).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).alias("rows"))
+    references = {run: (found[0].reshape(-1, len(frames[run])) - np.array(frames[run])[:, 0]) / np.array(frames[run])[:, 1] for run, found in _shared_rows(rows, runs, "rows").items()}
+    shared = telemetry.sparkSession.sparkContext.broadcast((frames, references))
+    phase = np.linspace(0, 1, bins)
+
+    def profile(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        run = key[: len(runs)]
+        if run not in shared.value[1]:
+            return pd.DataFrame(columns=[*runs, "role", "episode", "profile"])
+        mean, std = np.array(shared.value[0][run]).T
+        v = np.array(part.sort_values("at", kind="stable")["v"].tolist(), float)
+        w = L.warped((v - mean) / std, shared.value[1][run], radius)
+        found = np.concatenate([np.interp(phase, np.linspace(0, 1, len(w)), w[:, c]) for c in range(w.shape[1])])
+        return pd.DataFrame([[*key, found]], columns=[*runs, "role", "episode", "profile"])
+
+    profiles = cut(telemetry.groupBy(*runs, "role", "episode").applyInPandas(profile, f"{kinds}, role string, {episode}, profile array<double>"))
+    targets = telemetry.sparkSession.sparkContext.broadcast({run: np.stack(found) for run, found in _shared_rows(profiles.where("role = 'target'"), runs, "profile").items()})
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["episode", "at"], kind="stable")
-        series = {(r, e): np.array(x["v"].tolist(), float) for (r, e), x in part.groupby(["role", "episode"])}
-        train = np.vstack([v for (r, _), v in series.items() if r == "target"])
-        mean, std = train.mean(axis=0), np.where(train.std(axis=0) > 1e-12, train.std(axis=0), 1.0)
-        reference = (series[min(x for x in series if x[0] == "target")] - mean) / std
-        phase = np.linspace(0, 1, bins)
-
-        def profile(v: np.ndarray) -> np.ndarray:
-            w = L.warped((v - mean) / std, reference, radius)
-            return np.concatenate([np.interp(phase, np.linspace(0, 1, len(w)), w[:, c]) for c in range(w.shape[1])])
-
-        found = {x: profile(v) for x, v in series.items()}
-        target = np.array([v for (r, _), v in found.items() if r == "target"])
-        ids = [e for r, e in found if r == "query"]
-        d = [np.sort(np.linalg.norm(target - found["query", e], axis=1))[min(k, len(target)) - 1] for e in ids]
-        return pd.DataFrame({**dict(zip(runs, key, strict=True)), "episode": ids, "score": d})
-
-    return telemetry.groupBy(*runs).applyInPandas(fit, schema)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(runs))), strict=True))
+            x = batch.column("profile").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            out = [np.partition(np.linalg.norm(targets.value[run] - row, axis=1), min(k, len(targets.value[run])) - 1)[min(k, len(targets.value[run])) - 1] for run, row in zip(keys, x, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+
+    return profiles.where("role = 'query'").select(*runs, "episode", "profile").mapInArrow(score, f"{kinds}, {episode}, score double")

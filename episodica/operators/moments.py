@@ -511,6 +511,27 @@ def covariance_choices(rows: DataFrame, runs: list[str], folds: int = FOLDS, see
     return _frame(rows.sparkSession, runs, rows, found, "family string, parameter double, risk double, lower_gain double, chosen boolean")
 
 
+def strongest_contributions(rows: DataFrame, runs: list[str], most: int) -> DataFrame:
+    """The ``most`` features with the largest parts of each query's squared distance from the target, and the distance."""
+    targets = collected(moments(rows.where("role = 'target'"), runs), runs)
+    fitted = {}
+    for k, m in targets.items():
+        frame = Frame.of(m)
+        mean, cov, _ = frame.moments(m).shrunk()
+        fitted[k] = frame, mean, np.linalg.pinv(cov, hermitian=True)
+
+    def parts_of(model: tuple, key: tuple, x: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        frame, mean, precision = model
+        parts = L.contributions(frame.rows(x), mean, precision)
+        top = np.argsort(-parts, axis=1, kind="stable")[:, :most]
+        n, k = top.shape
+        again = batch.take(pa.array(np.repeat(np.arange(n), k)))
+        columns = [pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array(np.flatnonzero(frame.use)[top].ravel().astype(np.int32)), pa.array(np.take_along_axis(parts, top, axis=1).ravel()), pa.array(np.repeat(parts.sum(axis=1), k))]
+        yield pa.RecordBatch.from_arrays([*again.columns[:-1], *columns], names=[*batch.schema.names[:-1], "place", "feature", "contribution", "squared"])
+
+    return _each(rows.where("role = 'query'"), runs, fitted, "place int, feature int, contribution double, squared double", parts_of)
+
+
 # -- where a blend changes the scores ------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..operators import audits, conformal, detectors, distribution, features, guards, matrix_detectors, membership, moments, policies, roc, summaries
 from . import study
-from .catalog import _RUN_SQL, _STEPS_SQL, _TWO_SQL, MARKED_SQL, QUERIES, marked, matrix_rows, predictions, query, runs, table
+from .catalog import _RUN_SQL, _STEPS_SQL, _TWO_SQL, MARKED_SQL, marked, matrix_rows, predictions, query, runs, table
 from .study import ALPHA, FEATURES_SQL, MEMBERS_SQL, RECALL, RUN, RUNS_SQL, SCORES_SQL
 
 CELL = ["detector", "commissioning_n"]
@@ -521,8 +521,7 @@ def m16_transfer_risk(spark, sf_dir):
 
 @query()
 def m25_contributions(spark, sf_dir):
-    rows = matrix_detectors.batched(matrix_rows(spark, sf_dir), QUERIES)
-    return matrix_detectors.strongest_contributions(rows, ["n", "batch"], 5).drop("batch")
+    return moments.strongest_contributions(matrix_rows(spark, sf_dir), ["n"], 5)
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.lineage import cut
 from ..operators import conformal, detectors, distribution, features, guards, kernels, matrix_detectors, membership, moments, roc, summaries, transfer_detectors  # noqa: F401  (registers its scorers)
 from . import study
 from .study import ALPHA, FEATURES_SQL, MEMBERS_SQL, RECALL, RUN, RUNS_SQL, SCORES_SQL, events, table
@@ -540,9 +541,9 @@ def m19_knn_scores(spark, sf_dir):
 
 # -- detectors over matrices (no SQL: checked against numpy in the tests) ---------------------------------------------
 
-#: The reference's commissioning sizes, and queries that are scored in one group.
+#: The reference's commissioning sizes, and queries that are scored in one task.
 COMMISSIONING = (10, 25, 50, 100)
-QUERIES, PHASE_QUERIES = 2048, 256
+QUERIES = 2048
 
 
 def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,5 +601,4 @@ def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m21_phase_aligned_neighbours(spark, sf_dir):
-    rows = matrix_detectors.batched(phase_rows(spark, sf_dir), PHASE_QUERIES)
-    return matrix_detectors.aligned_phase_scores(rows, ["seed", "commissioning_n", "batch"]).drop("batch")
+    return matrix_detectors.aligned_phase_scores(cut(phase_rows(spark, sf_dir)), ["seed", "commissioning_n"])

@@ -221,7 +221,7 @@ def test_bootstrap_has_the_references_replicates(spark):
 def test_catalogue_against_duckdb(spark, monkeypatch):
     import duckdb
 
-    from episodica.plans import audits, catalog, study  # noqa: F401
+    from episodica.plans import audits, catalog, distributed, study  # noqa: F401
 
     # Forty queries start from the same score table, which is computed once here.
     scores = study.scores(spark, DATA).cache()

@@ -165,6 +165,17 @@ def test_directional_parts_add_up_to_the_change_of_every_row(spark):
         assert r["change"] == pytest.approx(parts[r["kind"] :: 2, r["direction"]].mean(), rel=1e-7) and r["target_variance"] > 0 and 0 <= r["alignment"] <= 1
 
 
+def test_contributions_add_up_to_the_distance(spark):
+    t, q = sample(30, p=5, seed=40), sample(11, p=5, shift=2, seed=41)
+    t[:, 2] = 1.0
+    rows = A.strongest_contributions(runs_of(spark, t, t, q).where("n = 1 and role <> 'source'"), ["n"], 9).collect()
+    assert len(rows) == 11 * 4 and {r["feature"] for r in rows} == {0, 1, 3, 4}
+    for i, distance in enumerate(M.SCORERS["TargetOnly"](t, t, q)):
+        mine = sorted((r for r in rows if r["episode"] == 2000 + i), key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == [1, 2, 3, 4] and sorted((r["contribution"] for r in mine), reverse=True) == [r["contribution"] for r in mine]
+        assert sum(r["contribution"] for r in mine) == pytest.approx(distance**2, rel=1e-8) == mine[0]["squared"]
+
+
 def test_too_many_moments_are_refused(spark, monkeypatch):
     monkeypatch.setattr(A, "MOST_BYTES", 10)
     with pytest.raises(ValueError, match="bytes"):
