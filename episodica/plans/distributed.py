@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions import tables
+from ..functions.lineage import cut, shared_folder
 from ..operators import graphs, kernels, moments, resampling, spans
-from . import study
+from ..streaming import inventory
+from . import catalog, study
 from .audits import member_rows
 from .catalog import matrix_rows, query, table
 from .study import RUN, SCORES_SQL
@@ -253,3 +255,36 @@ def m13_lent_precision(spark, sf_dir):
     """Edges of the cross-fitted precision of the target, its columns from itself or through the source."""
     rows = matrix_rows(spark, sf_dir).where("role <> 'query'").withColumn("v", F.slice("v", 1, LENT_FEATURES))
     return graphs.lent_edges(rows, ["n"], LENT_BOUND)
+
+
+# -- keyed state, table and aggregate functions ------------------------------------------------------------------------------
+
+_STATE_SQL = catalog.oracle_sql()["a3_episode_inventory"].replace("AS labels FROM r", "AS labels, CAST(0 AS BIGINT) AS late_rows, false AS closed FROM r")
+
+
+@query(_STATE_SQL)
+def a3_stream_inventory(spark, sf_dir):
+    """The telemetry read as a stream into keyed state, which gives the same inventory as the batch."""
+    events = table(spark, sf_dir, "events")
+    path, checkpoint = shared_folder(spark, "inventory"), shared_folder(spark, "inventory-state")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern may name a file
+    # The table spans 30 days; rows of a file come in any order.
+    inventory.run_inventory(stream, path, checkpoint, "user_id", "ts", "event_id", "event_type", lateness=40 * 86400.0, retention=80 * 86400.0)
+    out = inventory.latest(spark, path, "user_id")
+    return out.withColumns({c: F.round(c, 3) for c in ("mean_step", "std_step", "min_step", "max_step")})
+
+
+@query("SELECT event_type, threshold, count(*) FILTER (value <= threshold) AS n_rows FROM events, (SELECT unnest(range(0, 401, 50))::DOUBLE AS threshold) GROUP BY ALL")
+def t_grid_counts(spark, sf_dir):
+    """A table function over the telemetry, called from SQL: rows up to each threshold of a grid."""
+    tables.register(spark)
+    counts = spark.sql("SELECT * FROM grid_counts(TABLE({events}), 'event_type', 'value', 0D, 400D, 8)", events=table(spark, sf_dir, "events").select("event_type", "value"))
+    return counts.groupBy("event_type", "threshold").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query("SELECT event_type, round(ln(sum(exp(value / 100 - m))) + any_value(m), 6) AS log_sum FROM (SELECT *, max(value / 100) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1")
+def t_log_sum_exp(spark, sf_dir):
+    """A grouped aggregate in pandas, called from SQL: by salt first, then by key."""
+    tables.register(spark)
+    salted = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("x"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("salt"))
+    return spark.sql("SELECT event_type, log_sum_exp(part) AS log_sum FROM (SELECT event_type, log_sum_exp(x) AS part FROM {salted} GROUP BY event_type, salt) GROUP BY event_type", salted=salted)
