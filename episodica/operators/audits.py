@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from .order import cumulated
+
 from ..functions.columns import ratio
 from .roc import oracle_feasibility
 
@@ -133,16 +136,16 @@ def assignment_shift(members: DataFrame, context: str, partition: str = "partiti
 def context_conditional(queries: DataFrame, calibration: DataFrame, entity: str, context: str, score: str, neighbours: int, rank: int) -> DataFrame:
     """``threshold`` of each query: the ``rank``-th smallest score of its nearest calibration episodes by context.
 
-    In the order of the context, the nearest lie among as many before and behind, so one window finds them; ties of
-    distance go to the smaller id.  A query with fewer calibration episodes takes the largest score of those.
+    In the order of the context, the nearest lie among as many before and behind; how many calibration episodes lie before
+    a context comes from ranges of it, so that no window holds them all.  Ties of distance go to the smaller id.  A query with fewer calibration episodes takes the largest score of those.
     """
+    rows = calibration.select(F.col(context).alias("at"), F.lit(True).alias("is_known")).unionByName(queries.select(F.col(context).alias("at"), F.lit(False).alias("is_known")))
+    below = cut(cumulated(rows, [], "at", {"known": F.count_if("is_known")}).select(F.col("value_at").alias("of"), F.col("low_known").alias("below")))
     known = F.struct(F.col(context).alias("c"), F.col(entity).alias("e"), F.col(score).alias("s"))
-    both = calibration.select(F.lit(None).cast("string").alias("asked"), F.col(context).alias("at"), known.alias("known"))
-    kind = both.schema["known"].dataType
-    ids = queries.select(F.col(entity).cast("string").alias("asked"), F.col(context).alias("at"), F.lit(None).cast(kind).alias("known"))
-    numbered = both.unionByName(ids).withColumn("nth", F.count("known").over(Window.orderBy("at", "known.e").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    listed = calibration.select(F.row_number().over(Window.orderBy(context, entity)).alias("place"), known.alias("known"))
-    asked = numbered.where("asked is not null").select("asked", "at", F.explode(F.sequence(F.col("nth") - neighbours + 1, F.col("nth") + neighbours)).alias("place"))
+    inside = F.row_number().over(Window.partitionBy(context).orderBy(entity))
+    listed = calibration.join(below, F.col(context) == F.col("of")).select((F.col("below") + inside).alias("place"), known.alias("known"))
+    numbered = queries.join(below, F.col(context) == F.col("of")).select(F.col(entity).cast("string").alias("asked"), F.col(context).alias("at"), F.col("below").alias("nth"))
+    asked = numbered.select("asked", "at", F.explode(F.sequence(F.col("nth") - neighbours + 1, F.col("nth") + neighbours)).alias("place"))
     near = asked.join(listed, "place").groupBy("asked", "at").agg(F.collect_list(F.struct(F.abs(F.col("known.c") - F.col("at")).alias("d"), F.col("known.e").alias("e"), F.col("known.s").alias("s"))).alias("near"))
     taken = F.array_sort(F.transform(F.slice(F.array_sort("near"), 1, neighbours), lambda x: x["s"]))
     return near.select(F.col("asked").cast(dict(queries.dtypes)[entity]).alias(entity), F.get(taken, F.least(F.lit(rank), F.size(taken)) - 1).alias("threshold"))
@@ -183,8 +186,10 @@ def robust_distance(features: DataFrame, target: DataFrame, entity: str, runs: l
 
 def source_regimes(distances: DataFrame, runs: list[str], entity: str, most: int = 100) -> DataFrame:
     """``regime`` near, moderate or high: windows of the distance order, of a third of it and at most ``most`` each."""
-    whole = Window.partitionBy(*runs)
-    ranked = distances.select(*runs, entity, "distance", F.row_number().over(whole.orderBy("distance", entity)).alias("place"), F.count(F.lit(1)).over(whole).alias("n"))
+    counted = cumulated(distances, runs, "distance").select(*[F.col(c).alias(f"of_{c}") for c in runs], F.col("value_at").alias("of_distance"), "rows_below", F.col("rows_in_group").alias("n"))
+    joined = distances.join(counted, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in runs] + [F.col("distance") == F.col("of_distance")])
+    inside = F.row_number().over(Window.partitionBy(*runs, "distance").orderBy(entity))
+    ranked = joined.select(*runs, entity, "distance", (F.col("rows_below") + inside).alias("place"), "n")
     size = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("n") / 3)))
     first = F.floor((F.col("n") - size) / 2)
     in_regime = F.array_compact(F.array(F.when(F.col("place") <= size, "near"), F.when((F.col("place") > first) & (F.col("place") <= first + size), "moderate"), F.when(F.col("place") > F.col("n") - size, "high")))

@@ -23,10 +23,9 @@ def conformal_thresholds(calibration: DataFrame, keys: list[str], alpha: float,
     )
 
 
-def rank_table(df: DataFrame, sizes: Sequence[int], alphas: Sequence[float]) -> DataFrame:
-    """Rank of the threshold for each calibration size and level, and whether it is finite or the maximum."""
-    grid = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(int(m)) for m in sizes])).alias("m"), F.lit(1).alias("one"))
-    rows = grid.select("m", F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.ceil((F.col("m") + 1) * F.lit(1 - a)).cast("long").alias("rank")) for a in alphas])).alias("r"))
+def rank_table(sizes: DataFrame, m: str, alphas: Sequence[float]) -> DataFrame:
+    """Rank of the threshold for each calibration size in the column ``m`` and each level, and whether it is finite or the maximum."""
+    rows = sizes.select(F.col(m).cast("long").alias("m"), F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.ceil((F.col(m) + 1) * F.lit(1 - a)).cast("long").alias("rank")) for a in alphas])).alias("r"))
     m, rank = F.col("m"), F.col("r.rank")
     return rows.select("m", F.col("r.alpha").alias("alpha"), rank.alias("rank"), (rank <= m).alias("finite"), (rank == m).alias("is_maximum"))
 

@@ -70,6 +70,33 @@ def ks_p(d: Column, n1: Column, n2: Column, terms: int = 40) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
+def robust_scales(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``n_rows``, ``center``, ``mad_scale`` and ``iqr_scale`` of each group, of any size.
+
+    The first scale is 1.4826 median absolute deviations, 1 where that vanishes; the second the interquartile range over
+    1.349, else the sample deviation, else 1.
+    """
+    sums = rows.groupBy(*keys).agg(F.count(value).alias("n_rows"), F.stddev_samp(value).alias("std"))
+    q = cut(quantiles(rows, keys, value, {"center": 0.5, "low": 0.25, "high": 0.75}))
+    named = q.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("center").alias("about"))
+    away = rows.join(named, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]).select(*keys, F.abs(F.col(value) - F.col("about")).alias("away"))
+    mads = quantiles(away, keys, "away", {"mad": 0.5})
+    vary = lambda x: F.when(x > 1e-12, x)
+    return sums.join(q, keys).join(mads, keys).select(
+        *keys, "n_rows", "center", F.coalesce(vary(1.4826 * F.col("mad")), F.lit(1.0)).alias("mad_scale"), F.coalesce(vary((F.col("high") - F.col("low")) / 1.349), vary(F.col("std")), F.lit(1.0)).alias("iqr_scale")
+    )
+
+
+def blended_scales(target: DataFrame, source: DataFrame, keys: list[str], prior: float = 60.0) -> DataFrame:
+    """``center`` and ``scale`` between two domains' :func:`robust_scales`: the target weighs n / (n + ``prior``).
+
+    Centers are averaged and interquartile scales by their logarithms.
+    """
+    other = source.select(*keys, F.col("center").alias("source_center"), F.col("iqr_scale").alias("source_scale"))
+    w = F.col("n_rows") / (F.col("n_rows") + F.lit(prior))
+    return target.join(other, keys).select(*keys, w.alias("target_weight"), (w * F.col("center") + (1 - w) * F.col("source_center")).alias("center"), F.exp(w * F.ln("iqr_scale") + (1 - w) * F.ln("source_scale")).alias("scale"))
+
+
 def contingency(rows: DataFrame, row: str, column: str) -> DataFrame:
     """Chi-square of independence of two categorical columns, with its degrees of freedom."""
     cells = rows.groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.count(F.lit(1)).alias("n"))

@@ -51,7 +51,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     return found.select(*keys, *[(F.col(f"{k}__l") + (F.col(f"{k}__u") - F.col(f"{k}__l")) * (at(q) - F.floor(at(q)))).alias(k) for k, q in shares.items()])
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``rows`` with the mean rank of tied values in their group as ``name``; null values have none."""
-    c = cumulated(rows, keys, value).select(*[F.col(k).alias(f"rank_{k}") for k in keys], F.col("value_at").alias("rank_x"), (F.col("rows_below") + (F.col("rows_at") + 1) / 2.0).alias(name))
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str, method: str = "average") -> DataFrame:
+    """``rows`` with the rank of tied values in their group as ``name``: their ``average``, ``min`` or ``max``; null values have none."""
+    place = {"average": F.col("rows_below") + (F.col("rows_at") + 1) / 2.0, "min": F.col("rows_below") + 1, "max": F.col("rows_below") + F.col("rows_at")}[method]
+    c = cumulated(rows, keys, value).select(*[F.col(k).alias(f"rank_{k}") for k in keys], F.col("value_at").alias("rank_x"), place.alias(name))
     return rows.join(c, [F.col(k).eqNullSafe(F.col(f"rank_{k}")) for k in keys] + [F.col(value) == F.col("rank_x")], "left").drop("rank_x", *[f"rank_{k}" for k in keys])

@@ -64,3 +64,11 @@ def select_requested(table: DataFrame, key: str, wanted: Sequence, require_all:
         if missing:
             raise ValueError(f"missing keys: {sorted(r['wanted'] for r in missing)}")
     return found
+
+
+def ladder(rows: DataFrame, rungs: Sequence[tuple[str, str]], otherwise: str, name: str = "decision") -> DataFrame:
+    """``rows`` with the label of the first rung whose condition (an SQL expression) holds; a null condition does not hold."""
+    column = F
+    for condition, label in rungs:
+        column = column.when(F.expr(condition), F.lit(label))
+    return rows.withColumn(name, column.otherwise(F.lit(otherwise)))

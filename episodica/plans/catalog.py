@@ -235,10 +235,12 @@ def u6_set_hash(spark, sf_dir):
     return membership.set_hash(study.commissioning(spark, sf_dir), ["seed", "commissioning_n"], "user_id")
 
 
-@query("SELECT CAST(seed AS BIGINT) AS seed, CAST(n AS BIGINT) AS n FROM (SELECT unnest(range(0, 5)) AS seed), (SELECT unnest([10, 25, 50]) AS n) WHERE NOT (seed < 2 AND n < 50)")
+@query("WITH " + RUNS_SQL + ", g AS (SELECT * FROM (SELECT unnest(['Diagonal', 'RobustDiagonal']) AS detector), (SELECT unnest([10, 25, 50]) AS commissioning_n), (SELECT unnest(range(0, 5)) AS seed)) SELECT detector, CAST(commissioning_n AS BIGINT) AS commissioning_n, CAST(seed AS BIGINT) AS seed FROM g ANTI JOIN (SELECT * FROM runs WHERE false_positive_rate <= 0.1) USING (detector, commissioning_n, seed)")
 def s13_remaining_runs(spark, sf_dir):
-    grid = spark.range(5).select(F.col("id").alias("seed"), F.explode(F.array(F.lit(10), F.lit(25), F.lit(50))).alias("n"))
-    return membership.remaining_runs(grid, grid.where("seed < 2 and n < 50"), ["seed", "n"])
+    """Runs of the study's grid that have no result with at most a tenth of false alerts yet."""
+    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("detector"), F.lit(n).alias("commissioning_n"), F.lit(k).alias("seed")) for d in ("Diagonal", "RobustDiagonal") for n in study.SIZES for k in study.SEEDS]))
+    grid = spark.range(1).select(cells.alias("c")).select("c.*")
+    return membership.remaining_runs(grid, runs(spark, sf_dir).where("false_positive_rate <= 0.1"), RUN)
 
 
 @query("WITH " + MEMBERS_SQL + """ SELECT partition, NULL::BIGINT AS seed, NULL::BIGINT AS commissioning_n, count(*) AS members FROM parts GROUP BY 1
@@ -275,16 +277,19 @@ def st15_conformal_thresholds(spark, sf_dir):
     return conformal.conformal_thresholds(calibration(spark, sf_dir), RUN, 0.01)
 
 
-@query("WITH g AS (SELECT unnest([10, 50, 99, 100, 119, 198, 199]) AS m), a AS (SELECT unnest([0.005, 0.01, 0.02, 0.05]) AS alpha) SELECT CAST(m AS BIGINT) AS m, CAST(alpha AS DOUBLE) AS alpha, CAST(ceil((m + 1) * (1 - alpha)) AS BIGINT) AS rank, ceil((m + 1) * (1 - alpha)) <= m AS finite, ceil((m + 1) * (1 - alpha)) = m AS is_maximum FROM g, a")
+@query("WITH g AS (SELECT DISTINCT n AS m FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)), a AS (SELECT unnest([0.005, 0.01, 0.02, 0.05]) AS alpha) SELECT CAST(m AS BIGINT) AS m, CAST(alpha AS DOUBLE) AS alpha, CAST(ceil((m + 1) * (1 - alpha)) AS BIGINT) AS rank, ceil((m + 1) * (1 - alpha)) <= m AS finite, ceil((m + 1) * (1 - alpha)) = m AS is_maximum FROM g, a")
 def st16_rank_table(spark, sf_dir):
-    return conformal.rank_table(table(spark, sf_dir, "region"), (10, 50, 99, 100, 119, 198, 199), (0.005, 0.01, 0.02, 0.05))
+    """Ranks for every number of events that a user has, as if these calibrated."""
+    sizes = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("m")).select("m").distinct()
+    return conformal.rank_table(sizes, "m", (0.005, 0.01, 0.02, 0.05))
 
 
-@query("SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(ceil(1 / CAST(alpha AS DOUBLE) - 1e-9) - 1 AS BIGINT) AS feasibility, CAST(ceil(2 / CAST(alpha AS DOUBLE) - 1 - 1e-9) AS BIGINT) AS interiority FROM (SELECT unnest([0.005, 0.01, 0.02, 0.05, 0.1]) AS alpha)")
+@query("SELECT CAST(l_discount AS DOUBLE) AS alpha, CAST(ceil(1 / CAST(l_discount AS DOUBLE) - 1e-9) - 1 AS BIGINT) AS feasibility, CAST(ceil(2 / CAST(l_discount AS DOUBLE) - 1 - 1e-9) AS BIGINT) AS interiority, count(*) AS n_rows FROM lineitem WHERE l_discount > 0 GROUP BY l_discount")
 def st16_floors(spark, sf_dir):
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(a) for a in (0.005, 0.01, 0.02, 0.05, 0.1)])).alias("alpha"))
+    """The least calibration sizes for every discount of the table, taken as a level, and its rows."""
+    levels = table(spark, sf_dir, "lineitem").where("l_discount > 0").groupBy(F.col("l_discount").cast("double").alias("alpha")).agg(F.count(F.lit(1)).alias("n_rows"))
     low, inner = conformal.floors(F.col("alpha"))
-    return grid.select("alpha", low.alias("feasibility"), inner.alias("interiority"))
+    return levels.select("alpha", low.alias("feasibility"), inner.alias("interiority"), "n_rows")
 
 
 @query("WITH " + SCORES_SQL + """, c AS (SELECT *, row_number() OVER (PARTITION BY detector, commissioning_n, seed ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY detector, commissioning_n, seed) AS n FROM scores WHERE partition = 'calibration')

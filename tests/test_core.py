@@ -29,7 +29,7 @@ def test_conformal_rank_facts(spark, m, alpha, rank, feasible, threshold):
 
 
 def test_rank_landmarks(spark):
-    table = {(r.m, r.alpha): r for r in conformal.rank_table(spark.range(1), (98, 99, 198, 199), (0.01,)).collect()}
+    table = {(r.m, r.alpha): r for r in conformal.rank_table(spark.createDataFrame([(m,) for m in (98, 99, 198, 199)], "m long"), "m", (0.01,)).collect()}
     assert [table[m, 0.01].finite for m in (98, 99)] == [False, True]
     assert [table[m, 0.01].is_maximum for m in (99, 198, 199)] == [True, True, False]
 
@@ -221,7 +221,7 @@ def test_bootstrap_has_the_references_replicates(spark):
 def test_catalogue_against_duckdb(spark, monkeypatch):
     import duckdb
 
-    from episodica.plans import audits, catalog, distributed, study  # noqa: F401
+    from episodica.plans import audits, catalog, decisions, distributed, study  # noqa: F401
 
     # Forty queries start from the same score table, which is computed once here.
     scores = study.scores(spark, DATA).cache()
