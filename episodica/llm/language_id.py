@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network trained and run in numpy.
 
 Filters of several widths slide over the bytes of a fixed-length window; each filter's maximum over the window feeds
-a softmax over the languages.  The network is fitted on a bounded sample of labelled texts (``DOCS_PER_LANGUAGE``,
-chosen by a hash of the text) and applied to every window of every whole text, in batches; a text's distribution is
+a softmax over the languages.  The network is fitted on a bounded sample of labelled windows (``WINDOWS_PER_LANGUAGE``),
+in which every window of every whole text has the same chance, and applied to every window of every whole text, in batches; a text's distribution is
 the mean of its windows', weighted by their bytes.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; null labels are not learned from; with
@@ -26,10 +26,10 @@ from .common import fresh, text_or_empty
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 16
-#: Bound of the training sample: texts of each language (about) and windows of each text.
-DOCS_PER_LANGUAGE = 400
+#: Bound of the training sample: windows of each language (about), and of all languages.
+WINDOWS_PER_LANGUAGE = 4000
+MOST_WINDOWS = 200_000
 MOST_LANGUAGES = 500
-WINDOWS_PER_DOC = 4
 EPOCHS = 6
 BATCH = 64
 RATE = 4e-3
@@ -142,27 +142,53 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, owner, length
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers over their range (the finalizer of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sampled_windows(known: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``lang``, ``luck``, ``window``: of all windows of all texts (``lang``, ``h``, ``text``) those whose luck is below their language's share.
+
+    A window's luck is a hash of its text and its number, so copies of a text have the same windows in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).cast(pa.binary())
+            at = np.array([shares[v] for v in langs])
+            for i in range(batch.num_rows):
+                data = texts[i].as_buffer()
+                n = -(-data.size // WINDOW)
+                luck = _mixed(hashes[i] + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+                mine = np.flatnonzero(luck < np.uint64(min(at[i], 1.0) * (1 << 40)))
+                if len(mine):
+                    whole = memoryview(data)
+                    windows = [bytes(whole[j * WINDOW : (j + 1) * WINDOW]) for j in mine.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[i]] * len(mine)), pa.array(luck[mine].astype(np.int64)), pa.array(windows, pa.binary())], names=["lang", "luck", "window"])
+
+    return known.select("lang", "h", "text").mapInArrow(run, "lang string, luck long, window binary")
+
+
 def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> ByteNetwork | None:
-    """A network fitted on a bounded sample of ``labelled``; None if there is nothing to learn from."""
-    known = labelled.select(F.col(text).alias("text"), F.col(language).cast("string").alias("lang")).where("lang is not null and text is not null and length(text) > 0")
-    named = known.withColumn("h", F.xxhash64("text"))
-    # Copies of a text count once, so that no hot text crowds out others.
-    counts = [r for r in named.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()]
+    """A network fitted on a bounded sample of the windows of ``labelled``; None if there is nothing to learn from."""
+    known = labelled.select(F.col(text).alias("text"), F.col(language).cast("string").alias("lang")).where("lang is not null and text is not null and length(text) > 0").withColumn("h", F.xxhash64("text"))
+    size = F.ceil(F.octet_length("text") / WINDOW)
+    # Copies of a text count once, so that no hot text crowds out others: the share allows for how many texts are copies.
+    counts = known.groupBy("lang").agg(F.sum(size).alias("windows"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.02).alias("different")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], DOCS_PER_LANGUAGE / max(r["n"], 1))])
-    luck = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
-    span = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda k: F.substring("text", (1 + F.floor(span * k / (WINDOWS_PER_DOC - 1))).cast("int"), F.lit(WINDOW)))
-    drawn = named.where(luck < share[F.col("lang")]).groupBy("lang", "h").agg(F.min(F.array_distinct(pieces)).alias("pieces"))
-    rows = drawn.sort(F.pmod("h", F.lit(1 << 40)), "lang").limit(2 * DOCS_PER_LANGUAGE * len(languages)).collect()
-    x = [(p.encode()[:WINDOW].ljust(WINDOW, b"\0"), languages.index(r["lang"])) for r in rows for p in r["pieces"] if p]
-    if not x:
-        return None
-    return ByteNetwork(languages).fit(np.stack([np.frombuffer(b, np.uint8) for b, _ in x]), np.array([k for _, k in x]))
+    most = min(WINDOWS_PER_LANGUAGE, max(1, MOST_WINDOWS // len(languages)))
+    shares = {r["lang"]: most / max(1.0, r["windows"] * min(1.0, r["different"] / r["n"])) for r in counts}
+    drawn = sampled_windows(known, shares).groupBy("lang", "luck", "window").agg(F.count(F.lit(1)).alias("copies"))
+    rows = drawn.select("lang", "luck", "window").sort("luck", "lang", "window").limit(2 * most * len(languages)).collect()
+    x = np.stack([np.frombuffer(bytes(r["window"]).ljust(WINDOW, b"\0"), np.uint8) for r in rows])
+    return ByteNetwork(languages).fit(x, np.array([languages.index(r["lang"]) for r in rows]))
 
 
 _TABLES: dict[int, tuple[object, dict]] = {}
@@ -185,7 +211,8 @@ def predict(docs: DataFrame, network: ByteNetwork | None, text: str = "text") ->
             if known:
                 flat, owner, length = windows_of([values[i].encode() for i in known])
                 sums = np.zeros((len(known), len(net.languages)))
-                np.add.at(sums, owner, net.probabilities(flat, _TABLES[0][1]) * length[:, None])
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                sums[:] = np.add.reduceat(net.probabilities(flat, _TABLES[0][1]) * length[:, None], starts, axis=0)
                 mean = sums / sums.sum(axis=1, keepdims=True)
                 for i, k, s in zip(known, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
                     found[i] = (net.languages[k], min(max(s, 0.0), 1.0))

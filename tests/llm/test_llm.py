@@ -31,6 +31,31 @@ def table(spark, texts, ids=None):
 HARD = [None, "", " \n\t", "one", "a b c d e f g h " * 8, prose(1, 3000), "same text", "same text", "x" * 5000, "é漢字 \x1c y", "<|endoftext|> z"]
 
 
+DATA = "/root/testdata/sf0.01"
+
+
+def test_languages_of_the_given_documents(spark):
+    """Held-out accuracy of the query itself; what is held out is not read for learning."""
+    from episodica.llm import queries
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
+    rows = queries.op8_language_id(spark, DATA).join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_training_windows_are_all_windows_once(spark):
+    """Whole texts of any length are cut into windows; copies add none, and a full share leaves none out."""
+    from pyspark.sql import functions as F
+
+    texts = ["ab" * 3000, "short", "é" * 1000, "short", "ab" * 3000]
+    known = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").withColumn("h", F.xxhash64("text")).select("lang", "h", "text").repartition(2)
+    got = language_id.sampled_windows(known, {"en": 1.0}).distinct().collect()
+    want = {(t, i) for t in texts for i in range(0, len(t.encode()), language_id.WINDOW)}
+    assert len(got) == len(want) and {bytes(r.window) for r in got} == {t.encode()[i : i + language_id.WINDOW] for t, i in want}
+    some = language_id.sampled_windows(known, {"en": 0.3}).distinct().count()
+    assert 0 < some < len(want) / 2
+
+
 # -- sharding --------------------------------------------------------------------------------------------------------
 
 
@@ -393,6 +418,7 @@ def test_languages_are_told_apart(spark):
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (900, 901)} == {900: "und", 901: "und"}
     tested = [r.lang_pred == r.score for r in got if r.held and r.doc_id < 900]
     assert sum(tested) >= 0.95 * len(tested)
+    assert language_id.predict(docs.where("false"), language_id.train(docs)).count() == 0
     none = language_id.train(docs.where("lang = 'zz'"))
     assert none is None and {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
 
