@@ -49,12 +49,12 @@ BATCH = 64
 RATE = 5e-3
 #: Text bytes of a block, copies of a text that one block may get, distinct words that a worker remembers, reducers
 #: of the parameters' average.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
 REPEATS = 1000
 HELD_WORDS = 200_000
 REDUCERS = 16
 #: Text bytes of rows that are split into words together, or one row.
-SPLIT_BYTES = 2 << 20
+SPLIT_BYTES = 16 << 20
 #: Windows that a block holds and goes through EPOCHS times before it reads on; subwords that are scored together, or one text.
 HELD_WINDOWS = 8192
 HELD_SUBWORDS = 100_000
