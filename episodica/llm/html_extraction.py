@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-The pages of a host are dealt into groups of some ``GROUP`` pages, so that a host of any size is many small tasks.  In
+The pages of a host are dealt into groups of some ``GROUP`` pages and ``GROUP_BYTES``, so that a host of any size is many
+small tasks; a group is never cut, and holds each different page once.  In
 a group the page of middle size is the reference.  Every page's tree of blocks is aligned with the reference's by
 simple tree matching, which pairs the largest number of nodes while keeping order and ancestry.  Counted over the
 group's different pages, a reference text that the pages share is template, and one that varies is a slot; the wrapper
@@ -60,10 +61,10 @@ ALONE = frozenset(
     "subscribe subscription signup login search pagination pager contentinfo complementary toolbar skip".split()
 )
 PLACES = frozenset("site top bottom left right wrapper container box block list section area inner outer slot unit bar link links item items user reader global primary secondary widget form".split())
-#: Pages of a group, about; pages that a vote needs; bytes of html held at once, beyond which a group is dealt on.
+#: Pages of a group and bytes of its html, about; pages that a vote needs.
 GROUP = 128
+GROUP_BYTES = 16 << 20
 LEAST_VOTERS = 4
-HELD_BYTES = 64 << 20
 #: Share of the varying text that a child must hold to become the region; of the voters that share a constant; of its
 #: text that a page may share with the reference and vote; of the page's text that an element named no content may hold.
 DESCEND = 0.9
@@ -196,7 +197,7 @@ def _judge_names(nodes: list[Node]) -> None:
 def clean(text: str) -> str:
     if "&" in text:
         text = entities.unescape(text)
-    return " ".join(text.replace("\u200b", " ").split())
+    return " ".join(text.split())
 
 
 class Shapes:
@@ -452,7 +453,7 @@ def host_of(url: Column) -> Column:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, salt, html, kept columns, with groups one after another -> kept columns, text."""
-    name, sources, kept, held = None, [], [], 0
+    name, sources, kept, known = None, [], [], {}
 
     def out() -> pa.RecordBatch:
         texts = texts_of_group(sources) if name[0] is not None else [texts_of_group([s])[0] for s in sources]
@@ -463,15 +464,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for k in range(batch.num_rows):
             group = (hosts[k], salts[k])
-            if name is not None and (group != name or held > HELD_BYTES):
+            if name is not None and group != name:
                 if k > start:
                     kept.append(batch.column(3).slice(start, k - start))
                 if kept:
                     yield out()
-                start, sources, kept, held = k, [], [], 0
+                start, sources, kept, known = k, [], [], {}
             name = group
-            sources.append(htmls[k] or "")
-            held += len(sources[-1])
+            sources.append(known.setdefault(htmls[k] or "", htmls[k] or ""))
         kept.append(batch.column(3).slice(start))
     if kept:
         yield out()
@@ -481,8 +481,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[
     """Columns ``keep`` of every page with ``main_text``."""
     given = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"), F.struct(*keep).alias("_kept"))
     # Hosts of more than one group: at most one row for GROUP pages, joined by broadcast only while the file is small.
-    large = given.where("host is not null").groupBy(F.col("host").alias("large")).agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    parts = durable(large.select("large", F.ceil(F.col("n") / GROUP).alias("parts")), "hosts")
+    sized = given.where("host is not null").groupBy(F.col("host").alias("large")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
+    # Of very large pages a group still gets some four times the voters that it needs.
+    by_bytes = F.least(F.ceil(F.coalesce("bytes", F.lit(0)) / GROUP_BYTES), F.ceil(F.col("n") / (4 * LEAST_VOTERS)))
+    sized = sized.select("large", F.greatest(F.ceil(F.col("n") / GROUP), by_bytes).alias("parts"))
+    parts = durable(sized.where("parts > 1"), "hosts")
     dealt = F.xxhash64("html", "_kept")
     salt = F.when(F.col("host").isNull(), F.pmod(dealt, F.lit(1 << 20))).otherwise(F.pmod(dealt, F.coalesce("parts", F.lit(1).cast("long"))))
     salted = given.join(parts, F.col("host") == F.col("large"), "left").select("host", salt.alias("salt"), "html", "_kept")

@@ -109,3 +109,15 @@ def test_matching_pairs_the_most_nodes(monkeypatch):
             pairs = pages.align(a[0], b[0], shapes)
             assert len(pairs) == brute(a[0], b[0]) == shapes.weight(a[0].shape, b[0].shape)
             assert all(a[i].tag == b[j].tag for i, j in pairs.items()) and len(set(pairs.values())) == len(pairs)
+
+
+def test_only_white_space_becomes_a_blank():
+    assert pages.texts_of_group(["<p>zero\u200bwidth&#8203;space \t\n two&nbsp;three"]) == ["zero\u200bwidth\u200bspace two three"]
+
+
+def test_large_pages_are_many_groups(spark, monkeypatch):
+    """Groups are bounded by bytes too, and equal pages of a group are held once."""
+    monkeypatch.setattr(pages, "GROUP_BYTES", 150_000)
+    rows = [(i, "http://big.example/x", page(f"Title {i}", [prose(i, 400), prose(9000 + i, 400)])) for i in range(120)]
+    got = extracted(spark, rows + [(1000 + i, *rows[0][1:]) for i in range(40)])
+    assert all(got[i] == f"Title {i}\n{prose(i, 400)}\n{prose(9000 + i, 400)}" for i in range(120)) and {got[1000 + i] for i in range(40)} == {got[0]}
