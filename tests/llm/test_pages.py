@@ -118,6 +118,7 @@ def test_only_white_space_becomes_a_blank():
 def test_large_pages_are_many_groups(spark, monkeypatch):
     """Groups are bounded by bytes too, and equal pages of a group are held once."""
     monkeypatch.setattr(pages, "GROUP_BYTES", 150_000)
-    rows = [(i, "http://big.example/x", page(f"Title {i}", [prose(i, 400), prose(9000 + i, 400)])) for i in range(120)]
+    words = lambda seed: " ".join(f"w{random.Random(seed).randrange(10**6) + j}" for j in range(400))
+    rows = [(i, "http://big.example/x", page(f"Title {i}", [words(i), words(9000 + i)])) for i in range(120)]
     got = extracted(spark, rows + [(1000 + i, *rows[0][1:]) for i in range(40)])
-    assert all(got[i] == f"Title {i}\n{prose(i, 400)}\n{prose(9000 + i, 400)}" for i in range(120)) and {got[1000 + i] for i in range(40)} == {got[0]}
+    assert all(got[i] == f"Title {i}\n{words(i)}\n{words(9000 + i)}" for i in range(120)) and {got[1000 + i] for i in range(40)} == {got[0]}
