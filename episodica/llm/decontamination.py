@@ -6,7 +6,12 @@ the longest run of words that both share from below (:func:`shared_run`).  Windo
 are chosen such that some window on the document's stride lies inside every such run; its fingerprint is then within
 the radius of one of the item's own windows (all offsets are indexed).  ``RADIUS + 1`` blocks of the fingerprint
 find every fingerprint within the radius, by the pigeonhole principle.  Each candidate places the item in the
-document; the exact similarity of the best-placed window decides.
+document; the exact similarity of the best-placed window decides.  A passage that stands in several places of a document
+is found at each; of spans of one item that share words the most similar counts.
+
+Windows as long as the item itself would not do: at a similarity of 0.8 two such fingerprints differ in some 10 of 64
+bits on average (an angle of arccos(8/9)) and in up to 20, and as many blocks would be three bits wide and select nothing.
+Windows that fit the shared run are equal in a match, so that the blocks' guarantee covers every match.
 
 The items are a stated query set: they pass through the documents in blocks of bounded size, with no join.
 
@@ -17,6 +22,7 @@ rows match alike; empty tables give no matches; all columns are carried through.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -228,8 +234,18 @@ class Index:
         return best
 
 
+def apart(places: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of spans (similarity, first, count) those that share no word with a better one, or as good and earlier; by place."""
+    kept: list[tuple[int, int, float]] = []
+    for value, first, count in sorted(set(places), key=lambda p: (-p[0], p[1], p[2])):
+        k = bisect.bisect_left(kept, (first,))
+        if (k == len(kept) or kept[k][0] >= first + count) and (k == 0 or kept[k - 1][1] <= first):
+            kept.insert(k, (first, first + count, value))
+    return [(value, first, last - first) for first, last, value in kept]
+
+
 def _search(index: Index, column: pa.ListArray) -> list[list[tuple[int, float, int, int]]]:
-    """For each text's word hashes: (item, similarity, first word, words) of each item found, by item."""
+    """For each text's word hashes: (item, similarity, first word, words) of each place of each item found, by item and place."""
     offsets = column.offsets.to_numpy().astype(np.int64)
     flat = column.values.to_numpy(zero_copy_only=False)
     out: list[list[tuple[int, float, int, int]]] = [[] for _ in range(len(column))]
@@ -237,20 +253,24 @@ def _search(index: Index, column: pa.ListArray) -> list[list[tuple[int, float, i
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_WORDS, "right")) - 1)
         words = flat[offsets[at] : offsets[to]]
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        exact: dict[tuple[int, int], int] = {}
         for doc, item, start in index.placements(words, offsets[at:to] - offsets[at], np.diff(offsets[at : to + 1])).tolist():
-            if best.get((doc, item), (0,))[0] < 1.0:
+            # Starts ascend: one inside the last exact passage proposes nothing new.
+            if start >= exact.get((doc, item), start):
                 got = index.verified(flat[offsets[at + doc] : offsets[at + doc + 1]], item, start)
-                best[doc, item] = max(best.get((doc, item), got), got)
-        for (doc, item), (value, first, count) in sorted(best.items()):
-            if value >= THRESHOLD:
-                out[at + doc].append((item, value, first, count))
+                if got[0] >= THRESHOLD:
+                    found.setdefault((doc, item), []).append(got)
+                    if got[0] == 1.0:
+                        exact[doc, item] = got[1] + got[2]
+        for (doc, item), places in sorted(found.items()):
+            out[at + doc] += [(item, *p) for p in apart(places)]
         at = to
     return out
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All of ``docs`` with ``matches``: (item, similarity, first_word, n_words) of every benchmark passage in it."""
+    """All of ``docs`` with ``matches``: (item, similarity, first_word, n_words) of every place of every benchmark passage in it."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("item"), word_hashes(text_or_empty(item_text)).alias("h")).where(F.size("h") > 0)
     n_blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))

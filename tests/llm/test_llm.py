@@ -205,6 +205,27 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - near_duplicates.weighted_jaccard(a, b)) < 0.03
 
 
+# -- places of passages ---
+
+
+def test_every_place_of_a_passage_is_a_match(spark):
+    item = [f"q{i}" for i in range(80)]
+    near = [w if i != 40 else "other" for i, w in enumerate(item)]
+    filler = prose(77, 60).split()
+    texts = [filler + item + filler + item, item + item + near, item * 2, filler + near + filler + item + filler, ["x"] * 50]
+    benchmark = spark.createDataFrame([(5, " ".join(item)), (6, "x " * 12)], "item_id long, text string")
+    rows = {r.doc_id: r["_matches"] for r in decontamination.with_matches(table(spark, [" ".join(t) for t in texts]), benchmark).collect()}
+    places = lambda doc, item: [(m["first_word"], m["n_words"], m["similarity"] == 1.0) for m in rows[doc] if m["item"] == item]
+    assert places(0, 5) == [(60, 80, True), (200, 80, True)] and places(1, 5) == [(0, 80, True), (80, 80, True), (160, 80, False)]
+    assert places(2, 5) == [(0, 80, True), (80, 80, True)] and places(3, 5) == [(60, 80, False), (200, 80, True)]
+    runs = places(4, 6)
+    assert len(runs) == 4 and all(b[0] >= a[0] + a[1] for a, b in zip(runs, runs[1:], strict=False)) and all(exact for *_, exact in runs)
+
+
+def test_spans_that_share_words_go_to_the_better():
+    assert decontamination.apart([(0.9, 0, 10), (1.0, 5, 10), (0.8, 15, 3), (0.85, 14, 4), (0.9, 30, 5), (0.9, 32, 5), (0.9, 0, 10)]) == [(1.0, 5, 10), (0.8, 15, 3), (0.9, 30, 5)]
+
+
 # -- decontamination -------------------------------------------------------------------------------------------------
 
 
