@@ -9,8 +9,8 @@ find every fingerprint within the radius, by the pigeonhole principle.  Each can
 document; the exact similarity of the best-placed window decides.  A passage that stands in several places of a document
 is found at each; of spans of one item that share words the most similar counts.
 
-Windows as long as the item itself would not do: at a similarity of 0.8 two such fingerprints differ in some 10 of 64
-bits on average (an angle of arccos(8/9)) and in up to 20, and as many blocks would be three bits wide and select nothing.
+Windows as long as the item itself would not do: at a similarity of 0.8 two such fingerprints differ in 9.7 of 64 bits on
+average (an angle of arccos(8/9)) with a deviation of 2.9, and the blocks for a radius of 18 are three bits and select nothing.
 Windows that fit the shared run are equal in a match, so that the blocks' guarantee covers every match.
 
 The items are a stated query set: they pass through the documents in blocks of bounded size, with no join.
