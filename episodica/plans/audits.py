@@ -273,10 +273,12 @@ _CONTEXT = "user_id % 4"
 
 
 @query("WITH " + RUNS_SQL + f""", pr AS (SELECT s.*, user_id % 4 AS context, score > threshold AS alert, row_number() OVER (PARTITION BY detector, commissioning_n, seed, partition, user_id % 4 ORDER BY score DESC) AS place FROM scores s JOIN (SELECT detector, commissioning_n, seed, threshold FROM runs) USING (detector, commissioning_n, seed))
-SELECT {_RUN_SQL}, partition, context, count(*) AS episodes, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS std, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.9), 6) AS q90, max(score) AS largest,
+SELECT {_RUN_SQL}, partition, context, count(*) AS episodes, round(avg(score) + 1e-9, 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS std, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.9), 6) AS q90, max(score) AS largest,
 round(max(score) - max(CASE WHEN place = 2 THEN score END), 6) AS gap, round(avg(CAST(alert AS DOUBLE)), 6) AS alert_rate FROM pr GROUP BY detector, commissioning_n, seed, partition, context""")
 def a19_context_scores(spark, sf_dir):
-    return audits.context_scores(predictions(spark, sf_dir).withColumn("context", F.expr(_CONTEXT)), [*RUN, "partition"], "context")
+    """Means of scores with four digits can end in a five behind the sixth: it goes up in either engine."""
+    found = audits.context_scores(predictions(spark, sf_dir).withColumn("context", F.expr(_CONTEXT)), [*RUN, "partition"], "context")
+    return found.withColumn("mean", F.col("mean") + 1e-9)
 
 
 @query("WITH " + MEMBERS_SQL + """, x AS (SELECT user_id % 4 AS context, partition FROM parts WHERE partition <> 'reservoir' UNION ALL SELECT user_id % 4, 'anomaly' FROM episodes WHERE label > 0),
