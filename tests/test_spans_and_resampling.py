@@ -1,5 +1,6 @@
 """Span reads, bootstraps and simulated power against direct forms."""
 
+import hashlib
 import math
 import random
 
@@ -89,3 +90,27 @@ def test_power_holds_its_level_and_finds_large_shifts(spark):
     assert all(r.null_rejections < 0.16 for r in found)
     again = resampling.simulated_tests(rows.repartition(5), ["k", "seed"], "x", "second", (0.0, 0.4, 1.5), 300)
     assert again.exceptAll(tests).count() == 0
+
+
+def test_power_asks_for_few_p_values_and_judges_every_distance(monkeypatch):
+    asked = []
+    whole = resampling._p_value
+    monkeypatch.setattr(resampling, "_p_value", lambda n, m, steps: asked.append(steps) or whole(n, m, steps))
+    for n, m, alpha in ((35, 25, 0.1), (7, 30, 0.05), (2, 2, 0.01)):
+        asked.clear()
+        bound = resampling.critical_steps.__wrapped__(n, m, alpha)
+        assert len(asked) <= math.log2(n * m) + 2
+        assert all((steps >= bound) == (whole(n, m, steps) < alpha) for steps in range(n * m + 1))
+
+
+def test_simulated_distances_are_those_of_the_drawn_samples(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, 40).astype(float)
+    rows = spark.createDataFrame([("u", float(v), i < 17) for i, v in enumerate(x)], "k string, x double, second boolean")
+    z = (np.sort(x) - x.mean()) / x.std(ddof=1)
+    got = resampling.simulated_tests(rows, ["k"], "x", "second", (0.0, 0.5), 30).collect()
+    assert len(got) == 60
+    for r in got:
+        places = [int(hashlib.md5(f"u:{r['replicate']}:{i}".encode()).hexdigest()[:8], 16) % 40 for i in range(1, 41)]
+        drawn = z[places]
+        assert r["steps"] == resampling.distance_steps(drawn[:23], drawn[23:] + r["shift"]) and r["ks"] == pytest.approx(r["steps"] / (23 * 17))
