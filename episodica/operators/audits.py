@@ -136,16 +136,19 @@ def assignment_shift(members: DataFrame, context: str, partition: str = "partiti
 def context_conditional(queries: DataFrame, calibration: DataFrame, entity: str, context: str, score: str, neighbours: int, rank: int) -> DataFrame:
     """``threshold`` of each query: the ``rank``-th smallest score of its nearest calibration episodes by context.
 
-    In the order of the context, the nearest lie among as many before and behind; how many calibration episodes lie before
-    a context comes from ranges of it, so that no window holds them all.  Ties of distance go to the smaller id.  A query with fewer calibration episodes takes the largest score of those.
+    Ties of distance go to the smaller id, so of a context's calibration episodes the ``neighbours`` smallest ids can be
+    near, and in the order of context and id the nearest lie among ``neighbours`` behind and twice as many before: the last
+    context reached before may be cut by its ids.  How many episodes lie before a context comes from ranges of it, so that
+    no window holds them all.  A query with fewer calibration episodes takes the largest score of those.
     """
+    inside = F.row_number().over(Window.partitionBy(context).orderBy(entity))
+    calibration = calibration.where(F.col(context).isNotNull()).withColumn("inside", inside).where(F.col("inside") <= neighbours)
     rows = calibration.select(F.col(context).alias("at"), F.lit(True).alias("is_known")).unionByName(queries.select(F.col(context).alias("at"), F.lit(False).alias("is_known")))
     below = cut(cumulated(rows, [], "at", {"known": F.count_if("is_known")}).select(F.col("value_at").alias("of"), F.col("low_known").alias("below")))
     known = F.struct(F.col(context).alias("c"), F.col(entity).alias("e"), F.col(score).alias("s"))
-    inside = F.row_number().over(Window.partitionBy(context).orderBy(entity))
-    listed = calibration.join(below, F.col(context) == F.col("of")).select((F.col("below") + inside).alias("place"), known.alias("known"))
+    listed = calibration.join(below, F.col(context) == F.col("of")).select((F.col("below") + F.col("inside")).alias("place"), known.alias("known"))
     numbered = queries.join(below, F.col(context) == F.col("of")).select(F.col(entity).cast("string").alias("asked"), F.col(context).alias("at"), F.col("below").alias("nth"))
-    asked = numbered.select("asked", "at", F.explode(F.sequence(F.col("nth") - neighbours + 1, F.col("nth") + neighbours)).alias("place"))
+    asked = numbered.select("asked", "at", F.explode(F.sequence(F.col("nth") - 2 * neighbours + 1, F.col("nth") + neighbours)).alias("place"))
     near = asked.join(listed, "place").groupBy("asked", "at").agg(F.collect_list(F.struct(F.abs(F.col("known.c") - F.col("at")).alias("d"), F.col("known.e").alias("e"), F.col("known.s").alias("s"))).alias("near"))
     taken = F.array_sort(F.transform(F.slice(F.array_sort("near"), 1, neighbours), lambda x: x["s"]))
     return near.select(F.col("asked").cast(dict(queries.dtypes)[entity]).alias(entity), F.get(taken, F.least(F.lit(rank), F.size(taken)) - 1).alias("threshold"))

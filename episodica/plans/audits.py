@@ -452,7 +452,8 @@ n AS (SELECT q.user_id, s, row_number() OVER (PARTITION BY q.user_id ORDER BY ab
 SELECT user_id, round(s, 6) AS threshold FROM r WHERE place = least(10, k)""")
 def st17_context_conditional(spark, sf_dir):
     """The threshold of each anomalous user from the ten calibration users of the nearest mean; the score is the total variation."""
-    wide = study.wide_features(spark, sf_dir).select("user_id", F.col("value__mean").alias("context"), F.col("value__total_variation").alias("score"))
+    # Read by all sides and joined by the context itself: made once, it is the same double everywhere.
+    wide = cut(study.wide_features(spark, sf_dir).select("user_id", F.col("value__mean").alias("context"), F.col("value__total_variation").alias("score")))
     calibration = wide.join(study.partitions(spark, sf_dir).where("partition = 'calibration'").select("user_id"), "user_id")
     queries = wide.join(study.episodes(spark, sf_dir).where("label > 0").select("user_id"), "user_id")
     return audits.context_conditional(queries, cut(calibration), "user_id", "context", "score", 10, 10)

@@ -256,3 +256,12 @@ def test_sources_by_distance(spark):
         got.setdefault(r.regime, []).append(r.distance)
     assert {k: sorted(v) for k, v in got.items()} == {"near": [0.0, 1.0], "moderate": [4.0, 5.0], "high": [8.0, 9.0]}
     assert audits.source_regimes(d.where(F.lit(False)), ["run"], "e").count() == 0
+
+
+def test_equal_contexts_before_a_query_give_their_smaller_ids(spark):
+    near = [(100, 0.5, 50.0), (101, 0.5, 40.0), (102, 0.9, 30.0)]
+    calibration = spark.createDataFrame([(i, 0.0, float(i)) for i in range(1, 16)] + near + [(200, None, 0.0)], "e long, c double, s double")
+    asked = spark.createDataFrame([(1000, 1.0), (1001, -1.0), (1002, 0.0)], "e long, c double")
+    for rank in (5, 8):
+        got = {r.e: r.threshold for r in audits.context_conditional(asked, calibration, "e", "c", "s", 8, rank).collect()}
+        assert got == {1000: sorted([1, 2, 3, 4, 5, 50, 40, 30])[rank - 1], 1001: rank, 1002: rank}
