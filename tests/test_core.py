@@ -240,3 +240,13 @@ def test_catalogue_against_duckdb(spark, monkeypatch):
         if sorted(names) != sorted(got.columns) or ours != theirs:
             wrong.append(name)
     assert not wrong
+
+
+def test_distinct_values_are_counted_by_column_and_value(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(1, 2.0, None), (1, nan, None), (2, inf, None), (None, 2.0, None), (3, -0.0, None), (3, 0.0, None)], "a int, b double, c double")
+    found = features.column_profile(rows, ["a", "b", "c"])
+    assert "Expand" not in found._jdf.queryExecution().toString()  # no row that carries all columns for each of them
+    got = {r["column"]: r for r in found.collect()}
+    assert [(got[c]["n"], got[c]["missing"], got[c]["finite"], got[c]["distinct_values"], got[c]["is_constant"]) for c in "abc"] == [(6, 1, 5, 3, False), (6, 0, 4, 2, False), (6, 6, 0, 0, True)]
+    assert (got["b"]["min"], got["b"]["max"], got["b"]["mean"], got["c"]["mean"]) == (0.0, 2.0, 1.0, None)
