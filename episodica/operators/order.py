@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 
 CUTS = 64
+#: Ranks of at most so many values go to every executor; values are then as frequent as they like.
+FEW_VALUES = 50_000
 
 
 def cumulated(rows: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -54,5 +56,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, fl
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str, method: str = "average") -> DataFrame:
     """``rows`` with the rank of tied values in their group as ``name``: their ``average``, ``min`` or ``max``; null values have none."""
     place = {"average": F.col("rows_below") + (F.col("rows_at") + 1) / 2.0, "min": F.col("rows_below") + 1, "max": F.col("rows_below") + F.col("rows_at")}[method]
-    c = cumulated(rows, keys, value).select(*[F.col(k).alias(f"rank_{k}") for k in keys], F.col("value_at").alias("rank_x"), place.alias(name))
+    c = cut(cumulated(rows, keys, value).select(*[F.col(k).alias(f"rank_{k}") for k in keys], F.col("value_at").alias("rank_x"), place.alias(name)))
+    # A written table is counted without being read again; a few values that all rows have would be a few hot partitions.
+    c = F.broadcast(c) if c.count() <= FEW_VALUES else c
     return rows.join(c, [F.col(k).eqNullSafe(F.col(f"rank_{k}")) for k in keys] + [F.col(value) == F.col("rank_x")], "left").drop("rank_x", *[f"rank_{k}" for k in keys])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.operators import moments, resampling, spans
+from episodica.operators import moments, order, resampling, spans
 
 
 def span_frame(spark, rows):
@@ -114,3 +114,18 @@ def test_simulated_distances_are_those_of_the_drawn_samples(spark):
         places = [int(hashlib.md5(f"u:{r['replicate']}:{i}".encode()).hexdigest()[:8], 16) % 40 for i in range(1, 41)]
         drawn = z[places]
         assert r["steps"] == resampling.distance_steps(drawn[:23], drawn[23:] + r["shift"]) and r["ks"] == pytest.approx(r["steps"] / (23 * 17))
+
+
+def test_counts_follow_the_definition_and_rows_are_dealt_whatever_their_files(spark):
+    ids, replicates = [0, 1, -7, 2**31 - 1, 2**31, 5 * 10**12, 2**62], [1, 2, 999, 10**6]
+    for i in ids:
+        for r in replicates:
+            h = (i % moments.PRIME * moments.ROW_STEP + r * moments.REPLICATE_STEP) % moments.PRIME
+            for step in moments.MIX:
+                h = h * ((h + step) % moments.PRIME) % moments.PRIME
+            assert moments.resample_hash(np.array([i]), np.array([r]))[0] == h
+    rows = spark.range(2000).selectExpr("'a' as g", "id", "double(id % 7) as x", "double(id % 11) as y").coalesce(1)
+    sums = resampling.bootstrap_sums(rows, ["g"], "x", "y", "id", 20)
+    assert "RepartitionByExpression [entity#" in sums._jdf.queryExecution().toString() and sums.where("replicate = 0").first()["w"] == 2000
+    ranked = order.average_ranks(rows, ["g"], "x", "place")
+    assert "BroadcastHashJoin" in ranked._jdf.queryExecution().executedPlan().toString() and {r.place for r in ranked.where("x = 0").collect()} == {143.5}
