@@ -558,11 +558,12 @@ def train_distributed(blocked: DataFrame, path: str, classes: np.ndarray, end: i
     return _average(blocked.mapInArrow(run, "p binary, windows long"))
 
 
-def encoded(blocked: DataFrame, classes: np.ndarray, end: int) -> DataFrame:
+def encoded(blocked: DataFrame, classes: np.ndarray, end: int, network: bool = True) -> DataFrame:
     """Every text's ids and word counts, and the networks trained on the way: the rows of each block's words, then its texts by place.
 
     A text's row has ``n_words``, ``n_known``, ``logs`` (the sum of log10 of its words' counts and a half) and ``ids``;
-    a row without these has the sum of a task's networks by their windows.
+    a row without these has the sum of a task's networks by their windows.  Without ``network`` nothing is trained and
+    there are no ids.
     """
     shared = blocked.sparkSession.sparkContext.broadcast(classes)
     kind = dict(blocked.dtypes)["doc_id"]
@@ -593,9 +594,9 @@ def encoded(blocked: DataFrame, classes: np.ndarray, end: int) -> DataFrame:
                     words = []
                 if own != before:
                     before, numbers = own, np.frombuffer(_unpacked(own), np.uint32)
-                    ids = np.append(_runs(pieces, start[numbers], lengths[numbers]), np.uint32(end))
-                    row = len(numbers), int(np.count_nonzero(known[numbers])), float(logs[numbers].sum(dtype=np.longdouble)), _packed(ids.astype(small))
-                if not held_out:
+                    ids = np.append(_runs(pieces, start[numbers], lengths[numbers]), np.uint32(end)) if network else None
+                    row = len(numbers), int(np.count_nonzero(known[numbers])), float(logs[numbers].sum(dtype=np.longdouble)), _packed(ids.astype(small)) if network else None
+                if network and not held_out:
                     learner.read(block, ids)
                 at.append(i)
                 for c, x in zip(out.values(), row, strict=True):
@@ -632,8 +633,11 @@ def dealt(named: DataFrame, n_blocks: int, counted: DataFrame | None = None) ->
     return salted.withColumn("block", F.pmod(F.xxhash64("h", salt), F.lit(n_blocks)).cast("int")).drop("repeated", "place")
 
 
-def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", by: int = 5, held: int = 1) -> DataFrame:
-    """``doc_id``, ``held_out``, token counts, ``base_score`` and the network's ``score`` of every row."""
+def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", by: int = 5, held: int = 1, network: bool = True) -> DataFrame:
+    """``doc_id``, ``held_out``, token counts, ``base_score`` and the network's ``score`` of every row.
+
+    Without ``network`` the same steps count the same words, but nothing is trained and there is no ``score``.
+    """
     named = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("held_out", remainder("doc_id", by) == held)
     counted = durable(groups(named.select("text", (utf8_size(F.col("text")) + 64).alias("bytes"), (~F.col("held_out")).cast("long").alias("ends"))), "groups")
     sizes = counted.agg(F.sum("bytes").alias("bytes"), F.sum("ends").alias("ends")).first()
@@ -652,13 +656,17 @@ def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     binary = [F.lit(None).cast("binary").alias(c) for c in ("n", "lengths", "ids")]
     texts = read.where("bucket is null").select("block", "place", "doc_id", "held_out", "own", *binary)
     words = known.where("block is not null").select("block", F.lit(-1).alias("place"), F.lit(None).cast(texts.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "own", "n", "lengths", "ids")
-    done = durable(encoded(texts.unionAll(words).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "place"), classes, end), "encoded")
+    done = durable(encoded(texts.unionAll(words).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "place"), classes, end, network), "encoded")
     for table in (counted, read, known):
         forget(table)
-    parameters = _average(done.where("p is not null"))
-    shared = docs.sparkSession.sparkContext.broadcast((parameters, classes, log_share))
     base = math.log10(n + 0.5 * (v + 1))
     last = math.log10(ends + 0.5)
+    if not network:
+        n_tokens = F.col("n_words") + 1
+        counts = [n_tokens.alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens")]
+        return done.select("doc_id", "held_out", *counts, (F.col("logs") + F.lit(last) - n_tokens * F.lit(base)).alias("base_score"))
+    parameters = _average(done.where("p is not null"))
+    shared = docs.sparkSession.sparkContext.broadcast((parameters, classes, log_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

@@ -645,3 +645,12 @@ def test_training_gradients_lower_the_loss():
     for _ in range(60):
         p = language_model.train(p, rows, targets)
     assert loss(p) < 0.7 * before
+
+
+def test_base_scores_are_those_of_the_whole_operator_without_a_network(spark, monkeypatch):
+    texts = ["one two three one", "", None, "two four  five\nfive", "Three nine"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = vocabulary_path("word_bpe_49k.json")
+    whole = language_model.score(docs, path).drop("score").sort("doc_id").collect()
+    monkeypatch.setattr(language_model, "_average", None)  # averaging networks would fail
+    assert language_model.score(docs, path, network=False).sort("doc_id").collect() == whole
