@@ -1,7 +1,8 @@
 """How far two healthy domains are apart, for runs of any size: kernel discrepancy by tiles, the rest by moments.
 
-A run's rows are dealt into blocks of about ``BLOCK`` rows; a task gets one pair of blocks and returns sums, so that no task
-holds a run and no matrix of all pairs exists.  The bandwidth is the exact median of all positive squared distances, found
+A run's rows are dealt into some ``PARTS`` blocks (more where they would have more than ``MOST_ROWS`` rows); a task gets one
+pair of blocks, goes through it in tiles of ``BLOCK`` rows a side and returns sums, so that no task holds a run and no matrix
+of all pairs exists.  Each row is sent to as many tasks as there are blocks: what is shuffled grows like the rows.  The bandwidth is the exact median of all positive squared distances, found
 by radix selection: a positive double's bits order as it does, each pass counts the tiles' distances by the next bits of
 those that share the median's leading bits.  All runs are selected at once; the driver gets a row for each occupied range.
 
@@ -11,6 +12,7 @@ Every row meets every other one, as the statistic asks: the work is quadratic in
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from .moments import Moments, _frame, _types, collected, moments
 from .order import quantiles
 
 BLOCK = 1024
+#: Blocks that a run is dealt into, and the most rows that a block shall have.
+PARTS, MOST_ROWS = 8, 32_768
 #: Bits by which each pass of the selection tells distances apart, all 64 of a double together.
 PASSES = (20, 14, 14, 16)
 CLIP, MODES, LEAST_SCALE = 8.0, 16, 1e-6
@@ -57,7 +61,8 @@ def tiles(rows: DataFrame, runs: list[str], block: int = BLOCK) -> tuple[DataFra
     found = rows.groupBy(*runs, "role").agg(F.count(F.lit(1)).alias("n_rows"))
     for r in found.collect():
         counts.setdefault(tuple(r[k] for k in runs), {"source": 0, "target": 0})[r["role"]] = r["n_rows"]
-    blocks = {k: {role: -(-n // block) for role, n in c.items()} for k, c in counts.items()}
+    edge = {k: max(block, min(-(-sum(c.values()) // PARTS), MOST_ROWS)) for k, c in counts.items()}
+    blocks = {k: {role: -(-n // edge[k]) for role, n in c.items()} for k, c in counts.items()}
     numbers = rows.sparkSession.createDataFrame([(*k, role, b[role], b["source"] * (role == "target"), sum(b.values())) for k, b in blocks.items() for role in b], f"{_types(rows, runs)}, role string, own long, before long, all_blocks long")
     placed = rows.join(F.broadcast(numbers), [*runs, "role"]).withColumn("number", (F.col("before") + F.pmod(F.xxhash64("episode"), F.col("own"))).cast("int"))
     held = cut(placed.groupBy(*runs, "role", "number", "all_blocks").agg(F.flatten(F.collect_list("v")).alias("flat")))
@@ -65,37 +70,54 @@ def tiles(rows: DataFrame, runs: list[str], block: int = BLOCK) -> tuple[DataFra
     return other.select(*runs, F.least("number", "other").cast("int").alias("first"), F.greatest("number", "other").cast("int").alias("second"), "number", "role", "flat"), counts
 
 
-def _pair(part: pa.Table, width: int) -> tuple[str, str, bool, np.ndarray]:
-    """Roles and squared distances of a tile; of a block with itself only those below the diagonal count."""
+def _pair(part: pa.Table, width: int, block: int) -> tuple[str, str, bool, Iterator[tuple[bool, np.ndarray]]]:
+    """Roles of a pair of blocks and its tiles of squared distances; of a block with itself only those up to the diagonal.
+
+    Beside each tile stands whether it is on that diagonal, where a distance below it has a double above.
+    """
     order = np.argsort(part.column("number").to_numpy())
     x = [np.array(part.column("flat")[int(i)].values.to_numpy(zero_copy_only=False)).reshape(-1, width) for i in order]
     roles = [part.column("role")[int(i)].as_py() for i in order]
-    a, b = x[0], x[-1]
-    squared = np.maximum(np.square(a).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0)
-    return roles[0], roles[-1], len(x) == 1, squared
+    alone = len(x) == 1
+
+    def tiled() -> Iterator[tuple[bool, np.ndarray]]:
+        for i in range(0, len(x[0]), block):
+            for j in range(0, i + 1 if alone else len(x[-1]), block):
+                a, b = x[0][i : i + block], x[-1][j : j + block]
+                yield alone and i == j, np.maximum(np.square(a).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0)
+
+    return roles[0], roles[-1], alone, tiled()
 
 
-def _apart(part: pa.Table, width: int) -> np.ndarray:
-    _, _, alone, squared = _pair(part, width)
-    apart = squared[np.tril_indices(len(squared), -1)] if alone else squared.ravel()
-    return apart[apart > 0]
+def _apart(part: pa.Table, width: int, block: int) -> Iterator[np.ndarray]:
+    for diagonal, squared in _pair(part, width, block)[3]:
+        apart = squared[np.tril_indices(len(squared), -1)] if diagonal else squared.ravel()
+        yield apart[apart > 0]
 
 
-def _counter(runs: list[str], width: int, known: dict[tuple, tuple[int, int]], shift: int, before: int):
-    """Counts a tile's distances by the bits from ``shift`` on, of those whose bits from ``before`` on are the known ones."""
+def _counter(runs: list[str], width: int, known: dict[tuple, tuple[int, int]], shift: int, before: int, block: int):
+    """Counts a pair's distances by the bits from ``shift`` on, of those whose bits from ``before`` on are the known ones."""
 
     def count(key, part):
         run = tuple(k.as_py() for k in key[: len(runs)])
-        raw = _apart(part, width).view(np.uint64)
-        if known:
-            raw = raw[raw >> np.uint64(before) == np.uint64(known[run][0])] if run in known else raw[:0]
-        ranges, n = np.unique(raw >> np.uint64(shift), return_counts=True)
-        return pa.table([*(pa.array([k] * len(n), s.type) for k, s in zip(run, key, strict=False)), pa.array(ranges.astype(np.int64)), pa.array(n.astype(np.int64))], names=[*runs, "leading", "n_pairs"])
+        total = np.zeros(1 << (before - shift), np.int64)
+        for apart in _apart(part, width, block) if not known or run in known else ():
+            raw = apart.view(np.uint64)
+            if known:
+                raw = raw[raw >> np.uint64(before) == np.uint64(known[run][0])]
+            places = ((raw >> np.uint64(shift)) & np.uint64(len(total) - 1)).astype(np.int64)
+            if len(places):
+                low = int(places.min())
+                found = np.bincount(places - low)
+                total[low : low + len(found)] += found
+        ranges = np.flatnonzero(total)
+        n, leading = total[ranges], ranges + ((known[run][0] << (before - shift)) if run in known else 0)
+        return pa.table([*(pa.array([k] * len(n), s.type) for k, s in zip(run, key, strict=False)), pa.array(leading.astype(np.int64)), pa.array(n)], names=[*runs, "leading", "n_pairs"])
 
     return count
 
 
-def median_squares(pairs: DataFrame, runs: list[str], width: int) -> dict[tuple, float]:
+def median_squares(pairs: DataFrame, runs: list[str], width: int, block: int = BLOCK) -> dict[tuple, float]:
     """The median of the positive squared distances of each run's rows, exact."""
     known: dict[tuple, tuple[int, int]] = {}  # the leading bits and the rank among the distances that have them
     total: dict[tuple, int] = {}
@@ -103,7 +125,7 @@ def median_squares(pairs: DataFrame, runs: list[str], width: int) -> dict[tuple,
     for bits in PASSES:
         shift, before = 64 - done - bits, 64 - done
 
-        count = _counter(runs, width, dict(known), shift, before)
+        count = _counter(runs, width, dict(known), shift, before, block)
         counted = pairs.groupBy(*runs, "first", "second").applyInArrow(count, f"{_types(pairs, runs)}, leading long, n_pairs long")
         by: dict[tuple, list[tuple[int, int]]] = {}
         for r in counted.groupBy(*runs, "leading").agg(F.sum("n_pairs").alias("n_pairs")).collect():
@@ -126,9 +148,9 @@ def median_squares(pairs: DataFrame, runs: list[str], width: int) -> dict[tuple,
 
     def above(key, part):
         run = tuple(k.as_py() for k in key[: len(runs)])
-        apart = _apart(part, width) if run in open_ else np.zeros(0)
-        apart = apart[apart > open_.get(run, math.inf)]
-        return pa.table([*(pa.array([k] * bool(apart.size), s.type) for k, s in zip(run, key, strict=False)), pa.array([apart.min()] if apart.size else [], pa.float64())], names=[*runs, "least"])
+        least = [apart[apart > open_[run]].min(initial=math.inf) for apart in _apart(part, width, block)] if run in open_ else []
+        found = [x for x in [min(least, default=math.inf)] if x < math.inf]
+        return pa.table([*(pa.array([k] * len(found), s.type) for k, s in zip(run, key, strict=False)), pa.array(found, pa.float64())], names=[*runs, "least"])
 
     found = pairs.groupBy(*runs, "first", "second").applyInArrow(above, f"{_types(pairs, runs)}, least double").groupBy(*runs).agg(F.min("least").alias("least"))
     upper = {tuple(r[k] for k in runs): r["least"] for r in found.collect()}
@@ -138,12 +160,13 @@ def median_squares(pairs: DataFrame, runs: list[str], width: int) -> dict[tuple,
 def kernel_discrepancy(rows: DataFrame, runs: list[str], width: int, block: int = BLOCK) -> dict[tuple, float]:
     """Biased squared maximum mean discrepancy of source and target with a Gaussian kernel of the median bandwidth."""
     pairs, counts = tiles(rows, runs, block)
-    bandwidth = {run: max(v, 1e-12) for run, v in median_squares(pairs, runs, width).items()}
+    bandwidth = {run: max(v, 1e-12) for run, v in median_squares(pairs, runs, width, block).items()}
 
     def weigh(key, part):
         run = tuple(k.as_py() for k in key[: len(runs)])
-        a, b, alone, squared = _pair(part, width)
-        total = float(np.exp(squared / (-2 * bandwidth.get(run, 1.0))).sum()) * (1 if alone else 2)
+        a, b, _, of_pair = _pair(part, width, block)
+        # Of a block with itself the tiles below the diagonal stand for those above, as a pair stands for both its orders.
+        total = sum(float(np.exp(squared / (-2 * bandwidth.get(run, 1.0))).sum()) * (1 if diagonal else 2) for diagonal, squared in of_pair)
         return pa.table([*(pa.array([k], s.type) for k, s in zip(run, key, strict=False)), pa.array([a != b]), pa.array([a]), pa.array([total])], names=[*runs, "mixed", "domain", "kernel"])
 
     sums = pairs.groupBy(*runs, "first", "second").applyInArrow(weigh, f"{_types(pairs, runs)}, mixed boolean, domain string, kernel double")

@@ -50,3 +50,12 @@ def test_a_run_without_a_source_has_no_measures(spark):
     empty = np.zeros((0, 3))
     assert K.transfer_metrics(rows_of(spark, {1: (empty, sample(5, 3, 1))}), ["n"]).count() == 0
     assert K.transfer_metrics(rows_of(spark, {}), ["n"]).count() == 0
+
+
+def test_a_row_is_sent_to_a_bounded_number_of_tasks(spark):
+    s, t = sample(700, 3, 21, 0.4), sample(500, 3, 22)
+    pairs, _ = K.tiles(rows_of(spark, {1: (s, t)}), ["n"], 16)
+    assert pairs.count() <= (K.PARTS + 1) ** 2 and pairs.agg({"number": "max"}).first()[0] >= K.PARTS - 1
+    x = np.concatenate([s, t])
+    assert K.median_squares(pairs, ["n"], 3, 16)[1,] == pytest.approx(L.median_bandwidth(L.squared_distances(x)), rel=1e-12)
+    assert K.kernel_discrepancy(rows_of(spark, {1: (s, t)}), ["n"], 3, 16)[1,] == pytest.approx(L.kernel_discrepancy(s, t), rel=1e-9)
