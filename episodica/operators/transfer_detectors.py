@@ -5,6 +5,7 @@ They register themselves beside those of :mod:`matrix_detectors` and are fitted
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,8 @@ PRIOR, LOG_TAU, SHIFT_TAU, TRUST_FLOOR, GATE_SLACK, LEAST_EIGEN, KEPT_VARIANCE =
 BLEND_GRID = (0.0, 0.05, 0.1, 0.2, 0.4)
 TAU_GRID = (0.5, 1.0, 2.0)
 MOST_MODES, STRENGTH, RESAMPLES = 16, 0.25, 50
+#: Target rows up to which each one left out is a model of its own; with more, moments lose the row.  Rows left out together.
+FEW_ROWS, TOGETHER = 256, 128
 
 
 def shuffled(n: int, seed: int) -> np.ndarray:
@@ -25,6 +28,33 @@ def shuffled(n: int, seed: int) -> np.ndarray:
     return np.roll(order, 1) if n > 1 and (order == np.arange(n)).all() else order
 
 
+def _left_out(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows' place and, with each of them left out: mean, scatter matrix and :func:`linalg.shrunk_covariance` of the others.
+
+    They follow from sums over all rows, so that a row costs the same however many there are.
+    """
+    center, (n, p) = x.mean(axis=0), x.shape
+    c = x - center
+    lengths = np.einsum("ij,ij->i", c, c)
+    scatter, cubes, squares, fourths, m = c.T @ c, lengths @ c, lengths.sum(), (lengths**2).sum(), n - 1
+    for at in range(0, n, TOGETHER):
+        here = slice(at, min(at + TOGETHER, n))
+        row, length = c[here], lengths[here]
+        shift = row / -m
+        moved = np.einsum("ij,ij->i", shift, shift)
+        rest = scatter - row[:, :, None] * row[:, None, :]
+        along = np.einsum("bi,bij,bj->b", shift, rest, shift, optimize=True)
+        across = shift @ cubes - length * np.einsum("ij,ij->i", shift, row)
+        # The sum of |c - shift|^4 over the others, whose rows c sum to m times the shift.
+        fourth = fourths - length**2 + 4 * along + m * moved**2 - 4 * across + 2 * moved * (squares - length) - 4 * m * moved**2
+        rest -= m * shift[:, :, None] * shift[:, None, :]
+        s = rest / m
+        mu, energy = np.einsum("bii->b", s) / p, np.einsum("bij,bij->b", s, s)
+        spread, noise = energy - p * mu**2, (fourth / m - energy) / m
+        share = np.where(spread > 0, np.clip(noise, 0, spread) / np.where(spread > 0, spread, 1), 0)
+        yield here, center + shift, rest, (1 - share)[:, None, None] * s + (share * mu)[:, None, None] * np.eye(p)
+
+
 # -- lending variance along the target's own directions ------------------------------------------------------------
 
 
@@ -84,13 +114,61 @@ def lending(source: np.ndarray, target: np.ndarray, permuted: bool = False, know
     return Lending(mean, vectors, own, lent, trust[shuffled(len(trust), 73)] if permuted else trust, len(target))
 
 
+def _gain(source: np.ndarray, target: np.ndarray, i: int, permuted: bool, known: tuple[np.ndarray, ...]) -> float:
+    model = lending(source, np.delete(target, i, axis=0), permuted, known)
+    return model.log_density(target[i : i + 1], True)[0] - model.log_density(target[i : i + 1], False)[0]
+
+
 def gate_margin(source: np.ndarray, target: np.ndarray, permuted: bool = False) -> float:
     """Mean gain in the log density of each target row left out, of lending over not lending."""
-    gains, known = [], lender(source)
-    for i in range(len(target)):
-        model = lending(source, np.delete(target, i, axis=0), permuted, known)
-        gains.append(model.log_density(target[i : i + 1], True)[0] - model.log_density(target[i : i + 1], False)[0])
-    return float(np.mean(gains))
+    known = lender(source)
+    return float(np.mean([_gain(source, target, i, permuted, known) for i in range(len(target))]))
+
+
+def gain_bounds(source: np.ndarray, target: np.ndarray, permuted: bool = False, known: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most that the gain of each target row left out can be, whatever the medians are.
+
+    Medians are all that takes a pass over the rows.  They can only lower the trust, so that the variance lies between the
+    target's own and that of agreeing medians; the density in between has its only peak where the variance is the square.
+    """
+    _, cov_s, values_s, vectors_s = known or lender(source)
+    n, p = len(target) - 1, target.shape[1]
+    most_s, least, most = _usable_rank(values_s, len(source)), np.empty(n + 1), np.empty(n + 1)
+    order = shuffled(p, 73) if permuted else np.arange(p)
+    for here, mean, _, cov in _left_out(target):
+        w, v = np.linalg.eigh(cov)
+        own, vectors = np.maximum(w[:, ::-1], LEAST_EIGEN), v[:, :, ::-1]
+        rank = [min(_usable_rank(o, n), most_s) for o in own]
+        lent = np.maximum(np.einsum("bij,bij->bj", vectors, cov_s @ vectors), LEAST_EIGEN)
+        shared = np.cumsum(np.square(vectors.transpose(0, 2, 1) @ vectors_s), axis=2)[np.arange(len(rank)), :, np.array(rank) - 1]
+        trust = np.where(np.arange(p) < np.array(rank)[:, None], shared.clip(0, 1), 0) * np.exp(-np.abs(np.log(lent / own)) / LOG_TAU)
+        rows = PRIOR * np.where(trust >= TRUST_FLOOR, trust, 0.0)[:, order]
+        far = np.maximum((n * own + rows * lent) / (n + rows), LEAST_EIGEN)
+        square = np.square(np.einsum("bi,bij->bj", target[here] - mean, vectors))
+        density = lambda variance: -0.5 * (np.log(variance) + square / variance)  # noqa: E731, B023
+        without = density(own)
+        least[here] = (np.minimum(density(far), without) - without).sum(axis=1)
+        most[here] = (density(np.clip(square, np.minimum(own, far), np.maximum(own, far))) - without).sum(axis=1)
+    return least, most
+
+
+def gate_opens(source: np.ndarray, target: np.ndarray, permuted: bool = False) -> bool:
+    """Whether :func:`gate_margin` is at least ``-GATE_SLACK``.
+
+    With more than FEW_ROWS rows the gains' bounds stand for them, and the widest ones make way for gains until the answer is
+    certain.  Bounds narrow like PRIOR over the rows, so that large targets need no or few gains.
+    """
+    if len(target) <= FEW_ROWS:
+        return gate_margin(source, target, permuted) >= -GATE_SLACK
+    known = lender(source)
+    least, most = gain_bounds(source, target, permuted, known)
+    low, high = least.sum(), most.sum()
+    for i in np.argsort(least - most, kind="stable"):
+        if low >= -GATE_SLACK * len(target) or high < -GATE_SLACK * len(target):
+            break
+        gain = _gain(source, target, i, permuted, known)
+        low, high = low + gain - least[i], high + gain - most[i]
+    return bool(low >= -GATE_SLACK * len(target))
 
 
 def _selective(mode: str) -> Fit:
@@ -102,7 +180,7 @@ def _selective(mode: str) -> Fit:
         permuted = mode == "trust_permuted"
         model = lending(s, t, permuted)
         # The gate opens unless lending predicts the target's own healthy rows worse.
-        trusting = mode != "target_only" and len(t) >= 4 and bool(model.trust.any()) and gate_margin(s, t, permuted) >= -GATE_SLACK
+        trusting = mode != "target_only" and len(t) >= 4 and bool(model.trust.any()) and gate_opens(s, t, permuted)
         return lambda q: np.sqrt(model.squared(z(q), trusting))
 
     return fit
@@ -141,16 +219,41 @@ def _blended_basis(own: np.ndarray, other: np.ndarray, share: float) -> np.ndarr
     return v[:, ::-1][:, : own.shape[1]]
 
 
+def _blend_risks(other: np.ndarray, t: np.ndarray, k: int) -> np.ndarray:
+    """For each share of the grid, what its subspace leaves of target rows that it has not seen.
+
+    Two subspaces' principal vectors u and v pair up in planes that are orthogonal to each other.  With less than half of the
+    weight on the other, the mean of the projectors has its leading vectors at one angle from u to v in each plane.
+    """
+    left = np.zeros(len(BLEND_GRID))
+    for here, _, scatter, _ in _left_out(t):
+        row, own = t[here], np.linalg.eigh(scatter)[1][:, :, : -k - 1 : -1]
+        turn, cosine, back = np.linalg.svd(own.transpose(0, 2, 1) @ other)
+        cosine = cosine.clip(0, 1)
+        sine = np.sqrt(1 - cosine**2)
+        on_u = np.einsum("bk,bkj->bj", np.einsum("bi,bik->bk", row, own), turn)
+        on_v = np.einsum("bk,bjk->bj", row @ other, back)
+        for i, share in enumerate(BLEND_GRID):
+            angle = 0.5 * np.arctan2(2 * share * cosine * sine, 1 - 2 * share * sine**2)
+            step = np.where(sine > 1e-6, np.sin(angle) / np.where(sine > 1e-6, sine, 1), share * cosine)
+            seen = np.cos(angle) * on_u + step * (on_v - cosine * on_u)
+            left[i] += (np.square(row).sum() - np.square(seen).sum()) / t.shape[1]
+    return left / len(t)
+
+
 def blend_share(s: np.ndarray, t: np.ndarray, k: int) -> float:
     """Smallest share of the grid whose subspace leaves the least of target rows that it has not seen."""
     other = L.principal_basis(s, k)
-    own = [L.principal_basis(np.delete(t, i, axis=0), k) for i in range(len(t))]
+    if len(t) > FEW_ROWS:
+        risks = dict(zip(BLEND_GRID, _blend_risks(other, t, k), strict=True))
+    else:
+        own = [L.principal_basis(np.delete(t, i, axis=0), k) for i in range(len(t))]
 
-    def risk(share: float) -> float:
-        bases = (_blended_basis(b, other, share) for b in own)
-        return float(np.mean([np.square(row - b @ (b.T @ row)).mean() for row, b in zip(t, bases, strict=True)]))
+        def risk(share: float) -> float:
+            bases = (_blended_basis(b, other, share) for b in own)
+            return float(np.mean([np.square(row - b @ (b.T @ row)).mean() for row, b in zip(t, bases, strict=True)]))
 
-    risks = {share: risk(share) for share in BLEND_GRID}
+        risks = {share: risk(share) for share in BLEND_GRID}
     return min(share for share, r in risks.items() if r <= min(risks.values()) + 1e-12)
 
 

@@ -265,3 +265,29 @@ def test_equal_contexts_before_a_query_give_their_smaller_ids(spark):
     for rank in (5, 8):
         got = {r.e: r.threshold for r in audits.context_conditional(asked, calibration, "e", "c", "s", 8, rank).collect()}
         assert got == {1000: sorted([1, 2, 3, 4, 5, 50, 40, 30])[rank - 1], 1001: rank, 1002: rank}
+
+
+def test_rows_left_out_of_large_targets_need_no_pass_over_the_others(monkeypatch):
+    rng = np.random.default_rng(9)
+    mix = rng.normal(size=(6, 6))
+    s, t = rng.normal(size=(300, 6)) @ mix + 0.1, rng.normal(size=(270, 6)) @ mix
+    passes = []
+    shrunk, basis = L.shrunk_covariance, L.principal_basis
+    monkeypatch.setattr(L, "shrunk_covariance", lambda x: passes.append(len(x)) or shrunk(x))
+    monkeypatch.setattr(L, "principal_basis", lambda x, k: passes.append(len(x)) or basis(x, k))
+    for name in ("SelectiveTransfer", "SelectiveSourcePermuted", "SelectiveTrustPermuted", "SharedProjector"):
+        passes.clear()
+        matrix_detectors.FITS[name](s, t)
+        assert passes.count(269) < 27  # each of them once for every one of 270 rows, before
+    assert all(np.allclose(cov[0], shrunk(np.delete(t, here.start, axis=0))[1]) for here, _, _, cov in transfer_detectors._left_out(t))
+    # Bounds hold every gain, and the gate is that of all gains wherever its slack lies.
+    for permuted in (False, True):
+        least, most = transfer_detectors.gain_bounds(s, t, permuted)
+        gains = np.array([transfer_detectors._gain(s, t, i, permuted, transfer_detectors.lender(s)) for i in range(270)])
+        assert (least - 1e-9 <= gains).all() and (gains <= most + 1e-9).all()
+        for slack in (-gains.mean() + 1e-6, -gains.mean() - 1e-6, 0.01, 0.0, -0.01):
+            monkeypatch.setattr(transfer_detectors, "GATE_SLACK", slack)
+            assert transfer_detectors.gate_opens(s, t, permuted) == (gains.mean() >= -slack)
+    own, other = [basis(np.delete(t, i, axis=0), 3) for i in range(270)], basis(s, 3)
+    risks = [np.mean([np.square(row - b @ (b.T @ row)).mean() for row, b in zip(t, (transfer_detectors._blended_basis(o, other, share) for o in own), strict=True)]) for share in transfer_detectors.BLEND_GRID]
+    assert np.allclose(transfer_detectors._blend_risks(other, t, 3), risks, rtol=1e-9)
