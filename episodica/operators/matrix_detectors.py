@@ -8,6 +8,7 @@ queries, each by itself; larger is more anomalous.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import linalg as L
 from ..functions.lineage import cut
@@ -379,43 +381,91 @@ def _shared_rows(df: DataFrame, runs: list[str], value: str) -> dict[tuple, list
     return out
 
 
-def aligned_phase_scores(telemetry: DataFrame, runs: list[str], bins: int = 128, radius: int = 2, k: int = 10) -> DataFrame:
-    """k-NN on phase profiles: each episode is warped onto the run's first commissioning episode and resampled.
+#: Series that one task warps onto the references of their runs.
+SERIES = 4096
 
-    ``telemetry`` has run keys, ``role``, ``episode``, ``at`` (order) and a vector ``v`` for each row.  An episode is a group
-    of its own and is warped once.  The run's frame comes from sums, its first episode and its targets' profiles, which its
+
+def _nearest(targets: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each query from its k-th nearest target."""
+    place, step = min(k, len(targets)) - 1, max(1, HELD_DISTANCES // targets.size)
+    parts = [np.sqrt(np.square(targets - queries[at : at + step, None]).sum(axis=2)) for at in range(0, len(queries), step)]
+    return np.concatenate([np.partition(d, place, axis=1)[:, place] for d in parts])
+
+
+def aligned_phase_scores(telemetry: DataFrame, roles: DataFrame, runs: list[str], bins: int = 128, radius: int = 2, k: int = 10) -> DataFrame:
+    """k-NN on phase profiles: each query is warped onto the run's first commissioning episode and resampled.
+
+    ``telemetry`` has ``episode``, ``at`` (order) and a vector ``v`` for each row; ``roles`` has each run's target and query
+    episodes.  An episode's series is put together once, however many runs ask for it, and a task warps the series of equal
+    length onto a run's reference together.  The run's frame comes from its episodes' sums; its targets' series and profiles, which its
     commissioning size bounds, are shared after a check of their size.
     """
-    kinds = ", ".join(f"{c} {t}" for c, t in telemetry.select(*runs).dtypes)
-    episode = f"episode {dict(telemetry.dtypes)['episode']}"
-    channels = telemetry.where("role = 'target'").select(*runs, F.posexplode("v").alias("place", "x")).groupBy(*runs, "place").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    context = telemetry.sparkSession.sparkContext
+    kinds = ", ".join(f"{c} {t}" for c, t in roles.select(*runs).dtypes)
+    episode = f"episode {dict(roles.dtypes)['episode']}"
+    rows = telemetry.join(roles.select("episode").distinct(), "episode", "left_semi").groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("rows"))
+    series = cut(rows.select("episode", F.size("rows").alias("n"), F.flatten(F.transform("rows", lambda x: x["v"])).alias("rows")))
+    targets = cut(series.join(F.broadcast(roles.where("role = 'target'").select(*runs, "episode")), "episode"))
+    # Warping breaks ties by the last bits: each episode sums in its order, and the run's sum of these is exact in any order.
+    channels = targets.select(*runs, "n", "rows", F.explode(F.expr("sequence(0, size(rows) div n - 1)")).alias("channel"))
+    values = channels.select(*runs, "channel", F.expr("filter(rows, (x, i) -> i % (size(rows) div n) = channel and x is not null)").alias("x")).where("size(x) > 0")
+    sums = values.select(*runs, "channel", F.size("x").alias("n"), F.expr("aggregate(x, 0D, (a, y) -> a + y)").alias("total"), "x")
+    parts: dict[tuple, list] = {}
+    for r in sums.select(*runs, "channel", "n", "total", F.expr("aggregate(x, 0D, (a, y) -> a + (y - total / n) * (y - total / n))").alias("squares")).collect():
+        parts.setdefault((*(r[c] for c in runs), r["channel"]), []).append((r["n"], r["total"], r["squares"]))
     frames: dict[tuple, list] = {}
-    for r in channels.sort("place").collect():
-        frames.setdefault(tuple(r[c] for c in runs), []).append((r["mean"], r["std"] if r["std"] > 1e-12 else 1.0))
-    first = telemetry.where("role = 'target'").groupBy(*runs).agg(F.min("episode").alias("episode"))
-    rows = telemetry.where("role = 'target'").join(F.broadcast(first), [*runs, "episode"]).groupBy(*runs).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).alias("rows"))
-    references = {run: (found[0].reshape(-1, len(frames[run])) - np.array(frames[run])[:, 0]) / np.array(frames[run])[:, 1] for run, found in _shared_rows(rows, runs, "rows").items()}
-    shared = telemetry.sparkSession.sparkContext.broadcast((frames, references))
-    phase = np.linspace(0, 1, bins)
-
-    def profile(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        run = key[: len(runs)]
-        if run not in shared.value[1]:
-            return pd.DataFrame(columns=[*runs, "role", "episode", "profile"])
+    for (*run, _), found in sorted(parts.items(), key=lambda part: part[0][-1]):
+        n = sum(k for k, _, _ in found)
+        mean = math.fsum(total for _, total, _ in found) / n
+        std = math.sqrt(math.fsum(squares + k * (total / k - mean) ** 2 for k, total, squares in found) / n)
+        frames.setdefault(tuple(run), []).append((mean, std if std > 1e-12 else 1.0))
+    first = targets.groupBy(*runs).agg(F.min_by("rows", "episode").alias("rows"))
+    references = {run: (found[0].reshape(-1, len(frames[run])) - np.array(frames[run])[:, 0]) / np.array(frames[run])[:, 1] for run, found in _shared_rows(first, runs, "rows").items()}
+    shared = context.broadcast((frames, references))
+
+    def profiles(run: tuple, lengths: np.ndarray, start: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Of the series at ``start`` in ``values``: channel after channel, the places of each."""
         mean, std = np.array(shared.value[0][run]).T
-        v = np.array(part.sort_values("at", kind="stable")["v"].tolist(), float)
-        w = L.warped((v - mean) / std, shared.value[1][run], radius)
-        found = np.concatenate([np.interp(phase, np.linspace(0, 1, len(w)), w[:, c]) for c in range(w.shape[1])])
-        return pd.DataFrame([[*key, found]], columns=[*runs, "role", "episode", "profile"])
-
-    profiles = cut(telemetry.groupBy(*runs, "role", "episode").applyInPandas(profile, f"{kinds}, role string, {episode}, profile array<double>"))
-    targets = telemetry.sparkSession.sparkContext.broadcast({run: np.stack(found) for run, found in _shared_rows(profiles.where("role = 'target'"), runs, "profile").items()})
+        out = np.empty((len(lengths), bins * len(mean)))
+        for n in np.unique(lengths):
+            mine = np.flatnonzero(lengths == n)
+            v = values[start[mine][:, None] + np.arange(n * len(mean))].reshape(len(mine), n, -1)
+            out[mine] = L.resampled(L.warped_all((v - mean) / std, shared.value[1][run], radius), bins).transpose(0, 2, 1).reshape(len(mine), -1)
+        return out
+
+    def each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array, np.ndarray]]:
+        """Runs' parts of the batches, in which an episode has a list of runs: run, episodes, profiles."""
+        for batch in batches:
+            lengths, asked, rows = batch.column(1).to_numpy(), batch.column(3), batch.column(2)
+            values, end = rows.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(rows.value_lengths().to_numpy())
+            start, of = np.append(0, end)[:-1], np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy())
+            numbers = {run: i for i, run in enumerate(shared.value[1])}
+            which = np.array([numbers.get(run, -1) for run in zip(*(c.to_pylist() for c in asked.flatten().flatten()), strict=True)], int)
+            for run, i in numbers.items():
+                mine = of[which == i]
+                if len(mine):
+                    yield run, batch.column(0).take(pa.array(mine)), profiles(run, lengths[mine], start[mine], values)
+
+    def keyed(run: tuple, episodes: pa.Array) -> list[pa.Array]:
+        return [*(pa.array([x] * len(episodes), t) for x, t in zip(run, key_types, strict=True)), episodes]
+
+    def asked_by(role: str) -> DataFrame:
+        wanted = roles.where(F.col("role") == role).groupBy("episode").agg(F.collect_list(F.struct(*runs)).alias("asked"))
+        tasks = max(context.defaultParallelism, -(-wanted.count() // SERIES))
+        # Series of about equal length meet in a task, and those of a frequent length are spread.
+        return series.join(wanted, "episode").select("episode", "n", "rows", "asked").repartitionByRange(tasks, "n", "episode").sortWithinPartitions("n")
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, episodes, found in each_run(batches):
+            columns = [*keyed(run, episodes), pa.array(list(found), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*runs, "episode", "profile"])
+
+    key_types = [to_arrow_type(roles.schema[c].dataType) for c in runs]
+    found = cut(asked_by("target").mapInArrow(profile, f"{kinds}, {episode}, profile array<double>"))
+    healthy = context.broadcast({run: np.stack(found) for run, found in _shared_rows(found, runs, "profile").items()})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(runs))), strict=True))
-            x = batch.column("profile").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            out = [np.partition(np.linalg.norm(targets.value[run] - row, axis=1), min(k, len(targets.value[run])) - 1)[min(k, len(targets.value[run])) - 1] for run, row in zip(keys, x, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+        for run, episodes, found in each_run(batches):
+            yield pa.RecordBatch.from_arrays([*keyed(run, episodes), pa.array(_nearest(healthy.value[run], found, k), pa.float64())], names=[*runs, "episode", "score"])
 
-    return profiles.where("role = 'query'").select(*runs, "episode", "profile").mapInArrow(score, f"{kinds}, {episode}, score double")
+    return asked_by("query").mapInArrow(score, f"{kinds}, {episode}, score double")
