@@ -176,16 +176,17 @@ def train(p: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray) -> di
                 o *= over
                 np.add(x, o @ vo, out=flat_h[:, :w])
                 flat_h[:, w] = 1
-                _logits(h, u, z, _largest(h) * long <= LIMIT)
+                deep = z.reshape(k, -1)
+                _logits(flat_h, u, deep, _largest(flat_h) * long <= LIMIT)
                 np.exp(z, out=z)
-                total = z.reshape(k, -1) @ ones[:CLASSES]
+                total = deep @ ones[:CLASSES]
                 chosen = starts[:k] + batch_y[here]
                 flat_z[chosen] = flat_z.take(chosen) - total
                 share = (live[here] / total)[:, None]
-                dh = (z @ ut).reshape(k, w)
+                dh = deep @ ut
                 dh *= share
                 flat_h *= share
-                du += (h.transpose(0, 2, 1) @ z).sum(axis=0)
+                du += (deep.T @ flat_h).T
                 do = dh @ vot
                 # The sum of a row of a times its gradient is that of the output times its own.
                 do *= over
@@ -271,7 +272,7 @@ class Scorer:
         begins[start[segments > 0] // SEGMENT] = True
         logs, p = np.empty(total), self.p
         n = min(STEP, len(begins))
-        all_a, logits, all_h, ones = (np.ones(s, np.float32) for s in ((n, 2 * SEGMENT, SEGMENT), (n, SEGMENT, CLASSES), (n * SEGMENT, WIDTH + 1), CLASSES))
+        all_a, logits, all_h, ones = (np.ones(s, np.float32) for s in ((n, 2 * SEGMENT, SEGMENT), (n * SEGMENT, CLASSES), (n * SEGMENT, WIDTH + 1), CLASSES))
         starts = np.arange(n * SEGMENT) * CLASSES
         for at in range(0, len(begins), STEP):
             to = min(at + STEP, len(begins))
@@ -292,7 +293,7 @@ class Scorer:
             o = (a.transpose(0, 2, 1) @ values).reshape(-1, WIDTH)
             o /= (ones[: 2 * SEGMENT] @ a).reshape(-1, 1)
             np.add(o, x[SEGMENT:], out=h[:, :WIDTH])
-            z = _logits(h.reshape(b, SEGMENT, -1), self.u, logits[:b], self.safe[1]).reshape(-1, CLASSES)
+            z = _logits(h, self.u, logits[: len(h)], self.safe[1])
             y = target[now]
             got = z.reshape(-1).take(starts[: len(z)] + self.classes.take(y))
             got -= np.log(np.exp(z, out=z) @ ones)
