@@ -58,11 +58,16 @@ SPLIT_BYTES = 16 << 20
 #: Windows that a block holds and goes through EPOCHS times before it reads on; subwords that are scored together, or one text.
 HELD_WINDOWS = 8192
 HELD_SUBWORDS = 100_000
-#: Segments that are scored in one numpy step, windows of a batch whose arrays stay in a core's cache together.
-STEP = 32
-PART = 32
-#: Exponents up to this size need no shift.
+#: Segments that are scored in one numpy step, windows of a batch whose attention stays in a core's cache together.
+STEP = 28
+PART = 16
+#: Places whose logits are in a core's cache together, and few enough for BLAS to multiply them without packing.
+PLACES = 448
+#: Parameters that a step changes together.
+CHUNK = 1 << 15
+#: Exponents up to this size need no shift: sums of theirs.
 LIMIT = 40.0
+LARGEST, SMALLEST = math.exp(LIMIT + 5), math.exp(-LIMIT)
 
 _SHAPES = {"e": (ROWS + 1, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "near": (2 * SEGMENT,), "u": (WIDTH, CLASSES), "c": (CLASSES,)}
 
@@ -89,31 +94,27 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return {n: part.copy() for n, part in _views(flat).items()}
 
 
-def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
-    """The parameters as parts of ``flat``."""
-    ends = np.cumsum([math.prod(s) for s in _SHAPES.values()])[:-1]
-    return {n: part.reshape(s) for (n, s), part in zip(_SHAPES.items(), np.split(flat, ends), strict=True)}
+def _views(flat: np.ndarray, n_rows: int = ROWS + 1) -> dict[str, np.ndarray]:
+    """The parameters, with so many rows of the input embedding, as parts of ``flat``."""
+    shapes = _SHAPES | {"e": (n_rows, WIDTH)}
+    ends = np.cumsum([math.prod(s) for s in shapes.values()])[:-1]
+    return {n: part.reshape(s) for (n, s), part in zip(shapes.items(), np.split(flat, ends), strict=True)}
 
 
-def _small(z: np.ndarray) -> bool:
-    """Whether sums and products of the exponentials of ``z`` are safe in single precision."""
-    return bool(z.max() <= LIMIT and z.min() >= -LIMIT)
+def _exponentials(h: np.ndarray, u: np.ndarray, z: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Those of ``h @ u`` in ``z``, and their sums by ``often``; shifted row by row if the sums show that they have to be."""
+    np.exp(np.matmul(h, u, out=z), out=z)
+    totals = z @ often
+    if not _fits(totals):
+        np.matmul(h, u, out=z)
+        z -= (z + np.log(often)).max(axis=1, keepdims=True)
+        totals = np.exp(z, out=z) @ often
+    return totals
 
 
-def _largest(values: np.ndarray) -> float:
-    return float(max(values.max(), -values.min()))
-
-
-def _longest(rows: np.ndarray) -> float:
-    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
-
-
-def _logits(h: np.ndarray, u: np.ndarray, z: np.ndarray, safe: bool) -> np.ndarray:
-    """``h @ u`` in ``z``, shifted row by row unless its exponentials are known or seen to be safe."""
-    np.matmul(h, u, out=z)
-    if not safe and not _small(z):
-        z -= z.max(axis=-1, keepdims=True)
-    return z
+def _often(c: np.ndarray) -> np.ndarray:
+    """What classes' exponentials are multiplied by for their own numbers, of which those far below the largest count for nothing."""
+    return np.exp(np.maximum(c - c.max(), np.float32(-LIMIT)))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -124,108 +125,138 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _fits(totals: np.ndarray) -> bool:
+    """Whether sums of exponentials show that none of these was too large, nor all of a sum's too small (nan: no)."""
+    return bool(np.maximum.reduce(totals) <= LARGEST and np.minimum.reduce(totals) >= SMALLEST)
+
+
+@np.errstate(over="ignore", invalid="ignore")
 def train(p: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
     """Adam on windows of two segments: input rows and target classes, -1 where there is none.
 
     Queries meet keys, and values the output, in one matrix each (``q k'`` and ``v o``).  What a softmax divides by is
-    taken where there are WIDTH values; exponents beyond ``LIMIT`` are shifted first.
+    taken where there are WIDTH values; exponents are shifted only where the sums show that they have to be.  What has
+    WIDTH values a place is computed for a batch at once, attention by PART windows and logits by PLACES.
     """
     size, w = 2 * SEGMENT, WIDTH
     distance = np.arange(size)[:, None] - np.arange(size)[None, :]
     past, back = distance >= 0, np.where(distance < 0, size, distance).ravel()
-    flat = pack(p)
-    p, mean, square, spare = _views(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-    means, squares, diagonals = _views(mean), _views(square), np.zeros(size + size * size, np.float32)
-    # Working space of a part of a batch; h and d have a further column and xt a further row of ones.
-    all_h, all_d, all_xt = np.ones((PART, size, w + 1), np.float32), np.empty((PART, size, w + 1), np.float32), np.ones((PART, w + 1, size), np.float32)
-    all_a, all_ds, all_z = (np.empty((PART, size, n), np.float32) for n in (size, size, CLASSES))
-    all_dx, starts = np.empty((BATCH * size, w), np.float32), np.arange(PART * size) * CLASSES
-    ones, scale, step = np.ones(max(size, CLASSES), np.float32), np.float32(1 / math.sqrt(w)), 0
+    # Rows of the embedding that these windows don't have keep their values: the others are numbered and packed without them.
+    all_rows = p["e"].copy()
+    met = np.zeros(len(all_rows), bool)
+    met[rows] = True
+    rows, met = (np.cumsum(met) - 1).astype(np.int16).take(rows), np.flatnonzero(met)
+    flat = pack(p | {"e": all_rows.take(met, axis=0)})
+    mean, square, spare = np.zeros_like(flat), np.zeros_like(flat), np.empty(CHUNK, np.float32)
+    (p, means, squares), diagonals = (_views(m, len(met)) for m in (flat, mean, square)), np.zeros(size + size * size, np.float32)
+    chunks = [(flat[at : at + CHUNK], mean[at : at + CHUNK], square[at : at + CHUNK], spare[: len(flat) - at]) for at in range(0, len(flat), CHUNK)]
+    # Working space; d has a further column and xt a further row of ones.
+    spaces = [np.empty((BATCH * size, w), np.float32) for _ in range(8)]
+    all_xt, all_a, all_d, all_over = np.ones((BATCH, w + 1, size), np.float32), np.empty((BATCH, size, size), np.float32), np.empty((BATCH * size, w + 1), np.float32), np.empty(BATCH * size, np.float32)
+    all_ds, all_z, all_by = np.empty((PART, size, size), np.float32), np.empty((PLACES, CLASSES), np.float32), np.empty((PART, size, w), np.float32)
+    starts, ones, scale, step = np.arange(PLACES) * CLASSES, np.ones(size, np.float32), np.float32(1 / math.sqrt(w)), 0
     rng = np.random.default_rng(5)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
             take = order[at : at + BATCH]
-            batch_r, batch_y = rows.take(take, axis=0), targets.take(take, axis=0).ravel()
+            n, r, y = len(take), rows.take(take, axis=0).ravel(), targets.take(take, axis=0).ravel()
             # The mean over the batch's targets.
-            live = (batch_y >= 0).astype(np.float32)
+            live = (y >= 0).astype(np.float32)
             live /= max(1.0, float(live.sum()))
-            batch_y = np.maximum(batch_y, 0)
-            qk, vo, u = p["q"] @ p["k"].T * scale, p["v"] @ p["o"], np.concatenate([p["u"], p["c"][None]])
-            qkt, vot, ut = (np.ascontiguousarray(m.T) for m in (qk, vo, p["u"]))
-            weight, long = np.append(np.exp(p["near"] - p["near"].max()), np.float32(0)).take(back), float(np.abs(u).sum(axis=0).max())
-            du, dvo, dqk, dnear = np.zeros_like(u), np.zeros_like(vo), np.zeros_like(qk), np.zeros(size * size, np.float32)
-            for lo in range(0, len(take), PART):
-                r = batch_r[lo : lo + PART]
-                b, k = len(r), len(r) * size
-                here = slice(lo * size, lo * size + k)
-                h, d, xt, a, ds, z, dx = all_h[:b], all_d[:b], all_xt[:b], all_a[:b], all_ds[:b], all_z[:b], all_dx[here]
-                flat_h, flat_d, flat_z = h.reshape(k, -1), d.reshape(k, -1), z.reshape(-1)
-                x = p["e"].take(r.ravel(), axis=0)
-                cube = x.reshape(b, size, w)
-                xt[:, :w] = cube.transpose(0, 2, 1)
-                xq = x @ qk
-                np.matmul(xq.reshape(b, size, w), xt[:, :w], out=a)
-                if w * _largest(xq) * _largest(x) > LIMIT and not _small(a):
-                    a -= np.where(past, a, -np.inf).max(axis=2, keepdims=True)
-                    np.minimum(a, 0, out=a)
-                np.exp(a, out=a)
-                np.multiply(a.reshape(b, -1), weight, out=a.reshape(b, -1))
-                over = 1 / (a.reshape(k, size) @ ones[:size])[:, None]
-                o = (a @ cube).reshape(k, w)
-                o *= over
-                np.add(x, o @ vo, out=flat_h[:, :w])
-                flat_h[:, w] = 1
-                deep = z.reshape(k, -1)
-                _logits(flat_h, u, deep, _largest(flat_h) * long <= LIMIT)
-                np.exp(z, out=z)
-                total = deep @ ones[:CLASSES]
-                chosen = starts[:k] + batch_y[here]
-                flat_z[chosen] = flat_z.take(chosen) - total
-                share = (live[here] / total)[:, None]
-                dh = deep @ ut
-                dh *= share
-                flat_h *= share
-                du += (deep.T @ flat_h).T
-                do = dh @ vot
-                # The sum of a row of a times its gradient is that of the output times its own.
-                do *= over
-                flat_d[:, :w] = do
-                np.negative(np.einsum("ij,ij->i", do, o), out=flat_d[:, w])
-                np.matmul(d, xt, out=ds)
-                ds *= a
-                dxq = (ds @ cube).reshape(k, w)
-                dvo += o.T @ dh
-                dqk += x.T @ dxq
-                np.add(dh, dxq @ qkt, out=dx)
-                dx += (ds.transpose(0, 2, 1) @ xq.reshape(b, size, w)).reshape(k, w)
-                dx += (a.transpose(0, 2, 1) @ do.reshape(b, size, w)).reshape(k, w)
+            y = np.maximum(y, 0)
+            qk, vo, u = p["q"] @ p["k"].T * scale, p["v"] @ p["o"], p["u"]
+            # Classes count by the exponential of their own number, which their logits leave out.
+            often = _often(p["c"])
+            qkt, vot, ut, seldom = np.ascontiguousarray(qk.T), np.ascontiguousarray(vo.T), np.ascontiguousarray((u * often).T), 1 / often
+            weight = np.append(np.exp(p["near"] - p["near"].max()), np.float32(0)).take(back)
+            du, dc, dvo, dqk, dnear = (np.zeros(g, np.float32) for g in (u.shape, CLASSES, vo.shape, qk.shape, size * size))
+            x, xq, o, h, dh, do, dxq, dx = (m[: n * size] for m in spaces)
+            cubes, queries, os, dos, dxqs, dxs = (m.reshape(n, size, w) for m in (x, xq, o, do, dxq, dx))
+            xt, a, d, over = all_xt[:n], all_a[:n], all_d[: n * size], all_over[: n * size]
+            p["e"].take(r, axis=0, out=x, mode="clip")
+            xt[:, :w] = cubes.transpose(0, 2, 1)
+            for lo in range(0, n, PART):
+                here, hi = slice(lo, lo + PART), min(lo + PART, n)
+                flat_here = slice(lo * size, hi * size)
+                part, totals = a[here], over[flat_here]
+                np.matmul(x[flat_here], qk, out=xq[flat_here])
+                pairs = part.reshape(hi - lo, -1)
+                np.exp(np.matmul(queries[here], xt[here, :w], out=part), out=part)
+                pairs *= weight
+                np.matmul(part.reshape(-1, size), ones, out=totals)
+                if not _fits(totals):
+                    np.matmul(queries[here], xt[here, :w], out=part)
+                    part -= np.where(past, part, -np.inf).max(axis=2, keepdims=True)
+                    np.exp(np.minimum(part, 0, out=part), out=part)
+                    pairs *= weight
+                    np.matmul(part.reshape(-1, size), ones, out=totals)
+                np.matmul(part, cubes[here], out=os[here])
+                np.divide(1, totals, out=totals)
+                o[flat_here] *= totals[:, None]
+                np.matmul(o[flat_here], vo, out=h[flat_here])
+            h += x
+            for lo in range(0, n * size, PLACES):
+                here = slice(lo, lo + PLACES)
+                deep = h[here]
+                k = len(deep)
+                z, flat_z, classes = all_z[:k], all_z[:k].reshape(-1), y[here]
+                total = _exponentials(deep, u, z, often)
+                chosen = starts[:k] + classes
+                flat_z[chosen] = flat_z.take(chosen) - total * seldom.take(classes)
+                share = live[here] / total
+                np.matmul(z, ut, out=dh[here])
+                dh[here] *= share[:, None]
+                deep *= share[:, None]
+                du += deep.T @ z
+                dc += share @ z
+                np.matmul(dh[here], vot, out=do[here])
+            do *= over[:, None]
+            d[:, :w] = do
+            # The sum of a row of a times its gradient is that of the output times its own.
+            np.matmul(np.multiply(do, o, out=h), -ones[:w], out=over)
+            d[:, w] = over
+            for lo in range(0, n, PART):
+                here, b = slice(lo, lo + PART), min(PART, n - lo)
+                flat_here = slice(lo * size, (lo + b) * size)
+                ds, by, part = all_ds[:b], all_by[:b], a[here]
+                np.matmul(d.reshape(n, size, -1)[here], xt[here], out=ds)
+                ds *= part
+                np.matmul(ds, cubes[here], out=dxqs[here])
+                np.matmul(ds.transpose(0, 2, 1), queries[here], out=dxs[here])
+                dxs[here] += np.matmul(part.transpose(0, 2, 1), dos[here], out=by)
+                dx[flat_here] += np.matmul(dxq[flat_here], qkt, out=by.reshape(-1, w))
                 dnear += ones[:b] @ ds.reshape(b, -1)
+                dvo += o[flat_here].T @ dh[flat_here]
+                dqk += x[flat_here].T @ dxq[flat_here]
+            dx += dh
             # Row i and column i - d have distance d; where that column is before the first, there are zeros.
             diagonals[size:] = dnear
             near = np.ndarray((size, size), np.float32, diagonals, 4 * size, (4 * (size + 1), -4)).sum(axis=0)
-            r = batch_r.ravel()
             by_row = np.argsort(r, kind="stable")
             r = r.take(by_row)
             first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            r, de = r.take(first), np.add.reduceat(all_dx.take(by_row, axis=0), first, axis=0)
+            r, de = r.take(first), np.add.reduceat(dx.take(by_row, axis=0, out=h, mode="clip"), first, axis=0)
             dqk *= scale
             step += 1
             root = math.sqrt(1 - 0.99**step)
             # Ten times the mean of slopes and a hundred times that of their squares, which are zero for rows not met.
-            mean *= np.float32(0.9)
-            square *= np.float32(0.99)
             means["e"][r] += de
             squares["e"][r] += de * de
-            for name, g in {"q": dqk @ p["k"], "k": dqk.T @ p["q"], "v": dvo @ p["o"].T, "o": p["v"].T @ dvo, "near": near, "u": du[:w], "c": du[w]}.items():
+            for name, g in {"q": dqk @ p["k"], "k": dqk.T @ p["q"], "v": dvo @ p["o"].T, "o": p["v"].T @ dvo, "near": near, "u": du * often, "c": dc * often}.items():
                 means[name] += g
                 squares[name] += g * g
-            np.sqrt(square, out=spare)
-            spare += np.float32(1e-7 * root)
-            np.divide(mean, spare, out=spare)
-            spare *= np.float32(RATE * root / (1 - 0.9**step))
-            flat -= spare
-    return p
+            small, rate = np.float32(1e-7 * root), np.float32(RATE * root / (1 - 0.9**step))
+            for value, m, s, by in chunks:
+                np.sqrt(s, out=by)
+                by += small
+                np.divide(m, by, out=by)
+                by *= rate
+                value -= by
+                m *= np.float32(0.9)
+                s *= np.float32(0.99)
+    all_rows[met] = p["e"]
+    return p | {"e": all_rows}
 
 
 def windows(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +265,7 @@ def windows(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = -(-len(ids) // size)
     rows, targets = np.full(n * size, ROWS, np.int16), np.full(n * size, -1, np.int16)
     rows[1 : len(ids)] = ids[:-1] % ROWS
-    targets[: len(ids)] = classes[ids]
+    targets[: len(ids)] = classes.take(ids)
     return rows.reshape(n, size), targets.reshape(n, size)
 
 
@@ -242,19 +273,18 @@ class Scorer:
     """log10 probabilities of subword sequences."""
 
     def __init__(self, parameters: dict[str, np.ndarray], classes: np.ndarray, log_share: np.ndarray):
-        p = self.p = parameters
-        self.classes, self.log_share = classes.astype(np.intp), log_share
+        p = parameters
+        # Classes count by the exponential of their own number, which their logits leave out.
+        self.u, self.often = p["u"], _often(p["c"])
+        self.classes, self.log_share = classes.astype(np.intp), log_share + (p["c"] - p["c"].max()).astype(float)[classes] / math.log(10)
         # One layer deep, queries and values depend on the input row alone.
-        self.query, value = p["e"] @ (p["q"] @ p["k"].T * np.float32(1 / math.sqrt(WIDTH))), p["e"] @ (p["v"] @ p["o"])
-        self.value = value
-        self.u = np.concatenate([p["u"], p["c"][None]])
-        # No product exceeds that of the lengths, and a mean of values is no longer than the longest.
-        self.safe = _longest(self.query) * _longest(p["e"]) <= LIMIT, (_longest(p["e"]) + _longest(value) + 1) * _longest(self.u.T) <= LIMIT
+        self.table = np.concatenate([p["e"], p["e"] @ (p["v"] @ p["o"]), p["e"] @ (p["q"] @ p["k"].T * np.float32(1 / math.sqrt(WIDTH)))], axis=1)
         # Keys by queries.
         i, j = np.arange(SEGMENT)[None, :] + SEGMENT, np.arange(2 * SEGMENT)[:, None]
         self.past = j <= i
         self.near = np.where(self.past, np.exp(p["near"][np.clip(i - j, 0, 2 * SEGMENT - 1)] - p["near"].max()), np.float32(0)).ravel()
 
+    @np.errstate(over="ignore", invalid="ignore")
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each sequence of ids."""
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -264,42 +294,55 @@ class Scorer:
         total = int(segments.sum()) * SEGMENT
         ids = np.concatenate(texts) if len(texts) else np.zeros(0, np.int64)
         # The rows have one segment before the first.
-        target, rows = np.zeros(total, ids.dtype), np.full(SEGMENT + total + 1, ROWS, np.int16)
-        target[place] = ids
+        classes, rows = np.zeros(total, np.intp), np.full(SEGMENT + total + 1, ROWS, np.int16)
+        classes[place] = self.classes.take(ids)
         rows[SEGMENT + 1 + place] = ids % ROWS
         rows[SEGMENT + start] = ROWS
         begins = np.zeros(total // SEGMENT, bool)
         begins[start[segments > 0] // SEGMENT] = True
-        logs, p = np.empty(total), self.p
+        got, sums = np.empty(total, np.float32), np.empty(total, np.float32)
         n = min(STEP, len(begins))
-        all_a, logits, all_h, ones = (np.ones(s, np.float32) for s in ((n, 2 * SEGMENT, SEGMENT), (n * SEGMENT, CLASSES), (n * SEGMENT, WIDTH + 1), CLASSES))
-        starts = np.arange(n * SEGMENT) * CLASSES
+        all_a, all_q, all_h, all_z = (np.empty(s, np.float32) for s in ((n, 2 * SEGMENT, SEGMENT), (n, WIDTH, SEGMENT), (n, SEGMENT, WIDTH), (min(n * SEGMENT, PLACES), CLASSES)))
+        ones, starts = np.ones(2 * SEGMENT, np.float32), np.arange(len(all_z)) * CLASSES
         for at in range(0, len(begins), STEP):
             to = min(at + STEP, len(begins))
-            b, now, a, h = to - at, slice(at * SEGMENT, to * SEGMENT), all_a[: to - at], all_h[: (to - at) * SEGMENT]
-            r = rows[now.start : now.stop + SEGMENT]
-            x, values = p["e"].take(r, axis=0), self.value.take(r, axis=0)
+            b, a, q, h, first = to - at, all_a[: to - at], all_q[: to - at], all_h[: to - at], begins[at:to]
+            held = self.table.take(rows[at * SEGMENT : (to + 1) * SEGMENT], axis=0)
+            x, queries = held[SEGMENT:, :WIDTH].reshape(b, SEGMENT, WIDTH), held[SEGMENT:, 2 * WIDTH :].reshape(b, SEGMENT, WIDTH)
             # Of each segment, the keys and values of the segment before and its own.
-            keys, values = (np.ndarray((b, 2 * SEGMENT, m.shape[1]), m.dtype, m, 0, (SEGMENT * m.strides[0], *m.strides)) for m in (x, values))
-            np.matmul(keys, self.query.take(r[SEGMENT:], axis=0).reshape(b, SEGMENT, WIDTH).transpose(0, 2, 1).copy(), out=a)
-            if not self.safe[0] and not _small(a):
+            keys, values = (np.ndarray((b, 2 * SEGMENT, WIDTH), held.dtype, held, at * held.itemsize, (SEGMENT * held.strides[0], *held.strides)) for at in (0, WIDTH))
+            q[:] = queries.transpose(0, 2, 1)
+            np.exp(np.matmul(keys, q, out=a), out=a)
+            np.multiply(a.reshape(b, -1), self.near, out=a.reshape(b, -1))
+            a[first, :SEGMENT] = 0
+            over = ones @ a
+            if not _fits(over.ravel()):
+                np.matmul(keys, q, out=a)
                 seen = np.where(self.past, a, -np.inf)
-                seen[begins[at:to], :SEGMENT] = -np.inf
+                seen[first, :SEGMENT] = -np.inf
                 a -= seen.max(axis=1, keepdims=True)
-                np.minimum(a, 0, out=a)
-            np.exp(a, out=a)
-            np.multiply(a.reshape(b, -1), self.near, out=a.reshape(b, -1))
-            a[begins[at:to], :SEGMENT] = 0
-            o = (a.transpose(0, 2, 1) @ values).reshape(-1, WIDTH)
-            o /= (ones[: 2 * SEGMENT] @ a).reshape(-1, 1)
-            np.add(o, x[SEGMENT:], out=h[:, :WIDTH])
-            z = _logits(h, self.u, logits[: len(h)], self.safe[1])
-            y = target[now]
-            got = z.reshape(-1).take(starts[: len(z)] + self.classes.take(y))
-            got -= np.log(np.exp(z, out=z) @ ones)
-            got *= np.float32(1 / math.log(10))
-            np.add(got, self.log_share.take(y), out=logs[now])
-        return np.bincount(np.repeat(np.arange(len(texts)), sizes), logs[place], len(texts))
+                np.exp(np.minimum(a, 0, out=a), out=a)
+                np.multiply(a.reshape(b, -1), self.near, out=a.reshape(b, -1))
+                a[first, :SEGMENT] = 0
+                over = ones @ a
+            np.matmul(a.transpose(0, 2, 1), values, out=h)
+            h /= over[:, :, None]
+            h += x
+            for lo in range(0, b * SEGMENT, PLACES):
+                deep = h.reshape(-1, WIDTH)[lo : lo + PLACES]
+                here, z = slice(at * SEGMENT + lo, at * SEGMENT + lo + len(deep)), all_z[: len(deep)]
+                chosen = starts[: len(deep)] + classes[here]
+                np.matmul(deep, self.u, out=z)
+                z.reshape(-1).take(chosen, out=got[here], mode="clip")
+                np.matmul(np.exp(z, out=z), self.often, out=sums[here])
+                if not _fits(sums[here]):
+                    np.matmul(deep, self.u, out=z)
+                    z -= (z + np.log(self.often)).max(axis=1, keepdims=True)
+                    z.reshape(-1).take(chosen, out=got[here], mode="clip")
+                    np.matmul(np.exp(z, out=z), self.often, out=sums[here])
+        got -= np.log(sums, out=sums)
+        got *= np.float32(1 / math.log(10))
+        return np.bincount(np.repeat(np.arange(len(texts)), sizes), got.take(place) + self.log_share.take(ids), len(texts))
 
 
 def _pieces(path: str):
@@ -496,7 +539,7 @@ class _Learner:
     """Trains one block's network after the other and sums what they learned by their windows."""
 
     def __init__(self, classes: np.ndarray):
-        self.classes, self.block, self.sum, self.all = classes, None, None, 0
+        self.classes, self.block, self.sum, self.all = classes.astype(np.int16), None, None, 0
         self.p, self.n, self.held, self.rows, self.targets = start_parameters(), 0, 0, [], []
 
     def read(self, block: int, ids: np.ndarray) -> None:
@@ -570,38 +613,59 @@ def encoded(blocked: DataFrame, classes: np.ndarray, end: int, network: bool = T
     kind = dict(blocked.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, name, words, before, small = _Learner(shared.value), None, [], None, np.uint16 if len(shared.value) <= 1 << 16 else np.uint32
+        learner, name, words, joint, small = _Learner(shared.value), None, [], None, np.uint16 if len(shared.value) <= 1 << 16 else np.uint32
 
         def joined() -> tuple[np.ndarray, ...]:
-            """By number of a word: its count, log10 of that and a half, where its ids start and how many they are; all ids."""
+            """By number of a word, and last for a text's end: whether it is known, log10 of its count and a half (of the end 0), where its ids start and how many they are; all ids."""
             own, n, lengths, ids = (np.concatenate([np.zeros(0, t), *[np.frombuffer(_unpacked(w[k]), t) for w in words]]) for k, t in enumerate((np.uint32, np.int64, np.uint32, np.uint32)))
             back = np.empty(len(own), np.int64)
             back[own] = np.arange(len(own))
             lengths = lengths.astype(np.int64)
             start = np.cumsum(lengths) - lengths
-            return n[back] > 0, np.array([math.log10(c + 0.5) for c in n.tolist()], float)[back], start[back], lengths[back], ids
+            different, which = np.unique(n, return_inverse=True)
+            logs = np.array([math.log10(c + 0.5) for c in different.tolist()], np.longdouble)[which]
+            return np.append(n[back] > 0, False), np.append(logs[back], np.longdouble(0)), np.append(start[back], len(ids)), np.append(lengths[back], 1), np.append(ids, np.uint32(end)).astype(small)
+
+        def done(block: int | None, texts: list[np.ndarray], rows: list[tuple[int, bool]], out: dict[str, list]) -> None:
+            """Puts into ``out`` what ``rows`` of ``texts`` by their place there and held out or not have."""
+            if not rows:
+                return
+            known, logs, start, lengths, pieces = joint
+            numbers = np.concatenate([part for text in texts for part in (text, np.array([len(known) - 1], np.uint32))])
+            sizes = np.array([len(t) + 1 for t in texts])
+            first = np.cumsum(sizes) - sizes
+            values = [(sizes - 1).tolist(), np.add.reduceat(known.take(numbers), first, dtype=np.int64).tolist(), np.add.reduceat(logs.take(numbers), first).astype(float).tolist(), [None] * len(texts)]
+            if network:
+                many = lengths.take(numbers)
+                ids = np.split(_runs(pieces, start.take(numbers), many), np.cumsum(np.add.reduceat(many, first))[:-1])
+                values[3] = [_packed(t) for t in ids]
+                for which, held_out in rows:
+                    if not held_out:
+                        learner.read(block, ids[which])
+            for c, x in zip(out.values(), values, strict=True):
+                c += [x[which] for which, _ in rows]
 
         for batch in batches:
             blocks, places, docs, held, *parts = (c.to_pylist() if k != 2 else c for k, c in enumerate(batch.columns))
-            at, out = [], {"n_words": [], "n_known": [], "logs": [], "ids": []}
+            at, out, texts, rows, before, waiting = [], {"n_words": [], "n_known": [], "logs": [], "ids": []}, [], [], None, 0
             for i, (block, place, held_out, own, *rest) in enumerate(zip(blocks, places, held, *parts, strict=True)):
+                if block != name or waiting > HELD_SUBWORDS:
+                    done(name, texts, rows, out)
+                    texts, rows, before, waiting = [], [], None, 0
                 if block != name:
-                    name, words, known, before = block, [], None, None
+                    name, words, joint = block, [], None
                 if place < 0:
                     words.append((own, *rest))
                     continue
-                if known is None:
-                    known, logs, start, lengths, pieces = joined()
-                    words = []
+                if joint is None:
+                    joint, words = joined(), []
                 if own != before:
-                    before, numbers = own, np.frombuffer(_unpacked(own), np.uint32)
-                    ids = np.append(_runs(pieces, start[numbers], lengths[numbers]), np.uint32(end)) if network else None
-                    row = len(numbers), int(np.count_nonzero(known[numbers])), float(logs[numbers].sum(dtype=np.longdouble)), _packed(ids.astype(small)) if network else None
-                if network and not held_out:
-                    learner.read(block, ids)
+                    before = own
+                    texts.append(np.frombuffer(_unpacked(own), np.uint32))
+                    waiting += len(texts[-1]) + 1
+                rows.append((len(texts) - 1, held_out))
                 at.append(i)
-                for c, x in zip(out.values(), row, strict=True):
-                    c.append(x)
+            done(name, texts, rows, out)
             n = len(at)
             taken = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([

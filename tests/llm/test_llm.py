@@ -629,6 +629,51 @@ def test_scoring_makes_few_copies_of_attention_and_logits():
         tracemalloc.stop()
 
 
+def test_training_packs_the_rows_that_windows_have():
+    """Rows that no window has keep their values, and steps neither hold nor go through slopes of theirs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    rows, targets = rng.integers(0, 500, (130, 64)).astype(np.int16) * 16, rng.integers(0, 128, (130, 64)).astype(np.int16)
+    start = language_model.start_parameters()
+    whole = {n: v.copy() for n, v in start.items()}
+    tracemalloc.start()
+    try:
+        got = language_model.train(start, rows, targets)
+        assert tracemalloc.get_traced_memory()[1] < 6e6  # with slopes, their squares and steps of all rows it was 6.4 MB
+    finally:
+        tracemalloc.stop()
+    met = np.isin(np.arange(len(whole["e"])), rows)
+    assert (got["e"][~met] == whole["e"][~met]).all() and (got["e"][met] != whole["e"][met]).any(axis=1).all() and got["e"].shape == whole["e"].shape
+
+
+def test_classes_with_far_numbers_and_large_logits_score_as_they_are_written():
+    rng, size = np.random.default_rng(6), language_model.SEGMENT
+    p = {n: (v * (1 if n == "near" else 8)).astype(np.float32) for n, v in language_model.start_parameters().items()}
+    p["c"] = rng.normal(0, 8, language_model.CLASSES).astype(np.float32)
+    text, classes = rng.integers(0, 90, size), np.arange(90) % language_model.CLASSES
+    x = p["e"][np.concatenate([[language_model.ROWS], text[:-1]])].astype(float)
+    a = language_model._softmax(x @ p["q"] @ p["k"].T.astype(float) @ x.T / math.sqrt(language_model.WIDTH) + np.where(np.tri(size) > 0, 0, -1e9))
+    z = (x + a @ x @ p["v"].astype(float) @ p["o"]) @ p["u"] + p["c"]
+    want = (z[np.arange(size), classes[text]] - z.max(axis=1) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))).sum() / math.log(10)
+    assert abs(z).max() > 100 and math.isclose(language_model.Scorer(p, classes, np.zeros(90)).score([text])[0], want, rel_tol=1e-4)
+
+
+def test_texts_of_a_block_are_encoded_some_at_a_time(spark):
+    """Copies, empty texts and more words than are put together at once."""
+    texts, path = [*HARD, *[prose(i % 9, 50) for i in range(40)], None, "", prose(10, 60_000), prose(11, 60_000), prose(12, 9)], vocabulary_path("word_bpe_49k.json")
+    rows = sorted((0, i, i % 3 == 0, (t or "").lower()) for i, t in enumerate(texts))
+    read = language_model.indexed(spark.createDataFrame(rows, "block int, doc_id long, held_out boolean, text string").coalesce(1), 1).collect()
+    known = language_model.unified(spark.createDataFrame([(r.bucket, r.block, r.own, r.words, r.n) for r in read if r.bucket is not None], "bucket int, block int, own binary, words binary, n binary").coalesce(1), path).collect()
+    blocked = [(r.block, -1, None, None, r.own, r.n, r.lengths, r.ids) for r in known if r.block is not None] + [(r.block, r.place, r.doc_id, r.held_out, r.own, None, None, None) for r in read if r.bucket is None]
+    frame = spark.createDataFrame(blocked, "block int, place int, doc_id long, held_out boolean, own binary, n binary, lengths binary, ids binary").coalesce(1)
+    of = language_model._pieces(path)
+    for r in language_model.encoded(frame, np.zeros(60_000, np.int64), 7).collect():
+        if r.n_words is not None:
+            own = language_model.tokens_of(texts[r.doc_id])
+            assert r.n_words == len(own) and language_model._unpacked(r.ids) == np.append(np.frombuffer(b"".join(map(of, own)), np.uint32), 7).astype(np.uint16).tobytes()
+
+
 def test_training_gradients_lower_the_loss():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 20, (64, 64))
